@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from . import quality_rules, token_counts
+from . import fingerprints, line_dedup, mixing, ngram_join, piece_codec, quality_rules, sharding, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op2_ngram_jaccard": ngram_join.op2_ngram_jaccard,
+    "op3_sentencepiece": piece_codec.op3_sentencepiece,
+    "op4_mixing": mixing.op4_mixing,
+    "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op7_fingerprints": fingerprints.op7_fingerprints,
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op9_sharding": sharding.op9_sharding,
+}
+ORACLES = {
+    "op5_line_dedup": line_dedup.OP5_SQL,
 }
-ORACLES: dict[str, str] = {}
