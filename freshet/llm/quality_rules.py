@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from .tables import materialize, read_table
@@ -123,6 +124,18 @@ def limits(bins: DataFrame) -> DataFrame:
     return q.groupBy("lang", "source").agg(*(F.max(F.when(F.col("ratio") == k, F.greatest(fence, F.lit(v)))).alias(f"max_{k}") for k, v in FLOORS.items()))
 
 
+def _base_failed() -> F.Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+
+
+def _verdict() -> F.Column:
+    """No base failure and no ratio above its limit; a pair without limits has none to break."""
+    ok = ~_base_failed()
+    for k in FLOORS:
+        ok = ok & F.coalesce(F.col(k) <= F.col(f"max_{k}"), F.lit(True))
+    return ok
+
+
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """Counts, ``base_failed`` and ``kept`` for every row of ``docs``.
 
@@ -133,11 +146,27 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     counts = materialize(text_counts(docs, id_col, text_col, (lang_col, source_col)), "counts")
     lim = limits(sketch(counts, lang_col, source_col)).withColumnsRenamed({"lang": "__l", "source": "__s"})
     rated = _ratios(counts)
-    ok = F.lit(True)
-    for k in FLOORS:
-        ok = ok & (F.col(k) <= F.col(f"max_{k}"))
-    base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return rated.join(lim, rated[lang_col].eqNullSafe(lim["__l"]) & rated[source_col].eqNullSafe(lim["__s"]), "left").withColumn("base_failed", base).withColumn("kept", ~base & F.coalesce(ok, F.lit(True))).drop("__l", "__s")
+    return rated.join(lim, rated[lang_col].eqNullSafe(lim["__l"]) & rated[source_col].eqNullSafe(lim["__s"]), "left").withColumn("base_failed", _base_failed()).withColumn("kept", _verdict()).drop("__l", "__s")
+
+
+@F.arrow_udf(T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))
+def _counts_of(col: pa.Array) -> pa.Array:
+    made = [measure(buf, offs) for _, _, buf, offs in chunks(col)]
+    return pa.StructArray.from_arrays([pa.array(np.concatenate([m[c] for m in made]).astype(np.int64) if made else np.zeros(0, np.int64)) for c in COUNTS], list(COUNTS))
+
+
+def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns; the same verdicts as ``judge``, row by row.
+
+    The sketches are made in a first pass; the second measures each text again beside its row, which saves
+    a shuffle of the texts.
+    """
+    key = docs.select(F.col(text_col).alias("__t"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.lit(0).alias("__id"))
+    lim = materialize(limits(sketch(text_counts(key, "__id", "__t"))).withColumnsRenamed({"lang": "__l", "source": "__s"}), "limits")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), _counts_of(F.coalesce(F.col(text_col), F.lit(""))).alias("m"))
+    rated = _ratios(rows.select("row", "lang", "source", "m.*"))
+    both = rated.join(lim, rated["lang"].eqNullSafe(lim["__l"]) & rated["source"].eqNullSafe(lim["__s"]), "left")
+    return both.filter(_verdict()).select("row.*")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, line_dedup, mixing, ngram_join, piece_codec, quality_rules, sharding, token_counts
+from . import fingerprints, line_dedup, mixing, ngram_join, piece_codec, quality_model, quality_rules, sharding, token_counts, toxicity
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -10,9 +10,11 @@ QUERIES = {
     "op3_sentencepiece": piece_codec.op3_sentencepiece,
     "op4_mixing": mixing.op4_mixing,
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op6_quality_classifier": quality_model.op6_quality_classifier,
     "op7_fingerprints": fingerprints.op7_fingerprints,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_sharding": sharding.op9_sharding,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES = {
     "op5_line_dedup": line_dedup.OP5_SQL,
