@@ -10,9 +10,13 @@ block, and a pair leaves as soon as its count and what is left in the smaller ro
   the blocks of its own class and of the next. No pair within the bound is missed.
 * Blocks with too few n-grams to tell rows apart are left out where ``m - k - 1`` spare blocks cover them.
 * Rows with equal sets are one row of the matrix; their group is a star around its smallest id.
-* In a bucket (rows with an equal block) every member is first multiplied with the smallest id only. Pairs of
-  the same bucket that these links leave in different components are multiplied afterwards, so a large group
-  of near copies costs rows in proportion to its size and no link between components is lost.
+* In a bucket (rows with an equal block) every member is first multiplied with one centre only: the row that stands in
+  the largest buckets. The product also yields what sets the member apart from its centre.
+* Two members A and B of a centre R differ in ``|A ^ B| = |dA| + |dB| - 2 |dA & dB|`` n-grams, where d is the
+  difference from R. If that may be within the bound and no link joins them yet, either both
+  link to R or dA and dB share n-grams, and then they share one among the first few in any fixed order. So
+  the open pairs come from an index on the heads of the differences, and a large group of near
+  copies costs rows in proportion to its size, while no link between components is lost.
 """
 
 from __future__ import annotations
@@ -200,14 +204,48 @@ def _product(percent: int):
     return run
 
 
-def _links(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The given (a, b) that link, by their exact overlap."""
+def _star(percent: int):
+    """Overlaps of members with their centres: whether they link, the size of the difference, and its head.
+
+    The order within a difference puts n-grams that the centre lacks first (they seldom recur), then those that it alone has.
+    Any partner that may link shares one of the first ``n (100 - p) / p + 1``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for s in range(0, whole.num_rows, 256):
+                b = whole.slice(s, 256)
+                n = b.num_rows
+                a_len, b_len = (np.diff(b.column(k).offsets.to_numpy()).astype(np.int64) for k in (2, 3))
+                left, right = (b.column(k).flatten().to_numpy().view(_U) for k in (2, 3))
+                pair_a, pair_b = (np.repeat(np.arange(n), x).astype(_U) for x in (a_len, b_len))
+                keys = np.concatenate([(pair_a << _U(55)) | (left << _U(1)) | _U(1), (pair_b << _U(55)) | (right << _U(1))])
+                keys.sort()
+                same = (keys[1:] >> _U(1)) == (keys[:-1] >> _U(1))
+                lone = ~(np.concatenate([[False], same]) | np.concatenate([same, [False]])) if len(keys) else np.zeros(0, bool)
+                d = keys[lone]
+                d = np.sort((d >> _U(55) << _U(55)) | ((d & _U(1)) << _U(54)) | ((d >> _U(1)) & _MASK))
+                size = np.bincount((d >> _U(55)).astype(np.int64), minlength=n)
+                both = (a_len + b_len - size) // 2
+                link = (both > 0) & (both * (100 + percent) >= percent * (a_len + b_len))
+                head = np.minimum(size, b_len * (100 - percent) // percent + 1)
+                ends = np.cumsum(size)
+                take = np.arange(len(d)) - np.repeat(ends - size, size) < np.repeat(head, size)
+                cut = pa.array(np.concatenate([[0], np.cumsum(head)]), pa.int32())
+                arrays = [b.column(0), b.column(1), pa.array(b_len, pa.int32()), pa.array(size, pa.int32()), pa.array(link), pa.ListArray.from_arrays(cut, pa.array((d[take] & _MASK).view(np.int64)))]
+                yield pa.RecordBatch.from_arrays(arrays, ["a", "b", "n", "d", "link", "head"])
+
+    return run
+
+
+def _multiply(docs: DataFrame, pairs: DataFrame, width: int, how, schema: str) -> DataFrame:
+    """``how`` over the rows of the incidence matrix of the given (a, b)."""
     pairs = materialize(pairs, "pairs")
     ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "pair-ids")
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     grams = materialize(docs.join(wanted, "id", "left_semi").mapInArrow(_rows(width), "id long, grams array<long>"), "grams")
     both = pairs.join(grams.withColumnsRenamed({"id": "a", "grams": "x"}), "a").join(grams.withColumnsRenamed({"id": "b", "grams": "y"}), "b")
-    return materialize(both.select("a", "b", "x", "y").mapInArrow(_product(percent), "a long, b long").distinct(), "links")
+    return materialize(both.select("a", "b", "x", "y").mapInArrow(how, schema), "products")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -252,19 +290,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             pairs = pairs.join(moved.withColumnsRenamed({"id": c, "rep": f"__{c}"}), c, "left").withColumn(c, F.coalesce(f"__{c}", c)).drop(f"__{c}")
         return pairs
 
-    near = lambda x, y: F.col(x) * 100 >= percent * F.col(y)
-    ordered = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    member = buckets.filter(F.col("kind") == BLOCK)
-    first = member.filter("id <> rep").filter(near("n", "rep_n") & near("rep_n", "n")).select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
-    first = to_sets(first, "a", "b").filter("a <> b").select(*ordered).distinct()
-    links = _links(known, first, width, percent)
+    # buckets of different sets, each with its centre
+    member = to_sets(buckets.filter(F.col("kind") == BLOCK).select("sig", "id"), "id").distinct()
+    size = member.groupBy("sig").agg(F.count("*").alias("size")).filter("size > 1")
+    member = materialize(member.join(size, "sig"), "members")
+    weight = member.groupBy("id").agg(F.sum("size").alias("weight"))
+    centre = member.join(weight, "id").groupBy("sig").agg(F.max(F.struct("weight", (-F.col("id")).alias("back"))).alias("top")).select("sig", (-F.col("top.back")).alias("a"))
+    star = member.join(centre, "sig").filter("id <> a").select("a", F.col("id").alias("b")).distinct()
+    star = _multiply(known, star, width, _star(percent), "a long, b long, n int, d int, link boolean, head array<long>")
+    links = star.filter("link").select("a", "b")
     roots = components(links)
-    at = to_sets(member.select("sig", "id", "n"), "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("sig", "id", "n", F.coalesce("root", "id").alias("root"))
-    mixed = at.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("sig")
-    open_ = materialize(at.join(mixed, "sig", "left_semi").distinct(), "open")
-    x, y = open_.withColumnsRenamed({"id": "a", "n": "an", "root": "ar"}), open_.withColumnsRenamed({"id": "b", "n": "bn", "root": "br"})
-    second = x.join(y, "sig").filter((F.col("ar") < F.col("br")) & near("an", "bn") & near("bn", "an")).select(*ordered).distinct().join(first, ["a", "b"], "left_anti")
-    links = links.union(_links(known, second, width, percent))
+    at = star.join(roots.withColumnRenamed("node", "b"), "b", "left").withColumn("root", F.coalesce("root", "b"))
+    mixed = at.groupBy("a").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("a")
+    heads = materialize(at.join(mixed, "a", "left_semi").select("a", "b", "n", "d", "root", F.posexplode("head").alias("pos", "gram")), "heads")
+    other = heads.select("a", "gram", *(F.col(c).alias(f"_{c}") for c in ("b", "n", "d", "root", "pos")))
+    bound = F.floor((F.col("n") + F.col("_n")) * (100 - percent) / (100 + percent))
+    left_over = F.least(F.col("d") - F.col("pos"), F.col("_d") - F.col("_pos"))
+    fits = (F.col("b") < F.col("_b")) & (F.col("root") != F.col("_root")) & (F.least("n", "_n") * 100 >= percent * F.greatest("n", "_n")) & (2 * left_over >= F.col("d") + F.col("_d") - bound)
+    rest = heads.join(other, ["a", "gram"]).filter(fits).select(F.col("b").alias("a"), F.col("_b").alias("b")).distinct()
+    links = materialize(links.union(_multiply(known, rest, width, _product(percent), "a long, b long")).distinct(), "links")
     roots = components(links).withColumnsRenamed({"node": "rep"})
     copies = buckets.filter(F.col("kind") == COPY).select("id", "n", F.col("rep").alias("near"))
     heads = sets.select(F.col("id").alias("near"), "rep").distinct()
