@@ -9,6 +9,8 @@ block, and a pair leaves as soon as its count and what is left in the smaller ro
 * Rows are dealt to size classes so that a pair's sizes lie in one class or in two neighbours; a row stands in
   the blocks of its own class and of the next. No pair within the bound is missed.
 * Blocks with too few n-grams to tell rows apart are left out where ``m - k - 1`` spare blocks cover them.
+* N-grams that many otherwise different texts share (``common_grams``) are left out of the blocks, which would say little
+  with them: rows without them differ in no more n-grams than before, so the bound still holds. They count in every product.
 * Rows with equal sets are one row of the matrix; their group is a star around its smallest id.
 * In a bucket (rows with an equal block) every member is first multiplied with one centre only: the row that stands in
   the largest buckets. The product also yields what sets the member apart from its centre.
@@ -35,8 +37,10 @@ from .texts import HASH_BITS, chunks, mix, shingle_sets
 
 #: Ids that may be broadcast (8 bytes each) to pick rows for the product; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Spare blocks as a share of those that the bound asks for.
-SPARE = 0.1
+#: Spare blocks as a share of those that the bound asks for: (least percent, share). Lower bounds cut blocks smaller, and more of them tell little.
+SPARE = ((90, 0.1), (0, 0.25))
+#: Common n-grams kept (8 bytes each, sent with the tasks), the texts looked at together, and in how many different ones an n-gram must stand.
+COMMON, LOOK_ROWS, LOOK_BYTES, LOOK_TEXTS = 65_536, 2048, 4 << 20, 4
 #: Column blocks over which overlap counts are summed.
 BLOCKS = 4
 SET, BLOCK, COPY = 0, 1, 2
@@ -54,7 +58,8 @@ class Classes:
         self.low = np.array(low)
         most = np.append(self.low[1:], self.low[-1] * 2) - 1
         k = 2 * most * (100 - percent) // (100 + percent)
-        self.m = np.where(k > 0, np.ceil((k + 1) * (1 + SPARE)), 0).astype(np.int64)
+        spare = next(share for least, share in SPARE if percent >= least)
+        self.m = np.where(k > 0, np.ceil((k + 1) * (1 + spare)), 0).astype(np.int64)
         self.spare = np.maximum(self.m - k - 1, 0)
         self.least = np.zeros(len(k), np.int64)
         for j in np.flatnonzero(self.m):
@@ -94,7 +99,60 @@ def _blocks(keys: np.ndarray, sizes: np.ndarray, rows: np.ndarray, label: np.nda
     return sig[keep], part_row[keep]
 
 
-def _incidence(width: int, percent: int):
+def _look(width: int):
+    """Map step of ``common_grams``: n-grams of many texts of a stretch, with their number. Near copies mostly share their least n-gram and count once."""
+
+    def count(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        of, h = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, _U) for k in (0, 1))
+        pair = _pairs_once(h, of) if len(h) else h
+        first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
+        n = np.diff(np.append(first, len(pair)))
+        many = n >= LOOK_TEXTS
+        return pa.RecordBatch.from_arrays([pa.array(pair[first[many]].view(np.int64)), pa.array(n[many].astype(np.int64))], ["gram", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, rows, held = [], 0, 0
+        for b in batches:
+            for i, j, buf, offs in chunks(b.column(0)):
+                keys, sizes = shingle_sets(buf, offs, width)
+                h = keys & _MASK
+                start = np.cumsum(sizes) - sizes
+                least = np.repeat(h[np.minimum(start, max(len(h) - 1, 0))] if len(h) else np.zeros(len(sizes), _U), sizes)  # keys are sorted
+                parts.append((least, h))
+                rows, held = rows + j - i, held + len(buf)
+                if rows >= LOOK_ROWS or held >= LOOK_BYTES:
+                    yield count(parts)
+                    parts, rows, held = [], 0, 0
+        yield count(parts)
+
+    return run
+
+
+def _pairs_once(h: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """``h``, sorted, without repeats of the same (h, of)."""
+    key = np.sort((h >> _U(22) << _U(32)) | (mix(of) >> _U(32)))  # 32 bits of each: a clash only misjudges how common an n-gram is
+    key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+    kept = np.sort(h)
+    kept = kept[np.concatenate([[True], kept[1:] != kept[:-1]])]
+    return np.repeat(kept, np.bincount(np.searchsorted(kept >> _U(22), key >> _U(32)), minlength=len(kept)))
+
+
+def common_grams(texts: DataFrame, width: int) -> np.ndarray:
+    """The hashes, sorted, of the ``COMMON`` n-grams found most often among those common in some stretch of texts; all texts are read.
+
+    Which ones they are decides how much work the join does, never its result.
+    """
+    found = texts.select("__text").mapInArrow(_look(width), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return np.sort(np.array([r.gram for r in found.orderBy(F.desc("n"), "gram").limit(COMMON).collect()], np.int64)).view(_U)
+
+
+def _is_common(h: np.ndarray, common: np.ndarray) -> np.ndarray:
+    if not len(common):
+        return np.zeros(len(h), bool)
+    return common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h
+
+
+def _incidence(width: int, percent: int, common: np.ndarray):
     """Map step: for each text its set's hash, and its telling blocks unless the batch has an equal set already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,8 +177,9 @@ def _incidence(width: int, percent: int):
                             kind[r], sig[r] = COPY, first
                 rows = np.flatnonzero((kind == SET) & (sizes > 0))
                 label = c.of(sizes[rows])
-                s0, r0 = _blocks(keys, sizes, rows, label, c)
-                s1, r1 = _blocks(keys, sizes, rows, label + 1, c)
+                rare = keys[~_is_common(keys & _MASK, common)]
+                s0, r0 = _blocks(rare, sizes, rows, label, c)
+                s1, r1 = _blocks(rare, sizes, rows, label + 1, c)
                 row = np.concatenate([np.arange(j - i), r0, r1])
                 tag = sizes[row] * 4 + np.concatenate([kind, np.full(len(r0) + len(r1), BLOCK)])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([sig, s0.view(np.int64), s1.view(np.int64)])), pa.array(mine[row]), pa.array(tag.astype(np.int32))], ["sig", "id", "tag"])
@@ -204,10 +263,10 @@ def _product(percent: int):
     return run
 
 
-def _star(percent: int):
+def _star(percent: int, common: np.ndarray):
     """Overlaps of members with their centres: whether they link, the size of the difference, and its head.
 
-    The order within a difference puts n-grams that the centre lacks first (they seldom recur), then those that it alone has.
+    The order within a difference puts common n-grams last, and before them n-grams that the centre alone has: those seldom recur that it lacks.
     Any partner that may link shares one of the first ``n (100 - p) / p + 1``.
     """
 
@@ -224,8 +283,9 @@ def _star(percent: int):
                 same = (keys[1:] >> _U(1)) == (keys[:-1] >> _U(1))
                 lone = ~(np.concatenate([[False], same]) | np.concatenate([same, [False]])) if len(keys) else np.zeros(0, bool)
                 d = keys[lone]
-                d = np.sort((d >> _U(55) << _U(55)) | ((d & _U(1)) << _U(54)) | ((d >> _U(1)) & _MASK))
-                size = np.bincount((d >> _U(55)).astype(np.int64), minlength=n)
+                h = (d >> _U(1)) & _MASK
+                d = np.sort((d >> _U(55) << _U(56)) | (_is_common(h, common).astype(_U) << _U(55)) | ((d & _U(1)) << _U(54)) | h)
+                size = np.bincount((d >> _U(56)).astype(np.int64), minlength=n)
                 both = (a_len + b_len - size) // 2
                 link = (both > 0) & (both * (100 + percent) >= percent * (a_len + b_len))
                 head = np.minimum(size, b_len * (100 - percent) // percent + 1)
@@ -280,7 +340,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("__text"))
     known, unknown = texts.filter("id is not null"), texts.filter("id is null")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    entries = known.mapInArrow(_incidence(width, percent), "sig long, id long, tag int")
+    common = common_grams(known, width)
+    entries = known.mapInArrow(_incidence(width, percent, common), "sig long, id long, tag int")
     buckets = materialize(entries.repartition(n, "sig").sortWithinPartitions("sig", "id").mapInArrow(_gather, _BUCKETS), "buckets")
     sets = buckets.filter(F.col("kind") == SET).select("id", "n", "rep")
     moved = sets.filter("id <> rep").select("id", "rep").distinct()
@@ -297,12 +358,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     weight = member.groupBy("id").agg(F.sum("size").alias("weight"))
     centre = member.join(weight, "id").groupBy("sig").agg(F.max(F.struct("weight", (-F.col("id")).alias("back"))).alias("top")).select("sig", (-F.col("top.back")).alias("a"))
     star = member.join(centre, "sig").filter("id <> a").select("a", F.col("id").alias("b")).distinct()
-    star = _multiply(known, star, width, _star(percent), "a long, b long, n int, d int, link boolean, head array<long>")
+    star = _multiply(known, star, width, _star(percent, common), "a long, b long, n int, d int, link boolean, head array<long>")
     links = star.filter("link").select("a", "b")
     roots = components(links)
     at = star.join(roots.withColumnRenamed("node", "b"), "b", "left").withColumn("root", F.coalesce("root", "b"))
     mixed = at.groupBy("a").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("a")
     heads = materialize(at.join(mixed, "a", "left_semi").select("a", "b", "n", "d", "root", F.posexplode("head").alias("pos", "gram")), "heads")
+    several = heads.groupBy("a", "gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("a", "gram")
+    heads = materialize(heads.join(several, ["a", "gram"], "left_semi"), "open-heads")
     other = heads.select("a", "gram", *(F.col(c).alias(f"_{c}") for c in ("b", "n", "d", "root", "pos")))
     bound = F.floor((F.col("n") + F.col("_n")) * (100 - percent) / (100 + percent))
     left_over = F.least(F.col("d") - F.col("pos"), F.col("_d") - F.col("_pos"))

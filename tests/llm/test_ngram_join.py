@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from freshet.llm import ngram_join as J
@@ -88,3 +89,18 @@ def test_same_result_for_any_partitioning(spark):
     a = {tuple(r) for r in J.near_duplicates(docs, width=3, percent=90).collect()}
     b = {tuple(r) for r in J.near_duplicates(docs.repartition(13), width=3, percent=90).collect()}
     assert a == b and len({r[2] for r in a}) < len(a)
+
+
+@pytest.mark.parametrize("which", ["none", "all", "half"])
+def test_common_grams_change_only_the_work(spark, sf, texts, which, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    found = J.common_grams
+
+    def other(df, width):
+        every = np.unique(np.array([h for r in df.mapInArrow(J._rows(width), "id long, grams array<long>").collect() for h in r.grams], np.int64)).view(np.uint64)
+        return {"none": every[:0], "all": every, "half": every[::2]}[which]
+
+    monkeypatch.setattr(J, "common_grams", other)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.near_duplicates(docs).collect()}
+    assert got == brute(texts, 5, 80)
+    assert found(docs.selectExpr("doc_id id", "text __text"), 5).dtype == np.uint64
