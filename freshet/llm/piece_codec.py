@@ -27,7 +27,9 @@ from .tables import read_table
 MODEL = "piece_bpe_32k.model"
 SPACE, LONG = "▁", 48
 #: Distinct words that a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
+#: Bits of the slot table over the piece keys.
+SLOTS = 20
 _B = 0x9E3779B97F4A7C15
 _U = np.uint64
 
@@ -72,9 +74,13 @@ class Codec:
                 a, b = self.merge(p, stop=2)
                 self.left[k], self.right[k] = index[a], index[b]
         order = np.argsort(self.keys[:size])
-        self.sorted_keys, self.sorted_at = self.keys[:size][order], order
-        if (self.sorted_keys[1:] == self.sorted_keys[:-1]).any():
+        if (self.keys[order][1:] == self.keys[order][:-1]).any():
             raise ValueError("two pieces share a hash")
+        # the sorted keys cut at the first bits of a mixed key: a probe looks at one slot, rarely at the next piece of the same slot
+        slot = self._slot(self.keys[:size])
+        self.slots, self.next = np.full(1 << SLOTS, -1, np.int32), np.full(size, -1, np.int32)
+        for k in np.argsort(slot, kind="stable")[::-1].tolist():
+            self.next[k], self.slots[slot[k]] = self.slots[slot[k]], k
         self.unknown = size
         self.words = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
         self.table: dict[str, int] = {}
@@ -82,7 +88,7 @@ class Codec:
 
     def _clear(self) -> None:
         self.table.clear()
-        self.flat, self.cut, self.used = np.zeros(1 << 16, np.int32), [0], 0
+        self.flat, self.cut, self.used, self.known = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), 0, 0
 
     def merge(self, text: str, stop: int = 1) -> list[str]:
         """Pieces left when the best-scored neighbours, leftmost first, have been joined; ends at ``stop`` pieces."""
@@ -104,11 +110,18 @@ class Codec:
                     heapq.heappush(heap, (-s, x, len(parts[x]), len(parts[y])))
         return [p for p in parts if p]
 
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        return ((keys * _U(0xD6E8FEB86659FD93)) >> _U(64 - SLOTS)).astype(np.int64)
+
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Index of each hash among the pieces, or -1."""
-        at = np.searchsorted(self.sorted_keys, keys)
-        at[at == len(self.sorted_keys)] = 0
-        return np.where(self.sorted_keys[at] == keys, self.sorted_at[at], -1)
+        at = self.slots[self._slot(keys)].astype(np.int64)
+        miss = np.flatnonzero((at >= 0) & (self.keys[at] != keys))
+        while len(miss):
+            at[miss] = self.next[at[miss]]
+            miss = miss[(at[miss] >= 0) & (self.keys[at[miss]] != keys[miss])]
+        return at
 
     def may_follow(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Whether the pieces x and y stay apart: undo their merges, latest first, and see if the inner neighbours would have been joined earlier."""
@@ -127,8 +140,8 @@ class Codec:
             x, y = np.where(undo_x, self.right[x], x), np.where(undo_x, y, self.left[y])
         return ok
 
-    def viterbi(self, words: list[str]) -> list[np.ndarray]:
-        """Piece indexes of each word; all words have the same length."""
+    def viterbi(self, words: list[str]) -> np.ndarray:
+        """Piece indexes of each word, padded with -1; all words have the same length."""
         n, w = len(words[0]), len(words)
         codes = np.array([ord(c) for c in "".join(words)], _U).reshape(w, n) + _U(1)
         prefix = np.zeros((w, n + 1), _U)
@@ -146,38 +159,44 @@ class Codec:
                 best[rows] = np.maximum(best[rows], k)
                 last[rows, i] = np.where(best[rows] == k, piece[rows], last[rows, i])
         out, at = [], np.full(w, n)
-        rows = np.arange(w)
         while (at > 0).any():
-            piece = last[rows, at]
+            piece = last[np.arange(w), at]
             out.append(np.where(at > 0, piece, -1))
             at = np.where(at > 0, at - self.length[piece], 0)
-        paths = np.stack(out[::-1], axis=1)
-        return [p[p >= 0] for p in paths]
+        return np.stack(out[::-1], axis=1)
+
+    def _spell(self, text: str) -> list[int]:
+        return [i for p in self.merge(text) for i in ([self.id[p]] if p in self.id else [self.byte_id[b] for b in p.encode("utf-8", "replace")])]
 
     def _learn(self, words: list[str]) -> None:
-        """Encode words not seen so far and append them to the table."""
+        """Encode words not seen so far and append them to the table, a length at a time."""
         by: dict[int, list[str]] = {}
-        done: dict[str, list[int]] = {}
+        odd: list[str] = []
         for x in words:
-            if len(x) > LONG or x.startswith(SPACE * 2):
-                done[x] = [i for p in self.merge(x) for i in ([self.id[p]] if p in self.id else [self.byte_id[b] for b in p.encode("utf-8", "replace")])]
-            else:
-                by.setdefault(len(x), []).append(x)
+            odd.append(x) if len(x) > LONG or x.startswith(SPACE * 2) else by.setdefault(len(x), []).append(x)
         for same in by.values():
-            for x, path in zip(same, self.viterbi(same), strict=True):
-                ids = self.ids[path]
-                if (ids < 0).any():
-                    where = np.concatenate([[0], np.cumsum(self.length[path])])
-                    done[x] = [i for k, p in enumerate(ids) for i in ([int(p)] if p >= 0 else [self.byte_id[b] for b in x[where[k]].encode("utf-8", "replace")])]
-                else:
-                    done[x] = ids
-        for x, ids in done.items():
-            if self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.int32)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-            self.table[x] = len(self.cut) - 1
-            self.cut.append(self.used)
+            for s in range(0, len(same), 4096):
+                part = same[s : s + 4096]
+                paths = self.viterbi(part)
+                ids = np.where(paths >= 0, self.ids[paths], -2)
+                plain = ~(ids == -1).any(axis=1)
+                odd += [part[k] for k in np.flatnonzero(~plain)]  # characters without a piece become bytes
+                ids = ids[plain]
+                kept = ids >= 0
+                self._append([w for w, ok in zip(part, plain.tolist(), strict=True) if ok], ids[kept], kept.sum(axis=1))
+        spelt = [self._spell(x) for x in odd]
+        self._append(odd, np.array([i for ids in spelt for i in ids], np.int64), np.array([len(ids) for ids in spelt], np.int64))
+
+    def _append(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.int32)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.table.update(zip(words, range(self.known, self.known + len(words)), strict=True))
+        if self.known + len(words) + 1 > len(self.cut):
+            self.cut = np.concatenate([self.cut, np.zeros(max(len(self.cut), len(words)), np.int64)])
+        self.cut[self.known + 1 : self.known + len(words) + 1] = self.used + np.cumsum(sizes)
+        self.used += len(ids)
+        self.known += len(words)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, the n + 1 boundaries)."""
@@ -187,7 +206,7 @@ class Codec:
         if new := set().union(*words).difference(self.table):
             self._learn(sorted(new))
         at = np.fromiter((k for w in words for k in map(self.table.__getitem__, w)), np.int64, sum(map(len, words)))
-        cut = np.asarray(self.cut)
+        cut = self.cut
         size = cut[at + 1] - cut[at]
         ends = np.cumsum(size)
         ids = self.flat[np.repeat(cut[at] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
@@ -206,7 +225,7 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def _slices(texts: pa.Array, rows: int = 500, most: int = 1 << 21) -> Iterator[tuple[int, list[str | None]]]:
+def _slices(texts: pa.Array, rows: int = 300, most: int = 1 << 20) -> Iterator[tuple[int, list[str | None]]]:
     """Slices of bounded bytes; a longer text is a slice of its own."""
     start, held, part = 0, 0, []
     for t in texts:
