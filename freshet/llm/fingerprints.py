@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from .tables import read_table
-from .texts import HASH_BITS, WHITE, chunks, mix, pieces, span_hashes
+from .texts import HASH_BITS, WHITE, chunks, lean, mix, pieces, span_hashes
 
 SAMPLES = 64
 #: Ranges of ids in which neighbours meet; their first ids (one row a range) are broadcast.
@@ -147,7 +147,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     both = F.when(F.col("first"), F.array(F.struct(F.col("range").alias("range"), F.lit(False).alias("ghost")), F.struct(F.col("above").alias("range"), F.lit(True).alias("ghost")))).otherwise(F.array(F.struct(F.col("range").alias("range"), F.lit(False).alias("ghost"))))
     spread = placed.select("id", "text", "tie", F.explode(both).alias("to")).select("to.range", "to.ghost", "id", "text", "tie")
     sorted_ = spread.repartition(n, "range").sortWithinPartitions("range", "ghost", F.desc_nulls_last("id"), F.desc("tie"))
-    return sorted_.select("range", "ghost", "id", "text").mapInArrow(_compare(samples), _OUT.replace("doc_id", f"`{id_col}`"))
+    return sorted_.select("range", "ghost", "id", "text").mapInArrow(lean(_compare(samples)), _OUT.replace("doc_id", f"`{id_col}`"))
 
 
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES) -> DataFrame:
@@ -157,7 +157,7 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_hex(signatures(b.column(1), samples)), pa.string())], [id_col, "fingerprint"])
 
-    return docs.select(F.col(id_col), F.col(text_col).alias("__text")).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fingerprint string")
+    return docs.select(F.col(id_col), F.col(text_col).alias("__text")).mapInArrow(lean(run), f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fingerprint string")
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .tables import materialize, read_table
-from .texts import HASH_BITS, chunks, mix, shingle_sets
+from .texts import HASH_BITS, chunks, lean, mix, shingle_sets
 
 #: Ids that may be broadcast (8 bytes each) to pick rows for the product; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -142,7 +142,7 @@ def common_grams(texts: DataFrame, width: int) -> np.ndarray:
 
     Which ones they are decides how much work the join does, never its result.
     """
-    found = texts.select("__text").mapInArrow(_look(width), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    found = texts.select("__text").mapInArrow(lean(_look(width)), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     return np.sort(np.array([r.gram for r in found.orderBy(F.desc("n"), "gram").limit(COMMON).collect()], np.int64)).view(_U)
 
 
@@ -303,9 +303,9 @@ def _multiply(docs: DataFrame, pairs: DataFrame, width: int, how, schema: str) -
     pairs = materialize(pairs, "pairs")
     ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "pair-ids")
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    grams = materialize(docs.join(wanted, "id", "left_semi").mapInArrow(_rows(width), "id long, grams array<long>"), "grams")
+    grams = materialize(docs.join(wanted, "id", "left_semi").mapInArrow(lean(_rows(width)), "id long, grams array<long>"), "grams")
     both = pairs.join(grams.withColumnsRenamed({"id": "a", "grams": "x"}), "a").join(grams.withColumnsRenamed({"id": "b", "grams": "y"}), "b")
-    return materialize(both.select("a", "b", "x", "y").mapInArrow(how, schema), "products")
+    return materialize(both.select("a", "b", "x", "y").mapInArrow(lean(how), schema), "products")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -341,8 +341,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known, unknown = texts.filter("id is not null"), texts.filter("id is null")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     common = common_grams(known, width)
-    entries = known.mapInArrow(_incidence(width, percent, common), "sig long, id long, tag int")
-    buckets = materialize(entries.repartition(n, "sig").sortWithinPartitions("sig", "id").mapInArrow(_gather, _BUCKETS), "buckets")
+    entries = known.mapInArrow(lean(_incidence(width, percent, common)), "sig long, id long, tag int")
+    buckets = materialize(entries.repartition(n, "sig").sortWithinPartitions("sig", "id").mapInArrow(lean(_gather), _BUCKETS), "buckets")
     sets = buckets.filter(F.col("kind") == SET).select("id", "n", "rep")
     moved = sets.filter("id <> rep").select("id", "rep").distinct()
 
@@ -378,7 +378,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     all_ = sets.union(copies.join(heads, "near").select("id", "n", "rep")).join(roots, "rep", "left").select("id", "n", F.coalesce("root", "rep").alias("root"))
     lower = all_.filter("id < root").groupBy("root").agg(F.min("id").alias("low"))  # a copy may stand before the row kept for its batch
     done = all_.join(lower, "root", "left").select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("low", "root").alias("component_id"))
-    lost = unknown.mapInArrow(_rows(width), "id long, grams array<long>").select(F.col("id").alias(id_col), F.size("grams").cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    lost = unknown.mapInArrow(lean(_rows(width)), "id long, grams array<long>").select(F.col("id").alias(id_col), F.size("grams").cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     return reduce(DataFrame.union, [done, lost])
 
 

@@ -23,10 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .tables import read_table
+from .texts import lean
 
 MODEL = "piece_bpe_32k.model"
 SPACE, LONG = "▁", 48
-#: Distinct words that a worker remembers.
+#: Distinct words that a task remembers.
 REMEMBERED = 100_000
 #: Bits of the slot table over the piece keys.
 SLOTS = 20
@@ -253,7 +254,7 @@ def decode(coded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "
             texts = [c.decode(np.asarray(x.as_py() or [], np.int64)) for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], [id_col, "text"])
 
-    return coded.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {coded.schema[id_col].dataType.simpleString()}, text string")
+    return coded.select(id_col, ids_col).mapInArrow(lean(run), f"`{id_col}` {coded.schema[id_col].dataType.simpleString()}, text string")
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -267,6 +268,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 def _coded(docs: DataFrame, path: str, id_col: str, text_col: str, check: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
+        c._clear()  # words are remembered for a task, the pieces for the worker
         for b in batches:
             for start, texts in _slices(b.column(1)):
                 ids, cut = c.encode(texts)
@@ -277,9 +279,10 @@ def _coded(docs: DataFrame, path: str, id_col: str, text_col: str, check: bool)
                     arrays += [pa.array(np.diff(cut), pa.int64()), pa.array([zlib.crc32(t.encode()) for t in back], pa.int64()), pa.array([t == (s or "").replace(SPACE, " ") for t, s in zip(back, texts, strict=True)])]
                     names += ["n_ids", "decoded_crc32", "same"]
                 yield pa.RecordBatch.from_arrays(arrays, names)
+        c._clear()
 
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, ids array<int>" + ", n_ids long, decoded_crc32 long, same boolean" * check
-    return docs.select(F.col(id_col), F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col).alias("__text")).mapInArrow(lean(run), schema)
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .labelled import fold, sample_ids
 from .quality_rules import measure
 from .tables import read_table
-from .texts import HASH_BITS, WHITE, chunks, pieces, span_hashes
+from .texts import HASH_BITS, WHITE, chunks, lean, pieces, span_hashes
 
 #: Bounds of the rows that the model is fitted on: trusted positives, and unlabelled texts.
 MAX_POSITIVE, MAX_UNLABELLED = 6000, 12000
@@ -100,7 +100,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     prior = min(max(((ones or 0) + 1) / (n + 2), 0.01), 0.99)
 
     def shapes(ids: DataFrame) -> np.ndarray:
-        x = docs.select(id_col, text_col).join(F.broadcast(ids), id_col, "left_semi").mapInArrow(_shapes, f"id {docs.schema[id_col].dataType.simpleString()}, x array<double>").toArrow()
+        x = docs.select(id_col, text_col).join(F.broadcast(ids), id_col, "left_semi").mapInArrow(lean(_shapes), f"id {docs.schema[id_col].dataType.simpleString()}, x array<double>").toArrow()
         x = x.sort_by("id")["x"].combine_chunks()
         return x.flatten().to_numpy().reshape(len(x), -1) if len(x) else np.zeros((0, 26))
 
@@ -115,7 +115,7 @@ def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
             for i, j, buf, offs in chunks(b.column(1)):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(model.score(shape(buf, offs)))], [id_col, "score"])
 
-    return docs.select(F.col(id_col), F.col(text_col).alias("__text")).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, score double")
+    return docs.select(F.col(id_col), F.col(text_col).alias("__text")).mapInArrow(lean(run), f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, score double")
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

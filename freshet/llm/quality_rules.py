@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from .tables import materialize, read_table
-from .texts import HASH_BITS, WHITE, chunks, lines, pieces, span_hashes, windows
+from .texts import HASH_BITS, WHITE, chunks, lean, lines, pieces, small_batches, span_hashes, trim, windows
 
 #: Ratio and the least upper limit it may get: what lies below is never rejected.
 FLOORS = {"symbol_share": 0.08, "upper_share": 0.30, "bang_share": 0.05, "repeat_share": 0.35, "dup_line_share": 0.5, "word_length": 12.0}
@@ -87,7 +87,7 @@ def text_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([*(b.column(k).slice(i, j - i) for k in names), *(pa.array(m[c].astype(np.int64)) for c in COUNTS)], [*names, *COUNTS])
 
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names), *(f"{c} long" for c in COUNTS)])
-    return docs.select(*names, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*names, F.col(text_col).alias("__text")).mapInArrow(lean(run), schema)
 
 
 def _ratios(counts: DataFrame) -> DataFrame:
@@ -152,6 +152,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 @F.arrow_udf(T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))
 def _counts_of(col: pa.Array) -> pa.Array:
     made = [measure(buf, offs) for _, _, buf, offs in chunks(col)]
+    trim()
     return pa.StructArray.from_arrays([pa.array(np.concatenate([m[c] for m in made]).astype(np.int64) if made else np.zeros(0, np.int64)) for c in COUNTS], list(COUNTS))
 
 
@@ -161,6 +162,7 @@ def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", s
     The sketches are made in a first pass; the second measures each text again beside its row, which saves
     a shuffle of the texts.
     """
+    small_batches()
     key = docs.select(F.col(text_col).alias("__t"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.lit(0).alias("__id"))
     lim = materialize(limits(sketch(text_counts(key, "__id", "__t"))).withColumnsRenamed({"lang": "__l", "source": "__s"}), "limits")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), _counts_of(F.coalesce(F.col(text_col), F.lit(""))).alias("m"))

@@ -6,12 +6,17 @@ end to end and ``offs`` the n + 1 row boundaries. A text longer than a chunk is
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 CHUNK_BYTES, CHUNK_ROWS = 1 << 20, 1000
+#: Most rows of an Arrow batch: with the default of 10,000, whole batches of long texts lie in memory on both sides of a worker's pipe.
+BATCH_ROWS = 2000
 #: Bits of a shingle's hash; the ten above hold the row within a chunk while sorting.
 HASH_BITS = 54
 
@@ -28,6 +33,45 @@ _TABLE = np.random.Generator(np.random.PCG64(20240607)).integers(1, 2**63, 256,
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
+def small_batches() -> None:
+    """Lowers the session's rows per Arrow batch to ``BATCH_ROWS``."""
+    conf, key = SparkSession.active().conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+
+
+@functools.cache
+def _libc() -> ctypes.CDLL | None:
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        return libc if hasattr(libc, "malloc_trim") else None
+    except OSError:
+        return None
+
+
+def trim() -> None:
+    """Gives freed memory back, since Python workers live on after a task."""
+    if libc := _libc():
+        libc.malloc_trim(0)
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def lean(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``run`` for mapInArrow with small batches and without memory kept between tasks."""
+    small_batches()
+
+    def inner(batches: Batches) -> Batches:
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return inner
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A fixed 64-bit finaliser (xor-shift and multiply rounds)."""
     h = h ^ (h >> np.uint64(30))

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .tables import read_table
+from .texts import lean
 
 VOCABULARY, LIMIT, END = "word_bpe_49k.json", 2048, "</w>"
 #: Distinct merged strings that a worker remembers.
@@ -125,7 +126,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([b.column(0), b.column("n_bytes"), pa.array(counts, pa.int64())], [id_col, "n_bytes", "n_tokens"])
 
     rows = docs.select(F.col(id_col), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.col(text_col).alias("__text"))
-    return rows.mapInArrow(run, f"`{id_col}` {id_type}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return rows.mapInArrow(lean(run), f"`{id_col}` {id_type}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

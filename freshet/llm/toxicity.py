@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .labelled import fold, sample_ids
 from .tables import read_table
-from .texts import HASH_BITS, LOWER, NOT_WORD, chunks, pieces, span_hashes
+from .texts import HASH_BITS, LOWER, NOT_WORD, chunks, lean, pieces, span_hashes
 
 #: Bound of the labelled texts of each class that the model is fitted on, and of the lexicon.
 MAX_PER_CLASS, LEXICON = 4000, 256
@@ -143,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     parts = [sample_ids(known.filter(F.col(label_col) == k), MAX_PER_CLASS, f"toxic{k}", id_col).withColumn("label", F.lit(k)) for k in (0, 1)]
     ids = parts[0].union(parts[1])  # at most 2 * MAX_PER_CLASS rows
     rows = docs.select(id_col, text_col).join(F.broadcast(ids), id_col).select(id_col, "label", text_col)
-    t = rows.mapInArrow(_bags, f"id {docs.schema[id_col].dataType.simpleString()}, label int, words array<long>, counts array<int>").toArrow().sort_by("id")
+    t = rows.mapInArrow(lean(_bags), f"id {docs.schema[id_col].dataType.simpleString()}, label int, words array<long>, counts array<int>").toArrow().sort_by("id")
     bags = [[x.values.to_numpy() for x in t[c].combine_chunks()] for c in ("words", "counts")] if len(t) else [[], []]
     return fit(*bags, t["label"].to_numpy() == 1, ((ones or 0) + 1) / (n + 2))
 
@@ -161,7 +161,7 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
                 each = -np.diff(np.column_stack([np.ones(len(up)), up, np.zeros(len(up))]), axis=1)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(up.sum(axis=1)), pa.array(up[:, 0].copy()), pa.array(each.argmax(axis=1), pa.int32())], [id_col, "severity", "p_toxic", "grade"])
 
-    return docs.select(F.col(id_col), F.col(text_col).alias("__text")).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, severity double, p_toxic double, grade int")
+    return docs.select(F.col(id_col), F.col(text_col).alias("__text")).mapInArrow(lean(run), f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, severity double, p_toxic double, grade int")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
