@@ -173,3 +173,48 @@ def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", s
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+_RATES = {"symbol_share": "n_symbols / chars", "upper_share": "n_upper / chars", "bang_share": "n_bangs / chars", "repeat_share": "n_repeat_words / words", "dup_line_share": "n_dup_lines / lines", "word_length": "word_chars / words"}
+OP8_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), word AS (
+  SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d
+), gram AS (
+  SELECT a.doc_id, a.i, a.x || ' ' || b.x || ' ' || c.x AS g FROM word a JOIN word b ON b.doc_id = a.doc_id AND b.i = a.i + 1 JOIN word c ON c.doc_id = a.doc_id AND c.i = a.i + 2
+), twice AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM gram) WHERE n > 1
+), cover AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM twice CROSS JOIN (SELECT unnest([0, 1, 2]) AS k) GROUP BY 1
+), line AS (
+  SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d
+), solid AS (
+  SELECT doc_id, count(*) AS n, count(DISTINCT x) AS u FROM line WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY 1
+), base AS (
+  SELECT d.doc_id, lang, source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols,
+    (coalesce(s.n, 0) - coalesce(s.u, 0))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words, coalesce(s.n, 0)::BIGINT AS n_lines,
+    (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) AS n_upper, (length(t) - length(translate(t, '!', ''))) AS n_bangs
+  FROM d LEFT JOIN solid s ON s.doc_id = d.doc_id LEFT JOIN cover c ON c.doc_id = d.doc_id
+), unit AS (
+  SELECT *, greatest(word_chars, 1)::DOUBLE AS chars, greatest(n_words, 1)::DOUBLE AS words, greatest(n_lines, 1)::DOUBLE AS lines FROM base
+), rate AS (
+  SELECT doc_id, lang, source, unnest([{", ".join(f"'{k}'" for k in _RATES)}]) AS ratio, unnest([{", ".join(_RATES.values())}]) AS v, unnest([{", ".join(f"{FLOORS[k]}::DOUBLE" for k in _RATES)}]) AS least FROM unit
+), bins AS (
+  SELECT lang, source, ratio, CAST(floor(ln(greatest(v, 1e-4::DOUBLE)) / ln({WIDTH}::DOUBLE)) AS INT) AS b, count(*) AS n FROM rate GROUP BY ALL
+), level AS (
+  SELECT lang, source, ratio, b, n, 0 AS k FROM bins UNION ALL SELECT lang, NULL, ratio, b, sum(n), 1 FROM bins GROUP BY lang, ratio, b UNION ALL SELECT NULL, NULL, ratio, b, sum(n), 2 FROM bins GROUP BY ratio, b
+), cum AS (
+  SELECT *, sum(n) OVER (PARTITION BY k, lang, source, ratio ORDER BY b) AS upto, sum(n) OVER (PARTITION BY k, lang, source, ratio) AS total FROM level
+), q AS (
+  SELECT k, lang, source, ratio, max(total) AS total, min(pow({WIDTH}::DOUBLE, b + 0.5::DOUBLE)) FILTER (WHERE upto >= 0.1::DOUBLE * total) AS q10, min(pow({WIDTH}::DOUBLE, b + 0.5::DOUBLE)) FILTER (WHERE upto >= 0.5::DOUBLE * total) AS q50 FROM cum GROUP BY ALL
+), pick AS (
+  SELECT o.lang, o.source, o.ratio, CASE WHEN o.total >= {MIN_ROWS} THEN o.q10 WHEN l.total >= {MIN_ROWS} THEN l.q10 ELSE e.q10 END AS q10, CASE WHEN o.total >= {MIN_ROWS} THEN o.q50 WHEN l.total >= {MIN_ROWS} THEN l.q50 ELSE e.q50 END AS q50
+  FROM q o JOIN q l ON l.k = 1 AND l.lang IS NOT DISTINCT FROM o.lang AND l.ratio = o.ratio JOIN q e ON e.k = 2 AND e.ratio = o.ratio WHERE o.k = 0
+), verdict AS (
+  SELECT doc_id, bool_and(v <= greatest(q50 + {SPREAD}::DOUBLE * (q50 - q10), least)) AS ok FROM rate r JOIN pick p ON p.lang IS NOT DISTINCT FROM r.lang AND p.source IS NOT DISTINCT FROM r.source AND p.ratio = r.ratio GROUP BY 1
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
+  NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AND ok AS kept
+FROM base JOIN verdict USING (doc_id)
+"""

@@ -17,5 +17,7 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES = {
+    "op2_ngram_jaccard": ngram_join.OP2_SQL,
     "op5_line_dedup": line_dedup.OP5_SQL,
+    "op8_quality_rules": quality_rules.OP8_SQL,
 }
