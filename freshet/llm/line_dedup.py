@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from .tables import materialize, read_table
 
 WIDTH = 3
-#: Texts with removed lines whose positions (a few hundred bytes each) may be broadcast; more are joined by a shuffle.
-BROADCAST_TEXTS = 100_000
+#: Removed lines and texts (4 and some 40 bytes each) that may be broadcast; more are joined by a shuffle.
+BROADCAST_LINES = 1_000_000
 BLANK = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 
 
@@ -53,11 +53,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows with a null id are never changed (their windows count as the first occurrences).
     """
     gone = materialize(repeated_lines(docs, id_col, text_col), "gone-lines")
+    small = gone.agg(F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()[0] <= BROADCAST_LINES
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     lines = F.split("text", "\n", -1)
     kept = F.transform(F.array_sort(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))), lambda i: F.col("lines")[i])
     return (
-        rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_TEXTS else gone, "id", "left")
+        rows.join(F.broadcast(gone) if small else gone, "id", "left")
         .withColumn("lines", lines)
         .select("row", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"), F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
     )
