@@ -77,9 +77,13 @@ class Codec:
         order = np.argsort(self.keys[:size])
         if (self.keys[order][1:] == self.keys[order][:-1]).any():
             raise ValueError("two pieces share a hash")
-        # the sorted keys cut at the first bits of a mixed key: a probe looks at one slot, rarely at the next piece of the same slot
-        slot = self._slot(self.keys[:size])
-        self.slots, self.next = np.full(1 << SLOTS, -1, np.int32), np.full(size, -1, np.int32)
+        # every ending of a piece with the piece it is, or -1: a word's last characters are looked at from the right as long as they end some piece
+        ends = {p[-k:]: -1 for p in made for k in range(1, len(p))} | index
+        self.end_keys = np.array([_hash(e) for e in ends], _U)
+        self.end_piece = np.array(list(ends.values()))
+        # a probe looks at the slot named by bits of the mixed key, rarely at the next ending in the same slot
+        slot = self._slot(self.end_keys)
+        self.slots, self.next = np.full(1 << SLOTS, -1, np.int32), np.full(len(ends), -1, np.int32)
         for k in np.argsort(slot, kind="stable")[::-1].tolist():
             self.next[k], self.slots[slot[k]] = self.slots[slot[k]], k
         self.unknown = size
@@ -115,15 +119,20 @@ class Codec:
     def _slot(keys: np.ndarray) -> np.ndarray:
         return ((keys * _U(0xD6E8FEB86659FD93)) >> _U(64 - SLOTS)).astype(np.int64)
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Index of each hash among the pieces, or -1."""
+    def probe(self, keys: np.ndarray) -> np.ndarray:
+        """Index of each hash among the endings of pieces, or -1."""
         at = self.slots[self._slot(keys)].astype(np.int64)
-        miss = np.flatnonzero((at >= 0) & (self.keys[at] != keys))
+        miss = np.flatnonzero((at >= 0) & (self.end_keys[at] != keys))
         while len(miss):
             at[miss] = self.next[at[miss]]
-            miss = miss[(at[miss] >= 0) & (self.keys[at[miss]] != keys[miss])]
+            miss = miss[(at[miss] >= 0) & (self.end_keys[at[miss]] != keys[miss])]
         return at
 
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Index of each hash among the pieces, or -1."""
+        at = self.probe(keys)
+        return np.where(at >= 0, self.end_piece[at], -1)
+
     def may_follow(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Whether the pieces x and y stay apart: undo their merges, latest first, and see if the inner neighbours would have been joined earlier."""
         ok, live = np.ones(len(x), bool), np.arange(len(x))
@@ -150,15 +159,22 @@ class Codec:
             prefix[:, i + 1] = prefix[:, i] * _U(_B) + codes[:, i]
         last = np.full((w, n + 1), self.unknown)
         for i in range(1, n + 1):
-            best = np.zeros(w, np.int64)
+            best, live, found = np.zeros(w, np.int64), np.arange(w), []
             for k in range(1, min(i, self.longest) + 1):
-                piece = self.find(prefix[:, i] - prefix[:, i - k] * self.power[k])
-                rows = np.flatnonzero(piece >= 0)
+                at = self.probe(prefix[live, i] - prefix[live, i - k] * self.power[k])
+                live, at = live[at >= 0], at[at >= 0]
+                if not len(live):
+                    break
+                piece = self.end_piece[at]
+                found.append((k, live[piece >= 0], piece[piece >= 0]))
+            for k, rows, piece in reversed(found):  # only one piece can end a path, so rows that have theirs are done
+                open_ = best[rows] == 0
+                rows, piece = rows[open_], piece[open_]
                 if i > k and len(rows):
-                    rows = rows[last[rows, i - k] >= 0]
-                    rows = rows[self.may_follow(last[rows, i - k], piece[rows])]
+                    ok = self.may_follow(last[rows, i - k], piece)
+                    rows, piece = rows[ok], piece[ok]
                 best[rows] = np.maximum(best[rows], k)
-                last[rows, i] = np.where(best[rows] == k, piece[rows], last[rows, i])
+                last[rows, i] = piece
         out, at = [], np.full(w, n)
         while (at > 0).any():
             piece = last[np.arange(w), at]
@@ -226,7 +242,7 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def _slices(texts: pa.Array, rows: int = 300, most: int = 1 << 20) -> Iterator[tuple[int, list[str | None]]]:
+def _slices(texts: pa.Array, rows: int = 1200, most: int = 4 << 20) -> Iterator[tuple[int, list[str | None]]]:
     """Slices of bounded bytes; a longer text is a slice of its own."""
     start, held, part = 0, 0, []
     for t in texts:
