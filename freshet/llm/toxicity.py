@@ -2,8 +2,8 @@
 
 ``P(grade <= j) = sigmoid(theta_j - w.x)`` with ordered thresholds theta_1 < theta_2 < theta_3 and one weight
 vector for all of them. The labels tell toxic from not; grades 1 to 3 of the toxic texts used for fitting are the thirds
-of their density of telling words (words far more frequent in toxic than in other texts of the sample).
-Features are the presence of each word of a lexicon chosen from the same sample, and the telling words' density.
+of their density of telling words (words far more frequent in toxic than in other labelled texts).
+Features are the presence of each word of a lexicon, chosen by counts over all labelled texts outside fold 0, and the telling words' density.
 The severity of a text is its expected grade.
 """
 
@@ -18,14 +18,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .labelled import fold, sample_ids
-from .tables import read_table
+from .tables import materialize, read_table
 from .texts import HASH_BITS, LOWER, NOT_WORD, chunks, lean, pieces, span_hashes
 
-#: Bound of the labelled texts of each class that the model is fitted on, and of the lexicon.
-MAX_PER_CLASS, LEXICON = 4000, 256
+#: Bound of the labelled texts of each class that the weights are fitted on.
+MAX_PER_CLASS = 4000
 GRADES = 3
-#: A word enters the lexicon if it stands in so many sampled texts and its log-odds are so many standard errors from zero.
-LEAST_TEXTS, LEAST_Z = 5, 4.0
+#: A word enters the lexicon if the log-likelihood ratio of its counts of toxic and other texts is as rare as one in a thousand without a difference.
+LEAST_RATIO = 10.83
+#: A word is telling if its odds in toxic texts are so many times those in others.
+TELLING = 8.0
+#: Labelled rows (some 40 bytes each) that may be broadcast; more are joined by a shuffle.
+BROADCAST_LABELS = 1_000_000
 _U = np.uint64
 
 
@@ -48,6 +52,56 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.ListArray.from_arrays(cut, words), pa.ListArray.from_arrays(cut, pa.array(count, pa.int32()))], ["id", "label", "words", "counts"])
 
 
+def _word_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, toxic, other): texts of each class with the word, for each chunk; the word -1 counts all its texts."""
+    for b in batches:
+        for i, j, buf, offs in chunks(b.column(1)):
+            toxic = b.column(0).slice(i, j - i).to_numpy(zero_copy_only=False) == 1
+            h, row = word_keys(buf, offs)
+            key = np.unique((row.astype(_U) << _U(HASH_BITS)) | (h >> _U(63 - HASH_BITS)))
+            word, at = np.unique((key & _U((1 << HASH_BITS) - 1)).view(np.int64), return_inverse=True)
+            mine = toxic[(key >> _U(HASH_BITS)).astype(np.int64)]
+            counts = [np.concatenate([np.bincount(at[mine == k], minlength=len(word)), [(toxic == k).sum()]]).astype(np.int64) for k in (True, False)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([word, [-1]])), *map(pa.array, counts)], ["word", "toxic", "other"])
+
+
+def lexicon(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the words that tell the texts of (label, text) apart, and whether each is telling.
+
+    The counts are distributed over all rows and written once; only the chosen words reach the driver. The log-likelihood
+    ratio needs no smoothing, so a word without other texts scores by its toxic ones in full.
+    """
+    made = rows.mapInArrow(lean(_word_texts), "word long, toxic long, other long").groupBy("word").agg(F.sum("toxic").alias("a"), F.sum("other").alias("b"))
+    counts = materialize(made, "word-texts")
+    total = counts.filter("word = -1").first()
+    if total is None or not total.a or not total.b:
+        return np.zeros(0, np.int64), np.zeros(0, bool)
+    a, b, ones, zeros = F.col("a"), F.col("b"), F.lit(float(total.a)), F.lit(float(total.b))
+    part = lambda seen, k, of: F.when(seen > 0, seen * F.log(seen * (ones + zeros) / (k * of))).otherwise(0.0)
+    ratio = 2 * (part(a, a + b, ones) + part(b, a + b, zeros) + part(ones - a, ones + zeros - a - b, ones) + part(zeros - b, ones + zeros - a - b, zeros))
+    odds = F.log((a + 0.5) / (ones + 0.5 - a)) - F.log((b + 0.5) / (zeros + 0.5 - b))
+    t = counts.filter("word >= 0").filter(ratio >= LEAST_RATIO).select("word", (odds >= F.log(F.lit(TELLING))).alias("telling")).toArrow().sort_by("word")
+    return t["word"].to_numpy(), t["telling"].to_numpy()
+
+
+class Sparse:
+    """A matrix of (row, column, value) entries with the products that the fit needs."""
+
+    __array_ufunc__ = None
+
+    def __init__(self, row: np.ndarray, col: np.ndarray, value: np.ndarray, shape: tuple[int, int]):
+        self.row, self.col, self.value, self.shape = row, col, value, shape
+
+    def __len__(self) -> int:
+        return self.shape[0]
+
+    def __matmul__(self, v: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * v[self.col], minlength=self.shape[0])
+
+    def __rmatmul__(self, v: np.ndarray) -> np.ndarray:
+        return np.bincount(self.col, self.value * v[self.row], minlength=self.shape[1])
+
+
 @dataclass
 class Model:
     """Lexicon hashes (sorted), the weight and telling flag of each, the density's weight, and the thresholds."""
@@ -81,7 +135,7 @@ def density(hits: np.ndarray, words: np.ndarray) -> np.ndarray:
     return np.log1p(100 * hits / words)
 
 
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, weight: np.ndarray, steps: int = 800, rate: float = 0.05, decay: float = 2e-3) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(x: np.ndarray | Sparse, grade: np.ndarray, weight: np.ndarray, steps: int = 800, rate: float = 0.05, decay: float = 2e-3) -> tuple[np.ndarray, np.ndarray]:
     """(w, theta) by Adam on the weighted log-likelihood of the cumulative-link model with a ridge on w."""
     d = x.shape[1]
     par = np.concatenate([np.zeros(d), [1.0], np.zeros(GRADES - 1)])  # theta_1, then logs of the steps up
@@ -104,48 +158,37 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, weight: np.ndarray, steps: int
     return par[:d], par[d] + np.concatenate([[0], np.cumsum(np.exp(par[d + 1 :]))])
 
 
-def fit(words: list[np.ndarray], counts: list[np.ndarray], toxic: np.ndarray, share: float) -> Model:
-    """The model of sampled bags of words; ``share`` is that of toxic texts among all labelled ones."""
-    none = Model(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, bool), 0.0, np.array([3.0, 4.0, 5.0]))
+def fit(words: list[np.ndarray], counts: list[np.ndarray], toxic: np.ndarray, share: float, good: np.ndarray, telling: np.ndarray) -> Model:
+    """The model of sampled bags of words over the lexicon ``good``; ``share`` is that of toxic texts among all labelled ones."""
     ones, zeros = int(toxic.sum()), int((~toxic).sum())
-    if not ones or not zeros:
-        return none
-    flat, of = np.concatenate(words), np.repeat(np.arange(len(words)), [len(w) for w in words])
-    vocab, at = np.unique(flat, return_inverse=True)
-    a = np.bincount(at[toxic[of]], minlength=len(vocab)) + 0.5
-    b = np.bincount(at[~toxic[of]], minlength=len(vocab)) + 0.5
-    odds = np.log(a / (ones + 1 - a)) - np.log(b / (zeros + 1 - b))
-    z = odds / np.sqrt(1 / a + 1 / b)
-    good = np.flatnonzero((a + b > LEAST_TEXTS) & (np.abs(z) >= LEAST_Z))
-    good = np.sort(good[np.argsort(-np.abs(z[good]), kind="stable")[:LEXICON]])
-    if not len(good):
-        return none
-    telling = odds[good] >= np.log(8)
-    place = np.full(len(vocab), -1)
-    place[good] = np.arange(len(good))
-    x = np.zeros((len(words), len(good) + 1))
-    hit = place[at] >= 0
-    x[of[hit], place[at][hit]] = 1
-    many = np.concatenate(counts)
-    told = hit & telling[place[at]]
-    x[:, -1] = density(np.bincount(of[told], many[told], minlength=len(words)), np.maximum(np.bincount(of, many, minlength=len(words)), 1))
+    if not ones or not zeros or not len(good):
+        return Model(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, bool), 0.0, np.array([3.0, 4.0, 5.0]))
+    flat, many, of = np.concatenate(words), np.concatenate(counts), np.repeat(np.arange(len(words)), [len(w) for w in words])
+    at = np.minimum(np.searchsorted(good, flat), len(good) - 1)
+    hit = good[at] == flat
+    told = hit & telling[at]
+    dense = density(np.bincount(of[told], many[told], minlength=len(words)), np.maximum(np.bincount(of, many, minlength=len(words)), 1))
+    row, col = np.concatenate([of[hit], np.arange(len(words))]), np.concatenate([at[hit], np.full(len(words), len(good))])
+    x = Sparse(row, col, np.concatenate([np.ones(int(hit.sum())), dense]), (len(words), len(good) + 1))
     grade = np.zeros(len(words), np.int64)
-    grade[toxic] = 1 + np.searchsorted(np.quantile(x[toxic, -1], [1 / 3, 2 / 3]), x[toxic, -1], "left")
+    grade[toxic] = 1 + np.searchsorted(np.quantile(dense[toxic], [1 / 3, 2 / 3]), dense[toxic], "left")
     weight = np.where(toxic, share / ones, (1 - share) / zeros)
     w, theta = fit_ordinal(x, grade, weight)
-    return Model(vocab[good], w[:-1], telling, float(w[-1]), theta)
+    return Model(good, w[:-1], telling, float(w[-1]), theta)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fit on at most ``MAX_PER_CLASS`` labelled texts of each class outside fold 0."""
+    """Lexicon from all labelled texts outside fold 0, weights from at most ``MAX_PER_CLASS`` of each class."""
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (fold(id_col) != 0))
     n, ones = known.agg(F.count("*"), F.sum((F.col(label_col) == 1).cast("long"))).first()
+    every = known.filter(F.col(label_col).isin(0, 1)).select(id_col, F.col(label_col).cast("int").alias("label")).distinct()
+    good, telling = lexicon(docs.select(id_col, text_col).join(F.broadcast(every) if n <= BROADCAST_LABELS else every, id_col).select("label", text_col))
     parts = [sample_ids(known.filter(F.col(label_col) == k), MAX_PER_CLASS, f"toxic{k}", id_col).withColumn("label", F.lit(k)) for k in (0, 1)]
     ids = parts[0].union(parts[1])  # at most 2 * MAX_PER_CLASS rows
     rows = docs.select(id_col, text_col).join(F.broadcast(ids), id_col).select(id_col, "label", text_col)
     t = rows.mapInArrow(lean(_bags), f"id {docs.schema[id_col].dataType.simpleString()}, label int, words array<long>, counts array<int>").toArrow().sort_by("id")
     bags = [[x.values.to_numpy() for x in t[c].combine_chunks()] for c in ("words", "counts")] if len(t) else [[], []]
-    return fit(*bags, t["label"].to_numpy() == 1, ((ones or 0) + 1) / (n + 2))
+    return fit(*bags, t["label"].to_numpy() == 1, ((ones or 0) + 1) / (n + 2), good, telling)
 
 
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

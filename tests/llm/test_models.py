@@ -69,3 +69,24 @@ def test_ordinal_fit_recovers_thresholds():
     grade = np.searchsorted([-1.0, 0.5, 2.0], z)
     w, theta = T.fit_ordinal(x, grade, np.ones(6000))
     assert np.allclose(w, [1.5, -1.0, 0.0], atol=0.15) and np.allclose(theta, [-1.0, 0.5, 2.0], atol=0.2)
+
+
+def test_toxic_words_without_clean_texts(spark):
+    """300 words of a dozen toxic and no clean texts each: all that learn enough enter the lexicon, and held-out texts are told apart."""
+    from freshet.llm.labelled import fold
+
+    toxic = [(i, " ".join(f"bad{(20 * i + k) % 300}" for k in range(20)) + " plain words here") for i in range(180)]
+    clean = [(i, " ".join(f"good{(7 * i + k) % 90}" for k in range(20)) + " plain words here") for i in range(180, 780)]
+    docs = spark.createDataFrame(toxic + clean, "doc_id long, text string").repartition(3)
+    m = T.train(docs, spark.createDataFrame([(i, int(i < 180)) for i in range(780)], "doc_id long, toxic int"))
+    assert m.telling.sum() > 256
+    got = T.score_toxicity(docs, m).filter(fold() == 0).collect()
+    assert {r.doc_id < 180 for r in got} == {True, False} and all((r.p_toxic >= 0.5) == (r.doc_id < 180) for r in got)
+
+
+def test_toxic_recall_of_each_language(spark, labels):
+    from freshet.llm.labelled import fold
+
+    lang = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
+    got = T.op10_toxicity(spark, SF).join(labels.filter("toxic = 1").select("doc_id"), "doc_id").join(lang, "doc_id").filter(fold() == 0).groupBy("lang").agg({"toxic": "avg"}).collect()
+    assert len(got) == 4 and all(r[1] >= 0.6 for r in got)
