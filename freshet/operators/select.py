@@ -1,7 +1,7 @@
 """Space-filling selections from a pool in unit-box coordinates.
 
-The distance work is distributed; what reaches the driver depends on the number of selected rows only (for n targets at most
-n candidates each), where the short ordered algorithms run.
+The distance work is distributed. What reaches the driver at once is in proportion to the number of targets: they ask for a few rows each,
+and again only while a pick is open or the potentials show a cheaper row in the pool; the short ordered algorithms run there.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from .normalize import HI, LO, cdf_normalize, minmax_normalize
 
 GRID_CAP = 4096
 FOLD = 16
+#: Rows that a target asks for at once, the most when few ask (Spark's window group limit), and the gain below which a row is not cheaper.
+ASK, MOST, LEAST_GAIN = 8, 1000, 1e-9
 
 
 def latin_hypercube(n: int, d: int, seed: int = 42, lo: Sequence[float] | None = None, hi: Sequence[float] | None = None) -> np.ndarray:
@@ -51,43 +53,96 @@ def _check(x: DataFrame, n: int) -> int:
     return m
 
 
+def _with_targets(x: DataFrame, axes: Sequence[str], targets: np.ndarray, which: Sequence[int], more: str = "", extra: Sequence[tuple] | None = None) -> DataFrame:
+    """Rows of ``x`` beside each of the targets ``which`` (a broadcast) and their columns ``more``, with ``d2``."""
+    made = [(int(i), *map(float, targets[i]), *(extra[k] if extra else ())) for k, i in enumerate(which)]
+    t = x.sparkSession.createDataFrame(made, "target int, " + ", ".join(f"`__{a}` double" for a in axes) + more)
+    return x.crossJoin(F.broadcast(t)).withColumn("d2", squared_distance(axes, [f"__{a}" for a in axes]))  # n targets, a parameter
+
+
 def nearest_candidates(x: DataFrame, axes: Sequence[str], targets: np.ndarray, k: int) -> DataFrame:
     """(target, row_ix, d2, rank): the ``k`` rows nearest to each target, ties to the lower row.
 
     Targets are a broadcast of n rows. The filter on the rank lets Spark keep each task's ``k`` nearest rows of a target before the shuffle
     (its window group limit, for k up to 1,000).
     """
-    spark = x.sparkSession
-    t = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(targets)], "target int, " + ", ".join(f"`__{a}` double" for a in axes))
-    near = x.crossJoin(F.broadcast(t)).select("target", "row_ix", squared_distance(axes, [f"__{a}" for a in axes]).alias("d2"))  # n targets, a parameter
+    return _nearest(_with_targets(x, axes, targets, range(len(targets))), k)
+
+
+def _nearest(near: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("target").orderBy("d2", "row_ix"))
-    return near.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return near.select("target", "row_ix", "d2").withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def _candidates(x: DataFrame, axes: Sequence[str], targets: np.ndarray, k: int) -> list[list[tuple[float, int]]]:
-    out: list[list[tuple[float, int]]] = [[] for _ in targets]
-    for r in nearest_candidates(x, axes, targets, k).collect():
-        out[r.target].append((r.d2, r.row_ix))
-    return [sorted(c) for c in out]
+@dataclass
+class Picks:
+    """(d2, row) that each target takes, the rows it was offered, and which targets took a row of their first offer."""
 
+    taken: list[tuple[float, int]]
+    offered: list[dict[int, float]]
+    first: list[int | None]
 
-def lhs_nearest(x: DataFrame, axes: Sequence[str], n: int, seed: int, k_pool: int | None = None) -> Selection:
-    """Latin-hypercube targets take, in order, the nearest row not yet taken.
 
-    The n nearest rows of a target always hold a free one. ``fallbacks`` counts picks beyond the ``k_pool`` nearest.
+def _take_in_order(x: DataFrame, axes: Sequence[str], targets: np.ndarray, ask: int = ASK) -> Picks:
+    """Each target, in order, takes the nearest row not yet taken.
+
+    A row goes to the first target that wants it; who loses it tries the next of its offer, and asks again, without the rows of targets
+    before it, when none is left. A row only ever passes to an earlier target, so the result is that of the ordered loop.
     """
+    n = len(targets)
+    holder: dict[int, int] = {}
+    taken: list[tuple[float, int] | None] = [None] * n
+    first: list[int | None] = [None] * n
+    offered: list[dict[int, float]] = [{} for _ in range(n)]
+    offer: list[list[tuple[float, int]]] = [[] for _ in range(n)]
+    at, asks, asking, again = [0] * n, [0] * n, list(range(n)), False
+    while asking:
+        k = max(1, min(n, MOST, max(ask, ask * n // len(asking))))
+        free = x.select("row_ix", *axes)
+        if again:
+            held = x.sparkSession.createDataFrame(list(holder.items()), "row_ix long, holder int")
+            free = free.join(F.broadcast(held), "row_ix", "left")  # at most n rows
+        near = _with_targets(free, axes, targets, asking)
+        if again:
+            near = near.filter(F.col("holder").isNull() | (F.col("holder") > F.col("target")))
+        for i in asking:
+            offer[i], at[i], asks[i] = [], 0, asks[i] + 1
+        for r in _nearest(near, k).collect():
+            offer[r.target].append((r.d2, r.row_ix))
+            offered[r.target][r.row_ix] = r.d2
+        for i in asking:
+            offer[i].sort()
+        left, hungry = list(asking), []
+        while left:
+            i = left.pop()
+            while at[i] < len(offer[i]):
+                d2, row = offer[i][at[i]]
+                at[i] += 1
+                before = holder.get(row)
+                if before is None or before > i:
+                    holder[row], taken[i], first[i] = i, (d2, row), at[i] - 1 if asks[i] == 1 else None
+                    if before is not None:
+                        taken[before] = None
+                        left.append(before)
+                    break
+            else:
+                hungry.append(i)
+        asking, again = sorted(hungry), True
+    return Picks(taken, offered, first)
+
+
+def lhs_nearest(x: DataFrame, axes: Sequence[str], n: int, seed: int, k_pool: int | None = None) -> Selection:
+    """Latin-hypercube targets take, in order, the nearest row not yet taken. ``fallbacks`` counts picks beyond the ``k_pool`` nearest."""
     m = _check(x, n)
     k_pool = min(max(8, n // 4), m) if k_pool is None else k_pool
     targets = latin_hypercube(n, len(axes), seed)
-    used: set[int] = set()
-    rows, far, late = [], [], 0
-    for near in _candidates(x, axes, targets, n):
-        k, (d2, row) = next((k, c) for k, c in enumerate(near) if c[1] not in used)
-        used.add(row)
-        rows.append(row)
-        far.append(d2**0.5)
-        late += k >= k_pool
-    return Selection(sorted(rows), targets, rows, far, {"fallbacks": late})
+    got = _take_in_order(x, axes, targets)
+    late = sum(k >= k_pool for k in got.first if k is not None)
+    if far := [i for i, k in enumerate(got.first) if k is None]:
+        nearer = _with_targets(x, axes, targets, far, ", cut double, pick long", [got.taken[i] for i in far]).filter((F.col("d2") < F.col("cut")) | ((F.col("d2") == F.col("cut")) & (F.col("row_ix") < F.col("pick"))))
+        late += nearer.groupBy("target").count().filter(F.col("count") >= k_pool).count() if k_pool > 0 else len(far)
+    rows = [row for _, row in got.taken]
+    return Selection(sorted(rows), targets, rows, [d2**0.5 for d2, _ in got.taken], {"fallbacks": late})
 
 
 def assign(cost: list[dict[int, float]]) -> tuple[list[int], list[float], dict[int, float]] | None:
@@ -136,46 +191,56 @@ def assign(cost: list[dict[int, float]]) -> tuple[list[int], list[float], dict[i
     return taken, u, v
 
 
+def _cheapest(x: DataFrame, axes: Sequence[str], targets: np.ndarray, ask: int, power: float) -> tuple[list[int], list[float], list[dict]]:
+    """(rows, costs, log) of the one-to-one assignment with the least sum of ``d2 ** power`` over the whole pool.
+
+    The assignment over the rows offered so far is optimal for the pool if its potentials satisfy u_i + v_j <= cost_ij for every row; the
+    rows that break this most are found in Spark and offered next, until none does.
+    """
+    got = _take_in_order(x, axes, targets, ask)
+    cost = [{row: d2**power for row, d2 in c.items()} for c in got.offered]
+    base = F.sqrt("d2") if power == 0.5 else F.col("d2")
+    log: list[dict] = []
+    while True:
+        rows, u, v = assign(cost)
+        far = [c[r] for c, r in zip(cost, rows, strict=True)]
+        priced = x.sparkSession.createDataFrame([(int(r), float(p)) for r, p in v.items() if p], "row_ix long, price double")
+        pool = x.select("row_ix", *axes).join(F.broadcast(priced), "row_ix", "left")  # at most n rows have a price
+        edges = _with_targets(pool, axes, targets, range(len(targets)), ", u double", [(float(p),) for p in u])
+        gain = edges.select("target", "row_ix", "d2", (F.col("u") + F.coalesce("price", F.lit(0.0)) - base).alias("gain"))
+        rank = F.row_number().over(Window.partitionBy("target").orderBy(F.desc("gain"), "row_ix"))
+        best = gain.withColumn("rank", rank).filter(F.col("rank") <= min(ask, MOST)).collect()
+        slack, dual = max(r.gain for r in best), sum(u) + sum(v.values())
+        sure = slack <= LEAST_GAIN and abs(dual - sum(far)) <= 1e-7 * max(1.0, sum(far))
+        log.append({"k": max(map(len, cost)), "feasible": True, "total": sum(far), "lp_total": dual, "slack": slack, "certified": sure})
+        new = [r for r in best if r.gain > LEAST_GAIN and r.row_ix not in cost[r.target]]
+        if sure or not new:
+            return rows, far, log
+        for r in new:
+            cost[r.target][r.row_ix] = r.d2**power
+
+
 def lhs_assigned(x: DataFrame, axes: Sequence[str], n: int, seed: int) -> Selection:
-    """Latin-hypercube targets and distinct rows with the least sum of squared distances; the n nearest rows of each target suffice."""
+    """Latin-hypercube targets and distinct rows with the least sum of squared distances."""
     _check(x, n)
     targets = latin_hypercube(n, len(axes), seed)
-    near = _candidates(x, axes, targets, n)
-    rows = assign([{row: d2 for d2, row in c} for c in near])[0]
-    far = [next(d2 for d2, r in c if r == row) ** 0.5 for c, row in zip(near, rows, strict=True)]
-    return Selection(sorted(rows), targets, rows, far, {"total": sum(d * d for d in far)})
+    rows, cost, _ = _cheapest(x, axes, targets, ASK, 1.0)
+    return Selection(sorted(rows), targets, rows, [c**0.5 for c in cost], {"total": sum(cost)})
 
 
 def certified_assignment(x: DataFrame, axes: Sequence[str], targets: np.ndarray, ladder: Sequence[int]) -> Selection:
-    """Least sum of distances over growing numbers of nearest rows, until the potentials prove it for the whole pool.
+    """Least sum of distances, proved for the whole pool by the potentials.
 
-    Every edge left out costs at least the distance of a target's k-th row; potentials u no larger than that stay feasible for all edges.
+    A target asks for as many rows at once as the first step of ``ladder`` and for more only where the potentials show a cheaper row;
+    the ladder must reach the number of targets, the number of rows that always suffices, but its later steps are never fetched whole.
     """
     n, m = len(targets), _check(x, len(targets))
     steps = sorted({min(k, m) for k in ladder if k >= 1})
     if not steps or steps[-1] < n:
         raise ValueError(f"the ladder must reach {n}")
-    near = _candidates(x, axes, targets, steps[-1])
-    log: list[dict] = []
-    best: Selection | None = None
-    for k in steps:
-        cost = [{row: d2**0.5 for d2, row in c[:k]} for c in near]
-        found = assign(cost)
-        if found is None:
-            log.append({"k": k, "feasible": False, "certified": False})
-            continue
-        rows, u, v = found
-        far = [c[r] for c, r in zip(cost, rows, strict=True)]
-        slack = max(ui - c[k - 1][0] ** 0.5 for ui, c in zip(u, near, strict=True))
-        dual = sum(u) + sum(v.values())
-        sure = k >= m or (slack <= 1e-9 and abs(dual - sum(far)) <= 1e-7 * max(1.0, sum(far)))
-        log.append({"k": k, "feasible": True, "total": sum(far), "lp_total": dual, "slack": slack, "certified": sure})
-        best = Selection(sorted(rows), targets, rows, far, {"total": sum(far), "k": k, "slack": slack, "certified": sure, "ladder": log})
-        if sure:
-            break
-    if best is None:
-        raise RuntimeError("no step of the ladder has a full assignment")
-    return best
+    rows, far, log = _cheapest(x, axes, targets, steps[0], 0.5)
+    last = log[-1]
+    return Selection(sorted(rows), targets, rows, far, {k: last[k] for k in ("total", "k", "slack", "certified")} | {"ladder": log})
 
 
 def maximin(x: DataFrame, axes: Sequence[str], n: int, seed: int = 0) -> Selection:

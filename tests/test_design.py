@@ -62,6 +62,31 @@ def test_assignments_are_optimal(pool):
         select.certified_assignment(x, names, select.latin_hypercube(25, 3, 4), [2, 4])
 
 
+def test_selectors_collect_rows_in_proportion_to_targets(pool, monkeypatch):
+    """No collect brings more than eight rows for each target, and the picks equal those over the dense table of distances."""
+    df, x, names, xs = pool
+    n, sizes = 60, []
+    plain = type(x).collect
+    monkeypatch.setattr(type(x), "collect", lambda self: (rows := plain(self), sizes.append(len(rows)))[0])
+    targets = select.latin_hypercube(n, 3, 6)
+    d2 = ((targets[:, None, :] - xs[None, :, :]) ** 2).sum(axis=2)
+    used, want, late = set(), [], 0
+    for row in d2:
+        order = np.argsort(row, kind="stable")
+        k = next(k for k, j in enumerate(order) if int(j) not in used)
+        used.add(int(order[k]))
+        want.append(int(order[k]))
+        late += k >= 15
+    greedy = select.lhs_nearest(x, names, n, 6)
+    assert greedy.paired == want and greedy.info["fallbacks"] == late > 0
+    least = lambda cost: sum(c[r] for c, r in zip(cost, select.assign(cost)[0], strict=True))
+    tables = [[dict(enumerate(map(float, row))) for row in d] for d in (d2, np.sqrt(d2))]
+    assert select.lhs_assigned(x, names, n, 6).info["total"] == pytest.approx(least(tables[0]), rel=1e-9)
+    sure = select.certified_assignment(x, names, targets, [4, n, 2 * n, 200])
+    assert sure.info["certified"] and sure.info["total"] == pytest.approx(least(tables[1]), rel=1e-9)
+    assert sizes and max(sizes) <= 8 * n
+
+
 def test_greedy_maximin_and_cells(pool):
     df, x, names, xs = pool
     got = select.maximin(x, names, 9)
