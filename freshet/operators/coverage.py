@@ -1,7 +1,7 @@
 """How evenly a selection covers the unit box.
 
-Pair statistics join a *selection* (some hundred rows) with itself; a selection above ``MAX_SELECTION`` rows is refused
-rather than squared. Pool statistics are grouped by axis.
+Pair statistics join a *selection* (some hundred rows) with itself. Up to ``MAX_SELECTION`` rows are broadcast; more are joined block by block
+(Spark's Cartesian product), each task adding up its pairs. Pool statistics are grouped by axis.
 """
 
 from __future__ import annotations
@@ -18,11 +18,11 @@ from .normalize import long_form
 MAX_SELECTION = 20_000
 
 
-def selection_size(points: DataFrame) -> int:
-    n = points.count()
-    if n > MAX_SELECTION:
-        raise ValueError(f"a selection of {n} rows is more than {MAX_SELECTION}")
-    return n
+def _beside(points: DataFrame, other: DataFrame, n: int) -> DataFrame:
+    """Every row of ``points`` (``n`` rows) with every row of ``other``."""
+    if n <= MAX_SELECTION:
+        return points.crossJoin(F.broadcast(other))  # at most MAX_SELECTION rows
+    return points.crossJoin(other.hint("shuffle_replicate_nl"))
 
 
 def product(cols: list[Column]) -> Column:
@@ -31,11 +31,11 @@ def product(cols: list[Column]) -> Column:
 
 def star_discrepancy(points: DataFrame, axes: Sequence[str]) -> DataFrame:
     """One row ``l2_star``: the closed form of the L2 star discrepancy of points in the unit box."""
-    n, d = selection_size(points), len(axes)
+    n, d = points.count(), len(axes)
     p = points.select(*(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(a))).alias(a) for a in axes))
     q = p.select(*(F.col(a).alias(f"__{a}") for a in axes))
     single = p.agg(F.sum(product([1 - F.col(a) * F.col(a) for a in axes])).alias("s"))
-    double = p.crossJoin(F.broadcast(q)).agg(F.sum(product([1 - F.greatest(F.col(a), F.col(f"__{a}")) for a in axes])).alias("ss"))  # selection, size checked
+    double = _beside(p, q, n).agg(F.sum(product([1 - F.greatest(F.col(a), F.col(f"__{a}")) for a in axes])).alias("ss"))
     return single.crossJoin(double).select(F.sqrt(F.lit(3.0**-d) - F.lit(2.0 ** (1 - d)) / n * F.col("s") + F.col("ss") / (n * n)).alias("l2_star"))
 
 
@@ -44,9 +44,8 @@ def squared_distance(a: Sequence[str], b: Sequence[str]) -> Column:
 
 
 def _pairs(points: DataFrame, axes: Sequence[str]) -> DataFrame:
-    selection_size(points)
     other = points.select(F.col("row_ix").alias("__ix"), *(F.col(a).alias(f"__{a}") for a in axes))
-    return points.select("row_ix", *axes).crossJoin(F.broadcast(other)).withColumn("d2", squared_distance(axes, [f"__{a}" for a in axes]))  # selection, size checked
+    return _beside(points.select("row_ix", *axes), other, points.count()).withColumn("d2", squared_distance(axes, [f"__{a}" for a in axes]))
 
 
 def nearest_distances(points: DataFrame, axes: Sequence[str]) -> DataFrame:
@@ -64,7 +63,7 @@ def effective_sample_size(points: DataFrame, axes: Sequence[str], spacing: float
 
     The kernel matrix has trace N, so the participation ratio of its eigenvalues is N**2 over the sum of its squared entries.
     """
-    n = selection_size(points)
+    n = points.count()
     h = spacing if spacing is not None else factor * n ** (-1 / len(axes))
     k = F.exp(-F.col("d2") / (2 * h * h))
     return _pairs(points, axes).agg(F.sum(k).alias("k"), F.sum(k * k).alias("kk")).select((n * n / F.col("k")).alias("ess"), (n / F.col("k")).alias("ess_fraction"), (n * n / F.col("kk")).alias("participation_ratio"), F.lit(h).alias("bandwidth"))
@@ -74,10 +73,13 @@ def spanning_tree(points: DataFrame, axes: Sequence[str]) -> list[tuple[int, int
     """(row, row, length) edges of the Euclidean minimum spanning tree over positive distances.
 
     Boruvka rounds: each component's shortest edge out is one aggregate; only those edges (one per component) reach the driver, where the components are joined.
+    Pairs of up to ``MAX_SELECTION`` rows are cached, those of more are formed again each round.
     """
     spark = points.sparkSession
-    pairs = _pairs(points, axes).filter("row_ix < __ix and d2 > 0").select("row_ix", F.col("__ix").alias("other"), "d2").persist()
-    comp = {r.row_ix: r.row_ix for r in points.select("row_ix").collect()}  # a selection, size checked above
+    pairs = _pairs(points, axes).filter("row_ix < __ix and d2 > 0").select("row_ix", F.col("__ix").alias("other"), "d2")
+    comp = {r.row_ix: r.row_ix for r in points.select("row_ix").collect()}  # ids of the selection
+    if few := len(comp) <= MAX_SELECTION:
+        pairs = pairs.persist()
     edges: list[tuple[int, int, float]] = []
     while len(set(comp.values())) > 1:
         c = F.broadcast(spark.createDataFrame(list(comp.items()), "ix long, c long"))
@@ -85,12 +87,21 @@ def spanning_tree(points: DataFrame, axes: Sequence[str]) -> list[tuple[int, int
         out = both.select(F.explode(F.array("ca", "cb")).alias("c"), F.struct("d2", "row_ix", "other").alias("e")).groupBy("c").agg(F.min("e").alias("e")).collect()
         if not out:
             break
+        up = {c: c for c in set(comp.values())}
+
+        def root(c: int) -> int:
+            while up[c] != c:
+                up[c] = c = up[up[c]]
+            return c
+
         for _, (d2, a, b) in sorted((r.c, r.e) for r in out):
-            if comp[a] != comp[b]:
+            ca, cb = root(comp[a]), root(comp[b])
+            if ca != cb:
                 edges.append((a, b, d2**0.5))
-                old, new = max(comp[a], comp[b]), min(comp[a], comp[b])
-                comp = {k: new if v == old else v for k, v in comp.items()}
-    pairs.unpersist()
+                up[max(ca, cb)] = min(ca, cb)
+        comp = {k: root(v) for k, v in comp.items()}
+    if few:
+        pairs.unpersist()
     return edges
 
 

@@ -205,3 +205,18 @@ def test_seeds():
     assert all(x.generate_state(2).tolist() == y.generate_state(2).tolist() for x, y in zip(a, b, strict=False))
     x = select.latin_hypercube(4000, 3, 1)
     assert all(len(np.unique((x[:, i] * 4000).astype(int))) > 3960 for i in range(3))
+
+
+def test_pair_statistics_of_large_selections(pool, monkeypatch):
+    """Above the size that is broadcast no selection is refused, and the figures are the same."""
+    df, x, names, xs = pool
+    mine = x.filter("row_ix % 4 = 0").persist()
+
+    def figures():
+        e = coverage.effective_sample_size(mine, names).first()
+        return [coverage.star_discrepancy(mine, names).first().l2_star, *coverage.nearest_summary(mine, names).first(), e.ess, e.participation_ratio, *(v for edge in coverage.spanning_tree(mine, names) for v in edge)]
+
+    want = figures()
+    monkeypatch.setattr(coverage, "MAX_SELECTION", 10)
+    assert figures() == pytest.approx(want, rel=1e-12)
+    assert want[0] == pytest.approx(l2(xs[::4]), rel=1e-12)
