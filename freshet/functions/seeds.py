@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -14,9 +15,10 @@ def design_seed(root: int, domain: str, draw: int = 0) -> int:
     return int.from_bytes(hashlib.blake2b(f"{root}|{domain}|{draw}".encode(), digest_size=8).digest(), "big") % (2**31 - 1)
 
 
-@F.udf(LongType())
-def design_seed_column(root, domain, draw):
-    return design_seed(root, domain, draw)
+@F.arrow_udf(LongType())
+def design_seed_column(root: pa.Array, domain: pa.Array, draw: pa.Array) -> pa.Array:
+    """``design_seed`` of three columns, an Arrow batch at a time."""
+    return pa.array([design_seed(*x) for x in zip(root.to_pylist(), domain.to_pylist(), draw.to_pylist(), strict=True)], pa.int64())
 
 
 def child_seeds(root: int, n: int) -> list[np.random.SeedSequence]:

@@ -73,7 +73,7 @@ class Manifest:
     screen_result: Mapping[str, Any] = field(default_factory=dict)
     slug: str = ""
     created: str = ""
-    source_kind: str = "synhydro_kn"
+    source_kind: str = ""
     start_date: str = ""
     notes: str = ""
 

@@ -12,6 +12,7 @@ from freshet.streaming.blocks import score_blocks
 
 START = dt.date(2002, 12, 1)
 D = dt.date.fromisoformat
+#: The three scenarios (phase and changed stretches) and, in ``flow``, the law of their daily flows, which the expected image belongs to.
 SCENARIOS = [(0.3, [("2008-04-10", "2008-04-14", 8.0)]), (1.8, [("2011-05-01", "2011-12-31", 0.5), ("2012-01-01", "2012-05-31", 0.75)]), (2.6, [("2002-12-01", "2003-04-30", 0.75), ("2003-05-01", "2003-10-31", 0.5)])]
 #: The expected image of the three scenarios, in the order of the column contract.
 GOLDEN = [
