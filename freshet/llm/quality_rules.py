@@ -3,8 +3,12 @@
 Base measures of a text are counted exactly. For the verdict, each (language, source) pair keeps a
 mergeable quantile sketch of six ratios: counts in logarithmic bins of relative width 2 %, so
 sketches of any split of the rows add up to the same sketch. A limit is the median plus
-``SPREAD`` times the distance from the tenth percentile to the median, at least the ratio's floor. Pairs
-with fewer than ``MIN_ROWS`` texts take the merged sketch of their language, then that of the corpus.
+``SPREAD`` times the distance from the tenth percentile to the median (to the ninetieth where a tenth or more of the texts
+sit on the median's bin or below it, as with shares that are mostly zero). No ratio has a fixed limit or floor.
+
+Quantiles of a pair are blended with those of its language, and these with the corpus's, as if each had ``PRIOR`` texts of the wider
+group besides its own; so small groups follow the wider one without a switch. A text breaks a limit when it lies above it by more than
+``EVENTS`` of the smallest units it can hold (a character, a line): shares of short texts move in such steps.
 """
 
 from __future__ import annotations
@@ -21,9 +25,9 @@ from pyspark.sql import Window
 from .tables import materialize, read_table
 from .texts import HASH_BITS, WHITE, chunks, lean, lines, pieces, small_batches, span_hashes, trim, windows
 
-#: Ratio and the least upper limit it may get: what lies below is never rejected.
-FLOORS = {"symbol_share": 0.08, "upper_share": 0.30, "bang_share": 0.05, "repeat_share": 0.35, "dup_line_share": 0.5, "word_length": 12.0}
-SPREAD, MIN_ROWS, WIDTH = 8.0, 50, 1.02
+#: Ratio and the share of one event in it (a share of repeated words moves by whole lines, a mean has no events).
+RATIOS = {"symbol_share": "1 / chars", "upper_share": "1 / chars", "bang_share": "1 / chars", "repeat_share": "1 / lines", "dup_line_share": "1 / lines", "word_length": "0 / chars"}
+SPREAD, EVENTS, PRIOR, WIDTH = 6.0, 3.0, 50.0, 1.02
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 _SYMBOL, _UPPER, _BANG, _LEAD = (np.zeros(256, bool) for _ in range(4))
@@ -91,37 +95,42 @@ def text_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _ratios(counts: DataFrame) -> DataFrame:
-    chars, words = F.greatest("word_chars", F.lit(1)), F.greatest("n_words", F.lit(1))
+    chars, words, lines = (F.greatest(c, F.lit(1)) for c in ("word_chars", "n_words", "n_lines"))
     return counts.withColumns({
         "symbol_share": F.col("n_symbols") / chars, "upper_share": F.col("n_upper") / chars, "bang_share": F.col("n_bangs") / chars,
-        "repeat_share": F.col("n_repeat_words") / words, "dup_line_share": F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)), "word_length": F.col("word_chars") / words,
+        "repeat_share": F.col("n_repeat_words") / words, "dup_line_share": F.col("n_dup_lines") / lines, "word_length": F.col("word_chars") / words, "chars": chars, "lines": lines,
     })
 
 
 def sketch(counts: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """(lang, source, ratio, bin, n): counts of texts in logarithmic bins; partial counts merge by adding."""
     long = _ratios(counts).select(
-        F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.explode(F.array(*(F.struct(F.lit(k).alias("ratio"), F.floor(F.log(F.greatest(F.col(k), F.lit(1e-4))) / F.log(F.lit(WIDTH))).cast("int").alias("bin")) for k in FLOORS))).alias("x")
+        F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.explode(F.array(*(F.struct(F.lit(k).alias("ratio"), F.floor(F.log(F.greatest(F.col(k), F.lit(1e-4))) / F.log(F.lit(WIDTH))).cast("int").alias("bin")) for k in RATIOS))).alias("x")
     )
     return long.groupBy("lang", "source", "x.ratio", "x.bin").agg(F.count("*").alias("n"))
 
 
+_Q = ("q10", "q50", "q90")
+
+
 def _quantiles(bins: DataFrame, by: list[str]) -> DataFrame:
     w = Window.partitionBy(*by, "ratio").orderBy("bin")
     cum = bins.groupBy(*by, "ratio", "bin").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(w)).withColumn("rows", F.sum("n").over(Window.partitionBy(*by, "ratio")))
     at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("rows"), F.pow(F.lit(WIDTH), F.col("bin") + 0.5)))
-    return cum.groupBy(*by, "ratio").agg(F.max("rows").alias("rows"), at(0.1).alias("q10"), at(0.5).alias("q50"))
+    return cum.groupBy(*by, "ratio").agg(F.max("rows").alias("rows"), at(0.1).alias("q10"), at(0.5).alias("q50"), at(0.9).alias("q90"))
 
 
 def limits(bins: DataFrame) -> DataFrame:
-    """One row per (lang, source) with an upper limit per ratio, from its own sketch or a merged one."""
+    """One row per (lang, source) with an upper limit per ratio, from its own sketch blended with the wider ones."""
     own = _quantiles(bins, ["lang", "source"])
-    lang = _quantiles(bins, ["lang"]).select(F.col("lang").alias("l"), F.col("ratio").alias("lr"), F.struct("rows", "q10", "q50").alias("by_lang"))
-    every = _quantiles(bins, []).select(F.col("ratio").alias("er"), F.struct("rows", "q10", "q50").alias("by_all"))
+    lang = _quantiles(bins, ["lang"]).select(F.col("lang").alias("l"), F.col("ratio").alias("lr"), F.struct("rows", *_Q).alias("by_lang"))
+    every = _quantiles(bins, []).select(F.col("ratio").alias("er"), F.struct(*_Q).alias("by_all"))
     q = own.join(lang, own.lang.eqNullSafe(lang.l) & (own.ratio == lang.lr)).join(every, F.col("ratio") == F.col("er"))
-    pick = lambda c: F.when(F.col("rows") >= MIN_ROWS, F.col(c)).when(F.col("by_lang.rows") >= MIN_ROWS, F.col(f"by_lang.{c}")).otherwise(F.col(f"by_all.{c}"))
-    fence = pick("q50") + SPREAD * (pick("q50") - pick("q10"))
-    return q.groupBy("lang", "source").agg(*(F.max(F.when(F.col("ratio") == k, F.greatest(fence, F.lit(v)))).alias(f"max_{k}") for k, v in FLOORS.items()))
+    blend = lambda rows, mine, wider: (rows * mine + PRIOR * wider) / (rows + PRIOR)
+    at = {c: blend(F.col("rows"), F.col(c), blend(F.col("by_lang.rows"), F.col(f"by_lang.{c}"), F.col(f"by_all.{c}"))) for c in _Q}
+    q = q.select("lang", "source", "ratio", *(v.alias(c) for c, v in at.items()))
+    limit = F.col("q50") + SPREAD * F.when(F.col("q50") > F.col("q10"), F.col("q50") - F.col("q10")).otherwise(F.col("q90") - F.col("q50"))
+    return q.groupBy("lang", "source").agg(*(F.max(F.when(F.col("ratio") == k, limit)).alias(f"max_{k}") for k in RATIOS))
 
 
 def _base_failed() -> F.Column:
@@ -131,8 +140,8 @@ def _base_failed() -> F.Column:
 def _verdict() -> F.Column:
     """No base failure and no ratio above its limit; a pair without limits has none to break."""
     ok = ~_base_failed()
-    for k in FLOORS:
-        ok = ok & F.coalesce(F.col(k) <= F.col(f"max_{k}"), F.lit(True))
+    for k, event in RATIOS.items():
+        ok = ok & F.coalesce(F.col(k) <= F.col(f"max_{k}") + EVENTS * F.expr(event), F.lit(True))
     return ok
 
 
@@ -199,7 +208,7 @@ WITH d AS (
 ), unit AS (
   SELECT *, greatest(word_chars, 1)::DOUBLE AS chars, greatest(n_words, 1)::DOUBLE AS words, greatest(n_lines, 1)::DOUBLE AS lines FROM base
 ), rate AS (
-  SELECT doc_id, lang, source, unnest([{", ".join(f"'{k}'" for k in _RATES)}]) AS ratio, unnest([{", ".join(_RATES.values())}]) AS v, unnest([{", ".join(f"{FLOORS[k]}::DOUBLE" for k in _RATES)}]) AS least FROM unit
+  SELECT doc_id, lang, source, unnest([{", ".join(f"'{k}'" for k in _RATES)}]) AS ratio, unnest([{", ".join(_RATES.values())}]) AS v, unnest([{", ".join(RATIOS[k] for k in _RATES)}]) AS event FROM unit
 ), bins AS (
   SELECT lang, source, ratio, CAST(floor(ln(greatest(v, 1e-4::DOUBLE)) / ln({WIDTH}::DOUBLE)) AS INT) AS b, count(*) AS n FROM rate GROUP BY ALL
 ), level AS (
@@ -207,12 +216,13 @@ WITH d AS (
 ), cum AS (
   SELECT *, sum(n) OVER (PARTITION BY k, lang, source, ratio ORDER BY b) AS upto, sum(n) OVER (PARTITION BY k, lang, source, ratio) AS total FROM level
 ), q AS (
-  SELECT k, lang, source, ratio, max(total) AS total, min(pow({WIDTH}::DOUBLE, b + 0.5::DOUBLE)) FILTER (WHERE upto >= 0.1::DOUBLE * total) AS q10, min(pow({WIDTH}::DOUBLE, b + 0.5::DOUBLE)) FILTER (WHERE upto >= 0.5::DOUBLE * total) AS q50 FROM cum GROUP BY ALL
+  SELECT k, lang, source, ratio, max(total) AS total, {", ".join(f"min(pow({WIDTH}::DOUBLE, b + 0.5::DOUBLE)) FILTER (WHERE upto >= {p}::DOUBLE * total) AS q{p * 100:.0f}" for p in (0.1, 0.5, 0.9))} FROM cum GROUP BY ALL
 ), pick AS (
-  SELECT o.lang, o.source, o.ratio, CASE WHEN o.total >= {MIN_ROWS} THEN o.q10 WHEN l.total >= {MIN_ROWS} THEN l.q10 ELSE e.q10 END AS q10, CASE WHEN o.total >= {MIN_ROWS} THEN o.q50 WHEN l.total >= {MIN_ROWS} THEN l.q50 ELSE e.q50 END AS q50
+  SELECT o.lang, o.source, o.ratio, {", ".join(f"(o.total * o.{c} + {PRIOR}::DOUBLE * ((l.total * l.{c} + {PRIOR}::DOUBLE * e.{c}) / (l.total + {PRIOR}::DOUBLE))) / (o.total + {PRIOR}::DOUBLE) AS {c}" for c in _Q)}
   FROM q o JOIN q l ON l.k = 1 AND l.lang IS NOT DISTINCT FROM o.lang AND l.ratio = o.ratio JOIN q e ON e.k = 2 AND e.ratio = o.ratio WHERE o.k = 0
 ), verdict AS (
-  SELECT doc_id, bool_and(v <= greatest(q50 + {SPREAD}::DOUBLE * (q50 - q10), least)) AS ok FROM rate r JOIN pick p ON p.lang IS NOT DISTINCT FROM r.lang AND p.source IS NOT DISTINCT FROM r.source AND p.ratio = r.ratio GROUP BY 1
+  SELECT doc_id, bool_and(v <= q50 + {SPREAD}::DOUBLE * CASE WHEN q50 > q10 THEN q50 - q10 ELSE q90 - q50 END + {EVENTS}::DOUBLE * event) AS ok
+  FROM rate r JOIN pick p ON p.lang IS NOT DISTINCT FROM r.lang AND p.source IS NOT DISTINCT FROM r.source AND p.ratio = r.ratio GROUP BY 1
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
   NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AND ok AS kept

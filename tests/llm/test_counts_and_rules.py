@@ -1,3 +1,4 @@
+import math
 import re
 from collections import Counter
 
@@ -57,7 +58,8 @@ def test_rules_equal_brute_force(spark, sf, texts):
         b = brute(texts[r.doc_id])
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == b
         assert r.base_failed == (b[0] < 50 or 100 * b[4] > 50 * b[0])
-        over = any(r[k] > r[f"max_{k}"] for k in Q.FLOORS)
+        event = {"1 / chars": 1 / r.chars, "1 / lines": 1 / r.lines, "0 / chars": 0.0}
+        over = any(r[k] > r[f"max_{k}"] + Q.EVENTS * event[e] for k, e in Q.RATIOS.items())
         assert r.kept == (not r.base_failed and not over)
 
 
@@ -87,3 +89,38 @@ def test_rules_keep_clean_labelled_texts(spark):
     junk = [r.kept for r in rows if r.quality == 0]
     assert sum(clean) >= 0.98 * len(clean)
     assert sum(junk) <= 0.15 * len(junk)
+
+
+def quantile(values, p):
+    """The middle of the 2 % bin that holds the p-quantile."""
+    bins = sorted(math.floor(math.log(max(v, 1e-4)) / math.log(Q.WIDTH)) for v in values)
+    return Q.WIDTH ** (bins[math.ceil(p * len(bins)) - 1] + 0.5)
+
+
+def test_limits_equal_brute_force_and_adapt(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = Q.judge(spark.read.parquet(f"{sf}/documents.parquet")).collect()
+    groups, langs = {}, {}
+    for r in rows:
+        groups.setdefault((r.lang, r.source), []).append(r)
+        langs.setdefault(r.lang, []).append(r)
+    blend = lambda own, wide, n: (n * own + Q.PRIOR * wide) / (n + Q.PRIOR)
+    for k in Q.RATIOS:
+        found = set()
+        for (lang, _), mine in groups.items():
+            q = [blend(quantile([r[k] for r in mine], p), blend(quantile([r[k] for r in langs[lang]], p), quantile([r[k] for r in rows], p), len(langs[lang])), len(mine)) for p in (0.1, 0.5, 0.9)]
+            limit = q[1] + Q.SPREAD * (q[1] - q[0] if q[1] > q[0] else q[2] - q[1])
+            assert {round(r[f"max_{k}"], 9) for r in mine} == {round(limit, 9)}
+            found.add(round(limit, 6))
+        assert len(found) > 10 or k in ("bang_share", "dup_line_share")
+
+
+def test_same_text_other_source_other_verdict(spark):
+    words = [f"w{i}" for i in range(400)]
+    text = lambda k, marks: " ".join(w + "#" * (j % 10 < marks) for j, w in enumerate(words[k : k + 100]))
+    rows = [(k, text(k, 4 + k % 3), "en", "code") for k in range(200)] + [(1000 + k, text(k, 0), "en", "prose") for k in range(200)] + [(5000, text(7, 5), "en", "code"), (5001, text(7, 5), "en", "prose")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id: r.kept for r in Q.judge(docs).collect()}
+    assert kept[5000] and not kept[5001]
+    assert all(v for k, v in kept.items() if k != 5001)
+    assert {r.doc_id for r in Q.keep_good(docs).collect()} == set(kept) - {5001}
