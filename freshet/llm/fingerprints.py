@@ -3,12 +3,13 @@
 For each term of weight S and each of K samples, fixed pseudo-random draws r, c ~ Gamma(2, 1) and b ~ U(0, 1)
 give t = floor(ln S / r + b) and ln a = ln c - r (t - b) - r. The smallest ln a is the sample; two documents
 have the same one with a probability equal to the generalised Jaccard likeness of their weighted
-terms. A fingerprint keeps 16 bits of each sample. Terms are white-space words weighted by their count.
+terms. A fingerprint keeps 16 bits of each sample, hashed from the sampled term and its t. Terms are white-space words weighted by their count.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +29,8 @@ _U = np.uint64
 
 
 def _samples(term: np.ndarray, weight: np.ndarray, k: int) -> np.ndarray:
-    """ln a of every (term, weight) row and sample, float32."""
-    out = np.empty((len(term), k), np.float32)
+    """For every (term, weight) row and sample a key that sorts like ln a, with 16 bits hashed from (term, t) at its end."""
+    out = np.empty((len(term), k), _U)
     salt = mix(np.arange(1, k + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
     unit = np.float32(2.0**-21)
     mask = _U((1 << 21) - 1)
@@ -40,7 +41,9 @@ def _samples(term: np.ndarray, weight: np.ndarray, k: int) -> np.ndarray:
         r = -np.log(u[0] * u[1])
         log_c = np.log(-np.log(u[2] * u[3]))
         t = np.floor(np.log(weight[s : s + _BLOCK, None].astype(np.float32)) / r + u[4])
-        out[s : s + _BLOCK] = log_c - r * (t - u[4] + np.float32(1))
+        bits = (log_c - r * (t - u[4] + np.float32(1))).view(np.uint32)
+        rising = np.where(bits >> np.uint32(31), ~bits, bits | np.uint32(1 << 31))  # floats in order as integers
+        out[s : s + _BLOCK] = (rising.astype(_U) << _U(32)) | (mix(h + t.astype(np.int64).view(_U)) >> _U(48))
     return out
 
 
@@ -57,18 +60,20 @@ def _terms(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
 def signatures(col: pa.Array, k: int = SAMPLES) -> np.ndarray:
     """(rows, k) uint16; a text without words has only zeros, other samples are never zero."""
     out = np.zeros((len(col), k), np.uint16)
+    code = lambda best: np.maximum(best & _U(0xFFFF), _U(1)).astype(np.uint16)
     for at, n, key, count in _terms(col):
         if not len(key):
             continue
         term, row = key & _U((1 << HASH_BITS) - 1), (key >> _U(HASH_BITS)).astype(np.int64)
+        if n == 1:  # perhaps a very long text: its samples are minima over blocks of terms
+            out[at] = code(np.minimum.reduce([_samples(term[s : s + _BLOCK], count[s : s + _BLOCK], k).min(axis=0) for s in range(0, len(term), _BLOCK)]))
+            continue
         pair, where = np.unique(mix(term) + count.astype(_U) * _U(0x9E3779B97F4A7C15), return_inverse=True, return_index=True)[1:]
         a = _samples(term[pair], count[pair], k)
         first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
         for s in range(0, len(first), 64):  # bounded gathers of whole rows
             lo, hi = first[s], first[s + 64] if s + 64 < len(first) else len(row)
-            best = np.minimum.reduceat(a[where[lo:hi]], first[s : s + 64] - lo, axis=0)
-            code = mix(best.view(np.uint32).astype(_U)) & _U(0xFFFF)
-            out[at + row[first[s : s + 64]]] = np.maximum(code, _U(1)).astype(np.uint16)
+            out[at + row[first[s : s + 64]]] = code(np.minimum.reduceat(a[where[lo:hi]], first[s : s + 64] - lo, axis=0))
     return out
 
 
@@ -100,7 +105,7 @@ def _compare(samples: int):
         if odd:
             shifted[odd] = signatures(pa.array([following[k] for k in odd], pa.large_string()), samples)
         sha = [hashlib.sha256(t.encode()).hexdigest() for t in changed]
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array(sha), pa.array(_hex(own)), pa.array(_hex(new)), pa.array(likeness(own, new)), pa.array(likeness(own, shifted))], [f.split()[0] for f in _OUT.split(", ")])
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), *(pa.array(x, pa.string()) for x in (sha, _hex(own), _hex(new))), *(pa.array(x, pa.float64()) for x in (likeness(own, new), likeness(own, shifted)))], [f.split()[0] for f in _OUT.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None  # (range, id, text) of the last row, whose next text is still to come
@@ -117,11 +122,22 @@ def _compare(samples: int):
                 if held > 1 << 21 or len(ids) >= 1000:
                     yield made(ids, texts, following)
                     ids, texts, following, held = [], [], [], 0
-        yield made(ids, texts, following)
+        if ids:
+            yield made(ids, texts, following)
 
     return run
 
 
+def _below(value: F.Column, bounds: list[int]) -> F.Column:
+    """How many of the sorted ``bounds`` lie below ``value``: a look through every sqrt-th one, then through those after it."""
+    step = max(1, math.isqrt(len(bounds)))
+    parts = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    passed = lambda some: F.size(F.filter(some, lambda q: q < value))
+    part = passed(F.array(*(F.lit(p[0]) for p in parts)))
+    inside = F.array(*(F.array(*map(F.lit, p)) for p in parts))[part - 1]
+    return F.when(part == 0, F.lit(0)).otherwise((part - 1) * step + passed(inside))
+
+
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES) -> DataFrame:
     """For every row its fingerprint, that of its edited text, and their likeness (see ``_OUT``).
 
@@ -135,7 +151,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     ranges = min(n * RANGES_PER_PARTITION, MAX_RANGES)
     bounds = rows.agg(F.percentile_approx("id", [i / ranges for i in range(1, ranges)], 10 * ranges).alias("q")).first()["q"] or []
     bounds = sorted(set(bounds))
-    where = F.when(F.col("id").isNull(), F.lit(0)).otherwise(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda q: q < F.col("id"))) + 1) if bounds else F.lit(0)
+    where = F.when(F.col("id").isNull(), F.lit(0)).otherwise(_below(F.col("id"), bounds) + 1) if bounds else F.lit(0)
     rows = rows.withColumn("range", where.cast("int")).withColumn("tie", F.xxhash64("text"))
     # the first row of each non-empty range also ends the range before it (the one above in id order)
     heads = rows.groupBy("range").agg(F.max(F.struct(F.col("id"), F.col("tie"))).alias("head"))

@@ -103,13 +103,17 @@ def chunks(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers["up"]) < n:
-        size = max(n, CHUNK_BYTES + 1)
+    """Powers of the base and of its inverse; those for a text longer than a chunk are not kept."""
+    found = _powers
+    if len(found["up"]) < n:
+        size, found = max(n, CHUNK_BYTES + 1), {}
         for key, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             p = np.full(size, base, np.uint64)
             p[0] = 1
-            _powers[key] = np.cumprod(p, dtype=np.uint64)
-    return _powers["up"], _powers["down"]
+            found[key] = np.cumprod(p, dtype=np.uint64)
+        if size == CHUNK_BYTES + 1:
+            _powers.update(found)
+    return found["up"], found["down"]
 
 
 def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:

@@ -3,8 +3,10 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from freshet.llm import fingerprints as P
+from freshet.llm.texts import span_hashes
 
 from .conftest import ODD
 
@@ -62,3 +64,63 @@ def test_collisions_equal_jaccard_for_many_samples():
     s = P.signatures(pa.array([x, y, "", None, "q"]), 20000)
     assert abs(P.likeness(s[:1], s[1:2])[0] - jaccard(x, y)) < 0.012
     assert not s[2].any() and not s[3].any() and s[4].all()
+
+
+@pytest.mark.parametrize("n", [0, 999, 1000, 1001, 2000])
+def test_any_number_of_rows_in_one_task(spark, n):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        texts = {i: f"text {i} of some {i % 7} words" for i in range(n)}
+        df = spark.createDataFrame([*texts.items()], "doc_id long, text string").coalesce(1)
+        check(P.fingerprint_edits(df).collect(), texts) if n else P.fingerprint_edits(df).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_very_long_texts(spark):
+    texts = {1: " ".join(f"w{i * i % 99991}" for i in range(400_000)), 2: "short", 3: "x" * 2_500_000}
+    assert len(texts[1]) > 2 << 20
+    df = spark.createDataFrame([*texts.items()], "doc_id long, text string").coalesce(1)
+    check(P.fingerprint_edits(df).collect(), texts)
+    s = P.signatures(pa.array([texts[1], texts[1]]))
+    assert (s[0] == s[1]).all()
+
+
+def scalar(text, k):
+    """The samples of one text, a term and a sample at a time."""
+    M, f = (1 << 64) - 1, np.float32
+
+    def mix(h):
+        h ^= h >> 30
+        h = h * 0xBF58476D1CE4E5B9 & M
+        h ^= h >> 27
+        h = h * 0x94D049BB133111EB & M
+        return h ^ h >> 31
+
+    out = []
+    raw = text.encode()
+    terms = Counter(text.split())
+    hashes = {}
+    for w in terms:
+        at = raw.index(w.encode()) if raw.startswith(w.encode()) else raw.index(b" " + w.encode()) + 1
+        hashes[w] = int(span_hashes(np.frombuffer(raw, np.uint8), np.array([at]), np.array([at + len(w.encode())]))[0]) >> 10
+    for i in range(1, k + 1):
+        best = None
+        for w, n in terms.items():
+            h = mix(hashes[w] ^ mix(i * 0x9E3779B97F4A7C15 & M))
+            g = mix((h + 0xD1B54A32D192ED03) & M)
+            u = [(f(x >> s & (1 << 21) - 1) + f(0.5)) * f(2.0**-21) for x, s in ((h, 0), (h, 21), (h, 42), (g, 0), (g, 21))]
+            r, log_c = -np.log(u[0] * u[1]), np.log(-np.log(u[2] * u[3]))
+            t = np.floor(np.log(f(n)) / r + u[4])
+            a = log_c - r * (t - u[4] + f(1))
+            now = (a, max(mix((h + int(t)) & M) >> 48, 1))
+            best = now if best is None or now < best else best
+        out.append(best[1])
+    return out
+
+
+def test_samples_equal_a_scalar_reference():
+    for text in ("one", "a b a c a b d e", "the cat sat on the mat the end", "x y z x y x " * 9 + "tail"):
+        assert P.signatures(pa.array([text, "other words"]), 48)[0].tolist() == scalar(text, 48)
+        assert P.signatures(pa.array([text]), 48)[0].tolist() == scalar(text, 48)
