@@ -1,66 +1,93 @@
 """Removal of repeated passages by overlapping three-line windows.
 
-Every run of three consecutive solid lines of a text is hashed. Windows found more than once anywhere keep
-their first occurrence (smallest id, then position); the lines under all later ones are merged into one set
-of positions per text and removed.
+A text is cut at its newlines, and a line of more than ``LONG_LINE`` characters also after its sentence ends (a full stop,
+exclamation or question mark before a space), since whole passages often stand in one physical line. Every run of three
+consecutive solid pieces is hashed. Windows found more than once anywhere keep their first occurrence (smallest id, then
+hash of the text, then position); the pieces under all later ones are merged into one set of positions per text and removed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .tables import materialize, read_table
 
-WIDTH = 3
-#: Removed lines and texts (4 and some 40 bytes each) that may be broadcast; more are joined by a shuffle.
+WIDTH, LONG_LINE = 3, 200
+#: Removed pieces and texts (4 and some 40 bytes each) that may be broadcast; more are joined by a shuffle.
 BROADCAST_LINES = 1_000_000
+#: A window with at least this share of all windows is hot; there are at most 1 / ``HOT_SHARE`` of them, so they are broadcast.
+HOT_SHARE = 1e-4
 BLANK = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 
 
+def pieces_of(text: Column) -> Column:
+    """The pieces of a text, each with its own line end or space, so that they join to the text again."""
+    lines = F.split(text, r"(?<=\n)", -1)
+    return F.flatten(F.transform(lines, lambda x: F.when(F.length(x) > LONG_LINE, F.split(x, r"(?<=[.!?] )", -1)).otherwise(F.array(x))))
+
+
 def line_windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(h, g, id, first, last and middle line position) of every window; h and g hash its trimmed lines to 96 bits."""
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
-    solid = F.filter(F.transform(lines, lambda x, i: F.struct(F.regexp_replace(x, BLANK, "").alias("line"), i.alias("at"))), lambda x: x["line"] != "")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), solid.alias("s")).filter(F.size("s") >= WIDTH)
+    """(h, g, id, tie, i, at) of every window; h and g hash its trimmed pieces to 96 bits, tie hashes the text, i counts solid pieces, at all pieces."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    solid = F.filter(F.transform(pieces_of(text), lambda x, i: F.struct(F.regexp_replace(x, BLANK, "").alias("line"), i.alias("at"))), lambda x: x["line"] != "")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("tie"), solid.alias("s")).filter(F.size("s") >= WIDTH)
     made = F.transform(
         F.sequence(F.lit(0), F.size("s") - WIDTH),
         lambda i: F.struct(
             F.xxhash64(*(F.col("s")[i + k]["line"] for k in range(WIDTH))).alias("h"), F.hash(*(F.col("s")[i + k]["line"] for k in range(WIDTH))).alias("g"), i.alias("i"), F.array(*(F.col("s")[i + k]["at"] for k in range(WIDTH))).alias("at")
         ),
     )
-    return rows.select("id", F.explode(made).alias("w")).select("w.h", "w.g", "id", "w.i", "w.at")
+    return rows.select("id", "tie", F.explode(made).alias("w")).select("w.h", "w.g", "id", "tie", "w.i", "w.at")
 
 
 def repeated_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, positions): the lines of each text that later occurrences of a window cover."""
+    """(id, tie, gone): the pieces of each text that later occurrences of a window cover.
+
+    A window that is in very many places would meet all of them in one task of the join; such windows are few by
+    definition and go to the tasks that read the windows.
+    """
     win = materialize(line_windows(docs, id_col, text_col), "windows")
-    seen = win.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(F.struct("id", "i")).alias("first")).filter("n > 1").select("h", "g", "first")
-    hit = win.join(seen, ["h", "g"])
-    same = F.col("id").eqNullSafe(F.col("first.id"))
+    seen = win.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(F.struct("id", "tie", "i")).alias("first")).filter("n > 1")
+    seen = materialize(seen, "seen")
+    hot = F.col("n") >= max(2.0, HOT_SHARE * win.count())
+    few, many = (seen.filter(c).select("h", "g", "first") for c in (hot, ~hot))
+    at_hot = win.join(F.broadcast(few), ["h", "g"])  # at most 1 / HOT_SHARE rows
+    rest = win.join(F.broadcast(few), ["h", "g"], "left_anti").join(many, ["h", "g"])
+    hit = at_hot.unionByName(rest)
+    same = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("tie") == F.col("first.tie"))
     later = hit.filter(~(same & (F.col("i") == F.col("first.i"))))
-    # where a window runs into itself, the lines of its first occurrence stay
+    # where a window runs into itself, the pieces of its first occurrence stay
     free = F.when(same, F.greatest(F.lit(0), F.least(F.lit(WIDTH), F.col("first.i") + WIDTH - F.col("i")))).otherwise(F.lit(0))
-    at = later.filter("id is not null").select("id", F.explode(F.slice("at", free + 1, F.lit(WIDTH))).alias("at")).distinct()
-    return at.groupBy("id").agg(F.collect_list("at").alias("gone"))
+    at = later.filter("id is not null").select("id", "tie", F.explode(F.slice("at", free + 1, F.lit(WIDTH))).alias("at")).distinct()
+    return at.groupBy("id", "tie").agg(F.collect_list("at").alias("gone"))
+
+
+def _without(text: Column, gone: Column) -> Column:
+    """``text`` without the pieces at ``gone``; where the last piece goes, so does the line end or space before it."""
+
+    def left(p: Column) -> Column:
+        kept = F.array_join(F.transform(F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), gone)), lambda i: p[i]), "")
+        return F.when(F.array_contains(gone, F.size(p) - 1), F.regexp_replace(kept, r"[\x20\n]\z", "")).otherwise(kept)
+
+    return F.transform(F.array(pieces_of(text)), left)[0]
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``row`` (all columns of ``docs``), the cleaned ``text``, ``n_lines`` and ``n_removed`` for every row.
+    """``row`` (all columns of ``docs``), the cleaned ``text``, ``n_lines`` and ``n_removed`` (pieces) for every row.
 
-    Lines are compared without surrounding white space; blank lines are in no window and stay. Texts
-    with fewer than three solid lines never change; null texts stay null with no lines. Rows that share an id are one document,
-    rows with a null id are never changed (their windows count as the first occurrences).
+    Pieces are compared without surrounding white space; blank ones are in no window and stay. Texts
+    with fewer than three solid pieces never change; null texts stay null with no lines. Rows that share an id but not the text are
+    documents of their own; rows equal in id and text are one document and each get its cleaned text. Rows with a null id are
+    never changed (their windows count as the first occurrences).
     """
     gone = materialize(repeated_lines(docs, id_col, text_col), "gone-lines")
     small = gone.agg(F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()[0] <= BROADCAST_LINES
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    lines = F.split("text", "\n", -1)
-    kept = F.transform(F.array_sort(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))), lambda i: F.col("lines")[i])
-    return (
-        rows.join(F.broadcast(gone) if small else gone, "id", "left")
-        .withColumn("lines", lines)
-        .select("row", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"), F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+    rows = rows.withColumn("tie", F.xxhash64(F.coalesce("text", F.lit(""))))
+    lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    return rows.join(F.broadcast(gone) if small else gone, ["id", "tie"], "left").select(
+        "row", F.when(F.col("gone").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("gone"))).alias("text"), F.coalesce(lines, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed")
     )
 
 
@@ -68,26 +95,36 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(read_table(spark, sf_dir, "documents")).select(F.col("row.doc_id").alias("doc_id"), "text", "n_lines", "n_removed")
 
 
-OP5_SQL = r"""
+OP5_SQL = rf"""
 WITH line AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS ln, len(string_split(text, chr(10))) AS n FROM documents WHERE text IS NOT NULL
+), ended AS (
+  SELECT doc_id, ln, CASE WHEN ln < n THEN x || chr(10) ELSE x END AS x FROM line
+), cut AS (
+  SELECT doc_id, ln, CASE WHEN length(x) > {LONG_LINE} THEN regexp_extract_all(x, '(?s:.*?[.!?] )|(?s:.+)') ELSE [x] END AS part FROM ended
+), piece AS (
+  SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY ln, k) AS pos, count(*) OVER (PARTITION BY doc_id) AS n_pieces
+  FROM (SELECT doc_id, ln, unnest(part) AS line, generate_subscripts(part, 1) AS k FROM cut)
 ), solid AS (
   SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS line
-  FROM line WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+  FROM piece WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ), win AS (
   SELECT a.doc_id, a.i, [a.pos, b.pos, c.pos] AS pos, [a.line, b.line, c.line] AS w
   FROM solid a JOIN solid b ON b.doc_id = a.doc_id AND b.i = a.i + 1 JOIN solid c ON c.doc_id = a.doc_id AND c.i = a.i + 2
 ), first AS (
-  SELECT w, count(*) AS n, min({'id': doc_id, 'i': i}) AS f FROM win GROUP BY w HAVING count(*) > 1
+  SELECT w, count(*) AS n, min({{'id': doc_id, 'i': i}}) AS f FROM win GROUP BY w HAVING count(*) > 1
 ), later AS (
   SELECT win.doc_id, win.pos, CASE WHEN win.doc_id = f.id THEN greatest(0, least(3, f.i + 3 - win.i)) ELSE 0 END AS free
   FROM win JOIN first USING (w) WHERE NOT (win.doc_id = f.id AND win.i = f.i)
 ), gone AS (
   SELECT DISTINCT doc_id, unnest(pos[free + 1:3]) AS pos FROM later
 ), kept AS (
-  SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE g.pos IS NULL) AS text, count(*) AS n_lines, count(g.pos) AS n_removed
-  FROM line l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.pos = l.pos GROUP BY l.doc_id
+  SELECT p.doc_id, string_agg(p.line, '' ORDER BY p.pos) FILTER (WHERE g.pos IS NULL) AS text, count(g.pos) AS n_removed, bool_or(g.pos = p.n_pieces) AS no_end
+  FROM piece p LEFT JOIN gone g ON g.doc_id = p.doc_id AND g.pos = p.pos GROUP BY p.doc_id
+), size AS (
+  SELECT doc_id, max(n) AS n_lines FROM line GROUP BY doc_id
 )
-SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text, coalesce(k.n_lines, 0)::BIGINT AS n_lines, coalesce(k.n_removed, 0)::BIGINT AS n_removed
-FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL WHEN k.no_end THEN regexp_replace(coalesce(k.text, ''), '[\x20\n]\z', '') ELSE coalesce(k.text, '') END AS text,
+  coalesce(s.n_lines, 0)::BIGINT AS n_lines, coalesce(k.n_removed, 0)::BIGINT AS n_removed
+FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id LEFT JOIN size s ON s.doc_id = d.doc_id
 """

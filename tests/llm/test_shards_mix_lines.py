@@ -104,21 +104,32 @@ def test_mix_of_odd_rows(odd, none):
     assert M.mix_sources(none).count() == 0
 
 
+def cut_up(text):
+    return [p for x in re.split(r"(?<=\n)", text) for p in (re.split(r"(?<=[.!?] )", x) if len(x) > L.LONG_LINE else [x])]
+
+
 def brute_lines(texts):
-    lines = {k: (t.split("\n") if t is not None else []) for k, t in texts.items()}
+    """(text, lines, removed pieces) by key; keys sort like (id, ...)."""
+    parts = {k: (cut_up(t) if t is not None else []) for k, t in texts.items()}
     strip = lambda x: x.strip(" \t\n\x0b\x0c\r")
     first, gone, wins = {}, defaultdict(set), []
-    for k in sorted(lines):
-        at = [i for i, x in enumerate(lines[k]) if strip(x)]
+    for k in sorted(parts):
+        at = [i for i, x in enumerate(parts[k]) if strip(x)]
         for i in range(len(at) - 2):
-            w = tuple(strip(lines[k][p]) for p in at[i : i + 3])
+            w = tuple(strip(parts[k][p]) for p in at[i : i + 3])
             first.setdefault(w, (k, i))
             wins.append((w, k, i, at[i : i + 3]))
     for w, k, i, at in wins:
         if first[w] != (k, i):
             free = min(3, first[w][1] + 3 - i) if first[w][0] == k else 0
             gone[k] |= set(at[max(0, free) :])
-    return {k: (None if texts[k] is None else "\n".join(x for i, x in enumerate(lines[k]) if i not in gone[k]), len(lines[k]), len(gone[k])) for k in texts}
+    out = {}
+    for k, t in texts.items():
+        left = "".join(x for i, x in enumerate(parts[k]) if i not in gone[k])
+        if parts[k] and len(parts[k]) - 1 in gone[k] and left[-1:] in (" ", "\n"):
+            left = left[:-1]
+        out[k] = (None, 0, 0) if t is None else (left, t.count("\n") + 1, len(gone[k]))
+    return out
 
 
 def test_lines_equal_brute_force_and_sql(spark):
@@ -139,4 +150,29 @@ def test_lines_of_odd_rows(spark, odd, none):
     assert got == brute_lines({**dict(enumerate(ODD)), **more})
     assert got[101][0] == "z\ny" and got[103][0] == "" and got[102][2] == 3
     assert L.dedup_lines(none).count() == 0
-    assert L.dedup_lines(odd).count() == len(ODD) + 2
+    twice = {(r["row"]["doc_id"], r["text"], r["n_removed"]) for r in L.dedup_lines(odd).collect() if r["row"]["doc_id"] in (5, 6)}
+    assert twice == {(5, ODD[5], 0), (6, ODD[6], 0)}
+
+
+def test_lines_of_shared_ids(spark):
+    a, b, c = "a\nb\nc\nd", "x\na\nb\nc", "u1\nu2\nu3\nu4"
+    df = spark.createDataFrame([(1, a), (2, b), (2, c), (2, c), (None, a), (3, a)], "doc_id long, text string")
+    got = sorted((r["row"]["doc_id"] or 0, r["row"]["text"], r["text"], r["n_removed"]) for r in L.dedup_lines(df).collect())
+    # the null id counts as the first occurrence and stays whole; the repeated row is one document with its twin
+    assert got == sorted([(0, a, a, 0), (1, a, "", 4), (2, b, "x", 3), (2, c, c, 0), (2, c, c, 0), (3, a, "", 4)])
+
+
+def test_passages_in_one_long_line(spark):
+    passage = " ".join(f"Sentence {i} has its own {i * 7} words and goes on for a while until it ends." for i in range(5))
+    texts = {1: "Head of one. " + passage + " Tail of one.", 2: "Quite another text stands here. " + passage + " And it ends otherwise.", 3: "short. short. short. short.", 4: "short. short. short. short too."}
+    df = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    got = {r["row"]["doc_id"]: r["text"] for r in L.dedup_lines(df).collect()}
+    assert got == {**texts, 2: "Quite another text stands here. And it ends otherwise."}
+    assert got == {k: v[0] for k, v in brute_lines(texts).items()}
+
+
+def test_hot_windows_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(L, "HOT_SHARE", 0.02)
+    texts = {i: "Licence line one.\nLicence line two.\nLicence line three.\n" * (i % 3) + f"own {i % 40}\nwords {i % 40}\nhere {i % 40}\nrow {i}" for i in range(300)}
+    df = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    assert {r["row"]["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in L.dedup_lines(df).collect()} == brute_lines(texts)
