@@ -54,7 +54,27 @@ def test_random_words_from_pieces(library):
 @given(st.text(alphabet=st.characters(blacklist_categories=("Cs",)), max_size=40))
 def test_any_text(t):
     library = sentencepiece.SentencePieceProcessor(model_file=PATH)
-    ids, _ = P.codec(PATH).encode([t])
+    ids, cut = P.codec(PATH).encode([t])
     if "\0" not in t:
         assert ids.tolist() == library.encode(t)
-    assert P.codec(PATH).decode(ids) == t.replace("▁", " ")
+    assert P.codec(PATH).decode(ids, cut) == [t.replace("▁", " ")]
+
+
+def test_long_strings_and_runs_of_spaces(library):
+    rng = random.Random(5)
+    made = ["".join(rng.choice(al) for _ in range(n)) for al in ("ACGT", "aeinrst", "x", "漢字かな語中文", "0123456789abcdef", "ab ", " é") for n in (31, 32, 33, 400, 70_000)]
+    made += [" " * k + x for k in range(1, 70) for x in ("a", "漢", "", "\n b", "é")]
+    made += ["".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(5000)), "word " * 300_000]
+    c = P.codec(PATH)
+    for part in (made[:5], made[5:]):
+        ids, cut = c.encode(part)
+        wrong = [t[:40] for k, t in enumerate(part) if ids[cut[k] : cut[k + 1]].tolist() != library.encode(t)]
+        assert not wrong, wrong[:5]
+        assert c.decode(ids, cut) == part
+
+
+def test_words_forgotten_and_learned_again(library, texts, monkeypatch):
+    monkeypatch.setattr(P, "REMEMBERED", 50)
+    c = P.codec(PATH)
+    for t in [*texts.values()][:40]:
+        assert c.encode([t])[0].tolist() == library.encode(t)
