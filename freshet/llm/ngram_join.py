@@ -2,9 +2,10 @@
 
 With sets A and B of sizes a and b, a Jaccard likeness of p % or more allows at most
 ``k = (a + b)(100 - p) / (100 + p)`` n-grams outside the overlap. The columns (n-gram hashes) are
-therefore cut into ``m > k`` blocks, and a pair that agrees in none of its blocks cannot reach the bound: only
-pairs with an equal block are multiplied at all. For these, overlap counts are summed block by
-block, and a pair leaves as soon as its count and what is left in the smaller row fall short.
+therefore cut into ``m > k`` blocks, and a pair that agrees in none of its blocks cannot reach the bound. The equal blocks are the
+mask of the product of the matrix with its transpose: only entries under the mask are formed. Overlap counts are accumulated
+column block by column block over the rows of a batch of masked entries, and an entry leaves as soon as its count and what is left
+in the smaller row fall short of the bound that its sizes set. Every link comes from this product.
 
 * Rows are dealt to size classes so that a pair's sizes lie in one class or in two neighbours; a row stands in
   the blocks of its own class and of the next. No pair within the bound is missed.
@@ -12,25 +13,26 @@ block, and a pair leaves as soon as its count and what is left in the smaller ro
 * N-grams that many otherwise different texts share (``common_grams``) are left out of the blocks, which would say little
   with them: rows without them differ in no more n-grams than before, so the bound still holds. They count in every product.
 * Rows with equal sets are one row of the matrix; their group is a star around its smallest id.
-* In a bucket (rows with an equal block) every member is first multiplied with one centre only: the row that stands in
-  the largest buckets. The product also yields what sets the member apart from its centre.
-* Two members A and B of a centre R differ in ``|A ^ B| = |dA| + |dB| - 2 |dA & dB|`` n-grams, where d is the
-  difference from R. If that may be within the bound and no link joins them yet, either both
-  link to R or dA and dB share n-grams, and then they share one among the first few in any fixed order. So
-  the open pairs come from an index on the heads of the differences, and a large group of near
-  copies costs rows in proportion to its size, while no link between components is lost.
+* In a bucket (rows with an equal block) the mask first has every member's entry with one centre only: the row that stands in
+  the largest buckets. Where all members of a centre have come into one component, nothing is left to do.
+* Else two members A and B of a centre R in different components are still open. They differ in
+  ``|A ^ B| = |dA| + |dB| - 2 |dA & dB|`` n-grams, where d is the difference from R. To be within the bound K, either both link to R or
+  dA and dB share ``(|dA| + |dB| - K) / 2`` n-grams. In any one order of the n-grams, the smaller difference then has one of
+  these among its first ``K / 2 + 1`` and the larger among its first ``K + 1``. The order is that of how few members of the centre have
+  the n-gram: what sets the centre apart is in all differences and comes last. Pairs that meet so, and lie in different
+  components, are the mask of a second product. No link between components is lost.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from .tables import materialize, read_table
 from .texts import HASH_BITS, chunks, lean, mix, shingle_sets
@@ -41,8 +43,10 @@ BROADCAST_IDS = 1_000_000
 SPARE = ((90, 0.1), (0, 0.25))
 #: Common n-grams kept (8 bytes each, sent with the tasks), the texts looked at together, and in how many different ones an n-gram must stand.
 COMMON, LOOK_ROWS, LOOK_BYTES, LOOK_TEXTS = 65_536, 2048, 4 << 20, 4
-#: Column blocks over which overlap counts are summed.
-BLOCKS = 4
+#: Column blocks over which overlap counts are summed; entries and n-grams of a batch of the product.
+BLOCKS, ENTRIES, GRAMS = 4, 256, 1 << 18
+#: Sets that a task remembers to tell copies; beyond it starts anew.
+SEEN = 32_768
 SET, BLOCK, COPY = 0, 1, 2
 _U = np.uint64
 _MASK = _U((1 << HASH_BITS) - 1)
@@ -153,13 +157,18 @@ def _is_common(h: np.ndarray, common: np.ndarray) -> np.ndarray:
 
 
 def _incidence(width: int, percent: int, common: np.ndarray):
-    """Map step: for each text its set's hash, and its telling blocks unless the batch has an equal set already."""
+    """Map step: for each text its set's hash, and its telling blocks unless the task has met an equal set.
+
+    A copy names a row met before; the smallest id met so far is always given as a row of its own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = Classes(percent, 4096)
+        seen: dict[int, int] = {}
         for b in batches:
             ids = b.column(0).to_numpy()
-            seen: dict[int, int] = {}
+            if len(seen) > SEEN:
+                seen.clear()
             for i, j, buf, offs in chunks(b.column(1)):
                 keys, sizes = shingle_sets(buf, offs, width)
                 if sizes.max(initial=0) >= c.low[-2]:
@@ -169,13 +178,17 @@ def _incidence(width: int, percent: int, common: np.ndarray):
                 whole = mix(total[upto] - total[upto - sizes] + mix(sizes.astype(_U)))
                 mine = ids[i:j]
                 kind = np.full(j - i, SET)
+                fresh = sizes > 0
                 sig = whole.view(np.int64).copy()
-                for r in range(j - i):
-                    if sizes[r]:
-                        first = seen.setdefault(int(sig[r]), int(mine[r]))
-                        if first != mine[r]:
+                for r in np.flatnonzero(fresh).tolist():
+                    key, id_ = int(sig[r]), int(mine[r])
+                    if (first := seen.get(key)) is not None:
+                        fresh[r] = False
+                        if first <= id_:
                             kind[r], sig[r] = COPY, first
-                rows = np.flatnonzero((kind == SET) & (sizes > 0))
+                            continue
+                    seen[key] = id_
+                rows = np.flatnonzero(fresh)
                 label = c.of(sizes[rows])
                 rare = keys[~_is_common(keys & _MASK, common)]
                 s0, r0 = _blocks(rare, sizes, rows, label, c)
@@ -235,77 +248,89 @@ def _rows(width: int):
     return run
 
 
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Bounded stretches of (a, b, x, y) with the lengths of x and y."""
+    for whole in batches:
+        a_len, b_len = (np.diff(whole.column(k).offsets.to_numpy()).astype(np.int64) for k in (2, 3))
+        upto = np.cumsum(a_len + b_len)
+        s = 0
+        while s < whole.num_rows:
+            e = int(np.searchsorted(upto, (upto[s - 1] if s else 0) + GRAMS, "right"))
+            e = min(max(e, s + 1), s + ENTRIES)
+            yield whole.slice(s, e - s), a_len[s:e], b_len[s:e]
+            s = e
+
+
 def _product(percent: int):
-    """Overlap counts of given pairs of rows, summed over blocks of columns; yields the pairs that link."""
+    """Masked product of two stretches of rows, accumulated over blocks of columns; yields the entries that link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for s in range(0, whole.num_rows, 256):
-                b = whole.slice(s, 256)
-                a_len, b_len = (np.diff(b.column(k).offsets.to_numpy()).astype(np.int64) for k in (2, 3))
-                left, right = (b.column(k).flatten().to_numpy().view(_U) for k in (2, 3))
-                pair_a, pair_b = (np.repeat(np.arange(b.num_rows), x) for x in (a_len, b_len))
-                need = -(-(percent * (a_len + b_len)) // (100 + percent))
-                have, rest_a, rest_b = np.zeros(b.num_rows, np.int64), a_len.copy(), b_len.copy()
-                for k in range(BLOCKS):
-                    live = (need > 0) & (have + np.minimum(rest_a, rest_b) >= need)
-                    block_a, block_b = (((x * _U(BLOCKS)) >> _U(HASH_BITS)) == k for x in (left, right))
-                    x, y = block_a & live[pair_a], block_b & live[pair_b]
-                    keys = np.concatenate([(pair_a[x].astype(_U) << _U(HASH_BITS)) | left[x], (pair_b[y].astype(_U) << _U(HASH_BITS)) | right[y]])
-                    keys.sort()
-                    both = keys[1:][keys[1:] == keys[:-1]] >> _U(HASH_BITS)
-                    have += np.bincount(both.astype(np.int64), minlength=b.num_rows)
-                    rest_a -= np.bincount(pair_a[block_a], minlength=b.num_rows)
-                    rest_b -= np.bincount(pair_b[block_b], minlength=b.num_rows)
-                ok = pa.array((need > 0) & (have >= need))
-                yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], ["a", "b"])
+        for b, a_len, b_len in _batches(batches):
+            n = b.num_rows
+            left, right = (b.column(k).flatten().to_numpy().view(_U) for k in (2, 3))
+            entry = np.concatenate([np.repeat(np.arange(n), a_len), np.repeat(np.arange(n), b_len)])
+            cols, of_a = np.concatenate([left, right]), np.arange(len(left) + len(right)) < len(left)
+            block = ((cols * _U(BLOCKS)) >> _U(HASH_BITS)).astype(np.int8)
+            need = -(-(percent * (a_len + b_len)) // (100 + percent))
+            have, rest_a, rest_b = np.zeros(n, np.int64), a_len.copy(), b_len.copy()
+            for k in range(BLOCKS):
+                live = (need > 0) & (have + np.minimum(rest_a, rest_b) >= need)
+                mine = block == k
+                keys = np.sort((entry[mine & live[entry]].astype(_U) << _U(HASH_BITS)) | cols[mine & live[entry]])
+                both = keys[1:][keys[1:] == keys[:-1]] >> _U(HASH_BITS)
+                have += np.bincount(both.astype(np.int64), minlength=n)
+                rest_a -= np.bincount(entry[mine & of_a], minlength=n)
+                rest_b -= np.bincount(entry[mine & ~of_a], minlength=n)
+            ok = pa.array((need > 0) & (have >= need))
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], ["a", "b"])
 
     return run
 
 
-def _star(percent: int, common: np.ndarray):
-    """Overlaps of members with their centres: whether they link, the size of the difference, and its head.
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, size of b's row, n-grams that only one of them has)."""
+    for b, a_len, b_len in _batches(batches):
+        n = b.num_rows
+        left, right = (b.column(k).flatten().to_numpy().view(_U) for k in (2, 3))
+        entry = np.concatenate([np.repeat(np.arange(n), a_len), np.repeat(np.arange(n), b_len)]).astype(_U)
+        keys = np.sort((entry << _U(HASH_BITS)) | np.concatenate([left, right]))
+        same = keys[1:] == keys[:-1]
+        d = keys[~(np.concatenate([[False], same]) | np.concatenate([same, [False]]))] if len(keys) else keys
+        cut = np.concatenate([[0], np.cumsum(np.bincount((d >> _U(HASH_BITS)).astype(np.int64), minlength=n))])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(b_len, pa.int32()), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array((d & _MASK).view(np.int64)))], ["a", "b", "n", "diff"])
 
-    The order within a difference puts common n-grams last, and before them n-grams that the centre alone has: those seldom recur that it lacks.
-    Any partner that may link shares one of the first ``n (100 - p) / p + 1``.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for s in range(0, whole.num_rows, 256):
-                b = whole.slice(s, 256)
-                n = b.num_rows
-                a_len, b_len = (np.diff(b.column(k).offsets.to_numpy()).astype(np.int64) for k in (2, 3))
-                left, right = (b.column(k).flatten().to_numpy().view(_U) for k in (2, 3))
-                pair_a, pair_b = (np.repeat(np.arange(n), x).astype(_U) for x in (a_len, b_len))
-                keys = np.concatenate([(pair_a << _U(55)) | (left << _U(1)) | _U(1), (pair_b << _U(55)) | (right << _U(1))])
-                keys.sort()
-                same = (keys[1:] >> _U(1)) == (keys[:-1] >> _U(1))
-                lone = ~(np.concatenate([[False], same]) | np.concatenate([same, [False]])) if len(keys) else np.zeros(0, bool)
-                d = keys[lone]
-                h = (d >> _U(1)) & _MASK
-                d = np.sort((d >> _U(55) << _U(56)) | (_is_common(h, common).astype(_U) << _U(55)) | ((d & _U(1)) << _U(54)) | h)
-                size = np.bincount((d >> _U(56)).astype(np.int64), minlength=n)
-                both = (a_len + b_len - size) // 2
-                link = (both > 0) & (both * (100 + percent) >= percent * (a_len + b_len))
-                head = np.minimum(size, b_len * (100 - percent) // percent + 1)
-                ends = np.cumsum(size)
-                take = np.arange(len(d)) - np.repeat(ends - size, size) < np.repeat(head, size)
-                cut = pa.array(np.concatenate([[0], np.cumsum(head)]), pa.int32())
-                arrays = [b.column(0), b.column(1), pa.array(b_len, pa.int32()), pa.array(size, pa.int32()), pa.array(link), pa.ListArray.from_arrays(cut, pa.array((d[take] & _MASK).view(np.int64)))]
-                yield pa.RecordBatch.from_arrays(arrays, ["a", "b", "n", "d", "link", "head"])
+def _rows_of(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """(id, grams): the rows of the incidence matrix that ``pairs`` (a, b) name; the texts are read once."""
+    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "pair-ids")
+    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return materialize(docs.join(wanted, "id", "left_semi").mapInArrow(lean(_rows(width)), "id long, grams array<long>"), "grams")
 
-    return run
 
+def _beside(pairs: DataFrame, grams: DataFrame) -> DataFrame:
+    """(a, b, x, y): the rows of each pair."""
+    return pairs.join(grams.withColumnsRenamed({"id": "a", "grams": "x"}), "a").join(grams.withColumnsRenamed({"id": "b", "grams": "y"}), "b").select("a", "b", "x", "y")
 
-def _multiply(docs: DataFrame, pairs: DataFrame, width: int, how, schema: str) -> DataFrame:
-    """``how`` over the rows of the incidence matrix of the given (a, b)."""
-    pairs = materialize(pairs, "pairs")
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "pair-ids")
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    grams = materialize(docs.join(wanted, "id", "left_semi").mapInArrow(lean(_rows(width)), "id long, grams array<long>"), "grams")
-    both = pairs.join(grams.withColumnsRenamed({"id": "a", "grams": "x"}), "a").join(grams.withColumnsRenamed({"id": "b", "grams": "y"}), "b")
-    return materialize(both.select("a", "b", "x", "y").mapInArrow(lean(how), schema), "products")
+
+def _open_pairs(star: DataFrame, grams: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of members of one centre that lie in different components and may link."""
+    at = star.join(roots.withColumnRenamed("node", "b"), "b", "left").withColumn("root", F.coalesce("root", "b"))
+    mixed = at.groupBy("a").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("a")
+    at = materialize(at.join(mixed, "a", "left_semi").select("a", "b", "root"), "open-members")
+    diffs = _beside(at, grams).mapInArrow(lean(_differences), "a long, b long, n int, diff array<long>")
+    entries = materialize(diffs.select("a", "b", "n", F.size("diff").alias("d"), F.explode("diff").alias("gram")).join(at, ["a", "b"]), "differences")
+    seen = entries.groupBy("a", "gram").agg(F.count("*").alias("seen"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    rank = F.row_number().over(Window.partitionBy("a", "b").orderBy("seen", "gram")) - 1
+    most = F.floor(F.col("n") * (100 - percent) / percent)
+    heads = entries.join(seen, ["a", "gram"]).withColumn("pos", rank).withColumn("most", most).filter("pos <= most and lo <> hi")
+    heads = materialize(heads.select("a", "gram", "b", "n", "d", "root", "pos", "most"), "heads")
+    left = heads.filter(F.col("pos") <= F.floor(F.col("most") / 2))
+    right = heads.select("a", "gram", *(F.col(c).alias(f"_{c}") for c in ("b", "n", "d", "root", "pos")))
+    bound = F.floor((F.col("n") + F.col("_n")) * (100 - percent) / (100 + percent))
+    left_over = F.least(F.col("d") - F.col("pos"), F.col("_d") - F.col("_pos"))
+    smaller = (F.col("d") < F.col("_d")) | ((F.col("d") == F.col("_d")) & (F.col("b") < F.col("_b")))
+    fits = smaller & (F.col("root") != F.col("_root")) & (F.least("n", "_n") * 100 >= percent * F.greatest("n", "_n")) & (2 * left_over >= F.col("d") + F.col("_d") - bound)
+    return left.join(right, ["a", "gram"]).filter(fits).select(F.col("b").alias("a"), F.col("_b").alias("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -333,7 +358,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``id_col``, ``n_shingles``, ``component_id`` for every row: the smallest id reachable by links of ``percent`` or more.
 
     Null, empty and white texts have no shingles and are components of their own; so are texts shorter than
-    ``width`` words unless another has the same words. Rows with the same id are one node. Rows with a null id
+    ``width`` words unless another has the same words. Rows that share an id but not the text each get the
+    component of their own text. Rows with a null id
     link with nothing and get a null component. Other columns are ignored. Ids are integers.
     """
     spark = docs.sparkSession
@@ -357,36 +383,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = materialize(member.join(size, "sig"), "members")
     weight = member.groupBy("id").agg(F.sum("size").alias("weight"))
     centre = member.join(weight, "id").groupBy("sig").agg(F.max(F.struct("weight", (-F.col("id")).alias("back"))).alias("top")).select("sig", (-F.col("top.back")).alias("a"))
-    star = member.join(centre, "sig").filter("id <> a").select("a", F.col("id").alias("b")).distinct()
-    star = _multiply(known, star, width, _star(percent, common), "a long, b long, n int, d int, link boolean, head array<long>")
-    links = star.filter("link").select("a", "b")
+    star = materialize(member.join(centre, "sig").filter("id <> a").select("a", F.col("id").alias("b")).distinct(), "pairs")
+    grams = _rows_of(known, star, width)
+    linked = "a long, b long"
+    links = materialize(_beside(star, grams).mapInArrow(lean(_product(percent)), linked), "links")
     roots = components(links)
-    at = star.join(roots.withColumnRenamed("node", "b"), "b", "left").withColumn("root", F.coalesce("root", "b"))
-    mixed = at.groupBy("a").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("a")
-    heads = materialize(at.join(mixed, "a", "left_semi").select("a", "b", "n", "d", "root", F.posexplode("head").alias("pos", "gram")), "heads")
-    several = heads.groupBy("a", "gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("a", "gram")
-    heads = materialize(heads.join(several, ["a", "gram"], "left_semi"), "open-heads")
-    other = heads.select("a", "gram", *(F.col(c).alias(f"_{c}") for c in ("b", "n", "d", "root", "pos")))
-    bound = F.floor((F.col("n") + F.col("_n")) * (100 - percent) / (100 + percent))
-    left_over = F.least(F.col("d") - F.col("pos"), F.col("_d") - F.col("_pos"))
-    fits = (F.col("b") < F.col("_b")) & (F.col("root") != F.col("_root")) & (F.least("n", "_n") * 100 >= percent * F.greatest("n", "_n")) & (2 * left_over >= F.col("d") + F.col("_d") - bound)
-    rest = heads.join(other, ["a", "gram"]).filter(fits).select(F.col("b").alias("a"), F.col("_b").alias("b")).distinct()
-    links = materialize(links.union(_multiply(known, rest, width, _product(percent), "a long, b long")).distinct(), "links")
-    roots = components(links).withColumnsRenamed({"node": "rep"})
+    rest = materialize(_open_pairs(star, grams, roots, percent), "open-pairs")
+    more = materialize(_beside(rest, grams).mapInArrow(lean(_product(percent)), linked), "links")
+    roots = components(links.union(more).distinct()).withColumnsRenamed({"node": "rep"})
+    # the smallest id of each set stands for it, so the smallest root is the smallest id reachable
+    few = roots.count() <= BROADCAST_IDS
+    done = sets.join(F.broadcast(roots) if few else roots, "rep", "left").select("id", "n", F.coalesce("root", "rep").alias("root"))
     copies = buckets.filter(F.col("kind") == COPY).select("id", "n", F.col("rep").alias("near"))
-    heads = sets.select(F.col("id").alias("near"), "rep").distinct()
-    all_ = sets.union(copies.join(heads, "near").select("id", "n", "rep")).join(roots, "rep", "left").select("id", "n", F.coalesce("root", "rep").alias("root"))
-    lower = all_.filter("id < root").groupBy("root").agg(F.min("id").alias("low"))  # a copy may stand before the row kept for its batch
-    done = all_.join(lower, "root", "left").select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("low", "root").alias("component_id"))
+    done = done.union(copies.join(done.select(F.col("id").alias("near"), "root").distinct(), "near").select("id", "n", "root"))
+    done = done.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.col("root").alias("component_id"))
     lost = unknown.mapInArrow(lean(_rows(width)), "id long, grams array<long>").select(F.col("id").alias(id_col), F.size("grams").cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
-    return reduce(DataFrame.union, [done, lost])
+    return done.union(lost)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without the rows whose component has a smaller id; rows with a null id stay."""
-    found = near_duplicates(docs, id_col, text_col, width, percent)
-    gone = materialize(found.filter(F.col(id_col) > F.col("component_id")).select(id_col).distinct(), "gone")
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, id_col, "left_anti")
+    """``docs`` without the rows whose component has a smaller id; rows with a null id stay.
+
+    Of rows equal in id and text one stays. Rows that share an id but not the text go only if each has a smaller id in its component.
+    """
+    found = near_duplicates(docs, id_col, text_col, width, percent).select(F.col(id_col).alias("__id"), "component_id")
+    gone = found.filter(F.col("__id") > F.col("component_id")).select("__id").distinct()
+    twice = materialize(docs.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("n")).filter("n > 1").select("__id"), "repeated-ids")
+    if repeated := twice.count():
+        gone = gone.join(found.join(twice, "__id", "left_semi").filter(F.col("__id") == F.col("component_id")), "__id", "left_anti")
+    gone = materialize(gone, "gone")
+    kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, F.col(id_col) == F.col("__id"), "left_anti")
+    if not repeated:
+        return kept
+    twice = F.broadcast(twice) if repeated <= BROADCAST_IDS else twice
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row")
+    once = kept.join(twice, F.col(id_col) == F.col("__id"), "left_semi").select(F.col(id_col).alias("__k"), F.xxhash64(text_col).alias("__tie"), row).groupBy("__k", "__tie").agg(F.first("__row").alias("__row")).select("__row.*")
+    return kept.join(twice, F.col(id_col) == F.col("__id"), "left_anti").union(once)
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

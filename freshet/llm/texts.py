@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 
 CHUNK_BYTES, CHUNK_ROWS = 1 << 20, 1000
-#: Most rows of an Arrow batch: with the default of 10,000, whole batches of long texts lie in memory on both sides of a worker's pipe.
-BATCH_ROWS = 2000
+#: Most rows and bytes of an Arrow batch (a longer row is a batch of its own): with the defaults of 10,000 and 64 MB, much text lies in memory on both sides of a worker's pipe.
+BATCH_ROWS, BATCH_BYTES = 2000, 2 << 20
 #: Bits of a shingle's hash; the ten above hold the row within a chunk while sorting.
 HASH_BITS = 54
 
@@ -34,10 +34,12 @@ _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1
 
 
 def small_batches() -> None:
-    """Lowers the session's rows per Arrow batch to ``BATCH_ROWS``."""
-    conf, key = SparkSession.active().conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
+    """Lowers the session's rows and bytes per Arrow batch to ``BATCH_ROWS`` and ``BATCH_BYTES``."""
+    conf = SparkSession.active().conf
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if not 0 < int(conf.get(key).rstrip("bB")) <= most:
+            conf.set(key, str(most))
 
 
 @functools.cache

@@ -75,9 +75,32 @@ def test_odd_rows(spark, odd, none):
     assert J.near_duplicates(none).count() == 0
     kept = J.keep_one(rows).collect()
     assert {r.doc_id for r in kept} == {k for k, (_, c) in brute({r.doc_id: r.text for r in odd.collect()}, 5, 80).items() if c == k} | {None}
+    assert len([r for r in kept if r.doc_id in (5, 6)]) == len({r.doc_id for r in kept} & {5, 6})  # of equal rows one stays
     assert J.keep_one(none).columns == none.columns
 
 
+def test_rows_that_share_an_id(spark):
+    a, b, c = "a b c d e f g h", "i j k l m n o p", "q r s t u v w x"
+    df = spark.createDataFrame([(1, a), (2, a), (2, b), (3, b), (4, c), (4, c), (None, c)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id) for r in J.near_duplicates(df).collect() if r.doc_id)
+    assert got == [(1, 1), (2, 1), (2, 2), (3, 2), (4, 4), (4, 4)]
+    assert sorted((r.doc_id or 0, r.text) for r in J.keep_one(df).collect()) == [(0, c), (1, a), (2, a), (2, b), (4, c)]
+
+
+def test_a_group_whose_centre_is_an_edited_copy(spark):
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(60)]
+    made = []
+    for k in range(120):
+        t = [*base]
+        if k % 40:
+            t[rng.randrange(5, 55)] = f"own{k}"
+        made.append(" ".join(t))
+    df = spark.createDataFrame([*enumerate(made)], "doc_id long, text string").repartition(6)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.near_duplicates(df).collect()}
+    assert got == brute(dict(enumerate(made)), 5, 80)
+
+
 def test_long_chains_of_links(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(60)] + [(100, 200), (200, 150)], "a long, b long")
     got = {r.node: r.root for r in J.components(links).collect()}
