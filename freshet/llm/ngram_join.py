@@ -47,6 +47,8 @@ COMMON, LOOK_ROWS, LOOK_BYTES, LOOK_TEXTS = 65_536, 2048, 4 << 20, 4
 BLOCKS, ENTRIES, GRAMS = 4, 256, 1 << 18
 #: Sets that a task remembers to tell copies; beyond it starts anew.
 SEEN = 32_768
+#: Ids below this are the table's own.
+_OTHER = 1 << 62
 SET, BLOCK, COPY = 0, 1, 2
 _U = np.uint64
 _MASK = _U((1 << HASH_BITS) - 1)
@@ -354,16 +356,45 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
+def with_nodes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with ``__node``: its id, but where rows of an id have different texts, a hash from 2 ** 62 up for all but one text of the id."""
+    tie, id_ = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), F.col(id_col).cast("long")
+    several = docs.filter(F.col(id_col).isNotNull()).groupBy(id_.alias("__k")).agg(F.min(tie).alias("__own"), F.max(tie).alias("__top")).filter("__own <> __top").select("__k", "__own")
+    several = materialize(several, "shared-ids")
+    if not (n := several.count()):
+        return docs.withColumn("__node", id_)
+    both = docs.join(F.broadcast(several) if n <= BROADCAST_IDS else several, id_ == F.col("__k"), "left")
+    other = F.xxhash64(id_, tie).bitwiseAND(F.lit(_OTHER - 1)).bitwiseOR(F.lit(_OTHER))
+    return both.withColumn("__node", F.when(F.col("__own") != tie, other).otherwise(id_)).drop("__k", "__own")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """``id_col``, ``n_shingles``, ``component_id`` for every row: the smallest id reachable by links of ``percent`` or more.
 
     Null, empty and white texts have no shingles and are components of their own; so are texts shorter than
-    ``width`` words unless another has the same words. Rows that share an id but not the text each get the
-    component of their own text. Rows with a null id
-    link with nothing and get a null component. Other columns are ignored. Ids are integers.
+    ``width`` words unless another has the same words. Rows that share an id but not the text are nodes of their own. Rows with a
+    null id link with nothing and get a null component. Other columns are ignored. Ids are integers below 2 ** 62.
     """
-    spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("__text"))
+    texts = with_nodes(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("__text")), "id", "__text")
+    found = _by_node(texts, width, percent)
+    return found.select(F.col("id").alias(id_col), "n_shingles", "component_id")
+
+
+def _by_node(texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(node, id, n_shingles, component_id) for every row of (id, __text, __node)."""
+    found = _roots(texts.select(F.col("__node").alias("id"), "__text"), width, percent)
+    if texts.filter(F.col("__node") >= _OTHER).isEmpty():
+        return found.select(F.col("id").alias("node"), "id", "n_shingles", F.col("root").alias("component_id"))
+    named = texts.filter(F.col("__node") >= _OTHER).select(F.col("__node").alias("node"), F.col("id").alias("__doc")).distinct()
+    found = found.withColumnRenamed("id", "node").join(named, "node", "left").withColumn("id", F.coalesce("__doc", "node"))
+    low = found.filter("__doc is not null").groupBy(F.col("root").alias("__r")).agg(F.min("__doc").alias("__low"))
+    found = found.join(F.broadcast(low) if named.count() <= BROADCAST_IDS else low, F.col("root") == F.col("__r"), "left")
+    return found.select("node", "id", "n_shingles", F.least("root", "__low").alias("component_id"))
+
+
+def _roots(texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(id, n_shingles, root) for every row of (id, __text)."""
+    spark = texts.sparkSession
     known, unknown = texts.filter("id is not null"), texts.filter("id is null")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     common = common_grams(known, width)
@@ -396,29 +427,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     done = sets.join(F.broadcast(roots) if few else roots, "rep", "left").select("id", "n", F.coalesce("root", "rep").alias("root"))
     copies = buckets.filter(F.col("kind") == COPY).select("id", "n", F.col("rep").alias("near"))
     done = done.union(copies.join(done.select(F.col("id").alias("near"), "root").distinct(), "near").select("id", "n", "root"))
-    done = done.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.col("root").alias("component_id"))
-    lost = unknown.mapInArrow(lean(_rows(width)), "id long, grams array<long>").select(F.col("id").alias(id_col), F.size("grams").cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    done = done.select("id", F.col("n").cast("long").alias("n_shingles"), "root")
+    lost = unknown.mapInArrow(lean(_rows(width)), "id long, grams array<long>").select("id", F.size("grams").cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("root"))
     return done.union(lost)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without the rows whose component has a smaller id; rows with a null id stay.
-
-    Of rows equal in id and text one stays. Rows that share an id but not the text go only if each has a smaller id in its component.
-    """
-    found = near_duplicates(docs, id_col, text_col, width, percent).select(F.col(id_col).alias("__id"), "component_id")
-    gone = found.filter(F.col("__id") > F.col("component_id")).select("__id").distinct()
-    twice = materialize(docs.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("n")).filter("n > 1").select("__id"), "repeated-ids")
-    if repeated := twice.count():
-        gone = gone.join(found.join(twice, "__id", "left_semi").filter(F.col("__id") == F.col("component_id")), "__id", "left_anti")
-    gone = materialize(gone, "gone")
-    kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, F.col(id_col) == F.col("__id"), "left_anti")
-    if not repeated:
-        return kept
-    twice = F.broadcast(twice) if repeated <= BROADCAST_IDS else twice
+    """``docs`` without the rows whose component has a smaller id; rows with a null id stay. Of rows equal in id and text one stays."""
+    marked = with_nodes(docs, id_col, text_col)
+    texts = marked.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("__text"), "__node")
+    found = materialize(_by_node(texts, width, percent).filter("node is not null").groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.min("component_id").alias("component_id")), "nodes")
+    send = lambda df: F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+    gone = materialize(found.filter("id > component_id").select(F.col("node").alias("__node")), "gone")
+    kept = marked.join(send(gone), "__node", "left_anti")
+    twice = materialize(found.filter("n > 1 and id = component_id").select(F.col("node").alias("__node")), "repeated-rows")
+    if twice.isEmpty():
+        return kept.drop("__node")
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row")
-    once = kept.join(twice, F.col(id_col) == F.col("__id"), "left_semi").select(F.col(id_col).alias("__k"), F.xxhash64(text_col).alias("__tie"), row).groupBy("__k", "__tie").agg(F.first("__row").alias("__row")).select("__row.*")
-    return kept.join(twice, F.col(id_col) == F.col("__id"), "left_anti").union(once)
+    once = kept.join(send(twice), "__node", "left_semi").select("__node", row).groupBy("__node").agg(F.first("__row").alias("__row")).select("__row.*")
+    return kept.join(send(twice), "__node", "left_anti").drop("__node").union(once)
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
