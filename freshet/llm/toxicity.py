@@ -1,10 +1,12 @@
 """Toxicity grades by cumulative-link ordinal regression on sparse text features.
 
-``P(grade <= j) = sigmoid(theta_j - w.x)`` with ordered thresholds theta_1 < theta_2 < theta_3 and one weight
-vector for all of them. The labels tell toxic from not; grades 1 to 3 of the toxic texts used for fitting are the thirds
-of their density of telling words (words far more frequent in toxic than in other labelled texts).
-Features are the presence of each word of a lexicon, chosen by counts over all labelled texts outside fold 0, and the telling words' density.
-The severity of a text is its expected grade.
+``P(grade <= j) = sigmoid(theta_j - w.x)`` with ordered thresholds theta_1 < theta_2 < theta_3 and one weight vector for all of
+them. x holds the presence of each word of a lexicon, chosen by counts over all labelled texts outside fold 0.
+
+The labels tell toxic from not. How severe a toxic text is comes from the other half of the labelled texts: each word has the logarithm of
+its odds of standing in a toxic rather than another text, counted in one half (by a hash of the id), and the evidence of a text in the
+other half is the sum over its words where that is positive. Grades 1 to 3 of the toxic texts used for fitting are the thirds of
+their evidence. No text's own label enters its evidence, and the evidence is no feature. The severity of a text is its expected grade.
 """
 
 from __future__ import annotations
@@ -21,67 +23,101 @@ from .labelled import fold, sample_ids
 from .tables import materialize, read_table
 from .texts import HASH_BITS, LOWER, NOT_WORD, chunks, lean, pieces, span_hashes
 
-#: Bound of the labelled texts of each class that the weights are fitted on.
+#: Bound of the labelled texts of each class that the weights are fitted on; a parameter of ``train``.
 MAX_PER_CLASS = 4000
+#: Weight of all toxic texts together in the fit, the others have the rest; chosen by leaving out each of the folds 1 to 4.
+TOXIC_WEIGHT = 1 / 3
 GRADES = 3
 #: A word enters the lexicon if the log-likelihood ratio of its counts of toxic and other texts is as rare as one in a thousand without a difference.
 LEAST_RATIO = 10.83
-#: A word is telling if its odds in toxic texts are so many times those in others.
-TELLING = 8.0
 #: Labelled rows (some 40 bytes each) that may be broadcast; more are joined by a shuffle.
 BROADCAST_LABELS = 1_000_000
 _U = np.uint64
 
 
-def word_keys(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, row) of every word: runs of letters, digits and apostrophes with A-Z lowered."""
+def word_keys(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Sorted ``row << 54 | hash`` of every row's distinct words: runs of letters, digits and apostrophes with A-Z lowered."""
     buf = LOWER[buf]
     start, end, row = pieces(buf, offs, NOT_WORD)
-    return span_hashes(buf, start, end) >> _U(1), row
+    return np.unique((row.astype(_U) << _U(HASH_BITS)) | (span_hashes(buf, start, end) >> _U(64 - HASH_BITS)))
 
 
-def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for i, j, buf, offs in chunks(b.column(2)):
-            h, row = word_keys(buf, offs)
-            key = (row.astype(_U) << _U(HASH_BITS)) | (h >> _U(63 - HASH_BITS))
-            key, count = np.unique(key, return_counts=True)
-            size = np.bincount((key >> _U(HASH_BITS)).astype(np.int64), minlength=j - i)
-            cut = pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32())
-            words = pa.array((key & _U((1 << HASH_BITS) - 1)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.ListArray.from_arrays(cut, words), pa.ListArray.from_arrays(cut, pa.array(count, pa.int32()))], ["id", "label", "words", "counts"])
+def _word(key: np.ndarray) -> np.ndarray:
+    return (key & _U((1 << HASH_BITS) - 1)).view(np.int64)
+
+
+def _row(key: np.ndarray) -> np.ndarray:
+    return (key >> _U(HASH_BITS)).astype(np.int64)
+
+
+def half(id_col: str) -> F.Column:
+    """0 or 1: the half of the labelled texts that a row belongs to."""
+    return (F.crc32(F.concat(F.lit("half"), F.col(id_col).cast("string")).cast("binary")) % 2).cast("int")
+
+
+_GROUPS = ("b0", "a0", "b1", "a1")  # other and toxic texts of half 0, then of half 1
 
 
 def _word_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, toxic, other): texts of each class with the word, for each chunk; the word -1 counts all its texts."""
+    """(word, b0, a0, b1, a1) from (label, half, text): texts of each class and half with the word, for each chunk; the word -1 counts all its texts."""
     for b in batches:
-        for i, j, buf, offs in chunks(b.column(1)):
-            toxic = b.column(0).slice(i, j - i).to_numpy(zero_copy_only=False) == 1
-            h, row = word_keys(buf, offs)
-            key = np.unique((row.astype(_U) << _U(HASH_BITS)) | (h >> _U(63 - HASH_BITS)))
-            word, at = np.unique((key & _U((1 << HASH_BITS) - 1)).view(np.int64), return_inverse=True)
-            mine = toxic[(key >> _U(HASH_BITS)).astype(np.int64)]
-            counts = [np.concatenate([np.bincount(at[mine == k], minlength=len(word)), [(toxic == k).sum()]]).astype(np.int64) for k in (True, False)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([word, [-1]])), *map(pa.array, counts)], ["word", "toxic", "other"])
+        for i, j, buf, offs in chunks(b.column(2)):
+            label, part = (b.column(k).slice(i, j - i).to_numpy() for k in (0, 1))
+            group = 2 * part + label
+            key = word_keys(buf, offs)
+            word, at = np.unique(_word(key), return_inverse=True)
+            mine = group[_row(key)]
+            counts = [np.append(np.bincount(at[mine == k], minlength=len(word)), (group == k).sum()).astype(np.int64) for k in range(4)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(word, -1)), *map(pa.array, counts)], ["word", *_GROUPS])
+
+
+@dataclass
+class Lexicon:
+    """Sorted hashes of words, and for a text of each half the evidence that the other half gives a word."""
+
+    words: np.ndarray
+    evidence: np.ndarray  # (2, words)
+
+    def columns(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(column of each word that stands in the lexicon, which words those are)."""
+        if not len(self.words):
+            return np.zeros(0, np.int64), np.zeros(len(word), bool)
+        at = np.minimum(np.searchsorted(self.words, word), len(self.words) - 1)
+        hit = self.words[at] == word
+        return at[hit], hit
 
 
-def lexicon(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the words that tell the texts of (label, text) apart, and whether each is telling.
+def lexicon(rows: DataFrame) -> Lexicon:
+    """The words that tell the texts of (label, half, text) apart.
 
-    The counts are distributed over all rows and written once; only the chosen words reach the driver. The log-likelihood
+    The counts are distributed over all rows and written once; only the chosen words (24 bytes each) reach the driver. The log-likelihood
     ratio needs no smoothing, so a word without other texts scores by its toxic ones in full.
     """
-    made = rows.mapInArrow(lean(_word_texts), "word long, toxic long, other long").groupBy("word").agg(F.sum("toxic").alias("a"), F.sum("other").alias("b"))
+    made = rows.mapInArrow(lean(_word_texts), "word long, " + ", ".join(f"{c} long" for c in _GROUPS)).groupBy("word").agg(*(F.sum(c).alias(c) for c in _GROUPS))
     counts = materialize(made, "word-texts")
     total = counts.filter("word = -1").first()
-    if total is None or not total.a or not total.b:
-        return np.zeros(0, np.int64), np.zeros(0, bool)
-    a, b, ones, zeros = F.col("a"), F.col("b"), F.lit(float(total.a)), F.lit(float(total.b))
+    if total is None or not total.a0 + total.a1 or not total.b0 + total.b1:
+        return Lexicon(np.zeros(0, np.int64), np.zeros((2, 0)))
+    a, b, ones, zeros = F.col("a0") + F.col("a1"), F.col("b0") + F.col("b1"), F.lit(float(total.a0 + total.a1)), F.lit(float(total.b0 + total.b1))
     part = lambda seen, k, of: F.when(seen > 0, seen * F.log(seen * (ones + zeros) / (k * of))).otherwise(0.0)
     ratio = 2 * (part(a, a + b, ones) + part(b, a + b, zeros) + part(ones - a, ones + zeros - a - b, ones) + part(zeros - b, ones + zeros - a - b, zeros))
-    odds = F.log((a + 0.5) / (ones + 0.5 - a)) - F.log((b + 0.5) / (zeros + 0.5 - b))
-    t = counts.filter("word >= 0").filter(ratio >= LEAST_RATIO).select("word", (odds >= F.log(F.lit(TELLING))).alias("telling")).toArrow().sort_by("word")
-    return t["word"].to_numpy(), t["telling"].to_numpy()
+    odds = lambda k: F.greatest(F.lit(0.0), F.log((F.col(f"a{k}") + 0.5) / (total[f"a{k}"] + 1.0)) - F.log((F.col(f"b{k}") + 0.5) / (total[f"b{k}"] + 1.0)))
+    t = counts.filter("word >= 0").filter(ratio >= LEAST_RATIO).select("word", odds(1).alias("e0"), odds(0).alias("e1")).toArrow().sort_by("word")
+    return Lexicon(t["word"].to_numpy(), np.stack([t["e0"].to_numpy(), t["e1"].to_numpy()]))
+
+
+def _hits(lex: Lexicon):
+    """(id, label, half, cols) from (id, label, half, text): the lexicon's columns in each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, buf, offs in chunks(b.column(3)):
+                key = word_keys(buf, offs)
+                cols, hit = lex.columns(_word(key))
+                cut = np.append(0, np.cumsum(np.bincount(_row(key)[hit], minlength=j - i)))
+                yield pa.RecordBatch.from_arrays([*(b.column(k).slice(i, j - i) for k in range(3)), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(cols, pa.int32()))], ["id", "label", "half", "cols"])
+
+    return run
 
 
 class Sparse:
@@ -104,37 +140,22 @@ class Sparse:
 
 @dataclass
 class Model:
-    """Lexicon hashes (sorted), the weight and telling flag of each, the density's weight, and the thresholds."""
+    """The lexicon, the weight of each of its words, and the thresholds."""
 
-    words: np.ndarray
+    lexicon: Lexicon
     weight: np.ndarray
-    telling: np.ndarray
-    density: float
     theta: np.ndarray
 
     def latent(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        n = len(offs) - 1
-        h, row = word_keys(buf, offs)
-        total = np.maximum(np.bincount(row, minlength=n), 1)
-        if not len(self.words):
-            return np.zeros(n)
-        h = (h >> _U(63 - HASH_BITS)).view(np.int64)
-        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        hit = self.words[at] == h
-        at, row = at[hit], row[hit]
-        seen = np.unique(row * len(self.words) + at)
-        z = np.bincount(seen // len(self.words), self.weight[seen % len(self.words)], minlength=n)
-        return z + self.density * density(np.bincount(row[self.telling[at]], minlength=n), total)
+        key = word_keys(buf, offs)
+        cols, hit = self.lexicon.columns(_word(key))
+        return np.bincount(_row(key)[hit], self.weight[cols], minlength=len(offs) - 1)
 
     def above(self, z: np.ndarray) -> np.ndarray:
         """(rows, GRADES): the probability of each grade or a higher one."""
         return 1 / (1 + np.exp(np.clip(self.theta[None, :] - z[:, None], -40, 40)))
 
 
-def density(hits: np.ndarray, words: np.ndarray) -> np.ndarray:
-    return np.log1p(100 * hits / words)
-
-
 def fit_ordinal(x: np.ndarray | Sparse, grade: np.ndarray, weight: np.ndarray, steps: int = 800, rate: float = 0.05, decay: float = 2e-3) -> tuple[np.ndarray, np.ndarray]:
     """(w, theta) by Adam on the weighted log-likelihood of the cumulative-link model with a ridge on w."""
     d = x.shape[1]
@@ -158,37 +179,41 @@ def fit_ordinal(x: np.ndarray | Sparse, grade: np.ndarray, weight: np.ndarray, s
     return par[:d], par[d] + np.concatenate([[0], np.cumsum(np.exp(par[d + 1 :]))])
 
 
-def fit(words: list[np.ndarray], counts: list[np.ndarray], toxic: np.ndarray, share: float, good: np.ndarray, telling: np.ndarray) -> Model:
-    """The model of sampled bags of words over the lexicon ``good``; ``share`` is that of toxic texts among all labelled ones."""
+def grades(evidence: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """0 for other texts; the third of its evidence among the toxic ones, 1 to 3, ties to the lower."""
+    out = np.zeros(len(toxic), np.int64)
+    if toxic.any():
+        out[toxic] = 1 + np.searchsorted(np.quantile(evidence[toxic], [1 / 3, 2 / 3]), evidence[toxic], "left")
+    return out
+
+
+def fit(cols: np.ndarray, row: np.ndarray, toxic: np.ndarray, part: np.ndarray, lex: Lexicon) -> Model:
+    """The model of sampled texts given as entries (row, column); ``part`` is the half of each text."""
     ones, zeros = int(toxic.sum()), int((~toxic).sum())
-    if not ones or not zeros or not len(good):
-        return Model(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, bool), 0.0, np.array([3.0, 4.0, 5.0]))
-    flat, many, of = np.concatenate(words), np.concatenate(counts), np.repeat(np.arange(len(words)), [len(w) for w in words])
-    at = np.minimum(np.searchsorted(good, flat), len(good) - 1)
-    hit = good[at] == flat
-    told = hit & telling[at]
-    dense = density(np.bincount(of[told], many[told], minlength=len(words)), np.maximum(np.bincount(of, many, minlength=len(words)), 1))
-    row, col = np.concatenate([of[hit], np.arange(len(words))]), np.concatenate([at[hit], np.full(len(words), len(good))])
-    x = Sparse(row, col, np.concatenate([np.ones(int(hit.sum())), dense]), (len(words), len(good) + 1))
-    grade = np.zeros(len(words), np.int64)
-    grade[toxic] = 1 + np.searchsorted(np.quantile(dense[toxic], [1 / 3, 2 / 3]), dense[toxic], "left")
-    weight = np.where(toxic, share / ones, (1 - share) / zeros)
-    w, theta = fit_ordinal(x, grade, weight)
-    return Model(good, w[:-1], telling, float(w[-1]), theta)
-
-
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Lexicon from all labelled texts outside fold 0, weights from at most ``MAX_PER_CLASS`` of each class."""
-    known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (fold(id_col) != 0))
-    n, ones = known.agg(F.count("*"), F.sum((F.col(label_col) == 1).cast("long"))).first()
-    every = known.filter(F.col(label_col).isin(0, 1)).select(id_col, F.col(label_col).cast("int").alias("label")).distinct()
-    good, telling = lexicon(docs.select(id_col, text_col).join(F.broadcast(every) if n <= BROADCAST_LABELS else every, id_col).select("label", text_col))
-    parts = [sample_ids(known.filter(F.col(label_col) == k), MAX_PER_CLASS, f"toxic{k}", id_col).withColumn("label", F.lit(k)) for k in (0, 1)]
-    ids = parts[0].union(parts[1])  # at most 2 * MAX_PER_CLASS rows
-    rows = docs.select(id_col, text_col).join(F.broadcast(ids), id_col).select(id_col, "label", text_col)
-    t = rows.mapInArrow(lean(_bags), f"id {docs.schema[id_col].dataType.simpleString()}, label int, words array<long>, counts array<int>").toArrow().sort_by("id")
-    bags = [[x.values.to_numpy() for x in t[c].combine_chunks()] for c in ("words", "counts")] if len(t) else [[], []]
-    return fit(*bags, t["label"].to_numpy() == 1, ((ones or 0) + 1) / (n + 2), good, telling)
+    if not ones or not zeros or not len(lex.words):
+        return Model(Lexicon(np.zeros(0, np.int64), np.zeros((2, 0))), np.zeros(0), np.array([3.0, 4.0, 5.0]))
+    grade = grades(np.bincount(row, lex.evidence[part[row], cols], minlength=len(toxic)), toxic)
+    x = Sparse(row, cols, np.ones(len(cols)), (len(toxic), len(lex.words)))
+    return Model(lex, *fit_ordinal(x, grade, np.where(toxic, TOXIC_WEIGHT / ones, (1 - TOXIC_WEIGHT) / zeros)))
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_per_class: int = MAX_PER_CLASS) -> Model:
+    """Lexicon from all labelled texts outside fold 0, weights from at most ``max_per_class`` of each class (of them the driver gets lexicon columns only).
+
+    An id labelled both toxic and not counts as toxic. Null labels and ids are not learned from.
+    """
+    known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (fold(id_col) != 0)).groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("label"), half(id_col).alias("half"))
+    known = materialize(known, "labels")
+    lex = lexicon(docs.select(id_col, text_col).join(F.broadcast(known) if known.count() <= BROADCAST_LABELS else known, id_col).select("label", "half", text_col))
+    ids = sample_ids(known.filter("label = 0"), max_per_class, "toxic0", id_col).union(sample_ids(known.filter("label = 1"), max_per_class, "toxic1", id_col))
+    mine = known.join(F.broadcast(ids), id_col, "left_semi")  # at most 2 * max_per_class rows
+    rows = docs.select(id_col, text_col).join(F.broadcast(mine), id_col).select(id_col, "label", "half", text_col)
+    t = rows.mapInArrow(lean(_hits(lex)), f"id {docs.schema[id_col].dataType.simpleString()}, label int, half int, cols array<int>").toArrow().sort_by("id")
+    if not len(t):
+        return fit(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64), lex)
+    lists = t["cols"].combine_chunks()
+    sizes = np.diff(lists.offsets.to_numpy())
+    return fit(lists.flatten().to_numpy(), np.repeat(np.arange(len(t)), sizes), t["label"].to_numpy() == 1, t["half"].to_numpy(), lex)
 
 
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -58,7 +58,7 @@ def test_toxic_on_held_out_labels(spark, labels):
     got = [(r.label, r.toxic, r.severity, r.grade) for r in rows.join(labels.withColumnRenamed("toxic", "label"), "doc_id").filter(fold() == 0).collect()]
     y, p, s, g = map(np.array, zip(*got, strict=True))
     print("recall", (p[y == 1] == 1).mean(), "clean", (p[y == 0] == 0).mean())
-    assert (p[y == 1] == 1).mean() >= 0.8 and (p[y == 0] == 0).mean() >= 0.98
+    assert (p[y == 1] == 1).mean() >= 0.9 and (p[y == 0] == 0).mean() >= 0.99
     assert s[y == 1].mean() > s[y == 0].mean() + 0.8 and set(g) <= {0, 1, 2, 3}
 
 
@@ -79,11 +79,70 @@ def test_toxic_words_without_clean_texts(spark):
     clean = [(i, " ".join(f"good{(7 * i + k) % 90}" for k in range(20)) + " plain words here") for i in range(180, 780)]
     docs = spark.createDataFrame(toxic + clean, "doc_id long, text string").repartition(3)
     m = T.train(docs, spark.createDataFrame([(i, int(i < 180)) for i in range(780)], "doc_id long, toxic int"))
-    assert m.telling.sum() > 256
+    assert (m.weight > 0).sum() > 256
     got = T.score_toxicity(docs, m).filter(fold() == 0).collect()
     assert {r.doc_id < 180 for r in got} == {True, False} and all((r.p_toxic >= 0.5) == (r.doc_id < 180) for r in got)
 
 
+def test_ordinal_gradient_is_that_of_the_likelihood(monkeypatch):
+    """One step of the fit moves against a gradient taken by differences of the written-out likelihood."""
+    g = np.random.default_rng(4)
+    x, grade = g.normal(size=(40, 3)), g.integers(0, 4, 40)
+    weight = g.uniform(0.5, 2, 40)
+
+    def loss(par):
+        theta = par[3] + np.concatenate([[0], np.cumsum(np.exp(par[4:]))])
+        total = 0.0
+        for xi, k, w in zip(x, grade, weight / weight.sum(), strict=True):
+            up = [1.0, *(1 / (1 + np.exp(t - xi @ par[:3])) for t in theta), 0.0]
+            total -= w * np.log(up[k] - up[k + 1])
+        return total + 2e-3 / 40**0.5 * (par[:3] ** 2).sum() / 2
+
+    start, eps = np.array([0.0, 0, 0, 1, 0, 0]), 1e-6
+    want = np.array([(loss(start + eps * np.eye(6)[k]) - loss(start - eps * np.eye(6)[k])) / (2 * eps) for k in range(6)])
+    w, theta = T.fit_ordinal(x, grade, weight, steps=1, rate=1e-3)
+    moved = np.concatenate([w, [theta[0]], np.log(np.diff(theta))]) - start
+    assert np.allclose(moved, -1e-3 * np.sign(want), atol=1e-6)  # Adam's first step has the sign of the gradient
+    many_w, many_theta = T.fit_ordinal(x, grade, weight, steps=4000)
+    best = np.concatenate([many_w, [many_theta[0]], np.log(np.diff(many_theta))])
+    assert all(loss(best) <= loss(best + 0.05 * np.eye(6)[k] * s) for k in range(6) for s in (1, -1))
+
+
+def test_lexicon_counts_equal_brute_force(spark):
+    import math
+    import re
+
+    g = np.random.default_rng(6)
+    rows = [(int(k % 3 == 0), int(g.integers(0, 2)), " ".join(f"w{int(x)}" + "bad" * int(k % 3 == 0 and x % 5 == 0) for x in g.integers(0, 40, 30))) for k in range(120)]
+    lex = T.lexicon(spark.createDataFrame(rows, "label int, half int, text string").repartition(5))
+    n = np.zeros((2, 2))
+    seen = {}
+    for label, part, text in rows:
+        n[part, label] += 1
+        for w in set(re.findall(r"[a-z0-9']+", text)):
+            seen.setdefault(w, np.zeros((2, 2)))[part, label] += 1
+    part = lambda o, e: o * math.log(o / e) if o else 0.0
+    want = []
+    for c in seen.values():
+        (b, a), (zeros, ones) = c.sum(axis=0), n.sum(axis=0)
+        t, m = ones + zeros, a + b
+        if 2 * (part(a, m * ones / t) + part(b, m * zeros / t) + part(ones - a, (t - m) * ones / t) + part(zeros - b, (t - m) * zeros / t)) >= T.LEAST_RATIO:
+            odds = [max(0.0, math.log((c[k, 1] + 0.5) / (n[k, 1] + 1)) - math.log((c[k, 0] + 0.5) / (n[k, 0] + 1))) for k in (0, 1)]
+            want.append((round(odds[1], 9), round(odds[0], 9)))
+    assert want and sorted(want) == sorted((round(a, 9), round(b, 9)) for a, b in lex.evidence.T)
+
+
+def test_grades_are_no_feature_and_ignore_the_own_label(spark):
+    docs = spark.createDataFrame([(i, f"calm text {i} bad{i % 9} bad{i % 7}" if i % 2 else f"calm text {i}") for i in range(400)], "doc_id long, text string")
+    label = [(i, i % 2) for i in range(400)]
+    m = T.train(docs, spark.createDataFrame(label, "doc_id long, toxic int"))
+    assert len(m.weight) == len(m.lexicon.words) and m.lexicon.evidence.shape == (2, len(m.weight))
+    evidence = np.array([0.0, 1, 2, 3, 4, 5, 9, 9])
+    assert T.grades(evidence, np.array([False, True, True, True, True, True, True, False])).tolist() == [0, 1, 1, 2, 2, 3, 3, 0]
+    twice = T.train(docs, spark.createDataFrame([*label, (1, 0), (2, None), (None, 1)], "doc_id long, toxic int"))
+    assert np.array_equal(m.weight, twice.weight)
+
+
 def test_toxic_recall_of_each_language(spark, labels):
     from freshet.llm.labelled import fold
 
