@@ -1,8 +1,12 @@
 """Quality classifier from positive and unlabelled texts.
 
-A linear model on shape measures of a text minimises the non-negative unbiased risk
-``p R+(f) + max(0, Ru-(f) - p R-(f))`` with logistic loss: R+ and R- over trusted positives (label 1), Ru-
-over unlabelled web text, p the class prior, estimated as the share of label 1 among the labels that may be learned.
+A linear model f on shape measures of a text minimises the non-negative unbiased risk
+``p R+(f) + max(0, Ru-(f) - p R-(f))`` with logistic loss: R+ and R- are means over trusted positives (label 1), Ru-
+is the mean over all texts, taken as unlabelled, and p is the class prior. Each step is a Newton step: its sums over all texts (loss, gradient and
+curvature, some 750 numbers) are one aggregate in Spark; the positives, a bounded sample, stand on the driver.
+
+The prior is estimated without negatives: a first model tells positives from unlabelled texts, and for every set of
+high scores the share of all texts in it over the share of the positives in it bounds the prior from above; the least bound is taken.
 """
 
 from __future__ import annotations
@@ -17,12 +21,18 @@ from pyspark.sql import functions as F
 
 from .labelled import fold, sample_ids
 from .quality_rules import measure
-from .tables import read_table
+from .tables import materialize, read_table
 from .texts import HASH_BITS, WHITE, chunks, lean, pieces, span_hashes
 
-#: Bounds of the rows that the model is fitted on: trusted positives, and unlabelled texts.
-MAX_POSITIVE, MAX_UNLABELLED = 6000, 12000
+#: Bound of the trusted positives that the model is fitted on; a parameter of ``train``. Unlabelled are all texts.
+MAX_POSITIVE = 6000
 THRESHOLD = 0.3
+#: Newton steps at most, the gradient that ends them, the ridge, and standard deviations beyond which a measure is cut.
+STEPS, ENOUGH, RIDGE, CUT = 20, 1e-4, 1e-4, 5.0
+#: Width over which the corner of the non-negative part is rounded.
+KINK = 1e-3
+#: Sets of high scores that may bound the prior hold at least this share of the positives.
+LEAST_MASS = 0.5
 _U = np.uint64
 _CLASS = np.zeros(256, np.int64)  # 1 digit, 2 sentence end, 3 other ASCII punctuation
 _CLASS[48:58] = 1
@@ -52,73 +62,157 @@ def shape(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.concatenate([x, x**2], axis=1)
 
 
+N_FEATURES = 26
+
+
+def _sig(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
 @dataclass
 class Model:
     mean: np.ndarray
     scale: np.ndarray
-    weight: np.ndarray
-    bias: float
+    weight: np.ndarray  # the bias comes last
     prior: float
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        f = np.clip((x - self.mean) / self.scale, -5, 5) @ self.weight + self.bias
-        return 1 / (1 + np.exp(-np.clip(f, -40, 40)))
-
-
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 1500, rate: float = 0.05, decay: float = 1e-4) -> Model:
-    """Full-batch Adam on the non-negative risk; where its second part falls below zero, that part alone is raised again."""
-    every = np.concatenate([positive, unlabelled]) if len(positive) + len(unlabelled) else np.zeros((1, 26))
-    mean, scale = every.mean(axis=0), every.std(axis=0) + 1e-6
-    if not len(positive) or not len(unlabelled):
-        return Model(mean, scale, np.zeros(every.shape[1]), float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))), prior)
-    p, u = (np.column_stack([np.clip((x - mean) / scale, -5, 5), np.ones(len(x))]) for x in (positive, unlabelled))
-    w = np.zeros(p.shape[1])
-    first, second = np.zeros_like(w), np.zeros_like(w)
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-    for t in range(1, steps + 1):
-        fp, fu = p @ w, u @ w
-        minus = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-        g_plus = -prior * (sig(-fp) @ p) / len(p)
-        g_minus = (sig(fu) @ u) / len(u) - prior * (sig(fp) @ p) / len(p)
-        g = (g_plus + g_minus if minus >= 0 else -g_minus) + decay * np.append(w[:-1], 0)
-        first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
-        w -= rate * (1 - t / steps) * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-9)
-    return Model(mean, scale, w[:-1], float(w[-1]), prior)
-
-
-def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for i, j, buf, offs in chunks(b.column(1)):
-            x = shape(buf, offs)
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))], ["id", "x"])
-
-
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """Fit on at most ``MAX_POSITIVE`` positives outside fold 0 and ``MAX_UNLABELLED`` texts, whose labels are not looked at."""
-    known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (fold(id_col) != 0))
-    n, ones = known.agg(F.count("*"), F.sum((F.col(label_col) == 1).cast("long"))).first()
-    prior = min(max(((ones or 0) + 1) / (n + 2), 0.01), 0.99)
-
-    def shapes(ids: DataFrame) -> np.ndarray:
-        x = docs.select(id_col, text_col).join(F.broadcast(ids), id_col, "left_semi").mapInArrow(lean(_shapes), f"id {docs.schema[id_col].dataType.simpleString()}, x array<double>").toArrow()
-        x = x.sort_by("id")["x"].combine_chunks()
-        return x.flatten().to_numpy().reshape(len(x), -1) if len(x) else np.zeros((0, 26))
-
-    return fit_nnpu(shapes(sample_ids(known.filter(F.col(label_col) == 1), MAX_POSITIVE, "positive", id_col)), shapes(sample_ids(docs, MAX_UNLABELLED, "unlabelled", id_col)), prior)
+        return _sig(standard(x, self.mean, self.scale) @ self.weight)
 
 
-def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col`` and ``score`` (0 to 1) of every row. Null texts count as empty; repeated rows are scored each; other columns are ignored."""
+def standard(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Standardised measures, cut at ``CUT``, with a column of ones."""
+    return np.column_stack([np.clip((x - mean) / scale, -CUT, CUT), np.ones(len(x))])
+
+
+def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, x): the shape measures of every row, written once for the passes of the fit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, buf, offs in chunks(b.column(1)):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(model.score(shape(buf, offs)))], [id_col, "score"])
+                x = shape(buf, offs)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))], [id_col, "x"])
+
+    return materialize(docs.select(F.col(id_col), F.col(text_col).alias("__text")).mapInArrow(lean(run), f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, x array<double>"), "measures")
+
+
+def _rows(x: pa.Array) -> np.ndarray:
+    return x.flatten().to_numpy().reshape(len(x), N_FEATURES)
 
-    return docs.select(F.col(id_col), F.col(text_col).alias("__text")).mapInArrow(lean(run), f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, score double")
+
+def _sum(made: DataFrame, parts) -> np.ndarray:
+    """The sum over all rows of ``parts(x)``, an array: added up in each task, then by place in Spark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = parts(np.zeros((0, N_FEATURES)))
+        for b in batches:
+            total = total + parts(_rows(b.column(0)))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], ["k", "v"])
+
+    got = made.select("x").mapInArrow(lean(run), "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).toArrow().sort_by("k")
+    return got["v"].to_numpy() if len(got) else parts(np.zeros((0, N_FEATURES)))
+
+
+def _loss_parts(mean: np.ndarray, scale: np.ndarray, w: np.ndarray):
+    """Sums of log(1 + e^f), its gradient and its curvature over rows."""
+
+    def parts(x: np.ndarray) -> np.ndarray:
+        z = standard(x, mean, scale)
+        s = _sig(f := z @ w)
+        return np.concatenate([[np.logaddexp(0, f).sum()], s @ z, ((s * (1 - s))[:, None] * z).T.dot(z).ravel()])
+
+    return parts
+
+
+def _newton(made: DataFrame, n: int, p: np.ndarray, mean: np.ndarray, scale: np.ndarray, prior: float | None) -> np.ndarray:
+    """Weights of least non-negative risk with ``prior``; with None those that tell ``p`` from all rows."""
+    d = p.shape[1]
+    ridge = RIDGE * np.append(np.ones(d - 1), 1e-3)
+
+    def at(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        every = _sum(made, _loss_parts(mean, scale, w)) / n
+        loss, slope, bend = every[0], every[1 : d + 1], every[d + 1 :].reshape(d, d)
+        f = p @ w
+        s = _sig(f)
+        curve = (p * (s * (1 - s))[:, None]).T @ p / len(p)
+        if prior is None:
+            risk, g, h = loss + np.logaddexp(0, -f).mean(), slope - (1 - s) @ p / len(p), bend + curve
+        else:
+            # max(0, v) with its corner rounded over KINK, so that the steps can follow it
+            v, dv = loss - prior * np.logaddexp(0, f).mean(), slope - prior * s @ p / len(p)
+            root = np.hypot(v, KINK)
+            part, bent = (1 + v / root) / 2, KINK**2 / (2 * root**3)
+            risk = prior * np.logaddexp(0, -f).mean() + (v + root) / 2
+            g = -prior * (1 - s) @ p / len(p) + part * dv
+            h = prior * (1 - part) * curve + part * bend + bent * np.outer(dv, dv)
+        return risk + (ridge * w * w).sum() / 2, g + ridge * w, h + np.diag(ridge) + 1e-9 * np.eye(d)
+
+    w = np.zeros(d)
+    risk, g, h = at(w)
+    for _ in range(STEPS):
+        if np.abs(g).max() < ENOUGH:
+            break
+        step = np.linalg.solve(h, g)
+        for t in (1.0, 0.5, 0.25, 0.0625):
+            new = at(w - t * step)
+            if new[0] < risk:
+                break
+        else:
+            break
+        w, (risk, g, h) = w - t * step, new
+    return w
+
+
+def _prior(made: DataFrame, n: int, p: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> float:
+    w = _newton(made, n, p, mean, scale, None)
+    mine = np.sort(p @ w)
+    cuts = np.unique(mine[(len(mine) * np.arange(20) / 20 * (1 - LEAST_MASS)).astype(int)])
+    above = _sum(made, lambda x: ((standard(x, mean, scale) @ w)[:, None] >= cuts[None, :]).sum(axis=0).astype(float)) / n
+    mass = (mine[:, None] >= cuts[None, :]).mean(axis=0)
+    return float(np.clip((above / mass).min(), 0.01, 0.99))
+
+
+def fit_nnpu(made: DataFrame, positive: np.ndarray, prior: float | None = None) -> Model:
+    """The model of (x) rows and measures of positives; without a ``prior`` it is estimated. Without rows or positives all scores are 1/2."""
+    sums = _sum(made, lambda x: np.concatenate([[len(x)], x.sum(axis=0), (x * x).sum(axis=0)]))
+    n = int(sums[0])
+    if not n or not len(positive):
+        return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES + 1), prior or 0.5)
+    mean = sums[1 : N_FEATURES + 1] / n
+    scale = np.sqrt(np.maximum(sums[N_FEATURES + 1 :] / n - mean**2, 0)) + 1e-6
+    p = standard(positive, mean, scale)
+    prior = _prior(made, n, p, mean, scale) if prior is None else prior
+    return Model(mean, scale, _newton(made, n, p, mean, scale, prior), prior)
+
+
+def train(made: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", max_positive: int = MAX_POSITIVE) -> Model:
+    """Fit on the ``measures`` of all texts and at most ``max_positive`` texts labelled 1 outside fold 0; no other label is looked at.
+
+    Null labels and ids are not learned from; of an id with both labels the 1 counts.
+    """
+    known = labels.filter((F.col(label_col) == 1) & F.col(id_col).isNotNull() & (fold(id_col) != 0))
+    ids = sample_ids(known, max_positive, "positive", id_col)  # at most max_positive rows
+    x = made.join(F.broadcast(ids), id_col, "left_semi").select(id_col, "x").toArrow().sort_by(id_col)["x"].combine_chunks()
+    return fit_nnpu(made, _rows(x))
+
+
+def score_measures(made: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
+    """``id_col`` and ``score`` (0 to 1) of every row of ``measures``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(_rows(b.column(1))))], [id_col, "score"])
+
+    return made.select(id_col, "x").mapInArrow(lean(run), f"`{id_col}` {made.schema[id_col].dataType.simpleString()}, score double")
+
+
+def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col`` and ``score`` (0 to 1) of every row. Null texts count as empty; repeated rows are scored each; other columns are ignored."""
+    return score_measures(measures(docs, id_col, text_col), model, id_col)
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
-    model = train(docs, read_table(spark, sf_dir, "labels"))
-    return score_quality(docs, model).select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    made = measures(read_table(spark, sf_dir, "documents"))
+    model = train(made, read_table(spark, sf_dir, "labels"))
+    return score_measures(made, model).select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -34,22 +34,55 @@ def test_quality_folds_and_repeatability(spark, sf):
 
 def test_quality_of_odd_rows(spark, odd, none):
     lab = spark.createDataFrame([(2, 1, 0), (5, 0, 1), (None, 1, None), (12, None, 1), (12, 1, 0)], "doc_id long, quality int, toxic int")
-    m = Q.train(odd, lab)
+    m = Q.train(Q.measures(odd), lab)
     got = Q.score_quality(odd, m).collect()
     assert len(got) == len(ODD) + 2 and all(0 <= r.score <= 1 for r in got)
-    assert Q.score_quality(none, Q.train(none, lab.limit(0))).count() == 0
+    assert Q.score_quality(none, Q.train(Q.measures(none), lab.limit(0))).count() == 0
+    assert {r.score for r in Q.score_quality(odd, Q.train(Q.measures(odd), lab.limit(0))).collect()} == {0.5}
     t = T.score_toxicity(odd, T.train(odd, lab)).collect()
     assert len(t) == len(ODD) + 2 and all(0 <= r.severity <= 3 for r in t)
     assert T.score_toxicity(none, T.train(none, lab.limit(0))).count() == 0
 
 
-def test_nnpu_risk_separates_without_negatives():
+def table(spark, x):
+    return spark.createDataFrame([(r.tolist(),) for r in x], "x array<double>").repartition(4)
+
+
+def test_nnpu_risk_separates_without_negatives(spark):
     g = np.random.default_rng(1)
     pos, neg = g.normal(1, 0.5, (4000, 26)), g.normal(-1, 0.5, (1000, 26))
-    m = Q.fit_nnpu(pos[:2000], np.concatenate([pos[2000:], neg]), 2 / 3)
+    every = table(spark, np.concatenate([pos[2000:], neg]))
+    assert abs(Q.fit_nnpu(every, pos[:2000]).prior - 2 / 3) < 0.05
+    m = Q.fit_nnpu(every, pos[:2000], 2 / 3)
     assert (m.score(pos) > 0.5).mean() > 0.98 and (m.score(neg) < 0.5).mean() > 0.98
 
 
+def test_nnpu_minimum_equals_brute_force(spark):
+    """The distributed Newton steps end where plain gradient descent on the written-out risk ends."""
+    g = np.random.default_rng(3)
+    x = np.concatenate([g.normal(0.2, 1, (300, 26)), g.normal(-0.3, 1, (200, 26))])
+    pos, prior = g.normal(0.2, 1, (250, 26)), 0.6
+    m = Q.fit_nnpu(table(spark, x), pos, prior)
+    assert np.allclose(m.mean, x.mean(axis=0)) and np.allclose(m.scale, x.std(axis=0) + 1e-6)
+    p, u = (np.column_stack([np.clip((v - x.mean(axis=0)) / (x.std(axis=0) + 1e-6), -5, 5), np.ones(len(v))]) for v in (pos, x))
+    ridge = Q.RIDGE * np.append(np.ones(26), 1e-3)
+    sp = lambda v: np.logaddexp(0, v)
+
+    def risk(w):
+        v = sp(u @ w).mean() - prior * sp(p @ w).mean()
+        return prior * sp(-p @ w).mean() + (v + np.hypot(v, Q.KINK)) / 2 + (ridge * w * w).sum() / 2
+
+    here = risk(m.weight)
+    assert all(here <= risk(m.weight + s * 0.02 * e) + 1e-9 for e in np.eye(27) for s in (1, -1))
+    w = np.zeros(27)
+    for _ in range(20000):
+        su, s = (1 / (1 + np.exp(-(x @ w))) for x in (u, p))
+        v = sp(u @ w).mean() - prior * sp(p @ w).mean()
+        part = (1 + v / np.hypot(v, Q.KINK)) / 2
+        w -= 0.2 * (-prior * (1 - s) @ p / len(p) + part * (su @ u / len(u) - prior * s @ p / len(p)) + ridge * w)
+    assert here <= risk(w) + 1e-6 and risk(w) - here < 0.02
+
+
 def test_toxic_on_held_out_labels(spark, labels):
     from freshet.llm.labelled import fold
 
