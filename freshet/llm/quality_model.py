@@ -30,7 +30,7 @@ THRESHOLD = 0.3
 #: Newton steps at most, the gradient that ends them, the ridge, and standard deviations beyond which a measure is cut.
 STEPS, ENOUGH, RIDGE, CUT = 20, 1e-4, 1e-4, 5.0
 #: Width over which the corner of the non-negative part is rounded.
-KINK = 1e-3
+KINK = 1e-2
 #: Sets of high scores that may bound the prior hold at least this share of the positives.
 LEAST_MASS = 0.5
 _U = np.uint64
