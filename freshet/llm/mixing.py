@@ -17,8 +17,8 @@ from pyspark.sql import Window
 
 from .tables import materialize, read_table
 
-#: Blocks of a source, probes a round and rounds of the bisection (interval 17 ** -6 at the end).
-BLOCKS, PROBES, ROUNDS = 256, 16, 6
+#: Least blocks of a source, documents for each further block, probes a round and rounds of the bisection (interval 17 ** -6 at the end).
+BLOCKS, BLOCK_ROWS, PROBES, ROUNDS = 256, 20_000, 16, 6
 #: Rows (about 100 bytes each) of the block plan that may be broadcast; a longer plan is joined by a shuffle on (source, block).
 BROADCAST_PLAN = 100_000
 MAX_REPEATS = 1.5
@@ -80,20 +80,22 @@ def weights(totals: DataFrame, alpha: float, budget: int | None = None) -> DataF
 
 
 def mix_sources(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", target_entropy: float | None = None, max_repeats: float | None = MAX_REPEATS, budget: int | None = None, seed: int = 1, blocks: int = BLOCKS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", target_entropy: float | None = None, max_repeats: float | None = MAX_REPEATS, budget: int | None = None, seed: int = 1, blocks: int | None = None
 ) -> DataFrame:
     """``row`` (all columns of ``docs``), ``source``, ``tokens``, ``epoch``, ``block_rank``, ``position`` for every document taken.
 
     Tokens are white-space words plus one per document. With ``budget`` None the quotas are the least that follow
     the weights and still take every document once, so nothing is dropped and smaller sources repeat. A null
-    source is the source "". Null and empty texts count one token. Rows with equal or null ids share a place
-    in the order and are taken together or, at a cut, by their running tokens. An empty table gives no rows.
+    source is the source "". Null and empty texts count one token. Rows with equal ids, and rows with null ids and equal texts, share a place
+    in the order and are taken together or, at a cut, by their running tokens. An empty table gives no rows. The number of
+    ``blocks`` of a source follows the number of rows, so that a block is a bounded part of a task.
     (epoch, block_rank, position) is the order of reading within a source.
     """
-    spark = docs.sparkSession
+    blocks = blocks or max(BLOCKS, docs.count() // BLOCK_ROWS)
     words = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
     rows = docs.select(
-        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col(source_col), F.lit("")).alias("source"), (words + 1).cast("long").alias("tokens"), F.col(id_col).alias("id")
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col(source_col), F.lit("")).alias("source"), (words + 1).cast("long").alias("tokens"),
+        F.when(F.col(id_col).isNull(), F.xxhash64(F.lit("text"), F.col(text_col))).otherwise(F.xxhash64(F.col(id_col))).alias("id")
     ).withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(blocks)).cast("int"))
     measured = materialize(rows.select("source", "tokens", "id", "block"), "mix")
     totals = materialize(source_totals(measured), "totals")

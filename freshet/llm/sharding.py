@@ -19,8 +19,8 @@ from .tables import materialize, read_table
 
 #: Bits of the key, and bits counted a round: at most 4,096 sums for each open range go to the driver.
 KEY_BITS, DIGIT = 63, 12
-#: Bits of the text's and of the id's hash that name a slot range: at most 2 ** 18 ranges, however many rows.
-RANGE_BITS, RANGE_ID_BITS = 8, 10
+#: Bits of the text's and of the id's hash that name a slot range: at most 2 ** 16 ranges and 2 ** 10 more a shard (some 5 MB, broadcast), however many rows.
+RANGE_BITS, RANGE_ID_BITS = 6, 10
 
 
 @dataclass
