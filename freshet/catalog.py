@@ -11,8 +11,9 @@ import datetime as dt
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
-from .operators import coverage, flood, forcing, image, normalize, persistence, runs, screen, select, ssi
+from .operators import coverage, flood, forcing, image, normalize, persistence, quantiles, runs, screen, select, ssi
 from .plans import design
 from .sources import envelope, panel
 
@@ -40,8 +41,8 @@ def anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
     totals = ssi.accumulate(monthly(spark, sf_dir)).filter("total is not null").withColumn("cal_month", F.month("month"))
     law = totals.groupBy("cal_month").agg(F.avg("total").alias("mean"), F.stddev_pop("total").alias("sd"))
     z = totals.join(F.broadcast(law), "cal_month").withColumn("z", F.round((F.col("total") - F.col("mean")) / F.col("sd"), 9))  # twelve rows
-    pre = z.filter("pos = 5").select("scenario_id", F.col("z").alias("z_pre"))
-    return z.filter("pos > 5").select("scenario_id", "month", (F.col("pos") - 6).alias("pos"), "z").join(pre, "scenario_id", "left")
+    pre = F.first(F.when(F.col("pos") == 5, F.col("z")), ignorenulls=True).over(Window.partitionBy("scenario_id"))
+    return z.withColumn("z_pre", pre).filter("pos > 5").select("scenario_id", "month", (F.col("pos") - 6).alias("pos"), "z", "z_pre")
 
 
 def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +58,7 @@ def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The selection: ``row_ix`` of the pool's upper fifth by total flow."""
     p = pool(spark, sf_dir)
-    cut = p.agg(F.percentile("total", F.lit(0.8)).alias("cut"))
+    cut = quantiles.exact_percentiles(p.select(F.lit("").alias("all"), "total"), "all", "total", (0.8,)).select(F.col("q")[0].alias("cut"))
     return p.crossJoin(F.broadcast(cut)).filter("total > cut").select("row_ix")  # one row
 
 
@@ -115,8 +116,6 @@ def q_design_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dense(p: DataFrame) -> DataFrame:
     """Rows numbered from 0 in id order: counts before each of 64 ranges of ids, then numbers within a range."""
-    from pyspark.sql import Window
-
     lo, hi = p.agg(F.min("row_ix"), F.max("row_ix")).first()
     part = F.floor((F.col("row_ix") - F.lit(lo or 0)) * 64 / F.lit((hi or 0) - (lo or 0) + 1))
     ranged = p.withColumn("__p", part)
@@ -166,7 +165,7 @@ def q_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = normalize.long_form(pool(spark, sf_dir), AXES)
-    cut = long.groupBy("axis").agg(F.percentile("value", F.lit(0.75)).alias("cut"))
+    cut = quantiles.exact_percentiles(long, "axis", "value", (0.75,)).select("axis", F.col("q")[0].alias("cut"))
     return select.jaccard_pairs(long.join(F.broadcast(cut), "axis").filter("value > cut").select(F.col("axis").alias("name"), "row_ix"))  # one row per axis
 
 
@@ -182,10 +181,8 @@ def q_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = [(a, b) for i, a in enumerate(AXES) for b in AXES[i + 1 :]]
-    row = pool(spark, sf_dir).agg(*(F.corr(a, b).alias(f"c{k}") for k, (a, b) in enumerate(pairs)))
-    total = sum((F.col(f"c{k}") * F.col(f"c{k}") for k in range(len(pairs))), F.lit(0.0))
-    return row.select((F.lit(float(len(AXES) ** 2)) / (len(AXES) + 2 * total)).alias("participation_ratio"))
+    got = screen.effective_dimension(pool(spark, sf_dir), AXES)
+    return spark.createDataFrame([(got["participation_ratio"],)], "participation_ratio double")
 
 
 QUERIES = {
@@ -227,11 +224,18 @@ QUERIES = {
     "maximin_selection": q_selector_rows("maximin"),
     "eps_cell_selection": q_selector_rows("eps_cell"),
     "certified_assignment": q_certified,
-    "mst_edges": lambda s, d: s.createDataFrame([(int(a), int(b), float(x)) for a, b, x in coverage.spanning_tree(tail_points(s, d), NEAR_AXES)], "row_a long, row_b long, length double"),
+    "mst_edges": lambda s, d: rounded(s.createDataFrame([(int(a), int(b), float(x)) for a, b, x in coverage.spanning_tree(tail_points(s, d), NEAR_AXES)], "row_a long, row_b long, length double")),
     "axis_clusters": lambda s, d: s.createDataFrame([(",".join(m), r) for m, r in screen.axis_clusters(pool(s, d), AXES, 0.5)], "members string, representative string"),
     "selector_comparison": q_comparison,
     "persistent_bootstrap": q_bootstrap,
     "sampled_forcing": q_sampled,
+    "nearest_summary": lambda s, d: rounded(coverage.nearest_summary(tail_points(s, d), NEAR_AXES)),
+    "ks_to_uniform": lambda s, d: rounded(coverage.ks_to_uniform(tail_points(s, d), NEAR_AXES)),
+    "corner_share": lambda s, d: rounded(coverage.corner_share(pool(s, d), tail(s, d), AXES)),
+    "face_share": lambda s, d: s.createDataFrame([(round(normalize.face_share(pool(s, d), AXES, tail(s, d)), 6),)], "face_share double"),
+    "axis_histogram": lambda s, d: rounded(coverage.histogram(pool(s, d), tail(s, d), AXES, 10)),
+    "not_selected": lambda s, d: pool(s, d).join(tail(s, d), "row_ix", "left_anti").select("row_ix"),
+    "resampled_months": lambda s, d: rounded(panel.resample_months(table(s, d, "lineitem").select(F.col("l_suppkey").alias("scenario_id"), F.to_date("l_shipdate").alias("day"), F.col("l_extendedprice").alias("flow")), "max")),
 }
 
 _DAILY = f"""
@@ -357,4 +361,28 @@ c AS (SELECT run, sum(l) / 12 AS m, sum(l * cos(t * pi() / 6)) / 6 AS a1, sum(l
 SELECT run, round(m, 6) AS m, round(sqrt(a1 * a1 + b1 * b1), 6) AS r1, round(atan2(b1, a1), 6) AS psi1, round(sqrt(a2 * a2 + b2 * b2), 6) AS r2, round(atan2(b2, a2), 6) AS psi2 FROM c""",
     "climate_adjustment": """WITH m AS (SELECT month(o_orderdate) AS month, avg(ln(o_totalprice)) AS mean, stddev_pop(ln(o_totalprice)) AS sd, avg(o_totalprice) FILTER (WHERE year(o_orderdate) >= 1998) / avg(o_totalprice) FILTER (WHERE year(o_orderdate) < 1998) AS a FROM orders GROUP BY 1)
 SELECT CAST(month AS BIGINT) AS month, round(mean, 6) AS mean, round(sd, 6) AS sd, round(a, 6) AS a, round(ln(a) + mean + sd * sd / 2 - 0.5 * ln(exp(sd * sd)), 6) AS mean_new, round(sqrt(ln(exp(sd * sd) - 1 + 1)), 6) AS sd_new FROM m""",
+    "mst_edges": f"""WITH RECURSIVE {_POOL}, e AS (SELECT p.row_ix AS u, q.row_ix AS v, (p.a - q.a) * (p.a - q.a) + (p.b - q.b) * (p.b - q.b) + (p.c - q.c) * (p.c - q.c) AS d2 FROM pts p JOIN pts q ON p.row_ix < q.row_ix),
+f AS (SELECT u AS x, v AS y, d2 FROM e UNION ALL SELECT v, u, d2 FROM e),
+reach(u, v, d2, node) AS (SELECT u, v, d2, u FROM e UNION SELECT r.u, r.v, r.d2, f.y FROM reach r JOIN f ON f.x = r.node AND f.d2 < r.d2)
+SELECT u AS row_a, v AS row_b, round(sqrt(d2), 6) AS length FROM e WHERE NOT EXISTS (SELECT 1 FROM reach r WHERE r.u = e.u AND r.v = e.v AND r.node = e.v)""",
+    "maximin_selection": f"""WITH RECURSIVE {_POOL}, num AS (SELECT row_number() OVER (ORDER BY row_ix) - 1 AS r, a, b, c FROM x), mid AS (SELECT avg(a) AS a, avg(b) AS b, avg(c) AS c, greatest(3, count(*) // 20) AS n FROM num),
+far AS (SELECT r, row_number() OVER (ORDER BY (num.a - mid.a) * (num.a - mid.a) + (num.b - mid.b) * (num.b - mid.b) + (num.c - mid.c) * (num.c - mid.c) DESC, r) AS k FROM num, mid),
+pick(k, taken) AS (SELECT 1::BIGINT, [r] FROM far WHERE k = 1
+  UNION ALL SELECT p.k + 1, list_append(p.taken, best.r) FROM pick p, mid, LATERAL (
+    SELECT arg_max(t.r, {{'d': t.d, 'i': -t.r}}) AS r FROM (SELECT n.r, min((n.a - o.a) * (n.a - o.a) + (n.b - o.b) * (n.b - o.b) + (n.c - o.c) * (n.c - o.c)) AS d FROM num n JOIN num o ON list_contains(p.taken, o.r) WHERE NOT list_contains(p.taken, n.r) GROUP BY n.r) t) best
+  WHERE p.k < mid.n)
+SELECT unnest(taken) AS row_ix FROM pick, mid WHERE k = n""",
+    "nearest_summary": f"""WITH {_POOL}, nn AS (SELECT p.row_ix, sqrt(min((p.a - q.a) * (p.a - q.a) + (p.b - q.b) * (p.b - q.b) + (p.c - q.c) * (p.c - q.c))) AS nn FROM pts p JOIN pts q ON p.row_ix <> q.row_ix GROUP BY 1)
+SELECT round(avg(nn), 6) AS nn_mean, round(stddev_pop(nn), 6) AS nn_std, round(min(nn), 6) AS nn_min, round(max(nn), 6) AS nn_max, round(stddev_pop(nn) / avg(nn), 6) AS nn_cv FROM nn""",
+    "ks_to_uniform": f"""WITH {_POOL}, u AS (SELECT axis, x, row_number() OVER (PARTITION BY axis ORDER BY x, row_ix) AS i, count(*) OVER (PARTITION BY axis) AS n FROM unit WHERE axis IN ('peak', 'discount', 'quantity') AND row_ix IN (SELECT row_ix FROM tail))
+SELECT axis, round(max(greatest(i / n::DOUBLE - x, x - (i - 1) / n::DOUBLE)), 6) AS ks_to_uniform FROM u GROUP BY 1""",
+    "corner_share": f"WITH {_POOL}, p AS (SELECT axis, quantile_cont(value, 0.9) AS q FROM long GROUP BY 1), s AS (SELECT row_ix, max(CAST(value > q AS DOUBLE)) AS any_ FROM long JOIN p USING (axis) WHERE row_ix IN (SELECT row_ix FROM tail) GROUP BY 1) SELECT round(avg(any_), 6) AS corner_share FROM s",
+    "face_share": f"WITH {_POOL}, s AS (SELECT row_ix, max(CAST(value < lo OR value > hi AS DOUBLE)) AS any_ FROM long JOIN bounds USING (axis) WHERE row_ix IN (SELECT row_ix FROM tail) GROUP BY 1) SELECT round(avg(any_), 6) AS face_share FROM s",
+    "axis_histogram": f"""WITH {_POOL}, span AS (SELECT axis, min(value) AS least, (max(value) - min(value)) / 10 AS width FROM long GROUP BY 1),
+b AS (SELECT axis, CAST(CASE WHEN width > 0 THEN least(floor((value - span.least) / width), 9) ELSE 0 END AS BIGINT) AS bin, span.least AS low, width, CAST(row_ix IN (SELECT row_ix FROM tail) AS BIGINT) AS s FROM long JOIN span USING (axis))
+SELECT axis, bin, round(low + bin * width, 6) AS lo, count(*) AS n, sum(s)::BIGINT AS selected FROM b GROUP BY axis, bin, low, width""",
+    "not_selected": f"WITH {_POOL} SELECT row_ix FROM pool WHERE row_ix NOT IN (SELECT row_ix FROM tail)",
+    "resampled_months": """WITH m AS (SELECT l_suppkey AS scenario_id, CAST(date_trunc('month', l_shipdate) AS DATE) AS month, max(l_extendedprice) AS flow FROM lineitem GROUP BY ALL),
+s AS (SELECT scenario_id, unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH)) AS month FROM m GROUP BY 1)
+SELECT s.scenario_id, CAST(s.month AS DATE) AS month, round(flow, 6) AS flow FROM s LEFT JOIN m ON m.scenario_id = s.scenario_id AND m.month = CAST(s.month AS DATE)""",
 }

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from .normalize import long_form
+from .quantiles import exact_percentiles
 
 MAX_SELECTION = 20_000
 
@@ -146,14 +147,24 @@ def ks_to_uniform(points: DataFrame, axes: Sequence[str]) -> DataFrame:
 
 def tail_shares(pool: DataFrame, selected: DataFrame, axes: Sequence[str], q: float = 90.0) -> DataFrame:
     """(axis, tail_share): share of the selected rows strictly above the pool's percentile."""
-    cut = long_form(pool, axes).groupBy("axis").agg(F.percentile("value", F.lit(q / 100)).alias("cut"))
+    cut = exact_percentiles(long_form(pool, axes), "axis", "value", (q / 100,)).select("axis", F.col("q")[0].alias("cut"))
     mine = long_form(pool.join(selected, "row_ix", "left_semi"), axes).join(F.broadcast(cut), "axis")  # one row per axis
     return mine.groupBy("axis").agg(F.avg((F.col("value") > F.col("cut")).cast("double")).alias("tail_share"))
 
 
+def histogram(pool: DataFrame, selected: DataFrame, axes: Sequence[str], bins: int = 20) -> DataFrame:
+    """(axis, bin, lo, n, selected): rows of the pool and of the selection in even bins between each axis's least and largest value; empty bins are left out."""
+    marked = pool.join(selected.select("row_ix").distinct().withColumn("__s", F.lit(1)), "row_ix", "left").withColumn("row_ix", F.coalesce("__s", F.lit(0)))
+    long = long_form(marked, axes)
+    span = long.groupBy("axis").agg(F.min("value").alias("least"), ((F.max("value") - F.min("value")) / bins).alias("width"))
+    at = F.when(F.col("width") > 0, F.least(F.floor((F.col("value") - F.col("least")) / F.col("width")), F.lit(bins - 1))).otherwise(F.lit(0))
+    binned = long.join(F.broadcast(span), "axis").withColumn("bin", at.cast("int"))  # one row per axis
+    return binned.groupBy("axis", "bin", (F.col("least") + F.col("bin") * F.col("width")).alias("lo")).agg(F.count("*").alias("n"), F.sum("row_ix").alias("selected"))
+
+
 def corner_share(pool: DataFrame, selected: DataFrame, axes: Sequence[str], q: float = 90.0) -> DataFrame:
     """One row ``corner_share``: share of the selected rows above the percentile on any axis."""
-    cut = long_form(pool, axes).groupBy("axis").agg(F.percentile("value", F.lit(q / 100)).alias("cut"))
+    cut = exact_percentiles(long_form(pool, axes), "axis", "value", (q / 100,)).select("axis", F.col("q")[0].alias("cut"))
     mine = long_form(pool.join(selected, "row_ix", "left_semi"), axes).join(F.broadcast(cut), "axis")
     return mine.groupBy("row_ix").agg(F.max((F.col("value") > F.col("cut")).cast("double")).alias("any")).agg(F.avg("any").alias("corner_share"))
 

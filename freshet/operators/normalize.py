@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from .quantiles import exact_percentiles
+
 LO, HI = 1.0, 99.0
 
 
@@ -26,7 +28,7 @@ def wide_form(long: DataFrame, axes: Sequence[str], value: str = "x") -> DataFra
 
 def bounds(image: DataFrame, axes: Sequence[str], lo: float = LO, hi: float = HI) -> DataFrame:
     """(axis, lo, hi): linear percentiles; an axis without range gets one of 1e-12."""
-    q = long_form(image, axes).groupBy("axis").agg(F.percentile("value", F.array(F.lit(lo / 100), F.lit(hi / 100))).alias("q"))
+    q = exact_percentiles(long_form(image, axes), "axis", "value", (lo / 100, hi / 100))
     return q.select("axis", F.col("q")[0].alias("lo"), F.when(F.col("q")[1] <= F.col("q")[0], F.col("q")[0] + 1e-12).otherwise(F.col("q")[1]).alias("hi"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .normalize import average_ranks, long_form, wide_form
+from .quantiles import exact_percentiles
 
 NEAR_DUPLICATE, REDUNDANT, LEAST_AXES = 0.95, 0.7, 3
 #: Preferred survivors of a group of near-duplicate axes.
@@ -20,8 +21,8 @@ def axis_spread(image: DataFrame, axes: Sequence[str]) -> DataFrame:
     """(axis, std, iqr, skew, modal_frac, degenerate): population moments, and the share of the commonest value at nine decimals."""
     long = long_form(image, axes)
     modal = long.groupBy("axis", F.bround("value", 9).alias("v")).agg(F.count("*").alias("n")).groupBy("axis").agg((F.max("n") / F.sum("n")).alias("modal_frac"))
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.75)))
-    s = long.groupBy("axis").agg(F.stddev_pop("value").alias("std"), (q[1] - q[0]).alias("iqr"), F.skewness("value").alias("g1"))
+    quartiles = exact_percentiles(long, "axis", "value", (0.25, 0.75)).select("axis", (F.col("q")[1] - F.col("q")[0]).alias("iqr"))
+    s = long.groupBy("axis").agg(F.stddev_pop("value").alias("std"), F.skewness("value").alias("g1")).join(quartiles, "axis")
     skew = F.when(F.col("std") > 1e-12, F.col("g1")).otherwise(F.lit(0.0))
     flag = (F.col("std") < 1e-9) | (F.col("iqr") == 0) | (F.col("modal_frac") > 0.95)
     return s.join(modal, "axis").select("axis", "std", "iqr", skew.alias("skew"), "modal_frac", flag.alias("degenerate"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.special import gamma_score, gamma_shape
+from .quantiles import exact_percentiles
 
 TIMESCALE = 6
 
@@ -46,5 +47,6 @@ def scored_index(monthly: DataFrame, fits: DataFrame, timescale: int = TIMESCALE
 
 def reference_levels(daily: DataFrame, percentile: float = 95.0) -> tuple[float, float]:
     """(threshold, mean) of a reference record's daily flows."""
-    r = daily.agg(F.percentile("flow", F.lit(percentile / 100)).alias("q"), F.avg("flow").alias("m")).first()
-    return r.q, r.m
+    whole = daily.select(F.lit("").alias("all"), "flow")
+    q = exact_percentiles(whole, "all", "flow", (percentile / 100,)).first()
+    return q.q[0], daily.agg(F.avg("flow")).first()[0]

@@ -16,12 +16,12 @@ def dense_days(records: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
     """(scenario_id, pos, month_ix, day, flow) for every scenario and day from ``start`` to before ``end``; absent days have flow 0.
 
     ``records`` is (scenario_id, day, flow), several rows a day are added up. Zeros for all days of the window are
-    added to the records and summed with them, which costs one shuffle of partial sums and no join.
+    added to the records and summed with them. Both are dealt by scenario once, and that serves the sum and every later window over a scenario.
     """
     inside = records.filter((F.col("day") >= F.lit(start)) & (F.col("day") < F.lit(end)))
     seen = inside.select("scenario_id", F.datediff("day", F.lit(start)).alias("pos"), "flow")
     spine = inside.select("scenario_id").distinct().select("scenario_id", F.explode(F.sequence(F.lit(0), F.lit((end - start).days - 1))).alias("pos"), F.lit(0.0).alias("flow"))
-    days = seen.union(spine).groupBy("scenario_id", "pos").agg(F.sum("flow").alias("flow"))
+    days = seen.union(spine).repartition("scenario_id").groupBy("scenario_id", "pos").agg(F.sum("flow").alias("flow"))
     day = F.date_add(F.lit(start), F.col("pos"))
     return days.select("scenario_id", "pos", month_number(day, start).alias("month_ix"), day.alias("day"), "flow")
 
