@@ -19,8 +19,9 @@ in the smaller row fall short of the bound that its sizes set. Every link comes
   ``|A ^ B| = |dA| + |dB| - 2 |dA & dB|`` n-grams, where d is the difference from R. To be within the bound K, either both link to R or
   dA and dB share ``(|dA| + |dB| - K) / 2`` n-grams. In any one order of the n-grams, the smaller difference then has one of
   these among its first ``K / 2 + 1`` and the larger among its first ``K + 1``. The order is that of how few members of the centre have
-  the n-gram: what sets the centre apart is in all differences and comes last. Pairs that meet so, and lie in different
-  components, are the mask of a second product. No link between components is lost.
+  the n-gram: what sets the centre apart is in all differences and comes last. Of those that meet
+  on an n-gram, each first has entries with ``PARTNERS`` others only, in ``TURNS`` turns. All pairs that meet and still lie in different
+  components are the mask of the last product. No link between components is lost.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -45,6 +46,8 @@ SPARE = ((90, 0.1), (0, 0.25))
 COMMON, LOOK_ROWS, LOOK_BYTES, LOOK_TEXTS = 65_536, 2048, 4 << 20, 4
 #: Column blocks over which overlap counts are summed; entries and n-grams of a batch of the product.
 BLOCKS, ENTRIES, GRAMS = 4, 256, 1 << 18
+#: Turns in which members that meet on an n-gram are tied through a few of them, and how many, before all open pairs are formed.
+TURNS, PARTNERS = 2, 6
 #: Sets that a task remembers to tell copies; beyond it starts anew.
 SEEN = 32_768
 #: Ids below this are the table's own.
@@ -314,9 +317,9 @@ def _beside(pairs: DataFrame, grams: DataFrame) -> DataFrame:
     return pairs.join(grams.withColumnsRenamed({"id": "a", "grams": "x"}), "a").join(grams.withColumnsRenamed({"id": "b", "grams": "y"}), "b").select("a", "b", "x", "y")
 
 
-def _open_pairs(star: DataFrame, grams: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of members of one centre that lie in different components and may link."""
-    at = star.join(roots.withColumnRenamed("node", "b"), "b", "left").withColumn("root", F.coalesce("root", "b"))
+def _heads(star: DataFrame, grams: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """(a, gram, b, n, d, pos, most): the rarest differences of members ``b`` of centre ``a`` that lie in different components."""
+    at = _named(star, roots)
     mixed = at.groupBy("a").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("a")
     at = materialize(at.join(mixed, "a", "left_semi").select("a", "b", "root"), "open-members")
     diffs = _beside(at, grams).mapInArrow(lean(_differences), "a long, b long, n int, diff array<long>")
@@ -325,14 +328,43 @@ def _open_pairs(star: DataFrame, grams: DataFrame, roots: DataFrame, percent: in
     rank = F.row_number().over(Window.partitionBy("a", "b").orderBy("seen", "gram")) - 1
     most = F.floor(F.col("n") * (100 - percent) / percent)
     heads = entries.join(seen, ["a", "gram"]).withColumn("pos", rank).withColumn("most", most).filter("pos <= most and lo <> hi")
-    heads = materialize(heads.select("a", "gram", "b", "n", "d", "root", "pos", "most"), "heads")
-    left = heads.filter(F.col("pos") <= F.floor(F.col("most") / 2))
-    right = heads.select("a", "gram", *(F.col(c).alias(f"_{c}") for c in ("b", "n", "d", "root", "pos")))
+    return materialize(heads.select("a", "gram", "b", "n", "d", "pos", "most"), "heads")
+
+
+def _named(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` with the ``root`` of their column b."""
+    return rows.join(roots.withColumnRenamed("node", "b"), "b", "left").withColumn("root", F.coalesce("root", "b"))
+
+
+def _sizes_fit(percent: int) -> Column:
+    return F.least("n", "_n") * 100 >= percent * F.greatest("n", "_n")
+
+
+def _may_link(percent: int) -> Column:
+    """Whether two heads of one (a, gram), the second's columns with a ``_``, lie in different components and may link."""
     bound = F.floor((F.col("n") + F.col("_n")) * (100 - percent) / (100 + percent))
     left_over = F.least(F.col("d") - F.col("pos"), F.col("_d") - F.col("_pos"))
+    return (F.col("root") != F.col("_root")) & _sizes_fit(percent) & (2 * left_over >= F.col("d") + F.col("_d") - bound)
+
+
+def _star_pairs(heads: DataFrame, roots: DataFrame, percent: int, turn: int) -> DataFrame:
+    """(a, b): the heads of each (a, gram) beside ``PARTNERS`` of them: at first the nearest to the centre, then any."""
+    named = _named(heads, roots)
+    order = [F.xxhash64("gram", "b", F.lit(turn))] if turn else ["d", "b"]
+    some = named.withColumn("rank", F.row_number().over(Window.partitionBy("a", "gram").orderBy(*order))).filter(F.col("rank") <= PARTNERS)
+    some = some.select("a", "gram", *(F.col(c).alias(f"_{c}") for c in ("b", "n", "root")))
+    return named.join(some, ["a", "gram"]).filter((F.col("root") != F.col("_root")) & _sizes_fit(percent)).select(F.least("b", "_b").alias("a"), F.greatest("b", "_b").alias("b")).distinct()
+
+
+def _open_pairs(heads: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """(a, b): all pairs of heads that lie in different components and may link."""
+    named = _named(heads, roots)
+    mixed = named.groupBy("a", "gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("a", "gram")
+    named = materialize(named.join(mixed, ["a", "gram"], "left_semi"), "open-heads")
+    left = named.filter(F.col("pos") <= F.floor(F.col("most") / 2))
+    right = named.select("a", "gram", *(F.col(c).alias(f"_{c}") for c in ("b", "n", "d", "root", "pos")))
     smaller = (F.col("d") < F.col("_d")) | ((F.col("d") == F.col("_d")) & (F.col("b") < F.col("_b")))
-    fits = smaller & (F.col("root") != F.col("_root")) & (F.least("n", "_n") * 100 >= percent * F.greatest("n", "_n")) & (2 * left_over >= F.col("d") + F.col("_d") - bound)
-    return left.join(right, ["a", "gram"]).filter(fits).select(F.col("b").alias("a"), F.col("_b").alias("b")).distinct()
+    return left.join(right, ["a", "gram"]).filter(smaller & _may_link(percent)).select(F.col("b").alias("a"), F.col("_b").alias("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -419,9 +451,20 @@ def _roots(texts: DataFrame, width: int, percent: int) -> DataFrame:
     linked = "a long, b long"
     links = materialize(_beside(star, grams).mapInArrow(lean(_product(percent)), linked), "links")
     roots = components(links)
-    rest = materialize(_open_pairs(star, grams, roots, percent), "open-pairs")
-    more = materialize(_beside(rest, grams).mapInArrow(lean(_product(percent)), linked), "links")
-    roots = components(links.union(more).distinct()).withColumnsRenamed({"node": "rep"})
+    heads = _heads(star, grams, roots, percent)
+
+    def joined(pairs: DataFrame) -> DataFrame:
+        """The components when the links among ``pairs`` are added."""
+        more = materialize(_beside(pairs, grams).mapInArrow(lean(_product(percent)), linked), "links")
+        return roots if more.isEmpty() else components(roots.toDF("a", "b").union(more))
+
+    # members that meet on a gram are first tied through a few of them; all pairs are left only between components
+    for turn in range(TURNS):
+        pairs = materialize(_star_pairs(heads, roots, percent, turn), "star-pairs")
+        if pairs.isEmpty():
+            break
+        roots = joined(pairs)
+    roots = joined(materialize(_open_pairs(heads, roots, percent), "open-pairs")).withColumnsRenamed({"node": "rep"})
     # the smallest id of each set stands for it, so the smallest root is the smallest id reachable
     few = roots.count() <= BROADCAST_IDS
     done = sets.join(F.broadcast(roots) if few else roots, "rep", "left").select("id", "n", F.coalesce("root", "rep").alias("root"))
