@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, line_dedup, mixing, ngram_join, piece_codec, quality_model, quality_rules, sharding, token_counts, toxicity
+from . import collocations, fingerprints, line_dedup, mixing, ngram_join, piece_codec, quality_model, quality_rules, sharding, token_counts, toxicity
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_sharding": sharding.op9_sharding,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op12_collocations": collocations.op12_collocations,
 }
 ORACLES = {
     "op2_ngram_jaccard": ngram_join.OP2_SQL,
     "op5_line_dedup": line_dedup.OP5_SQL,
     "op8_quality_rules": quality_rules.OP8_SQL,
+    "op12_collocations": collocations.OP12_SQL,
 }

@@ -17,6 +17,8 @@ from pyspark.sql import SparkSession
 CHUNK_BYTES, CHUNK_ROWS = 1 << 20, 1000
 #: Most rows and bytes of an Arrow batch (a longer row is a batch of its own): with the defaults of 10,000 and 64 MB, much text lies in memory on both sides of a worker's pipe.
 BATCH_ROWS, BATCH_BYTES = 2000, 2 << 20
+#: Rows of a batch of a few numbers a row.
+WIDE_ROWS = 1 << 16
 #: Bits of a shingle's hash; the ten above hold the row within a chunk while sorting.
 HASH_BITS = 54
 
@@ -42,6 +44,11 @@ def small_batches() -> None:
             conf.set(key, str(most))
 
 
+def wide_batches() -> None:
+    """Raises the session's rows per Arrow batch for narrow rows; ``BATCH_BYTES`` still holds."""
+    SparkSession.active().conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(WIDE_ROWS))
+
+
 @functools.cache
 def _libc() -> ctypes.CDLL | None:
     try:
@@ -143,6 +150,19 @@ def pieces(buf: np.ndarray, offs: np.ndarray, splits: np.ndarray) -> tuple[np.nd
     return start, end, np.searchsorted(offs, start, "right") - 1
 
 
+def ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """All indices of start[k]:end[k], one range after the other."""
+    size = end - start
+    return np.arange(size.sum()) + np.repeat(start - np.cumsum(size) + size, size)
+
+
+def strings(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.StringArray:
+    """buf[start:end] of each pair as a string."""
+    offs = np.zeros(len(start) + 1, np.int32)
+    np.cumsum(end - start, out=offs[1:])
+    return pa.StringArray.from_buffers(len(start), pa.py_buffer(offs), pa.py_buffer(buf[ranges(start, end)]))
+
+
 def lines(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, row) of the newline-split lines, empty ones included."""
     breaks = np.flatnonzero(buf == 10)
