@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import collocations, fingerprints, line_dedup, mixing, ngram_join, piece_codec, quality_model, quality_rules, sharding, token_counts, toxicity
+from . import collocations, fingerprints, license_scan, line_dedup, mixing, ngram_join, periodic_runs, piece_codec, quality_model, quality_rules, sharding, token_counts, toxicity
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -15,7 +15,9 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_sharding": sharding.op9_sharding,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_periodic_runs": periodic_runs.op11_periodic_runs,
     "op12_collocations": collocations.op12_collocations,
+    "op13_license_scan": license_scan.op13_license_scan,
 }
 ORACLES = {
     "op2_ngram_jaccard": ngram_join.OP2_SQL,
