@@ -192,6 +192,7 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", lon
         if k < longest:
             run = lean(_list_pairs)
             wide_batches()
+            relation = relation.withColumn("doc", F.monotonically_increasing_id())  # a task may read several files, each with numbers of its own
             relation = _semi_join(relation.mapInArrow(run, f"doc long, at int, left {kind}, right {kind}"), groups, size, ["left", "right"], f"occurrences-{k}", broadcast_groups)
     return out, total
 
