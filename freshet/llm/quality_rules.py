@@ -3,12 +3,13 @@
 Base measures of a text are counted exactly. For the verdict, each (language, source) pair keeps a
 mergeable quantile sketch of six ratios: counts in logarithmic bins of relative width 2 %, so
 sketches of any split of the rows add up to the same sketch. A limit is the median plus
-``SPREAD`` times the distance from the tenth percentile to the median (to the ninetieth where a tenth or more of the texts
-sit on the median's bin or below it, as with shares that are mostly zero). No ratio has a fixed limit or floor.
+``SPREAD`` times the distance from the tenth percentile to the median, and for a share at most halfway from the median to 1. Both come from the lower half of a
+group, which junk does not move until it is half of the group. No ratio has a fixed limit or floor.
 
 Quantiles of a pair are blended with those of its language, and these with the corpus's, as if each had ``PRIOR`` texts of the wider
-group besides its own; so small groups follow the wider one without a switch. A text breaks a limit when it lies above it by more than
-``EVENTS`` of the smallest units it can hold (a character, a line): shares of short texts move in such steps.
+group besides its own; so small groups follow the wider one without a switch. A text breaks the limit of a share when it lies above it by more than
+``EVENTS`` characters or lines and ``SPREAD`` deviations of a count with the median's expectation: shares of short texts move in such steps, and
+where most texts have none of a kind the count is all there is to go by.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from pyspark.sql import Window
 from .tables import materialize, read_table
 from .texts import HASH_BITS, WHITE, chunks, lean, lines, pieces, small_batches, span_hashes, trim, windows
 
-#: Ratio and the share of one event in it (a share of repeated words moves by whole lines, a mean has no events).
-RATIOS = {"symbol_share": "1 / chars", "upper_share": "1 / chars", "bang_share": "1 / chars", "repeat_share": "1 / lines", "dup_line_share": "1 / lines", "word_length": "0 / chars"}
+#: Ratio and what its events are counted in (a share of repeated words moves by whole lines, a mean has no events).
+RATIOS = {"symbol_share": "chars", "upper_share": "chars", "bang_share": "chars", "repeat_share": "lines", "dup_line_share": "lines", "word_length": None}
 SPREAD, EVENTS, PRIOR, WIDTH = 6.0, 3.0, 50.0, 1.02
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
@@ -110,18 +111,18 @@ def sketch(counts: DataFrame, lang_col: str = "lang", source_col: str = "source"
     return long.groupBy("lang", "source", "x.ratio", "x.bin").agg(F.count("*").alias("n"))
 
 
-_Q = ("q10", "q50", "q90")
+_Q = ("q10", "q50")
 
 
 def _quantiles(bins: DataFrame, by: list[str]) -> DataFrame:
     w = Window.partitionBy(*by, "ratio").orderBy("bin")
     cum = bins.groupBy(*by, "ratio", "bin").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(w)).withColumn("rows", F.sum("n").over(Window.partitionBy(*by, "ratio")))
     at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("rows"), F.pow(F.lit(WIDTH), F.col("bin") + 0.5)))
-    return cum.groupBy(*by, "ratio").agg(F.max("rows").alias("rows"), at(0.1).alias("q10"), at(0.5).alias("q50"), at(0.9).alias("q90"))
+    return cum.groupBy(*by, "ratio").agg(F.max("rows").alias("rows"), at(0.1).alias("q10"), at(0.5).alias("q50"))
 
 
 def limits(bins: DataFrame) -> DataFrame:
-    """One row per (lang, source) with an upper limit per ratio, from its own sketch blended with the wider ones."""
+    """One row per (lang, source) with an upper limit and the median per ratio, from its own sketch blended with the wider ones."""
     own = _quantiles(bins, ["lang", "source"])
     lang = _quantiles(bins, ["lang"]).select(F.col("lang").alias("l"), F.col("ratio").alias("lr"), F.struct("rows", *_Q).alias("by_lang"))
     every = _quantiles(bins, []).select(F.col("ratio").alias("er"), F.struct(*_Q).alias("by_all"))
@@ -129,8 +130,10 @@ def limits(bins: DataFrame) -> DataFrame:
     blend = lambda rows, mine, wider: (rows * mine + PRIOR * wider) / (rows + PRIOR)
     at = {c: blend(F.col("rows"), F.col(c), blend(F.col("by_lang.rows"), F.col(f"by_lang.{c}"), F.col(f"by_all.{c}"))) for c in _Q}
     q = q.select("lang", "source", "ratio", *(v.alias(c) for c, v in at.items()))
-    limit = F.col("q50") + SPREAD * F.when(F.col("q50") > F.col("q10"), F.col("q50") - F.col("q10")).otherwise(F.col("q90") - F.col("q50"))
-    return q.groupBy("lang", "source").agg(*(F.max(F.when(F.col("ratio") == k, limit)).alias(f"max_{k}") for k in RATIOS))
+    limit = F.col("q50") + SPREAD * (F.col("q50") - F.col("q10"))
+    halfway = (1 + F.least(F.col("q50"), F.lit(1.0))) / 2
+    of = lambda k, c: F.max(F.when(F.col("ratio") == k, c))
+    return q.groupBy("lang", "source").agg(*(x for k, unit in RATIOS.items() for x in (of(k, F.least(limit, halfway) if unit else limit).alias(f"max_{k}"), of(k, F.col("q50")).alias(f"mid_{k}"))))
 
 
 def _base_failed() -> F.Column:
@@ -140,8 +143,9 @@ def _base_failed() -> F.Column:
 def _verdict() -> F.Column:
     """No base failure and no ratio above its limit; a pair without limits has none to break."""
     ok = ~_base_failed()
-    for k, event in RATIOS.items():
-        ok = ok & F.coalesce(F.col(k) <= F.col(f"max_{k}") + EVENTS * F.expr(event), F.lit(True))
+    for k, unit in RATIOS.items():
+        more = (EVENTS + SPREAD * F.sqrt(F.col(f"mid_{k}") * F.col(unit))) / F.col(unit) if unit else F.lit(0.0)
+        ok = ok & F.coalesce(F.col(k) <= F.col(f"max_{k}") + more, F.lit(True))
     return ok
 
 
@@ -208,7 +212,7 @@ WITH d AS (
 ), unit AS (
   SELECT *, greatest(word_chars, 1)::DOUBLE AS chars, greatest(n_words, 1)::DOUBLE AS words, greatest(n_lines, 1)::DOUBLE AS lines FROM base
 ), rate AS (
-  SELECT doc_id, lang, source, unnest([{", ".join(f"'{k}'" for k in _RATES)}]) AS ratio, unnest([{", ".join(_RATES.values())}]) AS v, unnest([{", ".join(RATIOS[k] for k in _RATES)}]) AS event FROM unit
+  SELECT doc_id, lang, source, unnest([{", ".join(f"'{k}'" for k in _RATES)}]) AS ratio, unnest([{", ".join(_RATES.values())}]) AS v, unnest([{", ".join(RATIOS[k] or "NULL" for k in _RATES)}]) AS unit FROM unit
 ), bins AS (
   SELECT lang, source, ratio, CAST(floor(ln(greatest(v, 1e-4::DOUBLE)) / ln({WIDTH}::DOUBLE)) AS INT) AS b, count(*) AS n FROM rate GROUP BY ALL
 ), level AS (
@@ -216,12 +220,13 @@ WITH d AS (
 ), cum AS (
   SELECT *, sum(n) OVER (PARTITION BY k, lang, source, ratio ORDER BY b) AS upto, sum(n) OVER (PARTITION BY k, lang, source, ratio) AS total FROM level
 ), q AS (
-  SELECT k, lang, source, ratio, max(total) AS total, {", ".join(f"min(pow({WIDTH}::DOUBLE, b + 0.5::DOUBLE)) FILTER (WHERE upto >= {p}::DOUBLE * total) AS q{p * 100:.0f}" for p in (0.1, 0.5, 0.9))} FROM cum GROUP BY ALL
+  SELECT k, lang, source, ratio, max(total) AS total, {", ".join(f"min(pow({WIDTH}::DOUBLE, b + 0.5::DOUBLE)) FILTER (WHERE upto >= {p}::DOUBLE * total) AS q{p * 100:.0f}" for p in (0.1, 0.5))} FROM cum GROUP BY ALL
 ), pick AS (
   SELECT o.lang, o.source, o.ratio, {", ".join(f"(o.total * o.{c} + {PRIOR}::DOUBLE * ((l.total * l.{c} + {PRIOR}::DOUBLE * e.{c}) / (l.total + {PRIOR}::DOUBLE))) / (o.total + {PRIOR}::DOUBLE) AS {c}" for c in _Q)}
   FROM q o JOIN q l ON l.k = 1 AND l.lang IS NOT DISTINCT FROM o.lang AND l.ratio = o.ratio JOIN q e ON e.k = 2 AND e.ratio = o.ratio WHERE o.k = 0
 ), verdict AS (
-  SELECT doc_id, bool_and(v <= q50 + {SPREAD}::DOUBLE * CASE WHEN q50 > q10 THEN q50 - q10 ELSE q90 - q50 END + {EVENTS}::DOUBLE * event) AS ok
+  SELECT doc_id, bool_and(v <= CASE WHEN unit IS NULL THEN q50 + {SPREAD}::DOUBLE * (q50 - q10)
+    ELSE least(q50 + {SPREAD}::DOUBLE * (q50 - q10), (1 + least(q50, 1.0::DOUBLE)) / 2) + ({EVENTS}::DOUBLE + {SPREAD}::DOUBLE * sqrt(q50 * unit)) / unit END) AS ok
   FROM rate r JOIN pick p ON p.lang IS NOT DISTINCT FROM r.lang AND p.source IS NOT DISTINCT FROM r.source AND p.ratio = r.ratio GROUP BY 1
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,

@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter
 
@@ -53,13 +54,17 @@ def brute(t):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t or "")), dup, len(cover)
 
 
+def slack(r, k):
+    unit = Q.RATIOS[k]
+    return (Q.EVENTS + Q.SPREAD * math.sqrt(r[f"mid_{k}"] * r[unit])) / r[unit] if unit else 0.0
+
+
 def test_rules_equal_brute_force(spark, sf, texts):
     for r in Q.judge(spark.read.parquet(f"{sf}/documents.parquet")).collect():
         b = brute(texts[r.doc_id])
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == b
         assert r.base_failed == (b[0] < 50 or 100 * b[4] > 50 * b[0])
-        event = {"1 / chars": 1 / r.chars, "1 / lines": 1 / r.lines, "0 / chars": 0.0}
-        over = any(r[k] > r[f"max_{k}"] + Q.EVENTS * event[e] for k, e in Q.RATIOS.items())
+        over = any(r[k] > r[f"max_{k}"] + slack(r, k) for k in Q.RATIOS)
         assert r.kept == (not r.base_failed and not over)
 
 
@@ -108,11 +113,13 @@ def test_limits_equal_brute_force_and_adapt(spark):
     for k in Q.RATIOS:
         found = set()
         for (lang, _), mine in groups.items():
-            q = [blend(quantile([r[k] for r in mine], p), blend(quantile([r[k] for r in langs[lang]], p), quantile([r[k] for r in rows], p), len(langs[lang])), len(mine)) for p in (0.1, 0.5, 0.9)]
-            limit = q[1] + Q.SPREAD * (q[1] - q[0] if q[1] > q[0] else q[2] - q[1])
+            q = [blend(quantile([r[k] for r in mine], p), blend(quantile([r[k] for r in langs[lang]], p), quantile([r[k] for r in rows], p), len(langs[lang])), len(mine)) for p in (0.1, 0.5)]
+            limit = q[1] + Q.SPREAD * (q[1] - q[0])
+            limit = min(limit, (1 + min(1, q[1])) / 2) if Q.RATIOS[k] else limit
+            assert {round(r[f"mid_{k}"], 9) for r in mine} == {round(q[1], 9)}
             assert {round(r[f"max_{k}"], 9) for r in mine} == {round(limit, 9)}
             found.add(round(limit, 6))
-        assert len(found) > 10 or k in ("bang_share", "dup_line_share")
+        assert len(found) > 10 or k in ("symbol_share", "bang_share", "dup_line_share")  # none in half of the texts of every group
 
 
 def test_same_text_other_source_other_verdict(spark):
@@ -124,3 +131,42 @@ def test_same_text_other_source_other_verdict(spark):
     assert kept[5000] and not kept[5001]
     assert all(v for k, v in kept.items() if k != 5001)
     assert {r.doc_id for r in Q.keep_good(docs).collect()} == set(kept) - {5001}
+
+
+def _clean(rng, n=120):
+    """Words, now and then a capital, a line end or an exclamation mark."""
+    words = ["".join(rng.choice("aeionrstlmdu") for _ in range(rng.randint(2, 9))) for _ in range(n)]
+    return "".join((w.capitalize() if rng.random() < 0.1 else w) + rng.choice([" "] * 40 + ["\n", "! "]) for w in words)
+
+
+def _kept(spark, texts):
+    rows = Q.judge(spark.createDataFrame([(i, t, "en", "web") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")).collect()
+    return {r.doc_id: r.kept for r in rows}
+
+
+@pytest.mark.parametrize("percent", [5, 9, 11, 15, 30, 45])
+def test_junk_is_rejected_whatever_its_share(spark, percent):
+    rng = random.Random(percent)
+    n = 600
+    bad = n * percent // 100
+    junk = [" ".join(rng.choice(["#$%&", w]) for w in _clean(rng).split()) for _ in range(bad)]
+    kept = _kept(spark, junk + [_clean(rng) for _ in range(n - bad)])
+    assert not any(kept[i] for i in range(bad)) and sum(kept[i] for i in range(bad, n)) >= 0.99 * (n - bad)
+
+
+def test_every_ratio_can_reject(spark):
+    rng = random.Random(8)
+    clean = [_clean(rng) for _ in range(400)]
+    lines = _clean(rng).replace("\n", " ").split()
+    planted = {
+        "symbol_share": _clean(rng).replace("a", "#"), "upper_share": _clean(rng).upper(), "bang_share": _clean(rng).replace(" ", "! "), "word_length": " ".join(f"{k:x<60}" for k in range(80)),
+        "repeat_share": " ".join(lines[:40] + lines[:3] * 9 + lines[40:]), "dup_line_share": "\n".join(w for w in lines for _ in range(2)),
+    }
+    docs = spark.createDataFrame([(i, t, "en", "web") for i, t in enumerate(clean + list(planted.values()))], "doc_id long, text string, lang string, source string")
+    rows = {r.doc_id: r for r in Q.judge(docs).collect()}
+    for k, (name, _) in enumerate(planted.items(), len(clean)):
+        r = rows[k]
+        assert not r.base_failed and not r.kept, name
+        assert r[name] > r[f"max_{name}"] + slack(r, name), name
+        assert Q.RATIOS[name] is None or r[f"max_{name}"] < 1
+    assert sum(rows[k].kept for k in range(len(clean))) >= 0.99 * len(clean)
