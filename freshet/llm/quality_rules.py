@@ -7,8 +7,8 @@ sketches of any split of the rows add up to the same sketch. A limit is the medi
 group, which junk does not move until it is half of the group. No ratio has a fixed limit or floor.
 
 Quantiles of a pair are blended with those of its language, and these with the corpus's, as if each had ``PRIOR`` texts of the wider
-group besides its own; so small groups follow the wider one without a switch. A text breaks the limit of a share when it lies above it by more than
-``EVENTS`` characters or lines and ``SPREAD`` deviations of a count with the median's expectation: shares of short texts move in such steps, and
+group besides its own; so small groups follow the wider one without a switch. A text breaks a limit when it lies above it by more than
+``EVENTS`` characters (or lines) and ``SPREAD`` deviations of a count with the median's expectation: shares of short texts move in such steps, and
 where most texts have none of a kind the count is all there is to go by.
 """
 
@@ -26,8 +26,9 @@ from pyspark.sql import Window
 from .tables import materialize, read_table
 from .texts import HASH_BITS, WHITE, chunks, lean, lines, pieces, small_batches, span_hashes, trim, windows
 
-#: Ratio and what its events are counted in (a share of repeated words moves by whole lines, a mean has no events).
-RATIOS = {"symbol_share": "chars", "upper_share": "chars", "bang_share": "chars", "repeat_share": "lines", "dup_line_share": "lines", "word_length": None}
+#: Ratio and what its events are counted over (a share of repeated words moves by whole lines); the last one is a mean, no share.
+RATIOS = {"symbol_share": "chars", "upper_share": "chars", "bang_share": "chars", "repeat_share": "lines", "dup_line_share": "lines", "word_length": "words"}
+MEANS = ("word_length",)
 SPREAD, EVENTS, PRIOR, WIDTH = 6.0, 3.0, 50.0, 1.02
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
@@ -99,7 +100,7 @@ def _ratios(counts: DataFrame) -> DataFrame:
     chars, words, lines = (F.greatest(c, F.lit(1)) for c in ("word_chars", "n_words", "n_lines"))
     return counts.withColumns({
         "symbol_share": F.col("n_symbols") / chars, "upper_share": F.col("n_upper") / chars, "bang_share": F.col("n_bangs") / chars,
-        "repeat_share": F.col("n_repeat_words") / words, "dup_line_share": F.col("n_dup_lines") / lines, "word_length": F.col("word_chars") / words, "chars": chars, "lines": lines,
+        "repeat_share": F.col("n_repeat_words") / words, "dup_line_share": F.col("n_dup_lines") / lines, "word_length": F.col("word_chars") / words, "chars": chars, "words": words, "lines": lines,
     })
 
 
@@ -133,7 +134,7 @@ def limits(bins: DataFrame) -> DataFrame:
     limit = F.col("q50") + SPREAD * (F.col("q50") - F.col("q10"))
     halfway = (1 + F.least(F.col("q50"), F.lit(1.0))) / 2
     of = lambda k, c: F.max(F.when(F.col("ratio") == k, c))
-    return q.groupBy("lang", "source").agg(*(x for k, unit in RATIOS.items() for x in (of(k, F.least(limit, halfway) if unit else limit).alias(f"max_{k}"), of(k, F.col("q50")).alias(f"mid_{k}"))))
+    return q.groupBy("lang", "source").agg(*(x for k in RATIOS for x in (of(k, limit if k in MEANS else F.least(limit, halfway)).alias(f"max_{k}"), of(k, F.col("q50")).alias(f"mid_{k}"))))
 
 
 def _base_failed() -> F.Column:
@@ -144,7 +145,7 @@ def _verdict() -> F.Column:
     """No base failure and no ratio above its limit; a pair without limits has none to break."""
     ok = ~_base_failed()
     for k, unit in RATIOS.items():
-        more = (EVENTS + SPREAD * F.sqrt(F.col(f"mid_{k}") * F.col(unit))) / F.col(unit) if unit else F.lit(0.0)
+        more = (EVENTS + SPREAD * F.sqrt(F.col(f"mid_{k}") * F.col(unit))) / F.col(unit)
         ok = ok & F.coalesce(F.col(k) <= F.col(f"max_{k}") + more, F.lit(True))
     return ok
 
@@ -212,7 +213,7 @@ WITH d AS (
 ), unit AS (
   SELECT *, greatest(word_chars, 1)::DOUBLE AS chars, greatest(n_words, 1)::DOUBLE AS words, greatest(n_lines, 1)::DOUBLE AS lines FROM base
 ), rate AS (
-  SELECT doc_id, lang, source, unnest([{", ".join(f"'{k}'" for k in _RATES)}]) AS ratio, unnest([{", ".join(_RATES.values())}]) AS v, unnest([{", ".join(RATIOS[k] or "NULL" for k in _RATES)}]) AS unit FROM unit
+  SELECT doc_id, lang, source, unnest([{", ".join(f"'{k}'" for k in _RATES)}]) AS ratio, unnest([{", ".join(_RATES.values())}]) AS v, unnest([{", ".join(RATIOS[k] for k in _RATES)}]) AS unit FROM unit
 ), bins AS (
   SELECT lang, source, ratio, CAST(floor(ln(greatest(v, 1e-4::DOUBLE)) / ln({WIDTH}::DOUBLE)) AS INT) AS b, count(*) AS n FROM rate GROUP BY ALL
 ), level AS (
@@ -225,9 +226,9 @@ WITH d AS (
   SELECT o.lang, o.source, o.ratio, {", ".join(f"(o.total * o.{c} + {PRIOR}::DOUBLE * ((l.total * l.{c} + {PRIOR}::DOUBLE * e.{c}) / (l.total + {PRIOR}::DOUBLE))) / (o.total + {PRIOR}::DOUBLE) AS {c}" for c in _Q)}
   FROM q o JOIN q l ON l.k = 1 AND l.lang IS NOT DISTINCT FROM o.lang AND l.ratio = o.ratio JOIN q e ON e.k = 2 AND e.ratio = o.ratio WHERE o.k = 0
 ), verdict AS (
-  SELECT doc_id, bool_and(v <= CASE WHEN unit IS NULL THEN q50 + {SPREAD}::DOUBLE * (q50 - q10)
-    ELSE least(q50 + {SPREAD}::DOUBLE * (q50 - q10), (1 + least(q50, 1.0::DOUBLE)) / 2) + ({EVENTS}::DOUBLE + {SPREAD}::DOUBLE * sqrt(q50 * unit)) / unit END) AS ok
-  FROM rate r JOIN pick p ON p.lang IS NOT DISTINCT FROM r.lang AND p.source IS NOT DISTINCT FROM r.source AND p.ratio = r.ratio GROUP BY 1
+  SELECT doc_id, bool_and(v <= CASE WHEN ratio IN ({", ".join(f"'{k}'" for k in MEANS)}) THEN q50 + {SPREAD}::DOUBLE * (q50 - q10) ELSE least(q50 + {SPREAD}::DOUBLE * (q50 - q10), (1 + least(q50, 1.0::DOUBLE)) / 2) END
+    + ({EVENTS}::DOUBLE + {SPREAD}::DOUBLE * sqrt(q50 * unit)) / unit) AS ok
+  FROM rate r JOIN pick p USING (ratio) WHERE p.lang IS NOT DISTINCT FROM r.lang AND p.source IS NOT DISTINCT FROM r.source GROUP BY 1
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
   NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AND ok AS kept
