@@ -29,7 +29,7 @@ from .texts import HASH_BITS, WHITE, chunks, lean, lines, pieces, small_batches,
 #: Ratio and what its events are counted over (a share of repeated words moves by whole lines); the last one is a mean, no share.
 RATIOS = {"symbol_share": "chars", "upper_share": "chars", "bang_share": "chars", "repeat_share": "lines", "dup_line_share": "lines", "word_length": "words"}
 MEANS = ("word_length",)
-SPREAD, EVENTS, PRIOR, WIDTH = 6.0, 3.0, 50.0, 1.02
+SPREAD, EVENTS, PRIOR, WIDTH = 6.0, 3.0, 10.0, 1.02
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 _SYMBOL, _UPPER, _BANG, _LEAD = (np.zeros(256, bool) for _ in range(4))

@@ -160,7 +160,7 @@ def test_every_ratio_can_reject(spark):
     lines = _clean(rng).replace("\n", " ").split()
     planted = {
         "symbol_share": _clean(rng).replace("a", "#"), "upper_share": _clean(rng).upper(), "bang_share": _clean(rng).replace(" ", "! "), "word_length": " ".join(f"{k:x<60}" for k in range(80)),
-        "repeat_share": " ".join(lines[:40] + lines[:3] * 9 + lines[40:]), "dup_line_share": "\n".join(w for w in lines for _ in range(2)),
+        "repeat_share": "".join(w + ("\n" if k % 8 == 7 else " ") for k, w in enumerate(lines[:40] + lines[:3] * 18 + lines[40:])), "dup_line_share": "\n".join(w for w in lines for _ in range(2)),
     }
     docs = spark.createDataFrame([(i, t, "en", "web") for i, t in enumerate(clean + list(planted.values()))], "doc_id long, text string, lang string, source string")
     rows = {r.doc_id: r for r in Q.judge(docs).collect()}
