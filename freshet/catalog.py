@@ -224,7 +224,7 @@ QUERIES = {
     "maximin_selection": q_selector_rows("maximin"),
     "eps_cell_selection": q_selector_rows("eps_cell"),
     "certified_assignment": q_certified,
-    "mst_edges": lambda s, d: rounded(s.createDataFrame([(int(a), int(b), float(x)) for a, b, x in coverage.spanning_tree(tail_points(s, d), NEAR_AXES)], "row_a long, row_b long, length double")),
+    "mst_edges": lambda s, d: rounded(coverage.spanning_tree(tail_points(s, d), NEAR_AXES)),
     "axis_clusters": lambda s, d: s.createDataFrame([(",".join(m), r) for m, r in screen.axis_clusters(pool(s, d), AXES, 0.5)], "members string, representative string"),
     "selector_comparison": q_comparison,
     "persistent_bootstrap": q_bootstrap,

@@ -1,19 +1,20 @@
 """How evenly a selection covers the unit box.
 
-Pair statistics join a *selection* (some hundred rows) with itself. Up to ``MAX_SELECTION`` rows are broadcast; more are joined block by block
+Nearest neighbours and the spanning tree come from a grid of cells, the discrepancy from divide and conquer. The kernel sum joins a *selection* with itself: up to ``MAX_SELECTION`` rows are broadcast; more are joined block by block
 (Spark's Cartesian product), each task adding up its pairs. Pool statistics are grouped by axis.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from .normalize import long_form
+from . import dominance
+from .dominance import product
+from .neighbours import nearest_distances, spanning_tree, squared_distance
+from .normalize import long_form, value_counts
 from .quantiles import exact_percentiles
 
 MAX_SELECTION = 20_000
@@ -26,22 +27,20 @@ def _beside(points: DataFrame, other: DataFrame, n: int) -> DataFrame:
     return points.crossJoin(other.hint("shuffle_replicate_nl"))
 
 
-def product(cols: list[Column]) -> Column:
-    return reduce(lambda x, y: x * y, cols)
-
-
 def star_discrepancy(points: DataFrame, axes: Sequence[str]) -> DataFrame:
-    """One row ``l2_star``: the closed form of the L2 star discrepancy of points in the unit box."""
+    """One row ``l2_star``: the closed form of the L2 star discrepancy of points in the unit box.
+
+    The sum over pairs is by divide and conquer where that lists fewer rows than there are pairs; with many axes and few points pairs are fewer.
+    """
     n, d = points.count(), len(axes)
-    p = points.select(*(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(a))).alias(a) for a in axes))
-    q = p.select(*(F.col(a).alias(f"__{a}") for a in axes))
+    p = points.select("row_ix", *(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(a))).alias(a) for a in axes))
     single = p.agg(F.sum(product([1 - F.col(a) * F.col(a) for a in axes])).alias("s"))
-    double = _beside(p, q, n).agg(F.sum(product([1 - F.greatest(F.col(a), F.col(f"__{a}")) for a in axes])).alias("ss"))
-    return single.crossJoin(double).select(F.sqrt(F.lit(3.0**-d) - F.lit(2.0 ** (1 - d)) / n * F.col("s") + F.col("ss") / (n * n)).alias("l2_star"))
-
-
-def squared_distance(a: Sequence[str], b: Sequence[str]) -> Column:
-    return reduce(lambda x, y: x + y, [(F.col(x) - F.col(y)) * (F.col(x) - F.col(y)) for x, y in zip(a, b, strict=True)])
+    if dominance.rows_needed(n, d) < n * n:
+        double = dominance.sum_of_pair_products(p, axes, n)
+    else:
+        q = p.select(*(F.col(a).alias(f"__{a}") for a in axes))
+        double = _beside(p, q, n).agg(F.sum(product([1 - F.greatest(F.col(a), F.col(f"__{a}")) for a in axes])).alias("ss"))
+    return single.crossJoin(double).select(F.sqrt(F.lit(3.0**-d) - F.lit(2.0 ** (1 - d)) / n * F.col("s") + F.col("ss") / (n * n)).alias("l2_star"))  # one row each
 
 
 def _pairs(points: DataFrame, axes: Sequence[str]) -> DataFrame:
@@ -49,11 +48,6 @@ def _pairs(points: DataFrame, axes: Sequence[str]) -> DataFrame:
     return _beside(points.select("row_ix", *axes), other, points.count()).withColumn("d2", squared_distance(axes, [f"__{a}" for a in axes]))
 
 
-def nearest_distances(points: DataFrame, axes: Sequence[str]) -> DataFrame:
-    """(row_ix, nn): distance of each point to the nearest other one."""
-    return _pairs(points, axes).filter("row_ix <> __ix").groupBy("row_ix").agg(F.sqrt(F.min("d2")).alias("nn"))
-
-
 def nearest_summary(points: DataFrame, axes: Sequence[str]) -> DataFrame:
     """One row nn_mean, nn_std (population), nn_min, nn_max, nn_cv."""
     return nearest_distances(points, axes).agg(F.avg("nn").alias("nn_mean"), F.stddev_pop("nn").alias("nn_std"), F.min("nn").alias("nn_min"), F.max("nn").alias("nn_max"), (F.stddev_pop("nn") / F.avg("nn")).alias("nn_cv"))
@@ -70,79 +64,43 @@ def effective_sample_size(points: DataFrame, axes: Sequence[str], spacing: float
     return _pairs(points, axes).agg(F.sum(k).alias("k"), F.sum(k * k).alias("kk")).select((n * n / F.col("k")).alias("ess"), (n / F.col("k")).alias("ess_fraction"), (n * n / F.col("kk")).alias("participation_ratio"), F.lit(h).alias("bandwidth"))
 
 
-def spanning_tree(points: DataFrame, axes: Sequence[str]) -> list[tuple[int, int, float]]:
-    """(row, row, length) edges of the Euclidean minimum spanning tree over positive distances.
-
-    Boruvka rounds: each component's shortest edge out is one aggregate; only those edges (one per component) reach the driver, where the components are joined.
-    Pairs of up to ``MAX_SELECTION`` rows are cached, those of more are formed again each round.
-    """
-    spark = points.sparkSession
-    pairs = _pairs(points, axes).filter("row_ix < __ix and d2 > 0").select("row_ix", F.col("__ix").alias("other"), "d2")
-    comp = {r.row_ix: r.row_ix for r in points.select("row_ix").collect()}  # ids of the selection
-    if few := len(comp) <= MAX_SELECTION:
-        pairs = pairs.persist()
-    edges: list[tuple[int, int, float]] = []
-    while len(set(comp.values())) > 1:
-        c = F.broadcast(spark.createDataFrame(list(comp.items()), "ix long, c long"))
-        both = pairs.join(c.withColumnsRenamed({"ix": "row_ix", "c": "ca"}), "row_ix").join(c.withColumnsRenamed({"ix": "other", "c": "cb"}), "other").filter("ca <> cb")
-        out = both.select(F.explode(F.array("ca", "cb")).alias("c"), F.struct("d2", "row_ix", "other").alias("e")).groupBy("c").agg(F.min("e").alias("e")).collect()
-        if not out:
-            break
-        up = {c: c for c in set(comp.values())}
-
-        def root(c: int) -> int:
-            while up[c] != c:
-                up[c] = c = up[up[c]]
-            return c
-
-        for _, (d2, a, b) in sorted((r.c, r.e) for r in out):
-            ca, cb = root(comp[a]), root(comp[b])
-            if ca != cb:
-                edges.append((a, b, d2**0.5))
-                up[max(ca, cb)] = min(ca, cb)
-        comp = {k: root(v) for k, v in comp.items()}
-    if few:
-        pairs.unpersist()
-    return edges
-
-
 def tree_stats(points: DataFrame, axes: Sequence[str]) -> dict[str, float]:
-    e = [x for _, _, x in spanning_tree(points, axes)]
-    if not e:
-        return {"mst_edge_mean": float("nan"), "mst_edge_min": float("nan"), "mst_edge_cv": float("nan")}
-    m = sum(e) / len(e)
-    return {"mst_edge_mean": m, "mst_edge_min": min(e), "mst_edge_cv": (sum((x - m) ** 2 for x in e) / len(e)) ** 0.5 / m}
+    """Mean, least and relative deviation of the spanning tree's edges; NaN without edges."""
+    e = spanning_tree(points, axes).agg(F.avg("length").alias("m"), F.min("length").alias("least"), F.stddev_pop("length").alias("sd")).first()
+    nan = float("nan")
+    return {"mst_edge_mean": nan if e.m is None else e.m, "mst_edge_min": nan if e.m is None else e.least, "mst_edge_cv": nan if e.m is None else e.sd / e.m}
 
 
 def mst_mean_edge(points: DataFrame, axes: Sequence[str]) -> float:
-    e = [x for _, _, x in spanning_tree(points, axes)]
-    return sum(e) / len(e) if e else 0.0
+    """Mean length of the spanning tree's edges, 0 without edges."""
+    return spanning_tree(points, axes).agg(F.avg("length")).first()[0] or 0.0
 
 
 def marginal_gaps(points: DataFrame, axes: Sequence[str]) -> DataFrame:
     """(axis, max_gap): the widest step between neighbouring values, the box faces included."""
-    long = long_form(points, axes)
-    w = Window.partitionBy("axis").orderBy("value")
-    step = F.greatest(F.col("value") - F.coalesce(F.lag("value").over(w), F.lit(0.0)), F.when(F.lead("value").over(w).isNull(), 1.0 - F.col("value")).otherwise(F.lit(0.0)))
-    return long.withColumn("step", step).groupBy("axis").agg(F.max("step").alias("max_gap"))
+    step = F.greatest(F.col("value") - F.coalesce("previous", F.lit(0.0)), F.when(F.col("next").isNull(), 1.0 - F.col("value")).otherwise(F.lit(0.0)))
+    return value_counts(long_form(points, axes)).groupBy("axis").agg(F.max(step).alias("max_gap"))
 
 
 def ks_to_pool(pool: DataFrame, selected: DataFrame, axes: Sequence[str]) -> DataFrame:
     """(axis, ks): largest distance of the two empirical distribution functions; ``selected`` holds rows of ``pool``."""
     long = long_form(pool.join(selected.select("row_ix").distinct().withColumn("__s", F.lit(1)), "row_ix", "left").withColumn("row_ix", F.coalesce("__s", F.lit(0))), axes)
-    by = long.groupBy("axis", "value").agg(F.count("*").alias("n"), F.sum("row_ix").alias("s"))
-    upto = Window.partitionBy("axis").orderBy("value")
-    every = Window.partitionBy("axis")
-    gap = F.abs(F.sum("n").over(upto) / F.sum("n").over(every) - F.sum("s").over(upto) / F.sum("s").over(every))
-    return by.withColumn("gap", gap).groupBy("axis").agg(F.max("gap").alias("ks"))
+    gap = F.abs(F.col("n_upto") / F.col("n_all") - F.col("s_upto") / F.col("s_all"))
+    return value_counts(long, F.sum("row_ix").alias("s")).groupBy("axis").agg(F.max(gap).alias("ks"))
 
 
 def ks_to_uniform(points: DataFrame, axes: Sequence[str]) -> DataFrame:
-    """(axis, ks_to_uniform) of points in the unit box."""
-    w = Window.partitionBy("axis")
-    i = F.row_number().over(w.orderBy("value", "row_ix"))
-    n = F.count("*").over(w)
-    return long_form(points, axes).withColumn("gap", F.greatest(i / n - F.col("value"), F.col("value") - (i - 1) / n)).groupBy("axis").agg(F.max("gap").alias("ks_to_uniform"))
+    """(axis, ks_to_uniform) of points in the unit box; of equal values the last decides above the diagonal, the first below."""
+    gap = F.greatest(F.col("n_upto") / F.col("n_all") - F.col("value"), F.col("value") - (F.col("n_upto") - F.col("n")) / F.col("n_all"))
+    return value_counts(long_form(points, axes)).groupBy("axis").agg(F.max(gap).alias("ks_to_uniform"))
+
+
+def star_by_axis(points: DataFrame, axes: Sequence[str]) -> DataFrame:
+    """(axis, star_1d): the discrepancy of each axis alone. The sum of pairwise maxima is each sorted value times 2 i - 1; over n equal values up to rank i those add up to i**2 - (i - n)**2."""
+    share = (F.col("n_upto") * F.col("n_upto") - (F.col("n_upto") - F.col("n")) * (F.col("n_upto") - F.col("n"))).cast("double")
+    n = F.max("n_all")
+    star = F.lit(1 / 3) - F.sum(F.col("n") * (1 - F.col("value") * F.col("value"))) / n + F.sum((1 - F.col("value")) * share) / (n.cast("double") * n)
+    return value_counts(long_form(points, axes)).groupBy("axis").agg(F.sqrt(star).alias("star_1d"))
 
 
 def tail_shares(pool: DataFrame, selected: DataFrame, axes: Sequence[str], q: float = 90.0) -> DataFrame:

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
+from .order import in_order
 from .quantiles import exact_percentiles
 
 LO, HI = 1.0, 99.0
@@ -42,16 +42,20 @@ def minmax_normalize(image: DataFrame, axes: Sequence[str], lo: float = LO, hi:
 def average_ranks(image: DataFrame, axes: Sequence[str]) -> DataFrame:
     """(row_ix, axis, value, r): ranks from 1, ties sharing their mean.
 
-    Ranks come from counts per distinct value, so a large group of equal values (the zero atom of the drought axes) is a single row of
-    the ordered window.
+    Ranks come from counts per distinct value, so a large group of equal values (the zero atom of the drought axes) is a single row,
+    and from prefix sums of the counts over sampled ranges, so no axis is sorted in one task. Null values have no rank.
     """
     long = long_form(image, axes)
-    counts = long.groupBy("axis", "value").agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("axis").orderBy("value"))
-    ranks = counts.select("axis", "value", (upto - (F.col("n") - 1) / 2.0).alias("r"))
+    ranks = value_counts(long).select("axis", "value", (F.col("n_upto") - (F.col("n") - 1) / 2.0).alias("r"))
     return long.join(ranks, ["axis", "value"])
 
 
+def value_counts(long: DataFrame, *sums: Column) -> DataFrame:
+    """(axis, value, n, n_upto, n_all, previous, next): each distinct value with its rows, those up to it, and its neighbours; likewise for the aggregates ``sums``."""
+    counts = long.filter(F.col("value").isNotNull()).groupBy("axis", "value").agg(F.count("*").alias("n"), *sums)
+    return in_order(counts, ["axis"], "value", [c for c in counts.columns if c not in ("axis", "value")])
+
+
 def cdf_normalize(image: DataFrame, axes: Sequence[str]) -> DataFrame:
     """``row_ix`` and every axis as average rank over the number of rows."""
     n = image.select(F.count("*").alias("__n"))

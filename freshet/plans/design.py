@@ -112,15 +112,8 @@ def selection_metrics(image: DataFrame, axes: Sequence[str], rows: Sequence[int]
 
 def per_axis_metrics(image: DataFrame, axes: Sequence[str], rows: Sequence[int], lo: float = N.LO, hi: float = N.HI) -> DataFrame:
     """(axis, ks_to_uniform, star_1d, max_gap, tail_share)."""
-    n = len(rows)
-    x = geometry(image, axes, "abs", lo, hi).join(F.broadcast(rows_frame(image, rows)), "row_ix", "left_semi").persist()
-    long = N.long_form(x, axes)
-    from pyspark.sql import Window
-
-    # in one dimension the sum of pairwise maxima is each sorted value times its share of ranks, 2 i - 1
-    i = F.row_number().over(Window.partitionBy("axis").orderBy("value", "row_ix"))
-    star = long.withColumn("i", i).groupBy("axis").agg(F.sqrt(F.lit(1 / 3) - F.sum(1 - F.col("value") * F.col("value")) / n + F.sum((1 - F.col("value")) * (2 * F.col("i") - 1)) / (n * n)).alias("star_1d"))
-    return C.ks_to_uniform(x, axes).join(star, "axis").join(C.marginal_gaps(x, axes), "axis").join(C.tail_shares(image, rows_frame(image, rows), axes), "axis")
+    x = geometry(image, axes, "abs", lo, hi).join(F.broadcast(rows_frame(image, rows)), "row_ix", "left_semi")
+    return C.ks_to_uniform(x, axes).join(C.star_by_axis(x, axes), "axis").join(C.marginal_gaps(x, axes), "axis").join(C.tail_shares(image, rows_frame(image, rows), axes), "axis")
 
 
 def compare_selectors(image: DataFrame, axes: Sequence[str], n: int, seeds: Sequence[int], selectors: Mapping | None = None, lo: float = N.LO, hi: float = N.HI) -> DataFrame:
