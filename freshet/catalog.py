@@ -133,6 +133,17 @@ def q_selector_rows(rule: str):
     return query
 
 
+def q_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid that the cell rule finds for a twentieth of the pool, and the member of each of its cells."""
+    x = normalize.minmax_normalize(dense(pool(spark, sf_dir)), NEAR_AXES).persist()
+    g = select.grid_for(x, NEAR_AXES, max(3, x.count() // 20))
+    return select.cell_members(x, NEAR_AXES, g).withColumn("g", F.lit(g))
+
+
+def q_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.uniform_discrepancies(spark, 20, tail(spark, sf_dir).count(), len(NEAR_AXES), 5)
+
+
 def q_certified(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = normalize.minmax_normalize(dense(pool(spark, sf_dir)), NEAR_AXES).persist()
     n = max(3, x.count() // 20)
@@ -223,6 +234,9 @@ QUERIES = {
     "lhs_assignment": q_selector_rows("lhs_assign"),
     "maximin_selection": q_selector_rows("maximin"),
     "eps_cell_selection": q_selector_rows("eps_cell"),
+    "eps_cell_members": lambda s, d: rounded(q_members(s, d)),
+    "uniform_null": lambda s, d: rounded(q_uniform(s, d)),
+    "pair_grid": lambda s, d: rounded(coverage.pair_grid(pool(s, d), tail(s, d), AXES, 10)),
     "certified_assignment": q_certified,
     "mst_edges": lambda s, d: rounded(coverage.spanning_tree(tail_points(s, d), NEAR_AXES)),
     "axis_clusters": lambda s, d: s.createDataFrame([(",".join(m), r) for m, r in screen.axis_clusters(pool(s, d), AXES, 0.5)], "members string, representative string"),
@@ -381,6 +395,22 @@ SELECT axis, round(max(greatest(i / n::DOUBLE - x, x - (i - 1) / n::DOUBLE)), 6)
     "axis_histogram": f"""WITH {_POOL}, span AS (SELECT axis, min(value) AS least, (max(value) - min(value)) / 10 AS width FROM long GROUP BY 1),
 b AS (SELECT axis, CAST(CASE WHEN width > 0 THEN least(floor((value - span.least) / width), 9) ELSE 0 END AS BIGINT) AS bin, span.least AS low, width, CAST(row_ix IN (SELECT row_ix FROM tail) AS BIGINT) AS s FROM long JOIN span USING (axis))
 SELECT axis, bin, round(low + bin * width, 6) AS lo, count(*) AS n, sum(s)::BIGINT AS selected FROM b GROUP BY axis, bin, low, width""",
+    "pair_grid": f"""WITH {_POOL}, span AS (SELECT axis, min(value) AS least, (max(value) - min(value)) / 10 AS width FROM long GROUP BY 1),
+b AS (SELECT l.row_ix, axis, {_PAIR_ORDER} AS k, CAST(CASE WHEN width > 0 THEN least(floor((value - span.least) / width), 9) ELSE 0 END AS BIGINT) AS bin FROM long l JOIN span USING (axis))
+SELECT p.axis AS a, q.axis AS b, p.bin AS bin_a, q.bin AS bin_b, count(*) AS n, count(t.row_ix) AS selected FROM b p JOIN b q ON p.row_ix = q.row_ix AND p.k < q.k LEFT JOIN tail t ON t.row_ix = p.row_ix GROUP BY ALL""",
+    "uniform_null": f"""WITH {_POOL}, n AS (SELECT count(*) AS n FROM tail), spot AS (SELECT d AS draw, unnest(range(0, n)) AS point, n FROM (SELECT unnest(range(0, 20)) AS d), n),
+u AS (SELECT draw, point, n, {", ".join(f"CAST(CAST('0x' || substr(md5('5,' || draw || ',' || point || ',{k}'), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0::DOUBLE AS u{k}" for k in range(3))} FROM spot),
+s AS (SELECT draw, max(n)::DOUBLE AS n, sum((1 - u0 * u0) * (1 - u1 * u1) * (1 - u2 * u2)) AS s FROM u GROUP BY 1),
+p AS (SELECT x.draw, sum((1 - greatest(x.u0, y.u0)) * (1 - greatest(x.u1, y.u1)) * (1 - greatest(x.u2, y.u2))) AS ss FROM u x JOIN u y USING (draw) GROUP BY 1)
+SELECT draw, round(sqrt(pow(3.0::DOUBLE, -3) - pow(2.0::DOUBLE, -2) / n * s + ss / (n * n)), 6) AS l2_star FROM s JOIN p USING (draw)""",
+    "eps_cell_members": f"""WITH RECURSIVE {_POOL}, num AS (SELECT row_number() OVER (ORDER BY row_ix) - 1 AS r, a, b, c FROM x), need AS (SELECT greatest(3, count(*) // 20) AS n FROM num),
+cell AS (SELECT g, r, least(CAST(floor(a * g) AS BIGINT), g - 1) AS i, least(CAST(floor(b * g) AS BIGINT), g - 1) AS j, least(CAST(floor(c * g) AS BIGINT), g - 1) AS k, a, b, c FROM num, (SELECT unnest(range(1, 257)) AS g)),
+occ AS (SELECT g, count(*) AS n FROM (SELECT DISTINCT g, i, j, k FROM cell) GROUP BY 1),
+twice(g) AS (SELECT 2::BIGINT UNION ALL SELECT t.g * 2 FROM twice t JOIN occ USING (g), need WHERE occ.n < need.n),
+half(lo, hi) AS (SELECT 1::BIGINT, max(g) FROM twice UNION ALL SELECT CASE WHEN occ.n >= need.n THEN lo ELSE (lo + hi) // 2 + 1 END, CASE WHEN occ.n >= need.n THEN (lo + hi) // 2 ELSE hi END FROM half JOIN occ ON occ.g = (lo + hi) // 2, need WHERE lo < hi),
+mine AS (SELECT * FROM cell WHERE g = (SELECT hi FROM half WHERE lo = hi)),
+best AS (SELECT g, i, j, k, arg_min(r, {{'d': (((i + 0.5::DOUBLE) / g) - a) * (((i + 0.5::DOUBLE) / g) - a) + (((j + 0.5::DOUBLE) / g) - b) * (((j + 0.5::DOUBLE) / g) - b) + (((k + 0.5::DOUBLE) / g) - c) * (((k + 0.5::DOUBLE) / g) - c), 'r': r}}) AS row_ix FROM mine GROUP BY g, i, j, k)
+SELECT row_number() OVER (ORDER BY i, j, k) - 1 AS k, row_ix, g FROM best""",
     "not_selected": f"WITH {_POOL} SELECT row_ix FROM pool WHERE row_ix NOT IN (SELECT row_ix FROM tail)",
     "resampled_months": """WITH m AS (SELECT l_suppkey AS scenario_id, CAST(date_trunc('month', l_shipdate) AS DATE) AS month, max(l_extendedprice) AS flow FROM lineitem GROUP BY ALL),
 s AS (SELECT scenario_id, unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH)) AS month FROM m GROUP BY 1)

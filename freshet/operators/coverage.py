@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import dominance
@@ -129,9 +129,59 @@ def corner_share(pool: DataFrame, selected: DataFrame, axes: Sequence[str], q: f
 
 def null_discrepancies(points: DataFrame, axes: Sequence[str], draws: DataFrame, n: int) -> DataFrame:
     """(draw, l2_star) of every random subset in ``draws`` (draw, row_ix), each of size ``n``; pairs are formed within a draw only."""
+    return _by_draw(draws.join(points.select("row_ix", *axes), "row_ix"), axes, n)
+
+
+def _by_draw(mine: DataFrame, axes: Sequence[str], n: int) -> DataFrame:
     d = len(axes)
-    mine = draws.join(points.select("row_ix", *axes), "row_ix")
     single = mine.groupBy("draw").agg(F.sum(product([1 - F.col(a) * F.col(a) for a in axes])).alias("s"))
     other = mine.select("draw", *(F.col(a).alias(f"__{a}") for a in axes))
     double = mine.join(other, "draw").groupBy("draw").agg(F.sum(product([1 - F.greatest(F.col(a), F.col(f"__{a}")) for a in axes])).alias("ss"))
     return single.join(double, "draw").select("draw", F.sqrt(F.lit(3.0**-d) - F.lit(2.0 ** (1 - d)) / n * F.col("s") + F.col("ss") / (n * n)).alias("l2_star"))
+
+
+def uniform_points(spark: SparkSession, draws: int, n: int, d: int, seed: int) -> DataFrame:
+    """(draw, point, u0 ...): ``n`` points of the unit box for each draw, whose k-th axis is the leading 52 bits of the MD5 of ``seed,draw,point,k``.
+
+    A number depends on its place only, so executors make them as they go, alike for any partitioning, and none is stored or sent.
+    """
+    bits = lambda k: F.conv(F.substring(F.md5(F.concat_ws(",", F.lit(seed), "draw", "point", F.lit(k)).cast("binary")), 1, 13), 16, 10).cast("double")
+    at = spark.range(draws * n).select(F.floor(F.col("id") / n).alias("draw"), (F.col("id") % n).alias("point"))
+    return at.select("draw", "point", *((bits(k) / float(1 << 52)).alias(f"u{k}") for k in range(d)))
+
+
+def uniform_discrepancies(spark: SparkSession, draws: int, n: int, d: int, seed: int = 0) -> DataFrame:
+    """(draw, l2_star) of ``draws`` sets of ``n`` uniform points in ``d`` axes: what a selection of that size would show if it were drawn at random from the box."""
+    return _by_draw(uniform_points(spark, draws, n, d, seed), [f"u{k}" for k in range(d)], n)
+
+
+def expected_discrepancy(spark: SparkSession, n: int, d: int, draws: int, seed: int = 0) -> dict[str, float]:
+    """Mean and population deviation of ``uniform_discrepancies``."""
+    r = uniform_discrepancies(spark, draws, n, d, seed).agg(F.avg("l2_star").alias("m"), F.stddev_pop("l2_star").alias("s")).first()
+    return {"random_l2_mean": r.m, "random_l2_std": r.s}
+
+
+def pair_grid(pool: DataFrame, selected: DataFrame, axes: Sequence[str], bins: int = 20) -> DataFrame:
+    """(a, b, bin_a, bin_b, n, selected): two-axis counts of the pool and of the selection for every pair of axes in order, each axis in even bins between its least and largest value.
+
+    A row is listed once for each pair with its two bins as one code; counts are added before the one shuffle, in which there is at most a row a task and cell. Empty cells are left out; a row without one of the two
+    values is in no cell of that pair.
+    """
+    marked = pool.join(selected.select("row_ix").distinct().withColumn("__s", F.lit(1)), "row_ix", "left").select(*axes, F.coalesce("__s", F.lit(0)).alias("__s"))
+    ends = pool.agg(*(f(a).alias(f"__{k}{n}") for k, a in enumerate(axes) for n, f in (("lo", F.min), ("hi", F.max))))
+    wide = marked.crossJoin(F.broadcast(ends))  # one row
+
+    def bin_of(k: int) -> Column:
+        lo, width = F.col(f"__{k}lo"), (F.col(f"__{k}hi") - F.col(f"__{k}lo")) / bins
+        at = F.when(width > 0, F.least(F.floor((F.col(axes[k]) - lo) / width), F.lit(bins - 1))).otherwise(F.lit(0))
+        return F.when(F.col(axes[k]).isNotNull(), at).cast("int")
+
+    binned = wide.select("__s", *(bin_of(k).alias(f"__b{k}") for k in range(len(axes))))
+    pairs = [(i, j) for i in range(len(axes)) for j in range(i + 1, len(axes))]
+    if not pairs:
+        return pool.sparkSession.createDataFrame([], "a string, b string, bin_a int, bin_b int, n long, selected long")
+    codes = F.array(*((F.lit(k * bins * bins) + F.col(f"__b{i}") * bins + F.col(f"__b{j}")).alias("c") for k, (i, j) in enumerate(pairs)))
+    counts = binned.select("__s", F.explode(codes).alias("c")).filter("c is not null").groupBy("c").agg(F.count("*").alias("n"), F.sum("__s").alias("selected"))
+    pair, cell = F.floor(F.col("c") / (bins * bins)).cast("int"), F.col("c") % (bins * bins)
+    name = lambda side: F.array(*(F.lit(axes[p[side]]) for p in pairs))[pair]
+    return counts.select(name(0).alias("a"), name(1).alias("b"), F.floor(cell / bins).cast("int").alias("bin_a"), (cell % bins).cast("int").alias("bin_b"), "n", "selected")

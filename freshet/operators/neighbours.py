@@ -26,7 +26,7 @@ def squared_distance(a: Sequence[str], b: Sequence[str]) -> Column:
     return reduce(lambda x, y: x + y, [(F.col(x) - F.col(y)) * (F.col(x) - F.col(y)) for x, y in zip(a, b, strict=True)])
 
 
-def _interleaved(cols: Sequence[str]) -> str:
+def interleaved(cols: Sequence[str]) -> str:
     """SQL for the bits of the cell numbers ``cols`` taken in turn, highest first: the halves, quarters and so on of each number move apart (``aggregate`` names a step, so that it is not written out twice)."""
     d, out = len(cols), []
     for k, x in enumerate(cols):
@@ -70,7 +70,7 @@ class Grid:
         own = ["row_ix", *self.axes, "n", *self.cells]
         rest = self.levels - FIRST
         both = self.points.select(*own, F.inline(orders))
-        codes = [f"{_interleaved([f'shiftright({c}, {rest})' for c in m])} AS __code", f"{_interleaved([f'({c} & {(1 << rest) - 1}L)' for c in m])} AS __low"]
+        codes = [f"{interleaved([f'shiftright({c}, {rest})' for c in m])} AS __code", f"{interleaved([f'({c} & {(1 << rest) - 1}L)' for c in m])} AS __low"]
         what = ["__low", "row_ix", *self.axes]
         found = in_order(both.selectExpr(*own, "__g", *codes), ["__g"], "__code", carry=what)
         near = F.filter(F.flatten(F.collect_list(F.array("previous", "next"))), lambda x: x.isNotNull())

@@ -8,17 +8,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .coverage import squared_distance
+from .neighbours import interleaved, squared_distance
 from .normalize import HI, LO, cdf_normalize, minmax_normalize
+from .order import in_order
 
-GRID_CAP = 4096
-FOLD = 16
+#: Most cells a side, steps of the bisection probed in one pass, rows of a pass of the farthest-first rule that reach the driver.
+GRID_CAP, AHEAD, TOP = 4096, 3, 1000
 #: Rows that a target asks for at once, the most when few ask (Spark's window group limit), and the gain below which a row is not cheaper.
 ASK, MOST, LEAST_GAIN = 8, 1000, 1e-9
 
@@ -243,31 +245,51 @@ def certified_assignment(x: DataFrame, axes: Sequence[str], targets: np.ndarray,
     return Selection(sorted(rows), targets, rows, far, {k: last[k] for k in ("total", "k", "slack", "certified")} | {"ladder": log})
 
 
-def maximin(x: DataFrame, axes: Sequence[str], n: int, seed: int = 0) -> Selection:
+def maximin(x: DataFrame, axes: Sequence[str], n: int, seed: int = 0, top: int = TOP) -> Selection:
     """Starts farthest from the mean, then adds the row farthest from all chosen ones, ties to the lower row; ``seed`` has no effect.
 
-    One aggregate a round over the pool. Distances to recent picks are literals of the plan; every ``FOLD`` rounds they are folded into a cached column.
+    A row's distance to the chosen ones only falls, so an old distance bounds the present one. A pass over the pool brings all distances up to date and sends the ``top`` rows with
+    the largest to the driver, which picks among them as long as its best one is ahead of the last row sent: no other row can be. ``info`` has the number of passes.
     """
     _check(x, n)
-    dist = lambda p: sum(((F.col(a) - F.lit(float(p[a]))) * (F.col(a) - F.lit(float(p[a]))) for a in axes), F.lit(0.0))
-    far = x.select("row_ix", *axes, F.lit(float("inf")).alias("near")).persist()
-    mean = far.agg(*(F.avg(a).alias(a) for a in axes)).first()
-
-    def farthest(value) -> object:
-        return far.select("*", value.alias("d")).agg(F.max_by(F.struct("row_ix", *axes), F.struct("d", (-F.col("row_ix")).alias("r"))).alias("p")).first().p
-
-    chosen, recent = [farthest(dist(mean))], []
+    base = x.select("row_ix", *axes)
+    mean = base.agg(*(F.avg(a).alias(a) for a in axes)).first()
+    far, chosen, points, new, passes = base.withColumn("near", F.lit(float("inf"))), [], [], [tuple(mean)], 0
     while len(chosen) < n:
-        recent.append(chosen[-1])
-        near = F.least("near", *(dist(p) for p in recent))
-        if len(recent) == FOLD:
-            old, far = far, far.withColumn("near", near).persist()
-            near, recent = F.col("near"), []
-            far.count()
-            old.unpersist()
-        chosen.append(farthest(F.when(F.col("row_ix").isin([p.row_ix for p in chosen]), F.lit(-1.0)).otherwise(near)))
+        # the first pass measures from the mean, which is no pick
+        picks = x.sparkSession.createDataFrame([([[float(v) for v in p] for p in new],)], "picks array<array<double>>")
+        d2 = lambda p: reduce(lambda u, v: u + v, [(F.col(a) - p[k]) * (F.col(a) - p[k]) for k, a in enumerate(axes)])
+        old, far = far, far.crossJoin(F.broadcast(picks)).select("row_ix", *axes, F.least("near", F.array_min(F.transform("picks", d2))).alias("near")).persist()  # one row of at most n picks
+        sent = far.orderBy(F.desc("near"), "row_ix").limit(top + len(chosen)).collect()
+        old.unpersist()
+        passes, new = passes + 1, []
+        if not chosen:
+            far.unpersist()
+            far = base.withColumn("near", F.lit(float("inf")))
+            chosen, points = [sent[0].row_ix], [tuple(sent[0][a] for a in axes)]
+            new = points[:]
+            continue
+        taken = set(chosen)
+        rows = [r for r in sent if r.row_ix not in taken]
+        ids, at, near = np.array([r.row_ix for r in rows]), np.array([[r[a] for a in axes] for r in rows]), np.array([r.near for r in rows])
+        last = (-sent[-1].near, sent[-1].row_ix)
+        while len(chosen) < n and len(ids):
+            k = int(np.lexsort((ids, -near))[0])
+            if (-near[k], ids[k]) > last and len(sent) == top + len(taken):
+                break
+            chosen.append(int(ids[k]))
+            new.append(tuple(at[k]))
+            near = np.minimum(near, _squared(at, at[k]))
+            near[k] = -np.inf
+            if len(chosen) - len(taken) == len(ids):
+                break
     far.unpersist()
-    return Selection(sorted(p.row_ix for p in chosen))
+    return Selection(sorted(chosen), info={"passes": passes})
+
+
+def _squared(at: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Squared distances, their terms added in the order of the axes as in Spark."""
+    return reduce(lambda u, v: u + v, [(at[:, k] - p[k]) * (at[:, k] - p[k]) for k in range(at.shape[1])])
 
 
 def cells(x: DataFrame, axes: Sequence[str], g: int) -> DataFrame:
@@ -275,34 +297,88 @@ def cells(x: DataFrame, axes: Sequence[str], g: int) -> DataFrame:
     return x.withColumn("cell", F.array(*(F.least(F.floor(F.col(a) * g).cast("int"), F.lit(g - 1)) for a in axes)))
 
 
+def doubled_occupancy(x: DataFrame, axes: Sequence[str]) -> dict[int, int]:
+    """Occupied cells at 1, 2, 4 ... ``GRID_CAP`` a side, from one pass.
+
+    A cell at half the resolution is a prefix of the interleaved cell number. In the order of these numbers a prefix begins wherever two neighbours part at or above its level, so the
+    levels at which neighbours part, counted, add up to all occupancies.
+    """
+    d, levels = len(axes), GRID_CAP.bit_length() - 1
+    first = min(levels, 60 // d)
+    cell = [f"__c{k}" for k in range(d)]
+    own = x.select(*(F.least(F.floor(F.col(a) * GRID_CAP), F.lit(GRID_CAP - 1)).cast("long").alias(c) for a, c in zip(axes, cell, strict=True))).distinct()
+    rest = levels - first
+    codes = [f"{interleaved([f'shiftright({c}, {rest})' for c in cell])} AS code", f"{interleaved([f'({c} & {(1 << rest) - 1}L)' for c in cell])} AS low", "0 AS g"]
+    sorted_ = in_order(own.selectExpr(*codes), ["g"], "code", carry=["low"])
+    bits = lambda a, b: F.when(a == b, F.lit(0)).otherwise(F.length(F.bin(a.bitwiseXOR(b))))
+    shared = F.when(F.col("code") != F.col("previous.code"), first - F.ceil(bits(F.col("code"), F.col("previous.code")) / d)).otherwise(levels - F.ceil(bits(F.col("low"), F.col("previous.low")) / d))
+    parted = {r.shared: r["count"] for r in sorted_.groupBy(shared.alias("shared")).count().collect()}  # a row a level
+    out, total = {}, parted.get(None, 0)
+    for k in range(levels + 1):
+        total += parted.get(k - 1, 0)
+        out[1 << k] = total
+    return out
+
+
+def occupancies(x: DataFrame, axes: Sequence[str], sides: Sequence[int]) -> dict[int, int]:
+    """Occupied cells for each of a few numbers of cells a side, in one pass."""
+    at = x.select(F.explode(F.array(*(F.struct(F.lit(g).alias("g"), F.array(*(F.least(F.floor(F.col(a) * g).cast("int"), F.lit(g - 1)) for a in axes)).alias("cell")) for g in sides))).alias("s"))
+    return {r.g: r["count"] for r in at.select("s.*").distinct().groupBy("g").count().collect()}
+
+
 def occupied(x: DataFrame, axes: Sequence[str], g: int) -> int:
-    return cells(x, axes, g).agg(F.countDistinct("cell")).first()[0]
+    return occupancies(x, axes, [g]).get(g, 0)
 
 
-def eps_cells(x: DataFrame, axes: Sequence[str], n: int, seed: int) -> Selection:
-    """``n`` occupied cells of a grid drawn evenly, each represented by the row nearest its centre.
+def grid_for(x: DataFrame, axes: Sequence[str], n: int) -> int:
+    """Cells a side so that ``n`` or more are occupied: doubling, then bisection.
 
-    The grid follows from doubling until ``n`` cells are occupied, then bisection; occupancy need not grow with g, so that order of probing defines the result.
+    Occupancy need not grow with the number, so that order of probing defines the result. Probes that bisection may come to in its next ``AHEAD`` steps share a pass.
     """
-    _check(x, n)
+    by_doubling = doubled_occupancy(x, axes)
     lo, hi = 1, 2
-    while occupied(x, axes, hi) < n:
+    while by_doubling[hi] < n:
         hi *= 2
         if hi > GRID_CAP:
             raise ValueError("the pool does not occupy enough cells")
+    known = dict(by_doubling)
+
+    def ahead(lo: int, hi: int, steps: int) -> set[int]:
+        mid = (lo + hi) // 2
+        return set() if lo >= hi or not steps else {mid} | ahead(lo, mid, steps - 1) | ahead(mid + 1, hi, steps - 1)
+
     while lo < hi:
         mid = (lo + hi) // 2
-        lo, hi = (lo, mid) if occupied(x, axes, mid) >= n else (mid + 1, hi)
-    g = hi
-    order = Window.orderBy("cell")
-    mine = cells(x, axes, g)
+        if mid not in known:
+            known |= occupancies(x, axes, sorted(ahead(lo, hi, AHEAD) - set(known)))
+        lo, hi = (lo, mid) if known.get(mid, 0) >= n else (mid + 1, hi)
+    return hi
+
+
+def cell_members(x: DataFrame, axes: Sequence[str], g: int) -> DataFrame:
+    """(k, row_ix): the occupied cells at ``g`` a side numbered from 0 in order of their coordinates, each with the row nearest its centre (ties to the lower row).
+
+    Numbers come from prefix sums over ranges of the leading coordinates; cells that share those (five or more axes) are numbered among themselves.
+    """
+    lead = min(len(axes), 62 // g.bit_length())
     off = squared_distance([f"__{i}" for i in range(len(axes))], axes)
-    mid = mine.select("*", *(((F.col("cell")[i] + 0.5) / g).alias(f"__{i}") for i in range(len(axes))))
+    mid = cells(x, axes, g).select("*", *(((F.col("cell")[i] + 0.5) / g).alias(f"__{i}") for i in range(len(axes))))
     best = mid.groupBy("cell").agg(F.min_by("row_ix", F.struct(off.alias("d"), "row_ix")).alias("row_ix"))
-    count = best.count()
-    drawn = np.random.default_rng(seed).choice(count, size=n, replace=False)
-    ranked = best.withColumn("k", F.row_number().over(order) - 1)  # at most one row per cell
-    rows = [r.row_ix for r in ranked.filter(F.col("k").isin([int(i) for i in drawn])).collect()]
+    code = reduce(lambda u, v: u * g + v, [F.col("cell")[i].cast("long") for i in range(lead)])
+    best = best.withColumn("code", code)
+    before = in_order(best.groupBy("code").agg(F.count("*").alias("n")).withColumn("g", F.lit(0)), ["g"], "code", ["n"]).select("code", (F.col("n_upto") - F.col("n")).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("code").orderBy("cell")) - 1
+    return best.withColumn("__i", inside).join(before, "code").select((F.col("before") + F.col("__i")).alias("k"), "row_ix")
+
+
+def eps_cells(x: DataFrame, axes: Sequence[str], n: int, seed: int) -> Selection:
+    """``n`` occupied cells of a grid drawn evenly, each represented by the row nearest its centre."""
+    _check(x, n)
+    g = grid_for(x, axes, n)
+    members = cell_members(x, axes, g)
+    count = members.count()
+    drawn = x.sparkSession.createDataFrame([(int(i),) for i in np.random.default_rng(seed).choice(count, size=n, replace=False)], "k long")
+    rows = [r.row_ix for r in members.join(F.broadcast(drawn), "k", "left_semi").collect()]  # n rows, a parameter
     return Selection(sorted(rows), info={"grid_resolution": g, "n_occupied_cells": count})
 
 

@@ -12,7 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Names of the scoring rules.
 DRY_RULE, WET_RULE, SUPPLEMENT_RULE = "gamma2-ssi+open-end-events+in-window-rates", "q95-pot+critical-pulse+one-day-rise", "truncation-flags+event-totals+flow-regime"
-REFERENCE_START, CUT_MONTHS = "1945-01-01", 6
+#: First days of the reference record and of a scenario, months before the scored window.
+REFERENCE_START, SCENARIO_START, CUT_MONTHS = "1945-01-01", "1999-12-01", 6
+#: What has to be equal, in the order in which it is looked at.
+LEGS = ("scenario_start", "cut_months", "dry_rule", "wet_rule", "supplement_rule")
 
 
 @dataclass(frozen=True)
@@ -23,8 +26,8 @@ class Provenance:
     cut_months: int = CUT_MONTHS
     dry_rule: str = DRY_RULE
     wet_rule: str = WET_RULE
-    supplement_rule: str | None = None
-    scenario_start: str | None = None
+    supplement_rule: str = SUPPLEMENT_RULE
+    scenario_start: str = SCENARIO_START
 
 
 def save_image(image: DataFrame, path: str, provenance: Provenance, axes: Sequence[str], chosen_axes: Sequence[str] | None = None, supplement: Sequence[str] = ()) -> str:
@@ -32,8 +35,6 @@ def save_image(image: DataFrame, path: str, provenance: Provenance, axes: Sequen
     missing = {*axes, *supplement} - set(image.columns)
     if missing:
         raise ValueError(f"the image lacks the columns {sorted(missing)}")
-    if supplement and provenance.supplement_rule is None:
-        raise ValueError("a supplement needs the name of its scoring rule")
     image.select("scenario_id", *axes, *supplement).write.mode("overwrite").parquet(f"{path}/rows")
     meta = asdict(provenance) | {"axes": list(axes), "chosen_axes": list(chosen_axes or axes), "supplement": list(supplement)}
     image.sparkSession.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
@@ -41,14 +42,12 @@ def save_image(image: DataFrame, path: str, provenance: Provenance, axes: Sequen
 
 
 def check_provenance(meta: Mapping[str, Any], expected: Provenance, path: str = "") -> None:
-    """Raises, naming the first value that is missing or differs, in a fixed order."""
+    """Raises, naming the first value that fails: the reference's start has to be there, those of ``LEGS`` have to be there and equal, with or without a supplement."""
     if meta.get("reference_start") is None:
         raise ValueError(f"{path}: the image does not name its reference_start")
-    for leg in ("reference_start", "cut_months", "dry_rule", "wet_rule"):
+    for leg in LEGS:
         if meta.get(leg) != getattr(expected, leg):
             raise ValueError(f"{path}: {leg} is {meta.get(leg)!r}, not {getattr(expected, leg)!r}")
-    if meta.get("supplement") and meta.get("supplement_rule") != (expected.supplement_rule or SUPPLEMENT_RULE):
-        raise ValueError(f"{path}: supplement_rule is {meta.get('supplement_rule')!r}")
 
 
 def load_image(spark: SparkSession, path: str, expected: Provenance | None = None) -> tuple[DataFrame, dict[str, Any]]:

@@ -126,10 +126,21 @@ def test_image_round_trip_and_provenance(spark, scored, tmp_path):
     path = images.save_image(img, str(tmp_path / "img"), p, image.AXES, supplement=image.SUPPLEMENT)
     rows, meta = images.load_image(spark, path, p)
     assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, img.collect())) and meta["chosen_axes"] == list(image.AXES)
-    for leg in ("reference_start", "cut_months", "dry_rule", "wet_rule", "supplement_rule"):
+    legs = ("scenario_start", "cut_months", "dry_rule", "wet_rule", "supplement_rule")
+    for k, leg in enumerate(legs):
         for value in (None, "other"):
+            # the first leg that fails is named, whatever comes after it
             with pytest.raises(ValueError, match=leg):
-                images.check_provenance(meta | {leg: value}, p)
+                images.check_provenance(meta | {later: "other" for later in legs[k + 1 :]} | {leg: value}, p)
+    with pytest.raises(ValueError, match="reference_start"):
+        images.check_provenance({k: v for k, v in meta.items() if k != "reference_start"} | {"scenario_start": None}, p)
+    images.check_provenance(meta | {"reference_start": "1950-01-01"}, p)
+    bare = images.save_image(img, str(tmp_path / "bare"), images.Provenance(supplement_rule="retired"), image.AXES)
+    with pytest.raises(ValueError, match="supplement_rule"):  # also of an image without a supplement
+        images.load_image(spark, bare)
+    old = images.save_image(img, str(tmp_path / "old"), images.Provenance(scenario_start="1999-01-01"), image.AXES)
+    with pytest.raises(ValueError, match="scenario_start"):
+        images.load_image(spark, old)
     with pytest.raises(ValueError):
         images.save_image(img, path, p, ["nothing"])
     m = images.Manifest("d", 0, 2, 10, 1, [3, 4], "ab", ["x"], {"k": 1})
