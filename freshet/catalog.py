@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from .operators import coverage, flood, forcing, image, normalize, persistence, quantiles, runs, screen, select, ssi
-from .plans import design
+from .plans import design, spaces
 from .sources import envelope, panel
 
 START, END = dt.date(1995, 12, 1), dt.date(2001, 6, 1)
@@ -140,6 +140,11 @@ def q_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.cell_members(x, NEAR_AXES, g).withColumn("g", F.lit(g))
 
 
+def q_per_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = pool(spark, sf_dir)
+    return design.per_axis_metrics(p, NEAR_AXES, [r.row_ix for r in tail(spark, sf_dir).collect()])  # the selection
+
+
 def q_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.uniform_discrepancies(spark, 20, tail(spark, sf_dir).count(), len(NEAR_AXES), 5)
 
@@ -236,6 +241,9 @@ QUERIES = {
     "eps_cell_selection": q_selector_rows("eps_cell"),
     "eps_cell_members": lambda s, d: rounded(q_members(s, d)),
     "uniform_null": lambda s, d: rounded(q_uniform(s, d)),
+    "selection_profile": lambda s, d: rounded(spaces.axis_profile(pool(s, d), tail(s, d), AXES)),
+    "selection_correlation": lambda s, d: rounded(spaces.mean_abs_correlation(pool(s, d).join(tail(s, d), "row_ix", "left_semi"), AXES)),
+    "per_axis_metrics": lambda s, d: rounded(q_per_axis(s, d)),
     "pair_grid": lambda s, d: rounded(coverage.pair_grid(pool(s, d), tail(s, d), AXES, 10)),
     "certified_assignment": q_certified,
     "mst_edges": lambda s, d: rounded(coverage.spanning_tree(tail_points(s, d), NEAR_AXES)),
@@ -395,6 +403,21 @@ SELECT axis, round(max(greatest(i / n::DOUBLE - x, x - (i - 1) / n::DOUBLE)), 6)
     "axis_histogram": f"""WITH {_POOL}, span AS (SELECT axis, min(value) AS least, (max(value) - min(value)) / 10 AS width FROM long GROUP BY 1),
 b AS (SELECT axis, CAST(CASE WHEN width > 0 THEN least(floor((value - span.least) / width), 9) ELSE 0 END AS BIGINT) AS bin, span.least AS low, width, CAST(row_ix IN (SELECT row_ix FROM tail) AS BIGINT) AS s FROM long JOIN span USING (axis))
 SELECT axis, bin, round(low + bin * width, 6) AS lo, count(*) AS n, sum(s)::BIGINT AS selected FROM b GROUP BY axis, bin, low, width""",
+    "selection_profile": f"""WITH {_POOL}, v AS (SELECT axis, value, count(*) AS n, count(t.row_ix) AS s FROM long l LEFT JOIN tail t ON t.row_ix = l.row_ix GROUP BY 1, 2),
+c AS (SELECT axis, abs(sum(n) OVER u / CAST(sum(n) OVER a AS DOUBLE) - sum(s) OVER u / CAST(sum(s) OVER a AS DOUBLE)) AS g FROM v WINDOW u AS (PARTITION BY axis ORDER BY value), a AS (PARTITION BY axis)),
+ks AS (SELECT axis, max(g) AS ks FROM c GROUP BY 1), p AS (SELECT axis, quantile_cont(value, 0.9) AS q, median(value) AS m FROM long GROUP BY 1),
+s AS (SELECT axis, avg(CAST(value > q AS DOUBLE)) AS tail_share, median(value) / (max(m) + 1e-12::DOUBLE) AS median_ratio FROM long JOIN p USING (axis) WHERE row_ix IN (SELECT row_ix FROM tail) GROUP BY 1)
+SELECT axis, round(ks, 6) AS ks, round(tail_share, 6) AS tail_share, round(median_ratio, 6) AS median_ratio FROM ks JOIN s USING (axis)""",
+    "selection_correlation": f"""WITH {_POOL}, mine AS (SELECT * FROM long WHERE row_ix IN (SELECT row_ix FROM tail)),
+k AS (SELECT row_ix, axis, rank() OVER (PARTITION BY axis ORDER BY value) + (count(*) OVER (PARTITION BY axis, value) - 1) / 2.0::DOUBLE AS r FROM mine),
+c AS (SELECT abs(corr(p.r, q.r)) AS r FROM k p JOIN k q ON p.row_ix = q.row_ix AND p.axis < q.axis GROUP BY p.axis, q.axis)
+SELECT round(avg(r), 6) AS mean_abs_rho FROM c""",
+    "per_axis_metrics": f"""WITH {_POOL}, u AS (SELECT axis, x, row_ix, row_number() OVER w AS i, count(*) OVER (PARTITION BY axis) AS n, x - coalesce(lag(x) OVER w, 0.0) AS step, CASE WHEN lead(x) OVER w IS NULL THEN 1.0 - x ELSE 0.0 END AS last
+  FROM unit WHERE axis IN ('peak', 'discount', 'quantity') AND row_ix IN (SELECT row_ix FROM tail) WINDOW w AS (PARTITION BY axis ORDER BY x, row_ix)),
+m AS (SELECT axis, max(greatest(i / n::DOUBLE - x, x - (i - 1) / n::DOUBLE)) AS ks_to_uniform, max(greatest(step, last)) AS max_gap,
+  sqrt(1 / 3.0::DOUBLE - sum(1 - x * x) / max(n) + sum((1 - x) * (2 * i - 1)) / (max(n) * max(n)::DOUBLE)) AS star_1d FROM u GROUP BY 1),
+p AS (SELECT axis, quantile_cont(value, 0.9) AS q FROM long GROUP BY 1), t AS (SELECT axis, avg(CAST(value > q AS DOUBLE)) AS tail_share FROM long JOIN p USING (axis) WHERE row_ix IN (SELECT row_ix FROM tail) GROUP BY 1)
+SELECT axis, round(ks_to_uniform, 6) AS ks_to_uniform, round(star_1d, 6) AS star_1d, round(max_gap, 6) AS max_gap, round(tail_share, 6) AS tail_share FROM m JOIN t USING (axis)""",
     "pair_grid": f"""WITH {_POOL}, span AS (SELECT axis, min(value) AS least, (max(value) - min(value)) / 10 AS width FROM long GROUP BY 1),
 b AS (SELECT l.row_ix, axis, {_PAIR_ORDER} AS k, CAST(CASE WHEN width > 0 THEN least(floor((value - span.least) / width), 9) ELSE 0 END AS BIGINT) AS bin FROM long l JOIN span USING (axis))
 SELECT p.axis AS a, q.axis AS b, p.bin AS bin_a, q.bin AS bin_b, count(*) AS n, count(t.row_ix) AS selected FROM b p JOIN b q ON p.row_ix = q.row_ix AND p.k < q.k LEFT JOIN tail t ON t.row_ix = p.row_ix GROUP BY ALL""",
