@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ from .normalize import long_form, value_counts
 from .quantiles import exact_percentiles
 
 MAX_SELECTION = 20_000
+#: Points up to which pairs are formed at once for the discrepancy, and a selection's tree is made on the driver (some 50 KB) for its edge statistics.
+FEW = 2000
 
 
 def _beside(points: DataFrame, other: DataFrame, n: int) -> DataFrame:
@@ -30,12 +33,12 @@ def _beside(points: DataFrame, other: DataFrame, n: int) -> DataFrame:
 def star_discrepancy(points: DataFrame, axes: Sequence[str]) -> DataFrame:
     """One row ``l2_star``: the closed form of the L2 star discrepancy of points in the unit box.
 
-    The sum over pairs is by divide and conquer where that lists fewer rows than there are pairs; with many axes and few points pairs are fewer.
+    The sum over pairs is by divide and conquer where that lists fewer rows than there are pairs; with many axes or ``FEW`` points pairs cost less.
     """
     n, d = points.count(), len(axes)
     p = points.select("row_ix", *(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(a))).alias(a) for a in axes))
     single = p.agg(F.sum(product([1 - F.col(a) * F.col(a) for a in axes])).alias("s"))
-    if dominance.rows_needed(n, d) < n * n:
+    if n > FEW and dominance.rows_needed(n, d) < n * n:
         double = dominance.sum_of_pair_products(p, axes, n)
     else:
         q = p.select(*(F.col(a).alias(f"__{a}") for a in axes))
@@ -64,16 +67,35 @@ def effective_sample_size(points: DataFrame, axes: Sequence[str], spacing: float
     return _pairs(points, axes).agg(F.sum(k).alias("k"), F.sum(k * k).alias("kk")).select((n * n / F.col("k")).alias("ess"), (n / F.col("k")).alias("ess_fraction"), (n * n / F.col("kk")).alias("participation_ratio"), F.lit(h).alias("bandwidth"))
 
 
+def tree_lengths(points: DataFrame, axes: Sequence[str]) -> tuple[int, float, float, float]:
+    """(number, mean, least, population deviation) of the lengths of the spanning tree's edges; zeros without edges."""
+    few = points.select(*axes).na.drop().distinct().limit(FEW + 1).collect()
+    if len(few) > FEW:
+        e = spanning_tree(points, axes).agg(F.count("*").alias("n"), F.avg("length").alias("m"), F.min("length").alias("least"), F.stddev_pop("length").alias("sd")).first()
+        return e.n, e.m, e.least, e.sd
+    at = np.array(few, float).reshape(len(few), len(axes))
+    if len(at) < 2:
+        return 0, 0.0, 0.0, 0.0
+    out, near, got = np.ones(len(at), bool), np.full(len(at), np.inf), []
+    k = 0
+    for _ in range(len(at) - 1):  # the nearest point outside joins the tree
+        out[k] = False
+        near = np.minimum(near, ((at - at[k]) ** 2).sum(axis=1))
+        k = int(np.where(out, near, np.inf).argmin())
+        got.append(near[k])
+    e = np.sqrt(got)
+    return len(e), float(e.mean()), float(e.min()), float(e.std())
+
+
 def tree_stats(points: DataFrame, axes: Sequence[str]) -> dict[str, float]:
     """Mean, least and relative deviation of the spanning tree's edges; NaN without edges."""
-    e = spanning_tree(points, axes).agg(F.avg("length").alias("m"), F.min("length").alias("least"), F.stddev_pop("length").alias("sd")).first()
-    nan = float("nan")
-    return {"mst_edge_mean": nan if e.m is None else e.m, "mst_edge_min": nan if e.m is None else e.least, "mst_edge_cv": nan if e.m is None else e.sd / e.m}
+    n, mean, least, sd = tree_lengths(points, axes)
+    return {"mst_edge_mean": mean, "mst_edge_min": least, "mst_edge_cv": sd / mean} if n else dict.fromkeys(("mst_edge_mean", "mst_edge_min", "mst_edge_cv"), float("nan"))
 
 
 def mst_mean_edge(points: DataFrame, axes: Sequence[str]) -> float:
     """Mean length of the spanning tree's edges, 0 without edges."""
-    return spanning_tree(points, axes).agg(F.avg("length")).first()[0] or 0.0
+    return tree_lengths(points, axes)[1]
 
 
 def marginal_gaps(points: DataFrame, axes: Sequence[str]) -> DataFrame:

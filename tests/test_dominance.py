@@ -44,6 +44,16 @@ def test_discrepancy_of_many_points(spark):
     assert math.isclose(coverage.star_discrepancy(df, axes).first().l2_star, want, rel_tol=1e-9)
 
 
+def test_both_ways_to_the_discrepancy_and_the_tree_agree(spark, monkeypatch):
+    x = cloud(150, 3, 2, "tied")
+    axes, df = frame(spark, x)
+    few = coverage.star_discrepancy(df, axes).first().l2_star, *coverage.tree_stats(df, axes).values(), coverage.mst_mean_edge(df, axes)
+    monkeypatch.setattr(coverage, "FEW", 10)
+    monkeypatch.setattr(dominance, "LEAF", 4)
+    assert (coverage.star_discrepancy(df, axes).first().l2_star, *coverage.tree_stats(df, axes).values(), coverage.mst_mean_edge(df, axes)) == pytest.approx(few, rel=1e-9)
+    assert coverage.mst_mean_edge(df.limit(1), axes) == 0.0 and math.isnan(coverage.tree_stats(df.limit(0), axes)["mst_edge_mean"])
+
+
 def test_ranks_are_unique_and_ordered(spark):
     rng = random.Random(3)
     rows = [(i, g, rng.choice([0.0, 0.0, 0.5, rng.random()])) for g in "ab" for i in range(2000)]
