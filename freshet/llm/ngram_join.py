@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .tables import materialize, read_table
+from .tables import free_shuffles, materialize, read_table
 from .texts import HASH_BITS, chunks, lean, mix, shingle_sets
 
 #: Ids that may be broadcast (8 bytes each) to pick rows for the product; more are joined by a shuffle.
@@ -324,11 +324,14 @@ def _heads(star: DataFrame, grams: DataFrame, roots: DataFrame, percent: int) ->
     at = materialize(at.join(mixed, "a", "left_semi").select("a", "b", "root"), "open-members")
     diffs = _beside(at, grams).mapInArrow(lean(_differences), "a long, b long, n int, diff array<long>")
     entries = materialize(diffs.select("a", "b", "n", F.size("diff").alias("d"), F.explode("diff").alias("gram")).join(at, ["a", "b"]), "differences")
+    free_shuffles(at.sparkSession)  # the rows of every open member
     seen = entries.groupBy("a", "gram").agg(F.count("*").alias("seen"), F.min("root").alias("lo"), F.max("root").alias("hi"))
     rank = F.row_number().over(Window.partitionBy("a", "b").orderBy("seen", "gram")) - 1
     most = F.floor(F.col("n") * (100 - percent) / percent)
     heads = entries.join(seen, ["a", "gram"]).withColumn("pos", rank).withColumn("most", most).filter("pos <= most and lo <> hi")
-    return materialize(heads.select("a", "gram", "b", "n", "d", "pos", "most"), "heads")
+    heads = materialize(heads.select("a", "gram", "b", "n", "d", "pos", "most"), "heads")
+    free_shuffles(at.sparkSession)
+    return heads
 
 
 def _named(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -432,6 +435,7 @@ def _roots(texts: DataFrame, width: int, percent: int) -> DataFrame:
     common = common_grams(known, width)
     entries = known.mapInArrow(lean(_incidence(width, percent, common)), "sig long, id long, tag int")
     buckets = materialize(entries.repartition(n, "sig").sortWithinPartitions("sig", "id").mapInArrow(lean(_gather), _BUCKETS), "buckets")
+    free_shuffles(spark)  # a row an n-gram block of every text
     sets = buckets.filter(F.col("kind") == SET).select("id", "n", "rep")
     moved = sets.filter("id <> rep").select("id", "rep").distinct()
 
@@ -450,12 +454,14 @@ def _roots(texts: DataFrame, width: int, percent: int) -> DataFrame:
     grams = _rows_of(known, star, width)
     linked = "a long, b long"
     links = materialize(_beside(star, grams).mapInArrow(lean(_product(percent)), linked), "links")
+    free_shuffles(spark)  # the rows of every pair
     roots = components(links)
     heads = _heads(star, grams, roots, percent)
 
     def joined(pairs: DataFrame) -> DataFrame:
         """The components when the links among ``pairs`` are added."""
         more = materialize(_beside(pairs, grams).mapInArrow(lean(_product(percent)), linked), "links")
+        free_shuffles(spark)
         return roots if more.isEmpty() else components(roots.toDF("a", "b").union(more))
 
     # members that meet on a gram are first tied through a few of them; all pairs are left only between components
