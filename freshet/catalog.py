@@ -21,6 +21,8 @@ START, END = dt.date(1995, 12, 1), dt.date(2001, 6, 1)
 DAYS, CUT_DAYS = (END - START).days, (dt.date(1996, 6, 1) - START).days
 AXES = ("total", "peak", "active", "discount", "quantity", "spread")
 NEAR_AXES = ("peak", "discount", "quantity")
+#: Number and seed of the sampled forcing profiles.
+SAMPLED = 64, 9
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -192,7 +194,7 @@ def q_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _ = forcing.sample_forcing(profiles(spark, sf_dir), 64, 9)
+    rows, _ = forcing.sample_forcing(profiles(spark, sf_dir), *SAMPLED)
     return rows.select("theta_ix", "m", "r1", "r2", "psi1", "psi2", F.array_join(F.transform("profile", lambda v: F.format_string("%.6f", v)), ",").alias("profile"))
 
 
@@ -231,7 +233,7 @@ QUERIES = {
     "envelope_cv_change": lambda s, d: rounded(envelope.variance_envelope(factors(s, d).drop("sd"), factors(s, d).select("run", "month", F.col("sd").alias("factor")))),
     "harmonic_fit": lambda s, d: rounded(forcing.harmonic_fit(profiles(s, d))),
     "climate_adjustment": lambda s, d: rounded(q_moments(s, d)),
-    "gamma_month_fit": lambda s, d: rounded(reference_fit(s, d)),
+    "gamma_month_fit": lambda s, d: rounded(reference_fit(s, d).withColumn("scale", F.round("scale", 3))),
     "ssi_series": lambda s, d: rounded(ssi.scored_index(monthly(s, d, "mean"), reference_fit(s, d)).select("scenario_id", "month", "z")),
     "hazard_image": lambda s, d: rounded(q_hazard_image(s, d)),
     "design_selection": q_design_selection,
@@ -250,7 +252,7 @@ QUERIES = {
     "axis_clusters": lambda s, d: s.createDataFrame([(",".join(m), r) for m, r in screen.axis_clusters(pool(s, d), AXES, 0.5)], "members string, representative string"),
     "selector_comparison": q_comparison,
     "persistent_bootstrap": q_bootstrap,
-    "sampled_forcing": q_sampled,
+    "sampled_forcing": lambda s, d: rounded(q_sampled(s, d)),
     "nearest_summary": lambda s, d: rounded(coverage.nearest_summary(tail_points(s, d), NEAR_AXES)),
     "ks_to_uniform": lambda s, d: rounded(coverage.ks_to_uniform(tail_points(s, d), NEAR_AXES)),
     "corner_share": lambda s, d: rounded(coverage.corner_share(pool(s, d), tail(s, d), AXES)),
@@ -309,6 +311,10 @@ _RHO = f"{_POOL}, ord AS (SELECT *, {_PAIR_ORDER} AS k FROM ranks), rho AS (SELE
 _WIDE = lambda v: ", ".join(f"round(max(CASE WHEN axis = '{a}' THEN {v} END), 6) AS {a}" for a in AXES)
 _EVENT_COLS = 'scenario_id, CAST(start AS BIGINT) AS start, CAST("end" AS BIGINT) AS "end", CAST(peak AS BIGINT) AS peak, CAST(duration AS BIGINT) AS duration, round(magnitude, 6) AS magnitude, round(severity, 6) AS severity'
 _ERA = "regexp_replace(o_orderpriority, '[^0-9A-Z]+', '', 'g')"
+# the digamma function, shifted by ten, then its asymptotic series
+_DIGAMMA = lambda x: f"ln({x} + 10) - 0.5 / ({x} + 10) - (1 / 12.0 - (1 / 120.0 - (1 / 252.0 - (1 / 240.0 - 1 / 132.0 / pow({x} + 10, 2)) / pow({x} + 10, 2)) / pow({x} + 10, 2)) / pow({x} + 10, 2)) / pow({x} + 10, 2)" + "".join(f" - 1 / ({x} + {i})" for i in range(10))
+# the draws in the unit box are numpy's, so their values are given
+_UNIT = ", ".join(f"({i}, " + ", ".join(f"{float(v)!r}::DOUBLE" for v in row) + ")" for i, row in enumerate(select.latin_hypercube(SAMPLED[0], 3, SAMPLED[1])))
 
 ORACLES = {
     "daily_panel": f"WITH {_DAILY} SELECT scenario_id, day, round(flow, 4) AS flow FROM daily",
@@ -383,6 +389,21 @@ c AS (SELECT run, sum(l) / 12 AS m, sum(l * cos(t * pi() / 6)) / 6 AS a1, sum(l
 SELECT run, round(m, 6) AS m, round(sqrt(a1 * a1 + b1 * b1), 6) AS r1, round(atan2(b1, a1), 6) AS psi1, round(sqrt(a2 * a2 + b2 * b2), 6) AS r2, round(atan2(b2, a2), 6) AS psi2 FROM c""",
     "climate_adjustment": """WITH m AS (SELECT month(o_orderdate) AS month, avg(ln(o_totalprice)) AS mean, stddev_pop(ln(o_totalprice)) AS sd, avg(o_totalprice) FILTER (WHERE year(o_orderdate) >= 1998) / avg(o_totalprice) FILTER (WHERE year(o_orderdate) < 1998) AS a FROM orders GROUP BY 1)
 SELECT CAST(month AS BIGINT) AS month, round(mean, 6) AS mean, round(sd, 6) AS sd, round(a, 6) AS a, round(ln(a) + mean + sd * sd / 2 - 0.5 * ln(exp(sd * sd)), 6) AS mean_new, round(sqrt(ln(exp(sd * sd) - 1 + 1)), 6) AS sd_new FROM m""",
+    "gamma_month_fit": f"""WITH RECURSIVE {_DAILY}, acc AS (SELECT * FROM (SELECT month, sum(mean) OVER w AS total, count(*) OVER w AS n FROM monthly WINDOW w AS (PARTITION BY scenario_id ORDER BY pos ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)) WHERE n = 6),
+law AS (SELECT month(month) AS cm, avg(total) AS mu, ln(avg(total)) - avg(ln(total)) AS s FROM acc GROUP BY 1),
+half(k, cm, s, lo, hi) AS (SELECT 0, cm, s, 1e-8::DOUBLE, 1e12::DOUBLE FROM law
+  UNION ALL SELECT k + 1, cm, s, CASE WHEN above THEN mid ELSE lo END, CASE WHEN above THEN hi ELSE mid END FROM (SELECT *, ln(mid) - ({_DIGAMMA("mid")}) > s AS above FROM (SELECT *, sqrt(lo * hi) AS mid FROM half WHERE k < 64)))
+SELECT CAST(law.cm AS BIGINT) AS cal_month, round(sqrt(lo * hi), 6) AS shape, round(mu / sqrt(lo * hi), 3) AS scale FROM half JOIN law USING (cm) WHERE k = 64""",
+    "sampled_forcing": f"""WITH m AS (SELECT o_orderpriority AS run, month(o_orderdate) AS month, avg(o_totalprice) AS mean FROM orders GROUP BY ALL),
+p AS (SELECT run, (month + 2) % 12 AS t, ln(mean / avg(mean) OVER (PARTITION BY run)) AS l FROM m),
+c AS (SELECT run, sum(l) / 12 AS m, sqrt(pow(sum(l * cos(t * pi() / 6)) / 6, 2) + pow(sum(l * sin(t * pi() / 6)) / 6, 2)) AS r1, sqrt(pow(sum(l * cos(t * pi() / 3)) / 6, 2) + pow(sum(l * sin(t * pi() / 3)) / 6, 2)) AS r2 FROM p GROUP BY 1),
+b AS (SELECT {", ".join(f"quantile_cont({k}, {q}) AS {k}{n}" for k in ("m", "r1", "r2") for q, n in ((0.05, "lo"), (0.95, "hi")))} FROM c),
+g AS (SELECT t, avg(l) AS l FROM p GROUP BY 1), f AS (SELECT atan2(sum(l * sin(t * pi() / 6)), sum(l * cos(t * pi() / 6))) AS psi1, atan2(sum(l * sin(t * pi() / 3)), sum(l * cos(t * pi() / 3))) AS psi2 FROM g),
+u(theta_ix, u0, u1, u2) AS (VALUES {_UNIT}),
+x AS (SELECT theta_ix::BIGINT AS theta_ix, mlo + u0 * (mhi - mlo) AS m, r1lo + u1 * (r1hi - r1lo) AS r1, r2lo + u2 * (r2hi - r2lo) AS r2, psi1, psi2 FROM u, b, f),
+y AS (SELECT *, unnest(range(0, 12)) AS t FROM x)
+SELECT theta_ix, round(m, 6) AS m, round(r1, 6) AS r1, round(r2, 6) AS r2, round(psi1, 6) AS psi1, round(psi2, 6) AS psi2,
+  string_agg(printf('%.6f', greatest(exp(m + r1 * cos(t * pi() / 6 - psi1) + r2 * cos(t * pi() / 3 - psi2)), 0.2::DOUBLE)), ',' ORDER BY t) AS profile FROM y GROUP BY theta_ix, m, r1, r2, psi1, psi2""",
     "mst_edges": f"""WITH RECURSIVE {_POOL}, e AS (SELECT p.row_ix AS u, q.row_ix AS v, (p.a - q.a) * (p.a - q.a) + (p.b - q.b) * (p.b - q.b) + (p.c - q.c) * (p.c - q.c) AS d2 FROM pts p JOIN pts q ON p.row_ix < q.row_ix),
 f AS (SELECT u AS x, v AS y, d2 FROM e UNION ALL SELECT v, u, d2 FROM e),
 reach(u, v, d2, node) AS (SELECT u, v, d2, u FROM e UNION SELECT r.u, r.v, r.d2, f.y FROM reach r JOIN f ON f.x = r.node AND f.d2 < r.d2)

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 
+#: The names under which streams are drawn; ``design_seed`` takes others too.
+SEED_DOMAINS = frozenset({"stat_pool", "du_pool", "fixed", "resample_pool", "input_strat", "hazard_select_stat", "hazard_select_du", "etest:kn", "etest:hmm", "cv_axis"})
+
+
 def design_seed(root: int, domain: str, draw: int = 0) -> int:
     """BLAKE2b with 8 bytes over ``root|domain|draw``, modulo 2**31 - 1."""
     return int.from_bytes(hashlib.blake2b(f"{root}|{domain}|{draw}".encode(), digest_size=8).digest(), "big") % (2**31 - 1)

@@ -201,6 +201,7 @@ def test_spread_and_ranks(spark):
 
 def test_seeds():
     assert seeds.design_seed(1, "a") != seeds.design_seed(1, "b") and 0 <= seeds.design_seed(7, "fixed", 3) < 2**31 - 1
+    assert len({seeds.design_seed(3, d, k) for d in seeds.SEED_DOMAINS for k in range(20)}) == 20 * len(seeds.SEED_DOMAINS) == 200
     a, b = seeds.child_seeds(5, 3), seeds.child_seeds(5, 9)
     assert all(x.generate_state(2).tolist() == y.generate_state(2).tolist() for x, y in zip(a, b, strict=False))
     x = select.latin_hypercube(4000, 3, 1)
