@@ -389,6 +389,15 @@ c AS (SELECT run, sum(l) / 12 AS m, sum(l * cos(t * pi() / 6)) / 6 AS a1, sum(l
 SELECT run, round(m, 6) AS m, round(sqrt(a1 * a1 + b1 * b1), 6) AS r1, round(atan2(b1, a1), 6) AS psi1, round(sqrt(a2 * a2 + b2 * b2), 6) AS r2, round(atan2(b2, a2), 6) AS psi2 FROM c""",
     "climate_adjustment": """WITH m AS (SELECT month(o_orderdate) AS month, avg(ln(o_totalprice)) AS mean, stddev_pop(ln(o_totalprice)) AS sd, avg(o_totalprice) FILTER (WHERE year(o_orderdate) >= 1998) / avg(o_totalprice) FILTER (WHERE year(o_orderdate) < 1998) AS a FROM orders GROUP BY 1)
 SELECT CAST(month AS BIGINT) AS month, round(mean, 6) AS mean, round(sd, 6) AS sd, round(a, 6) AS a, round(ln(a) + mean + sd * sd / 2 - 0.5 * ln(exp(sd * sd)), 6) AS mean_new, round(sqrt(ln(exp(sd * sd) - 1 + 1)), 6) AS sd_new FROM m""",
+    "axis_clusters": f"""WITH RECURSIVE {_RHO}, ax(k, name) AS (VALUES {", ".join(f"({i}, '{a}')" for i, a in enumerate(AXES))}),
+near AS (SELECT p.k AS i, q.k AS j, greatest(0.0::DOUBLE, 1 - abs(rho)) AS d FROM rho JOIN ax p ON p.name = rho.a JOIN ax q ON q.name = rho.b), dist AS (SELECT i, j, d FROM near UNION ALL SELECT j, i, d FROM near),
+iqr AS (SELECT axis, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr FROM long GROUP BY 1),
+st(step, sets) AS (SELECT 0, [{", ".join(str(1 << i) for i in range(len(AXES)))}]
+  UNION ALL SELECT p.step + 1, list_transform(list_filter(range(1, len(p.sets) + 1), lambda k: k <> best.y), lambda k: CASE WHEN k = best.x THEN p.sets[best.x] | p.sets[best.y] ELSE p.sets[k] END) FROM st p, LATERAL (
+    SELECT x, y, d FROM (SELECT u.x, v.y, avg(dist.d) AS d FROM (SELECT unnest(p.sets) AS m, generate_subscripts(p.sets, 1) AS x) u JOIN (SELECT unnest(p.sets) AS m, generate_subscripts(p.sets, 1) AS y) v ON u.x < v.y
+      JOIN dist ON (u.m >> dist.i) & 1 = 1 AND (v.m >> dist.j) & 1 = 1 GROUP BY 1, 2) ORDER BY d, x, y LIMIT 1) best WHERE best.d <= 0.5),
+fin AS (SELECT unnest(sets) AS m FROM (SELECT arg_max(sets, step) AS sets FROM st))
+SELECT string_agg(name, ',' ORDER BY k) AS members, arg_max(name, iqr) AS representative FROM fin JOIN ax ON (m >> k) & 1 = 1 JOIN iqr ON iqr.axis = ax.name GROUP BY m""",
     "gamma_month_fit": f"""WITH RECURSIVE {_DAILY}, acc AS (SELECT * FROM (SELECT month, sum(mean) OVER w AS total, count(*) OVER w AS n FROM monthly WINDOW w AS (PARTITION BY scenario_id ORDER BY pos ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)) WHERE n = 6),
 law AS (SELECT month(month) AS cm, avg(total) AS mu, ln(avg(total)) - avg(ln(total)) AS s FROM acc GROUP BY 1),
 half(k, cm, s, lo, hi) AS (SELECT 0, cm, s, 1e-8::DOUBLE, 1e12::DOUBLE FROM law
