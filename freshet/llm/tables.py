@@ -33,12 +33,3 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished writes now.
-
-    They go when the driver's JVM collects the plans that made them, which a driver with little to do puts off for half an hour, while a chain of
-    written tables adds up.
-    """
-    spark.sparkContext._jvm.System.gc()
