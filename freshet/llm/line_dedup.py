@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import materialize, read_table
+from .tables import discard, materialize, read_table
 
 WIDTH, LONG_LINE = 3, 200
 #: Removed pieces and texts (4 and some 40 bytes each) that may be broadcast; more are joined by a shuffle.
@@ -42,7 +42,7 @@ def line_windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, tie, gone): the pieces of each text that later occurrences of a window cover.
+    """(id, tie, gone), written: the pieces of each text that later occurrences of a window cover.
 
     A window that is in very many places would meet all of them in one task of the join; such windows are few by
     definition and go to the tasks that read the windows.
@@ -60,7 +60,9 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     # where a window runs into itself, the pieces of its first occurrence stay
     free = F.when(same, F.greatest(F.lit(0), F.least(F.lit(WIDTH), F.col("first.i") + WIDTH - F.col("i")))).otherwise(F.lit(0))
     at = later.filter("id is not null").select("id", "tie", F.explode(F.slice("at", free + 1, F.lit(WIDTH))).alias("at")).distinct()
-    return at.groupBy("id", "tie").agg(F.collect_list("at").alias("gone"))
+    gone = materialize(at.groupBy("id", "tie").agg(F.collect_list("at").alias("gone")), "gone-lines")
+    discard(win, seen)  # the windows are the largest table of all
+    return gone
 
 
 def _without(text: Column, gone: Column) -> Column:
@@ -81,7 +83,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     documents of their own; rows equal in id and text are one document and each get its cleaned text. Rows with a null id are
     never changed (their windows count as the first occurrences).
     """
-    gone = materialize(repeated_lines(docs, id_col, text_col), "gone-lines")
+    gone = repeated_lines(docs, id_col, text_col)
     small = gone.agg(F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()[0] <= BROADCAST_LINES
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = rows.withColumn("tie", F.xxhash64(F.coalesce("text", F.lit(""))))

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .tables import materialize, read_table
+from .tables import discard, materialize, read_table
 from .texts import HASH_BITS, chunks, lean, mix, shingle_sets
 
 #: Ids that may be broadcast (8 bytes each) to pick rows for the product; more are joined by a shuffle.
@@ -328,7 +328,9 @@ def _heads(star: DataFrame, grams: DataFrame, roots: DataFrame, percent: int) ->
     rank = F.row_number().over(Window.partitionBy("a", "b").orderBy("seen", "gram")) - 1
     most = F.floor(F.col("n") * (100 - percent) / percent)
     heads = entries.join(seen, ["a", "gram"]).withColumn("pos", rank).withColumn("most", most).filter("pos <= most and lo <> hi")
-    return materialize(heads.select("a", "gram", "b", "n", "d", "pos", "most"), "heads")
+    heads = materialize(heads.select("a", "gram", "b", "n", "d", "pos", "most"), "heads")
+    discard(at, entries)
+    return heads
 
 
 def _named(rows: DataFrame, roots: DataFrame) -> DataFrame:
