@@ -1,8 +1,8 @@
 """Removal of repeated passages by overlapping three-line windows.
 
-A text is cut at its newlines, and a line of more than ``LONG_LINE`` characters also after its sentence ends (a full stop,
-exclamation or question mark before a space), since whole passages often stand in one physical line. Every run of three
-consecutive solid pieces is hashed. Windows found more than once anywhere keep their first occurrence (smallest id, then
+A text is cut after its newlines and after its sentence ends (a full stop, exclamation or question mark before a space), since
+whole passages often stand in one physical line; three lines are three pieces or more, so no window of lines is lost. Every run
+of three consecutive solid pieces is hashed. Windows found more than once anywhere keep their first occurrence (smallest id, then
 hash of the text, then position); the pieces under all later ones are merged into one set of positions per text and removed.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .tables import discard, materialize, read_table
 
-WIDTH, LONG_LINE = 3, 200
+WIDTH = 3
 #: Removed pieces and texts (4 and some 40 bytes each) that may be broadcast; more are joined by a shuffle.
 BROADCAST_LINES = 1_000_000
 #: A window with at least this share of all windows is hot; there are at most 1 / ``HOT_SHARE`` of them, so they are broadcast.
@@ -23,8 +23,7 @@ BLANK = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 
 def pieces_of(text: Column) -> Column:
     """The pieces of a text, each with its own line end or space, so that they join to the text again."""
-    lines = F.split(text, r"(?<=\n)", -1)
-    return F.flatten(F.transform(lines, lambda x: F.when(F.length(x) > LONG_LINE, F.split(x, r"(?<=[.!?] )", -1)).otherwise(F.array(x))))
+    return F.split(text, r"(?<=\n)|(?<=[.!?] )", -1)
 
 
 def line_windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -97,16 +96,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(read_table(spark, sf_dir, "documents")).select(F.col("row.doc_id").alias("doc_id"), "text", "n_lines", "n_removed")
 
 
-OP5_SQL = rf"""
-WITH line AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS ln, len(string_split(text, chr(10))) AS n FROM documents WHERE text IS NOT NULL
-), ended AS (
-  SELECT doc_id, ln, CASE WHEN ln < n THEN x || chr(10) ELSE x END AS x FROM line
-), cut AS (
-  SELECT doc_id, ln, CASE WHEN length(x) > {LONG_LINE} THEN regexp_extract_all(x, '(?s:.*?[.!?] )|(?s:.+)') ELSE [x] END AS part FROM ended
+OP5_SQL = r"""
+WITH cut AS (
+  SELECT doc_id, regexp_extract_all(text, '(?s:.*?(?:[.!?] |\n))|(?s:.+)') || CASE WHEN regexp_matches(text, '(?:[.!?] |\n)\z') THEN [''] ELSE [] END AS part FROM documents WHERE text IS NOT NULL
 ), piece AS (
-  SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY ln, k) AS pos, count(*) OVER (PARTITION BY doc_id) AS n_pieces
-  FROM (SELECT doc_id, ln, unnest(part) AS line, generate_subscripts(part, 1) AS k FROM cut)
+  SELECT doc_id, unnest(part) AS line, generate_subscripts(part, 1) AS pos, len(part) AS n_pieces FROM cut
 ), solid AS (
   SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS line
   FROM piece WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
@@ -114,7 +108,7 @@ WITH line AS (
   SELECT a.doc_id, a.i, [a.pos, b.pos, c.pos] AS pos, [a.line, b.line, c.line] AS w
   FROM solid a JOIN solid b ON b.doc_id = a.doc_id AND b.i = a.i + 1 JOIN solid c ON c.doc_id = a.doc_id AND c.i = a.i + 2
 ), first AS (
-  SELECT w, count(*) AS n, min({{'id': doc_id, 'i': i}}) AS f FROM win GROUP BY w HAVING count(*) > 1
+  SELECT w, count(*) AS n, min({'id': doc_id, 'i': i}) AS f FROM win GROUP BY w HAVING count(*) > 1
 ), later AS (
   SELECT win.doc_id, win.pos, CASE WHEN win.doc_id = f.id THEN greatest(0, least(3, f.i + 3 - win.i)) ELSE 0 END AS free
   FROM win JOIN first USING (w) WHERE NOT (win.doc_id = f.id AND win.i = f.i)
@@ -123,10 +117,8 @@ WITH line AS (
 ), kept AS (
   SELECT p.doc_id, string_agg(p.line, '' ORDER BY p.pos) FILTER (WHERE g.pos IS NULL) AS text, count(g.pos) AS n_removed, bool_or(g.pos = p.n_pieces) AS no_end
   FROM piece p LEFT JOIN gone g ON g.doc_id = p.doc_id AND g.pos = p.pos GROUP BY p.doc_id
-), size AS (
-  SELECT doc_id, max(n) AS n_lines FROM line GROUP BY doc_id
 )
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL WHEN k.no_end THEN regexp_replace(coalesce(k.text, ''), '[\x20\n]\z', '') ELSE coalesce(k.text, '') END AS text,
-  coalesce(s.n_lines, 0)::BIGINT AS n_lines, coalesce(k.n_removed, 0)::BIGINT AS n_removed
-FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id LEFT JOIN size s ON s.doc_id = d.doc_id
+  coalesce(length(d.text) - length(replace(d.text, chr(10), '')) + 1, 0)::BIGINT AS n_lines, coalesce(k.n_removed, 0)::BIGINT AS n_removed
+FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
 """

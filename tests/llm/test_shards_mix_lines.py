@@ -105,7 +105,7 @@ def test_mix_of_odd_rows(odd, none):
 
 
 def cut_up(text):
-    return [p for x in re.split(r"(?<=\n)", text) for p in (re.split(r"(?<=[.!?] )", x) if len(x) > L.LONG_LINE else [x])]
+    return re.split(r"(?<=\n)|(?<=[.!?] )", text)
 
 
 def brute_lines(texts):
@@ -167,10 +167,29 @@ def test_passages_in_one_long_line(spark):
     texts = {1: "Head of one. " + passage + " Tail of one.", 2: "Quite another text stands here. " + passage + " And it ends otherwise.", 3: "short. short. short. short.", 4: "short. short. short. short too."}
     df = spark.createDataFrame([*texts.items()], "doc_id long, text string")
     got = {r["row"]["doc_id"]: r["text"] for r in L.dedup_lines(df).collect()}
-    assert got == {**texts, 2: "Quite another text stands here. And it ends otherwise."}
+    assert got == {**texts, 2: "Quite another text stands here. And it ends otherwise.", 3: "short. short. short.", 4: "short too."}
     assert got == {k: v[0] for k, v in brute_lines(texts).items()}
 
 
+@pytest.mark.parametrize("n", [60, 199, 200, 201, 5000])
+def test_the_length_of_a_line_does_not_matter(spark, n):
+    passage = "One is said here. Two is said here. Three is said."
+    texts = {1: passage, 2: "x" * (n - len(passage) - 3) + ". " + passage + "!", 3: "y" * (n - len(passage) - 2) + "! " + passage}
+    assert len(texts[2]) == len(texts[3]) == n
+    df = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    got = {r["row"]["doc_id"]: r["text"] for r in L.dedup_lines(df).collect()}
+    assert got == {1: passage, 2: texts[2], 3: "y" * (n - len(passage) - 2) + "!"}
+    assert got == {k: v[0] for k, v in brute_lines(texts).items()}
+
+
+def test_a_line_above_a_chunk(spark):
+    passage = " ".join(f"Sentence {i} of many says {i * i}." for i in range(60_000))
+    assert len(passage) > 1 << 20
+    df = spark.createDataFrame([(1, passage), (2, "Another head. " + passage)], "doc_id long, text string")
+    got = {r["row"]["doc_id"]: (r["text"], r["n_removed"]) for r in L.dedup_lines(df).collect()}
+    assert got == {1: (passage, 0), 2: ("Another head.", 60_000)}
+
+
 def test_hot_windows_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(L, "HOT_SHARE", 0.02)
     texts = {i: "Licence line one.\nLicence line two.\nLicence line three.\n" * (i % 3) + f"own {i % 40}\nwords {i % 40}\nhere {i % 40}\nrow {i}" for i in range(300)}
