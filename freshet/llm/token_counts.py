@@ -1,8 +1,8 @@
 """Token counts under a byte-level BPE vocabulary with word ends.
 
-Offline, every vocabulary string that ends a word is run through the merges; those that come out as one
-token form the whole-token table. A text's pre-tokens that stand in the table count one each without any
-merging. Only the rest are merged, once per distinct string and worker.
+Offline, once on the driver, every vocabulary string that ends a word is run through the merges; those that come out as one
+token form the whole-token table, which is broadcast with the merges. A text's pre-tokens that stand in the table count one
+each without any merging. Only the rest are merged, once per distinct string and worker.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +45,7 @@ class Counter:
         self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
-        self.merged: dict[str, int] = {}
+        self.merged: dict[str, int] = {}  # of this process alone
         back = {c: b for b, c in enumerate(self.letters)}
         self.whole: dict[str, int] = {}
         for piece in spec["model"]["vocab"]:
@@ -55,6 +56,9 @@ class Counter:
                     continue
                 self.whole[word] = 1
 
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "merged": {}}
+
     def merge(self, parts: list[str]) -> int:
         """Tokens left when the best-ranked neighbours, leftmost first, have been joined as long as any can be."""
         n = len(parts)
@@ -106,10 +110,15 @@ class Counter:
 
 @functools.cache
 def counter(path: str) -> Counter:
-    """One counter per worker process; the vocabulary bounds its size."""
+    """The counter of a file, made once in the driver; the vocabulary bounds its size."""
     return Counter(path)
 
 
+def sent(spark: SparkSession, path: str) -> Broadcast[Counter]:
+    """The counter as tasks read it: a worker process keeps it, and what it remembers, for all of its tasks."""
+    return spark.sparkContext.broadcast(counter(path))
+
+
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
     """``id_col``, ``n_bytes``, ``n_tokens``, ``over_limit`` for every row.
 
@@ -117,9 +126,10 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     holds one Arrow batch and the strings it remembers.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
+    table = sent(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = counter(path)
+        c = table.value
         for b in batches:
             texts = b.column("__text")
             counts = [c.count(t.as_py()) for t in texts]
