@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +23,8 @@ from .tables import read_table
 from .texts import HASH_BITS, WHITE, chunks, lean, mix, pieces, span_hashes
 
 SAMPLES = 64
-#: Ranges of ids in which neighbours meet; their first ids (one row a range) are broadcast.
-RANGES_PER_PARTITION, MAX_RANGES = 4, 4096
+#: Ranges of ids in which neighbours meet, for each shuffle partition; their first ids (one row a range) are broadcast.
+RANGES_PER_PARTITION = 4
 _BLOCK = 1024
 _U = np.uint64
 
@@ -133,26 +134,51 @@ def _below(value: F.Column, bounds: list[int]) -> F.Column:
     step = max(1, math.isqrt(len(bounds)))
     parts = [bounds[i : i + step] for i in range(0, len(bounds), step)]
     passed = lambda some: F.size(F.filter(some, lambda q: q < value))
-    part = passed(F.array(*(F.lit(p[0]) for p in parts)))
-    inside = F.array(*(F.array(*map(F.lit, p)) for p in parts))[part - 1]
+    as_array = lambda some: F.from_json(F.lit(str(some)), "array<bigint>")  # noqa: E731  one literal, however many bounds
+    part = passed(as_array([p[0] for p in parts]))
+    inside = F.from_json(F.lit(str(parts)), "array<array<bigint>>")[part - 1]
     return F.when(part == 0, F.lit(0)).otherwise((part - 1) * step + passed(inside))
 
 
+def _ranges(value: F.Column, tie: F.Column, bounds: list[int], nulls: int) -> F.Column:
+    """The number of the range of (value, tie), rising with both, nulls lowest.
+
+    ``bounds`` are quantiles of the ids: one that occurs several times is an id with more rows than a range should have. Such ids, and
+    the rows without id (as many as ``nulls`` ranges should have), are split further by leading bits of the hash ``tie``, into
+    more parts than that; so neither meet in one task.
+    """
+
+    def part(times: int) -> F.Column:  # rises with tie, a signed number
+        return F.shiftrightunsigned(tie.bitwiseXOR(F.lit(-(1 << 63))), 64 - max(times, 1).bit_length())
+
+    low = sorted(set(bounds))
+    hot: dict[int, list[int]] = {}
+    for x, times in Counter(bounds).items():
+        if times > 1:
+            hot.setdefault(1 << (times - 1).bit_length(), []).append(x)
+    whole = (_below(value, low) + 1 if low else F.lit(1)).cast("long") * (1 << 32)
+    out = F.when(value.isNull(), part(nulls))
+    for times, of in hot.items():
+        out = out.when(value.isin(of), whole + 1 + part(times))
+    return out.otherwise(whole)
+
+
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES) -> DataFrame:
     """For every row its fingerprint, that of its edited text, and their likeness (see ``_OUT``).
 
     The next document is the one before it in ascending (id, hash of the text) order, null ids lowest; after the last comes
     the first. Null texts are empty; two texts without words are alike. Other columns are ignored. Texts are
-    shuffled once, to ranges of ids; a range also gets the row that follows its last one.
+    shuffled once, to ranges of ids (of hashes where many rows share an id or have none); a range also gets the row that
+    follows its last one. Only rows equal in id and text always meet.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges = min(n * RANGES_PER_PARTITION, MAX_RANGES)
-    bounds = rows.agg(F.percentile_approx("id", [i / ranges for i in range(1, ranges)], 10 * ranges).alias("q")).first()["q"] or []
-    bounds = sorted(set(bounds))
-    where = F.when(F.col("id").isNull(), F.lit(0)).otherwise(_below(F.col("id"), bounds) + 1) if bounds else F.lit(0)
-    rows = rows.withColumn("range", where.cast("int")).withColumn("tie", F.xxhash64("text"))
+    ranges = n * RANGES_PER_PARTITION
+    found = rows.agg(F.percentile_approx("id", [i / ranges for i in range(1, ranges)], 10 * ranges).alias("q"), F.count("id").alias("known"), F.count("*").alias("n")).first()
+    nulls = math.ceil(ranges * (found.n - found.known) / max(found.n, 1))
+    rows = rows.withColumn("tie", F.xxhash64("text"))
+    rows = rows.withColumn("range", _ranges(F.col("id"), F.col("tie"), found.q or [], nulls))
     # the first row of each non-empty range also ends the range before it (the one above in id order)
     heads = rows.groupBy("range").agg(F.max(F.struct(F.col("id"), F.col("tie"))).alias("head"))
     up = Window.orderBy("range")  # one row a range

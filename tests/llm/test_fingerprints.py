@@ -59,6 +59,32 @@ def test_odd_rows(spark, odd, none):
     assert P.fingerprint(odd).count() == len(ODD) + 2
 
 
+def test_rows_without_id_and_of_one_id_are_spread(spark):
+    rows = [(None, f"lost {i} of many") for i in range(900)] + [(7, f"text {i} of seven") for i in range(900)] + [(i, f"row {i}") for i in range(-100, 100) if i != 7]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = P.fingerprint_edits(df)
+    tie = {r.text: r.t for r in df.selectExpr("text", "xxhash64(text) as t").collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, tie[r[1]]), reverse=True)
+    want = Counter()
+    for i, (k, t) in enumerate(order):
+        want[k, len(t), hashlib.sha256(P.edited(t, order[(i + 1) % len(order)][1]).encode()).hexdigest()] += 1
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got.collect()) == want
+    spread = [sum(1 for _ in p) for p in got.rdd.glom().collect()]
+    assert max(spread) < 2 * sum(spread) / len(spread)
+    where = df.select("doc_id", "text", P._ranges(df.doc_id, P.F.xxhash64("text"), [-5, 7, 7, 7, 8], 5).alias("r")).collect()
+    parts = lambda *ids: len({w.r for w in where if w.doc_id in ids})
+    assert (parts(None), parts(7), parts(0, 3, 6), parts(8)) == (8, 8, 1, 1)
+    ordered = sorted(where, key=lambda w: (w.doc_id is not None, w.doc_id or 0, tie[w.text]))
+    assert [w.r for w in ordered] == sorted(w.r for w in where)
+
+
+def test_many_bounds(spark):
+    bounds = [k * k for k in range(20_000)]
+    df = spark.createDataFrame([(k,) for k in (-1, 0, 1, 2, 99, 10_000, 10_001, 399_960_001, 10**12)], "v long")
+    got = {r.v: r.n for r in df.select("v", P._below(df.v, bounds).alias("n")).collect()}
+    assert got == {v: sum(b < v for b in bounds) for v in got}
+
+
 def test_collisions_equal_jaccard_for_many_samples():
     x, y = "a a a b b c d e f f", "a b b b c d g h f"
     s = P.signatures(pa.array([x, y, "", None, "q"]), 20000)
