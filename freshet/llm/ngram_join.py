@@ -354,8 +354,8 @@ def _star_pairs(heads: DataFrame, roots: DataFrame, percent: int, turn: int) ->
     named = _named(heads, roots)
     order = [F.xxhash64("gram", "b", F.lit(turn))] if turn else ["d", "b"]
     some = named.withColumn("rank", F.row_number().over(Window.partitionBy("a", "gram").orderBy(*order))).filter(F.col("rank") <= PARTNERS)
-    some = some.select("a", "gram", *(F.col(c).alias(f"_{c}") for c in ("b", "n", "root")))
-    return named.join(some, ["a", "gram"]).filter((F.col("root") != F.col("_root")) & _sizes_fit(percent)).select(F.least("b", "_b").alias("a"), F.greatest("b", "_b").alias("b")).distinct()
+    some = some.select("a", "gram", *(F.col(c).alias(f"_{c}") for c in ("b", "n", "d", "root", "pos")))
+    return named.join(some, ["a", "gram"]).filter(_may_link(percent)).select(F.least("b", "_b").alias("a"), F.greatest("b", "_b").alias("b")).distinct()
 
 
 def _open_pairs(heads: DataFrame, roots: DataFrame, percent: int) -> DataFrame:

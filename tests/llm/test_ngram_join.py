@@ -101,6 +101,27 @@ def test_a_group_whose_centre_is_an_edited_copy(spark):
     assert got == brute(dict(enumerate(made)), 5, 80)
 
 
+def test_pairs_that_cannot_link_cost_no_product(spark, monkeypatch):
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(300)]
+    made = []
+    for k in range(300):  # each has a stretch of its own that is too long for a link between any two
+        at = rng.randrange(280)
+        made.append(" ".join([*base[:at], *(f"own{k}_{j}" for j in range(18)), *base[at + 18 :]]))
+    tried, real = [], J.materialize
+
+    def watched(df, name):
+        out = real(df, name)
+        if name in ("star-pairs", "open-pairs"):
+            tried.append(out.count())
+        return out
+
+    monkeypatch.setattr(J, "materialize", watched)
+    df = spark.createDataFrame([*enumerate(made)], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in J.near_duplicates(df, width=3, percent=90).collect()}
+    assert got == {k: k for k in range(300)} and sum(tried) == 0
+
+
 def test_long_chains_of_links(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(60)] + [(100, 200), (200, 150)], "a long, b long")
     got = {r.node: r.root for r in J.components(links).collect()}
