@@ -15,7 +15,8 @@ in the smaller row fall short of the bound that its sizes set. Every link comes
 * Rows with equal sets are one row of the matrix; their group is a star around its smallest id.
 * In a bucket (rows with an equal block) the mask first has every member's entry with one centre only: the row that stands in
   the largest buckets. Where all members of a centre have come into one component, nothing is left to do.
-* Else two members A and B of a centre R in different components are still open. They differ in
+* Else two members A and B of one bucket with centre R in different components are still open: a pair that no bucket holds cannot
+  link, whatever centre both have. In buckets of up to ``SMALL`` members all open pairs are formed at once. In larger ones A and B differ in
   ``|A ^ B| = |dA| + |dB| - 2 |dA & dB|`` n-grams, where d is the difference from R. To be within the bound K, either both link to R or
   dA and dB share ``(|dA| + |dB| - K) / 2`` n-grams. In any one order of the n-grams, the smaller difference then has one of
   these among its first ``K / 2 + 1`` and the larger among its first ``K + 1``. The order is that of how few members of the centre have
@@ -46,6 +47,8 @@ SPARE = ((90, 0.1), (0, 0.25))
 COMMON, LOOK_ROWS, LOOK_BYTES, LOOK_TEXTS = 65_536, 2048, 4 << 20, 4
 #: Column blocks over which overlap counts are summed; entries and n-grams of a batch of the product.
 BLOCKS, ENTRIES, GRAMS = 4, 256, 1 << 18
+#: Members of a bucket, besides its centre, up to which all their open pairs are formed; beyond it their differences from the centre are compared.
+SMALL = 8
 #: Turns in which members that meet on an n-gram are tied through a few of them, and how many, before all open pairs are formed.
 TURNS, PARTNERS = 2, 6
 #: Sets that a task remembers to tell copies; beyond it starts anew.
@@ -317,11 +320,24 @@ def _beside(pairs: DataFrame, grams: DataFrame) -> DataFrame:
     return pairs.join(grams.withColumnsRenamed({"id": "a", "grams": "x"}), "a").join(grams.withColumnsRenamed({"id": "b", "grams": "y"}), "b").select("a", "b", "x", "y")
 
 
-def _heads(star: DataFrame, grams: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """(a, gram, b, n, d, pos, most): the rarest differences of members ``b`` of centre ``a`` that lie in different components."""
-    at = _named(star, roots)
-    mixed = at.groupBy("a").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("a")
-    at = materialize(at.join(mixed, "a", "left_semi").select("a", "b", "root"), "open-members")
+def _open_members(member: DataFrame, roots: DataFrame) -> DataFrame:
+    """(sig, a, b, n, root, many): the members ``b``, beside the centre ``a``, of buckets in which they lie in different components, and how many those are."""
+    at = _named(member, roots)
+    mixed = at.groupBy("sig").agg(F.count("*").alias("many"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("sig", "many")
+    return materialize(at.join(mixed, "sig").select("sig", "a", "b", "n", "root", "many"), "open-members")
+
+
+def _small_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): all open pairs of the buckets of up to ``SMALL`` members whose sizes allow a link."""
+    left = members.filter(F.col("many") <= SMALL).select("sig", "b", "n", "root")
+    right = left.select("sig", *(F.col(c).alias(f"_{c}") for c in ("b", "n", "root")))
+    fit = (F.col("b") < F.col("_b")) & (F.col("root") != F.col("_root")) & _sizes_fit(percent)
+    return left.join(right, "sig").filter(fit).select(F.col("b").alias("a"), F.col("_b").alias("b")).distinct()
+
+
+def _heads(members: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
+    """(a, gram, b, n, d, pos, most): the rarest differences of members ``b`` of centre ``a`` in larger buckets that lie in different components."""
+    at = materialize(members.filter(F.col("many") > SMALL).select("a", "b", "root").distinct(), "far-members")
     diffs = _beside(at, grams).mapInArrow(lean(_differences), "a long, b long, n int, diff array<long>")
     entries = materialize(diffs.select("a", "b", "n", F.size("diff").alias("d"), F.explode("diff").alias("gram")).join(at, ["a", "b"]), "differences")
     seen = entries.groupBy("a", "gram").agg(F.count("*").alias("seen"), F.min("root").alias("lo"), F.max("root").alias("hi"))
@@ -443,23 +459,26 @@ def _roots(texts: DataFrame, width: int, percent: int) -> DataFrame:
         return pairs
 
     # buckets of different sets, each with its centre
-    member = to_sets(buckets.filter(F.col("kind") == BLOCK).select("sig", "id"), "id").distinct()
+    member = to_sets(buckets.filter(F.col("kind") == BLOCK).select("sig", "id", "n"), "id").distinct()
     size = member.groupBy("sig").agg(F.count("*").alias("size")).filter("size > 1")
     member = materialize(member.join(size, "sig"), "members")
     weight = member.groupBy("id").agg(F.sum("size").alias("weight"))
     centre = member.join(weight, "id").groupBy("sig").agg(F.max(F.struct("weight", (-F.col("id")).alias("back"))).alias("top")).select("sig", (-F.col("top.back")).alias("a"))
-    star = materialize(member.join(centre, "sig").filter("id <> a").select("a", F.col("id").alias("b")).distinct(), "pairs")
+    member = materialize(member.join(centre, "sig").filter("id <> a").select("sig", "a", F.col("id").alias("b"), "n"), "around")
+    star = materialize(member.select("a", "b").distinct(), "pairs")
     grams = _rows_of(known, star, width)
     linked = "a long, b long"
     links = materialize(_beside(star, grams).mapInArrow(lean(_product(percent)), linked), "links")
     roots = components(links)
-    heads = _heads(star, grams, roots, percent)
+    members = _open_members(member, roots)
 
     def joined(pairs: DataFrame) -> DataFrame:
         """The components when the links among ``pairs`` are added."""
         more = materialize(_beside(pairs, grams).mapInArrow(lean(_product(percent)), linked), "links")
         return roots if more.isEmpty() else components(roots.toDF("a", "b").union(more))
 
+    roots = joined(materialize(_small_pairs(members, percent), "small-pairs"))
+    heads = _heads(members, grams, percent)
     # members that meet on a gram are first tied through a few of them; all pairs are left only between components
     for turn in range(TURNS):
         pairs = materialize(_star_pairs(heads, roots, percent, turn), "star-pairs")

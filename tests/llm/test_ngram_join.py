@@ -148,3 +148,66 @@ def test_common_grams_change_only_the_work(spark, sf, texts, which, monkeypatch)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.near_duplicates(docs).collect()}
     assert got == brute(texts, 5, 80)
     assert found(docs.selectExpr("doc_id id", "text __text"), 5).dtype == np.uint64
+
+
+@pytest.mark.parametrize("small", [0, 2, 10**6])
+def test_small_buckets_change_only_the_work(spark, small, monkeypatch):
+    rng = random.Random(19)
+    made = []
+    for size in (12, 40, 150):
+        base = [f"w{size}_{i}" for i in range(size)]
+        for k in range(24):
+            t = [*base]
+            for _ in range(rng.choice([0, 1, 2, 4, size // 8, size // 4])):
+                t[rng.randrange(size)] = f"e{rng.randrange(5)}"
+            made.append(" ".join([*t, *(f"own{size}_{k // 2}_{j}" for j in range(size // 6))]))
+    monkeypatch.setattr(J, "SMALL", small)
+    df = spark.createDataFrame([*enumerate(made)], "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.near_duplicates(df).collect()}
+    assert got == brute(dict(enumerate(made)), 5, 80)
+
+
+def test_members_of_small_buckets_are_not_taken_apart(spark, monkeypatch):
+    rng = random.Random(23)
+    base = [f"w{i}" for i in range(200)]
+    made = [" ".join(base)]
+    for k in range(8):  # each shares two thirds with the first text, so blocks are equal, and links with nothing or with one other
+        at = 15 * (k // 2) + rng.randrange(10)
+        made.append(" ".join([*base[:at], *(f"own{k // 2 if k < 4 else k}_{j}" for j in range(70)), *base[at + 70 :]]))
+    rows, real = {}, J.materialize
+
+    def watched(df, name):
+        out = real(df, name)
+        rows[name] = rows.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(J, "materialize", watched)
+    df = spark.createDataFrame([*enumerate(made)], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.near_duplicates(df).collect()}
+    assert got == brute(dict(enumerate(made)), 5, 80)
+    assert rows["pairs"] > 1 and rows["differences"] == 0
+
+
+def test_shuffle_files_go_with_the_write_that_made_them(spark):
+    import time
+
+    from freshet.llm.tables import materialize
+
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def held():
+        files = disk.getAllFiles()
+        names = [files.apply(i).getName() for i in range(files.size())]
+        return {n for n in names if n.startswith("shuffle_")}
+
+    before = held()
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    set_to = spark.conf.get(key, None)
+    plan = spark.range(20_000).withColumn("k", J.F.xxhash64("id")).repartition(4, "k")  # kept, as a caller keeps its frames
+    out = materialize(plan, "written")
+    for _ in range(50):
+        if not (left := held() - before):
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get(key, None) == set_to
+    assert out.count() == plan.count() == 20_000  # the plan can be computed again
