@@ -18,7 +18,7 @@ WIDTH = 3
 BROADCAST_LINES = 1_000_000
 #: A window with at least this share of all windows is hot; there are at most 1 / ``HOT_SHARE`` of them, so they are broadcast.
 HOT_SHARE = 1e-4
-BLANK = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
+WHITE = " \t\n\x0b\x0c\r"
 
 
 def pieces_of(text: Column) -> Column:
@@ -26,22 +26,26 @@ def pieces_of(text: Column) -> Column:
     return F.split(text, r"(?<=\n)|(?<=[.!?] )", -1)
 
 
+def _solid(pieces: Column) -> Column:
+    """(line, at) of each piece that holds more than white space, trimmed, with its number among all."""
+    return F.filter(F.transform(pieces, lambda x, i: F.struct(F.btrim(x, F.lit(WHITE)).alias("line"), i.alias("at"))), lambda x: x["line"] != "")
+
+
 def line_windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(h, g, id, tie, i, at) of every window; h and g hash its trimmed pieces to 96 bits, tie hashes the text, i counts solid pieces, at all pieces."""
+    """(h, g, id, tie, i) of every window; h and g hash its trimmed pieces to 96 bits, tie hashes the text, i numbers its solid pieces from 0."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    solid = F.filter(F.transform(pieces_of(text), lambda x, i: F.struct(F.regexp_replace(x, BLANK, "").alias("line"), i.alias("at"))), lambda x: x["line"] != "")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("tie"), solid.alias("s")).filter(F.size("s") >= WIDTH)
+    hashed = F.transform(_solid(pieces_of(text)), lambda x: F.struct(F.xxhash64(x["line"]).alias("h"), F.hash(x["line"]).alias("g")))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("tie"), hashed.alias("s"))
     made = F.transform(
         F.sequence(F.lit(0), F.size("s") - WIDTH),
-        lambda i: F.struct(
-            F.xxhash64(*(F.col("s")[i + k]["line"] for k in range(WIDTH))).alias("h"), F.hash(*(F.col("s")[i + k]["line"] for k in range(WIDTH))).alias("g"), i.alias("i"), F.array(*(F.col("s")[i + k]["at"] for k in range(WIDTH))).alias("at")
-        ),
+        lambda i: F.struct(F.xxhash64(*(F.col("s")[i + k]["h"] for k in range(WIDTH))).alias("h"), F.hash(*(F.col("s")[i + k]["g"] for k in range(WIDTH))).alias("g"), i.alias("i")),
     )
-    return rows.select("id", "tie", F.explode(made).alias("w")).select("w.h", "w.g", "id", "tie", "w.i", "w.at")
+    # no filter on the size of s: it would be pushed below and cut every text twice
+    return rows.select("id", "tie", F.explode(F.when(F.size("s") >= WIDTH, made)).alias("w")).select("w.h", "w.g", "id", "tie", "w.i")
 
 
 def repeated_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, tie, gone), written: the pieces of each text that later occurrences of a window cover.
+    """(id, tie, gone), written: the solid pieces of each text that later occurrences of a window cover.
 
     A window that is in very many places would meet all of them in one task of the join; such windows are few by
     definition and go to the tasks that read the windows.
@@ -58,20 +62,25 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     later = hit.filter(~(same & (F.col("i") == F.col("first.i"))))
     # where a window runs into itself, the pieces of its first occurrence stay
     free = F.when(same, F.greatest(F.lit(0), F.least(F.lit(WIDTH), F.col("first.i") + WIDTH - F.col("i")))).otherwise(F.lit(0))
-    at = later.filter("id is not null").select("id", "tie", F.explode(F.slice("at", free + 1, F.lit(WIDTH))).alias("at")).distinct()
+    covered = F.filter(F.transform(F.array(*(F.lit(k) for k in range(WIDTH))), lambda k: F.when(k >= free, F.col("i") + k)), lambda x: x.isNotNull())
+    at = later.filter("id is not null").select("id", "tie", F.explode(covered).alias("at")).distinct()
     gone = materialize(at.groupBy("id", "tie").agg(F.collect_list("at").alias("gone")), "gone-lines")
     discard(win, seen)  # the windows are the largest table of all
     return gone
 
 
 def _without(text: Column, gone: Column) -> Column:
-    """``text`` without the pieces at ``gone``; where the last piece goes, so does the line end or space before it."""
+    """``text`` without the solid pieces numbered in ``gone``; where the last piece goes, so does the line end or space before it."""
+
+    def left(p: Column, at: Column) -> Column:
+        kept = F.array_join(F.transform(F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), at)), lambda i: p[i]), "")
+        return F.when(F.array_contains(at, F.size(p) - 1), F.regexp_replace(kept, r"[\x20\n]\z", "")).otherwise(kept)
 
-    def left(p: Column) -> Column:
-        kept = F.array_join(F.transform(F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), gone)), lambda i: p[i]), "")
-        return F.when(F.array_contains(gone, F.size(p) - 1), F.regexp_replace(kept, r"[\x20\n]\z", "")).otherwise(kept)
+    def numbered(p: Column) -> Column:
+        """The pieces with the numbers among all of those that go."""
+        return F.struct(p.alias("p"), F.transform(F.array(_solid(p)), lambda s: F.transform(gone, lambda k: s[k]["at"]))[0].alias("at"))
 
-    return F.transform(F.array(pieces_of(text)), left)[0]
+    return F.transform(F.transform(F.array(pieces_of(text)), numbered), lambda x: left(x["p"], x["at"]))[0]
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -195,3 +195,16 @@ def test_hot_windows_equal_brute_force(spark, monkeypatch):
     texts = {i: "Licence line one.\nLicence line two.\nLicence line three.\n" * (i % 3) + f"own {i % 40}\nwords {i % 40}\nhere {i % 40}\nrow {i}" for i in range(300)}
     df = spark.createDataFrame([*texts.items()], "doc_id long, text string")
     assert {r["row"]["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in L.dedup_lines(df).collect()} == brute_lines(texts)
+
+
+def test_texts_are_cut_once_for_the_windows(spark):
+    df = spark.createDataFrame([(1, "a\nb\nc\nd")], "doc_id long, text string")
+    assert L.line_windows(df, "doc_id", "text")._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def test_only_ascii_white_space_is_trimmed(spark):
+    texts = {1: "b\nc\nz \u2028", 2: "b\nc\nz\u2028", 3: "\x0b b \r\n\n c\t\nz\u2028 \x0c", 4: "z\x85\u3000\n\n \nb\nc", 5: "z\x85\u3000\nb\nc\n \nq", 6: "z\x85\nb\nc"}
+    df = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    got = {r["row"]["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in L.dedup_lines(df).collect()}
+    assert got == brute_lines(texts)
+    assert got[2][2] == 0 and got[3][2] == 3 and got[5] == (" \nq", 5, 3) and got[6][2] == 0
