@@ -39,7 +39,7 @@ from pyspark.sql import Window
 from .tables import discard, materialize, read_table
 from .texts import HASH_BITS, chunks, lean, mix, shingle_sets
 
-#: Ids that may be broadcast (8 bytes each) to pick rows for the product; more are joined by a shuffle.
+#: Ids or pairs of them that may be broadcast (8 bytes an id) to pick rows for the product; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Spare blocks as a share of those that the bound asks for: (least percent, share). Lower bounds cut blocks smaller, and more of them tell little.
 SPARE = ((90, 0.1), (0, 0.25))
@@ -316,8 +316,13 @@ def _rows_of(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
 
 
 def _beside(pairs: DataFrame, grams: DataFrame) -> DataFrame:
-    """(a, b, x, y): the rows of each pair."""
-    return pairs.join(grams.withColumnsRenamed({"id": "a", "grams": "x"}), "a").join(grams.withColumnsRenamed({"id": "b", "grams": "y"}), "b").select("a", "b", "x", "y")
+    """(a, b, x, y): the rows of each pair. A counted list of pairs goes to the rows, so that only rows named by it are moved."""
+    left, right = grams.withColumnsRenamed({"id": "a", "grams": "x"}), grams.withColumnsRenamed({"id": "b", "grams": "y"})
+    pairs = pairs.select("a", "b")
+    if pairs.count() <= BROADCAST_IDS:
+        right = right.join(F.broadcast(pairs.select("b").distinct()), "b", "left_semi")
+        pairs = F.broadcast(pairs)
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
 
 
 def _open_members(member: DataFrame, roots: DataFrame) -> DataFrame:

@@ -211,3 +211,13 @@ def test_shuffle_files_go_with_the_write_that_made_them(spark):
         time.sleep(0.1)
     assert not left and spark.conf.get(key, None) == set_to
     assert out.count() == plan.count() == 20_000  # the plan can be computed again
+
+
+@pytest.mark.parametrize("most", [1, 10**6])
+def test_only_rows_that_a_list_of_pairs_names_are_moved(spark, most, monkeypatch):
+    monkeypatch.setattr(J, "BROADCAST_IDS", most)
+    grams = spark.createDataFrame([(i, [i, i + 1]) for i in range(500)], "id long, grams array<long>").repartition(3)
+    pairs = spark.createDataFrame([(1, 7), (1, 9), (400, 3)], "a long, b long")
+    found = J._beside(pairs, grams)
+    assert sorted((r.a, r.b, r.x, r.y) for r in found.collect()) == [(a, b, [a, a + 1], [b, b + 1]) for a, b in [(1, 7), (1, 9), (400, 3)]]
+    assert ("left_semi" in found._jdf.queryExecution().optimizedPlan().toString().lower().replace("leftsemi", "left_semi")) == (most > 1)
