@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from .tables import discard, materialize, read_table
 
 WIDTH = 3
-#: Removed pieces and texts (4 and some 40 bytes each) that may be broadcast; more are joined by a shuffle.
-BROADCAST_LINES = 1_000_000
 #: A window with at least this share of all windows is hot; there are at most 1 / ``HOT_SHARE`` of them, so they are broadcast.
 HOT_SHARE = 1e-4
 WHITE = " \t\n\x0b\x0c\r"
@@ -92,11 +90,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     never changed (their windows count as the first occurrences).
     """
     gone = repeated_lines(docs, id_col, text_col)
-    small = gone.agg(F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()[0] <= BROADCAST_LINES
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = rows.withColumn("tie", F.xxhash64(F.coalesce("text", F.lit(""))))
     lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
-    return rows.join(F.broadcast(gone) if small else gone, ["id", "tie"], "left").select(
+    return rows.join(gone, ["id", "tie"], "left").select(
         "row", F.when(F.col("gone").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("gone"))).alias("text"), F.coalesce(lines, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed")
     )
 

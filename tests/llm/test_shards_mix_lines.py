@@ -208,3 +208,10 @@ def test_only_ascii_white_space_is_trimmed(spark):
     got = {r["row"]["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in L.dedup_lines(df).collect()}
     assert got == brute_lines(texts)
     assert got[2][2] == 0 and got[3][2] == 3 and got[5] == (" \nq", 5, 3) and got[6][2] == 0
+
+
+def test_few_and_many_removed_pieces_take_the_same_join(spark):
+    df = spark.createDataFrame([(1, "a\nb\nc\nd"), (2, "b\nc\nd\ne")], "doc_id long, text string")
+    out = L.dedup_lines(df)
+    assert "broadcast" not in out._jdf.queryExecution().optimizedPlan().toString().lower()  # no hint by which the work would change with the input
+    assert sorted((r["row"]["doc_id"], r["text"]) for r in out.collect()) == [(1, "a\nb\nc\nd"), (2, "e")]
