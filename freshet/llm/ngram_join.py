@@ -12,6 +12,9 @@ in the smaller row fall short of the bound that its sizes set. Every link comes
 * Blocks with too few n-grams to tell rows apart are left out where ``m - k - 1`` spare blocks cover them.
 * N-grams that many otherwise different texts share (``common_grams``) are left out of the blocks, which would say little
   with them: rows without them differ in no more n-grams than before, so the bound still holds. They count in every product.
+* A pair within the bound agrees in ``m - k`` blocks, of which those without enough n-grams are left out: at least ``d + 1`` of a row's
+  blocks, ``d`` being the spare ones it has left. So each row leaves its ``d`` largest buckets, in one order of all: the first bucket that both
+  rows of a pair stand in is never one of them. Rows that meet in few blocks, by chance or by a passage they share, so leave all.
 * Rows with equal sets are one row of the matrix; their group is a star around its smallest id.
 * In a bucket (rows with an equal block) the mask first has every member's entry with one centre only: the row that stands in
   the largest buckets. Where all members of a centre have come into one component, nothing is left to do.
@@ -19,8 +22,8 @@ in the smaller row fall short of the bound that its sizes set. Every link comes
   link, whatever centre both have. In buckets of up to ``SMALL`` members all open pairs are formed at once. In larger ones A and B differ in
   ``|A ^ B| = |dA| + |dB| - 2 |dA & dB|`` n-grams, where d is the difference from R. To be within the bound K, either both link to R or
   dA and dB share ``(|dA| + |dB| - K) / 2`` n-grams. In any one order of the n-grams, the smaller difference then has one of
-  these among its first ``K / 2 + 1`` and the larger among its first ``K + 1``. The order is that of how few members of the centre have
-  the n-gram: what sets the centre apart is in all differences and comes last. Of those that meet
+  these among its first ``K / 2 + 1`` and the larger among its first ``K + 1``. The order begins with n-grams on which no two components meet,
+  so these are counted only; then comes how few members of the centre have the n-gram: what sets the centre apart is in all differences and comes last. Of those that meet
   on an n-gram, each first has entries with ``PARTNERS`` others only, in ``TURNS`` turns. All pairs that meet and still lie in different
   components are the mask of the last product. No link between components is lost.
 """
@@ -56,6 +59,8 @@ SEEN = 32_768
 #: Ids below this are the table's own.
 _OTHER = 1 << 62
 SET, BLOCK, COPY = 0, 1, 2
+#: Layout of a tag: 2 bits of kind, then ``leave``: whether the block is cut for the next class, and the row's spare blocks left (fewer than are left do no harm); then the row's size.
+LEAVE_BITS = 18
 _U = np.uint64
 _MASK = _U((1 << HASH_BITS) - 1)
 
@@ -88,8 +93,11 @@ class Classes:
         return np.searchsorted(self.low, sizes, "right") - 1
 
 
-def _blocks(keys: np.ndarray, sizes: np.ndarray, rows: np.ndarray, label: np.ndarray, c: Classes) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, row) of the telling blocks of ``rows``, cut as pairs with the larger row in class ``label`` need it."""
+def _blocks(keys: np.ndarray, sizes: np.ndarray, rows: np.ndarray, label: np.ndarray, c: Classes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, row) of the telling blocks of ``rows``, cut as pairs with the larger row in class ``label`` need it, and for each of all rows its spare blocks left.
+
+    Two rows within the bound agree in one more of their telling blocks than either has spare ones left.
+    """
     m = np.zeros(len(sizes), np.int64)
     m[rows] = c.m[label]
     lab = np.zeros(len(sizes), np.int64)
@@ -106,9 +114,9 @@ def _blocks(keys: np.ndarray, sizes: np.ndarray, rows: np.ndarray, label: np.nda
     place = (lab[part_row].astype(_U) << _U(40)) | (np.arange(base[-1]) - base[part_row]).astype(_U)
     sig = mix(total[upto] - total[upto - count] + mix(place + _U(1)))
     few = count < c.least[lab[part_row]]
-    bad = np.bincount(part_row[few], minlength=len(sizes)) > c.spare[lab]
-    keep = ~few | bad[part_row]
-    return sig[keep], part_row[keep]
+    left = c.spare[lab] - np.bincount(part_row[few], minlength=len(sizes))
+    keep = ~few | (left < 0)[part_row]  # a row without enough telling blocks keeps all; its partner may keep fewer
+    return sig[keep], part_row[keep], np.maximum(left, 0)
 
 
 def _look(width: int):
@@ -199,16 +207,18 @@ def _incidence(width: int, percent: int, common: np.ndarray):
                 rows = np.flatnonzero(fresh)
                 label = c.of(sizes[rows])
                 rare = keys[~_is_common(keys & _MASK, common)]
-                s0, r0 = _blocks(rare, sizes, rows, label, c)
-                s1, r1 = _blocks(rare, sizes, rows, label + 1, c)
+                s0, r0, left0 = _blocks(rare, sizes, rows, label, c)
+                s1, r1, left1 = _blocks(rare, sizes, rows, label + 1, c)
                 row = np.concatenate([np.arange(j - i), r0, r1])
-                tag = sizes[row] * 4 + np.concatenate([kind, np.full(len(r0) + len(r1), BLOCK)])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([sig, s0.view(np.int64), s1.view(np.int64)])), pa.array(mine[row]), pa.array(tag.astype(np.int32))], ["sig", "id", "tag"])
+                most = (1 << (LEAVE_BITS - 1)) - 1
+                leave = np.concatenate([np.zeros(j - i, np.int64), 2 * np.minimum(left0, most)[r0], 2 * np.minimum(left1, most)[r1] + 1])
+                tag = (sizes[row] << (LEAVE_BITS + 2)) + (leave << 2) + np.concatenate([kind, np.full(len(r0) + len(r1), BLOCK)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([sig, s0.view(np.int64), s1.view(np.int64)])), pa.array(mine[row]), pa.array(tag.astype(np.int64))], ["sig", "id", "tag"])
 
     return run
 
 
-_BUCKETS = "kind int, sig long, id long, n int, rep long, rep_n int"
+_BUCKETS = "kind int, sig long, id long, n int, rep long, rep_n int, leave int"
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,17 +226,17 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     Runs of equal hashes are followed across batches; only the first row of a run is ever held.
     """
-    last = None  # (sig, kind, rep, rep_n, held)
+    last = None  # (sig, kind, rep, rep_n, held, leave)
 
-    def out(kind, sig, ids, n, rep, rep_n):
-        return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, t)) for x, t in zip((kind, sig, ids, n, rep, rep_n), (np.int32, np.int64, np.int64, np.int32, np.int64, np.int32), strict=True)], ["kind", "sig", "id", "n", "rep", "rep_n"])
+    def out(kind, sig, ids, n, rep, rep_n, leave):
+        return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, t)) for x, t in zip((kind, sig, ids, n, rep, rep_n, leave), (np.int32, np.int64, np.int64, np.int32, np.int64, np.int32, np.int32), strict=True)], ["kind", "sig", "id", "n", "rep", "rep_n", "leave"])
 
     for b in batches:
         sig, ids, tag = (b.column(k).to_numpy() for k in range(3))
-        kind, n = tag & 3, tag >> 2
+        kind, leave, n = tag & 3, (tag >> 2) & ((1 << LEAVE_BITS) - 1), tag >> (LEAVE_BITS + 2)
         if (copy := kind == COPY).any():
-            yield out(kind[copy], sig[copy], ids[copy], n[copy], sig[copy], n[copy])
-            sig, ids, kind, n = sig[~copy], ids[~copy], kind[~copy], n[~copy]
+            yield out(kind[copy], sig[copy], ids[copy], n[copy], sig[copy], n[copy], leave[copy])
+            sig, ids, kind, n, leave = sig[~copy], ids[~copy], kind[~copy], n[~copy], leave[~copy]
         if not len(sig):
             continue
         starts = np.concatenate([[True], (sig[1:] != sig[:-1]) | (kind[1:] != kind[:-1])])
@@ -237,12 +247,12 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rep[0], rep_n[0] = last[2], last[3]
             size[0] += 1
             if last[4]:
-                yield out([last[1]], [last[0]], [last[2]], [last[3]], [last[2]], [last[3]])
+                yield out([last[1]], [last[0]], [last[2]], [last[3]], [last[2]], [last[3]], [last[5]])
         alone = (kind == SET) & (n == 0)
         emit = (kind == SET) | (size[run] > 1)
         hold = kind[-1] == BLOCK and size[-1] == 1
-        last = (sig[-1], kind[-1], rep[-1], rep_n[-1], hold)
-        yield out(kind[emit], sig[emit], ids[emit], n[emit], np.where(alone, ids, rep[run])[emit], np.where(alone, n, rep_n[run])[emit])
+        last = (sig[-1], kind[-1], rep[-1], rep_n[-1], hold, leave[-1])
+        yield out(kind[emit], sig[emit], ids[emit], n[emit], np.where(alone, ids, rep[run])[emit], np.where(alone, n, rep_n[run])[emit], leave[emit])
 
 
 def _rows(width: int):
@@ -296,7 +306,7 @@ def _product(percent: int):
 
 
 def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, size of b's row, n-grams that only one of them has)."""
+    """(a, b, root, size of b's row, n-grams that only one of a and b has) from (a, b, x, y, root)."""
     for b, a_len, b_len in _batches(batches):
         n = b.num_rows
         left, right = (b.column(k).flatten().to_numpy().view(_U) for k in (2, 3))
@@ -305,7 +315,7 @@ def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same = keys[1:] == keys[:-1]
         d = keys[~(np.concatenate([[False], same]) | np.concatenate([same, [False]]))] if len(keys) else keys
         cut = np.concatenate([[0], np.cumsum(np.bincount((d >> _U(HASH_BITS)).astype(np.int64), minlength=n))])
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(b_len, pa.int32()), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array((d & _MASK).view(np.int64)))], ["a", "b", "n", "diff"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(4), pa.array(b_len, pa.int32()), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array((d & _MASK).view(np.int64)))], ["a", "b", "root", "n", "diff"])
 
 
 def _rows_of(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
@@ -316,13 +326,24 @@ def _rows_of(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
 
 
 def _beside(pairs: DataFrame, grams: DataFrame) -> DataFrame:
-    """(a, b, x, y): the rows of each pair. A counted list of pairs goes to the rows, so that only rows named by it are moved."""
+    """(a, b, x, y, ...): the rows of each pair. A counted list of pairs goes to the rows, so that only rows named by it are moved."""
     left, right = grams.withColumnsRenamed({"id": "a", "grams": "x"}), grams.withColumnsRenamed({"id": "b", "grams": "y"})
-    pairs = pairs.select("a", "b")
+    more = [c for c in pairs.columns if c not in ("a", "b")]
     if pairs.count() <= BROADCAST_IDS:
         right = right.join(F.broadcast(pairs.select("b").distinct()), "b", "left_semi")
         pairs = F.broadcast(pairs)
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", *more)
+
+
+def _sized(member: DataFrame) -> DataFrame:
+    """``member`` with the ``size`` of its bucket ``sig``, without those that are alone there."""
+    return member.join(member.groupBy("sig").agg(F.count("*").alias("size")).filter("size > 1"), "sig")
+
+
+def _first_buckets(member: DataFrame) -> DataFrame:
+    """(sig, id, n) of the members, but for the largest buckets of each row (in either class): as many as it has spare blocks left."""
+    place = F.row_number().over(Window.partitionBy("id", "leave").orderBy(F.desc("size"), "sig"))
+    return member.withColumn("place", place).filter(F.col("place") > F.shiftright("leave", 1)).select("sig", "id", "n")
 
 
 def _open_members(member: DataFrame, roots: DataFrame) -> DataFrame:
@@ -343,12 +364,13 @@ def _small_pairs(members: DataFrame, percent: int) -> DataFrame:
 def _heads(members: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
     """(a, gram, b, n, d, pos, most): the rarest differences of members ``b`` of centre ``a`` in larger buckets that lie in different components."""
     at = materialize(members.filter(F.col("many") > SMALL).select("a", "b", "root").distinct(), "far-members")
-    diffs = _beside(at, grams).mapInArrow(lean(_differences), "a long, b long, n int, diff array<long>")
-    entries = materialize(diffs.select("a", "b", "n", F.size("diff").alias("d"), F.explode("diff").alias("gram")).join(at, ["a", "b"]), "differences")
-    seen = entries.groupBy("a", "gram").agg(F.count("*").alias("seen"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    rank = F.row_number().over(Window.partitionBy("a", "b").orderBy("seen", "gram")) - 1
+    diffs = _beside(at, grams).mapInArrow(lean(_differences), "a long, b long, root long, n int, diff array<long>")
+    entries = materialize(diffs.select("a", "b", "root", "n", F.size("diff").alias("d"), F.explode("diff").alias("gram")), "differences")
+    seen = entries.groupBy("a", "gram").agg(F.count("*").alias("seen"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("a", "gram", "seen")
+    mine = Window.partitionBy("a", "b")
+    pos = F.col("d") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("seen", "gram")) - 1  # n-grams that only one component has come first
     most = F.floor(F.col("n") * (100 - percent) / percent)
-    heads = entries.join(seen, ["a", "gram"]).withColumn("pos", rank).withColumn("most", most).filter("pos <= most and lo <> hi")
+    heads = entries.join(seen, ["a", "gram"]).withColumn("pos", pos).withColumn("most", most).filter("pos <= most")
     heads = materialize(heads.select("a", "gram", "b", "n", "d", "pos", "most"), "heads")
     discard(at, entries)
     return heads
@@ -453,7 +475,7 @@ def _roots(texts: DataFrame, width: int, percent: int) -> DataFrame:
     known, unknown = texts.filter("id is not null"), texts.filter("id is null")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     common = common_grams(known, width)
-    entries = known.mapInArrow(lean(_incidence(width, percent, common)), "sig long, id long, tag int")
+    entries = known.mapInArrow(lean(_incidence(width, percent, common)), "sig long, id long, tag long")
     buckets = materialize(entries.repartition(n, "sig").sortWithinPartitions("sig", "id").mapInArrow(lean(_gather), _BUCKETS), "buckets")
     sets = buckets.filter(F.col("kind") == SET).select("id", "n", "rep")
     moved = sets.filter("id <> rep").select("id", "rep").distinct()
@@ -464,9 +486,8 @@ def _roots(texts: DataFrame, width: int, percent: int) -> DataFrame:
         return pairs
 
     # buckets of different sets, each with its centre
-    member = to_sets(buckets.filter(F.col("kind") == BLOCK).select("sig", "id", "n"), "id").distinct()
-    size = member.groupBy("sig").agg(F.count("*").alias("size")).filter("size > 1")
-    member = materialize(member.join(size, "sig"), "members")
+    member = to_sets(buckets.filter(F.col("kind") == BLOCK).select("sig", "id", "n", "leave"), "id").distinct()
+    member = materialize(_sized(_first_buckets(_sized(member))), "members")
     weight = member.groupBy("id").agg(F.sum("size").alias("weight"))
     centre = member.join(weight, "id").groupBy("sig").agg(F.max(F.struct("weight", (-F.col("id")).alias("back"))).alias("top")).select("sig", (-F.col("top.back")).alias("a"))
     member = materialize(member.join(centre, "sig").filter("id <> a").select("sig", "a", F.col("id").alias("b"), "n"), "around")

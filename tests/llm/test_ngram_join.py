@@ -188,6 +188,66 @@ def test_members_of_small_buckets_are_not_taken_apart(spark, monkeypatch):
     assert rows["pairs"] > 1 and rows["differences"] == 0
 
 
+@pytest.mark.parametrize("common", [False, True])
+@pytest.mark.parametrize("percent", [50, 80, 90])
+def test_rows_within_the_bound_agree_in_more_blocks_than_they_leave(percent, common):
+    rng = np.random.default_rng(29)
+    c = J.Classes(percent, 4096)
+    left = []
+    for size in [12, 19, 33, 40, 64, 90, 150, 233, 400, 900]:
+        for _ in range(40):
+            a = np.unique(rng.integers(0, 1 << J.HASH_BITS, size, np.uint64))
+            k = 2 * len(a) * (100 - percent) // (100 + percent)
+            out = k // 2
+            b = np.sort(np.concatenate([a[rng.permutation(len(a))[out:]], np.unique(rng.integers(0, 1 << J.HASH_BITS, k - out, np.uint64))]))
+            both = np.intersect1d(a, b)
+            if 100 * len(both) < percent * (len(a) + len(b) - len(both)):
+                continue
+            gone = rng.choice(both, len(both) // 3) if common else both[:0]
+            sizes, row, label = np.array([1]), np.array([0]), int(c.of(np.array([max(len(a), len(b))]))[0])
+            found = []
+            for keys in (a, b):
+                keys = keys[~np.isin(keys, gone)]
+                sig, _, spare = J._blocks(keys, sizes, row, np.array([label]), c)
+                found.append((set(sig.tolist()), int(spare[0])))
+            left += [n for _, n in found]
+            assert c.m[label] == 0 or len(found[0][0] & found[1][0]) > max(n for _, n in found)
+    assert max(left) > 0
+
+
+def test_buckets_keep_what_their_rows_leave_across_batches():
+    import pyarrow as pa
+
+    rows = [(5, 1, 9, J.SET, 0), (7, 1, 9, J.BLOCK, 6), (7, 2, 9, J.BLOCK, 8), (7, 3, 8, J.BLOCK, 3), (8, 4, 70_000_000, J.BLOCK, 4), (9, 1, 9, J.BLOCK, 6), (9, 3, 8, J.BLOCK, 2)]
+    batch = lambda r: pa.RecordBatch.from_arrays([pa.array([r[0]]), pa.array([r[1]]), pa.array([(r[2] << (J.LEAVE_BITS + 2)) + (r[4] << 2) + r[3]])], ["sig", "id", "tag"])
+    got = [tuple(r.values()) for b in J._gather(iter([batch(r) for r in rows])) for r in b.to_pylist()]
+    assert sorted(got) == [(J.SET, 5, 1, 9, 1, 9, 0), (J.BLOCK, 7, 1, 9, 1, 9, 6), (J.BLOCK, 7, 2, 9, 1, 9, 8), (J.BLOCK, 7, 3, 8, 1, 9, 3), (J.BLOCK, 9, 1, 9, 1, 9, 6), (J.BLOCK, 9, 3, 8, 1, 9, 2)]
+
+
+def test_texts_that_share_a_passage_only_are_not_compared(spark, monkeypatch):
+    rng = random.Random(31)
+    made = []
+    passage = [f"p{i}" for i in range(40)]
+    for k in range(120):  # in a large table so few texts share it that its n-grams are not common ones
+        own = [f"own{k}_{j}" for j in range(160)]
+        at = rng.randrange(160)
+        made.append(" ".join([*own[:at], *passage, *own[at:]]))
+    made += [made[0] + " end", made[1] + " end"]
+    rows, real = {}, J.materialize
+
+    def watched(df, name):
+        out = real(df, name)
+        rows[name] = rows.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(J, "materialize", watched)
+    monkeypatch.setattr(J, "LOOK_TEXTS", 10**6)
+    df = spark.createDataFrame([*enumerate(made)], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.near_duplicates(df).collect()}
+    assert got == brute(dict(enumerate(made)), 5, 80)
+    assert rows["pairs"] == 2 and rows["differences"] == 0
+
+
 def test_shuffle_files_go_with_the_write_that_made_them(spark):
     import time
 
