@@ -18,12 +18,12 @@ in the smaller row fall short of the bound that its sizes set. Every link comes
 * Rows with equal sets are one row of the matrix; their group is a star around its smallest id.
 * In a bucket (rows with an equal block) the mask first has every member's entry with one centre only: the row that stands in
   the largest buckets. Where all members of a centre have come into one component, nothing is left to do.
-* Else two members A and B of one bucket with centre R in different components are still open: a pair that no bucket holds cannot
-  link, whatever centre both have. In buckets of up to ``SMALL`` members all open pairs are formed at once. In larger ones A and B differ in
-  ``|A ^ B| = |dA| + |dB| - 2 |dA & dB|`` n-grams, where d is the difference from R. To be within the bound K, either both link to R or
-  dA and dB share ``(|dA| + |dB| - K) / 2`` n-grams. In any one order of the n-grams, the smaller difference then has one of
-  these among its first ``K / 2 + 1`` and the larger among its first ``K + 1``. The order begins with n-grams on which no two components meet,
-  so these are counted only; then comes how few members of the centre have the n-gram: what sets the centre apart is in all differences and comes last. Of those that meet
+* Else two members A and B of one bucket in different components are still open. In buckets of up to ``SMALL`` members all open pairs are
+  formed at once. Members of larger ones, of centres whose members lie in several components, are taken apart into their n-grams: once each, whatever the number
+  of their buckets and centres, so there are no more rows than n-grams in the texts. To link, A and B (a <= b n-grams) share ``o = p (a + b) / (100 + p)`` or more. In any
+  one order of the n-grams, the first that they share then stands among the first ``a - o + 1`` of A and ``b - o + 1`` of B: at most the part ``(100 - p) / (100 + p)`` of the
+  smaller and ``(100 - p) / 100`` of each. The order begins with n-grams on which no two components meet,
+  so these are counted only; then comes how few members have the n-gram: what all of a group share comes last. Of those that meet
   on an n-gram, each first has entries with ``PARTNERS`` others only, in ``TURNS`` turns. All pairs that meet and still lie in different
   components are the mask of the last product. No link between components is lost.
 """
@@ -50,7 +50,7 @@ SPARE = ((90, 0.1), (0, 0.25))
 COMMON, LOOK_ROWS, LOOK_BYTES, LOOK_TEXTS = 65_536, 2048, 4 << 20, 4
 #: Column blocks over which overlap counts are summed; entries and n-grams of a batch of the product.
 BLOCKS, ENTRIES, GRAMS = 4, 256, 1 << 18
-#: Members of a bucket, besides its centre, up to which all their open pairs are formed; beyond it their differences from the centre are compared.
+#: Members of a bucket, besides its centre, up to which all their open pairs are formed; beyond it their n-grams are compared.
 SMALL = 8
 #: Turns in which members that meet on an n-gram are tied through a few of them, and how many, before all open pairs are formed.
 TURNS, PARTNERS = 2, 6
@@ -305,19 +305,6 @@ def _product(percent: int):
     return run
 
 
-def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, root, size of b's row, n-grams that only one of a and b has) from (a, b, x, y, root)."""
-    for b, a_len, b_len in _batches(batches):
-        n = b.num_rows
-        left, right = (b.column(k).flatten().to_numpy().view(_U) for k in (2, 3))
-        entry = np.concatenate([np.repeat(np.arange(n), a_len), np.repeat(np.arange(n), b_len)]).astype(_U)
-        keys = np.sort((entry << _U(HASH_BITS)) | np.concatenate([left, right]))
-        same = keys[1:] == keys[:-1]
-        d = keys[~(np.concatenate([[False], same]) | np.concatenate([same, [False]]))] if len(keys) else keys
-        cut = np.concatenate([[0], np.cumsum(np.bincount((d >> _U(HASH_BITS)).astype(np.int64), minlength=n))])
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(4), pa.array(b_len, pa.int32()), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array((d & _MASK).view(np.int64)))], ["a", "b", "root", "n", "diff"])
-
-
 def _rows_of(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
     """(id, grams): the rows of the incidence matrix that ``pairs`` (a, b) name; the texts are read once."""
     ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "pair-ids")
@@ -346,36 +333,37 @@ def _first_buckets(member: DataFrame) -> DataFrame:
     return member.withColumn("place", place).filter(F.col("place") > F.shiftright("leave", 1)).select("sig", "id", "n")
 
 
-def _open_members(member: DataFrame, roots: DataFrame) -> DataFrame:
-    """(sig, a, b, n, root, many): the members ``b``, beside the centre ``a``, of buckets in which they lie in different components, and how many those are."""
-    at = _named(member, roots)
-    mixed = at.groupBy("sig").agg(F.count("*").alias("many"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("sig", "many")
-    return materialize(at.join(mixed, "sig").select("sig", "a", "b", "n", "root", "many"), "open-members")
-
-
-def _small_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b): all open pairs of the buckets of up to ``SMALL`` members whose sizes allow a link."""
-    left = members.filter(F.col("many") <= SMALL).select("sig", "b", "n", "root")
+def _small_pairs(member: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """(a, b): all pairs of members, beside the centre, of buckets of up to ``SMALL`` of them that lie in different components and whose sizes allow a link."""
+    left = materialize(_named(member.filter(F.col("size") <= SMALL + 1).select("sig", "b", "n"), roots), "small-members")
     right = left.select("sig", *(F.col(c).alias(f"_{c}") for c in ("b", "n", "root")))
     fit = (F.col("b") < F.col("_b")) & (F.col("root") != F.col("_root")) & _sizes_fit(percent)
     return left.join(right, "sig").filter(fit).select(F.col("b").alias("a"), F.col("_b").alias("b")).distinct()
 
 
-def _heads(members: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
-    """(a, gram, b, n, d, pos, most): the rarest differences of members ``b`` of centre ``a`` in larger buckets that lie in different components."""
-    at = materialize(members.filter(F.col("many") > SMALL).select("a", "b", "root").distinct(), "far-members")
-    diffs = _beside(at, grams).mapInArrow(lean(_differences), "a long, b long, root long, n int, diff array<long>")
-    entries = materialize(diffs.select("a", "b", "root", "n", F.size("diff").alias("d"), F.explode("diff").alias("gram")), "differences")
-    seen = entries.groupBy("a", "gram").agg(F.count("*").alias("seen"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("a", "gram", "seen")
-    mine = Window.partitionBy("a", "b")
-    pos = F.col("d") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("seen", "gram")) - 1  # n-grams that only one component has come first
-    most = F.floor(F.col("n") * (100 - percent) / percent)
-    heads = entries.join(seen, ["a", "gram"]).withColumn("pos", pos).withColumn("most", most).filter("pos <= most")
-    heads = materialize(heads.select("a", "gram", "b", "n", "d", "pos", "most"), "heads")
-    discard(at, entries)
+def _heads(member: DataFrame, roots: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
+    """(gram, b, n, pos): the first n-grams of members ``b`` of larger buckets, ``pos`` others before them, on which components meet; of centres whose members lie in several."""
+    far = materialize(_named(member.filter(F.col("size") > SMALL + 1).select("a", "b", "n").distinct(), roots), "far-members")
+    mixed = far.groupBy("a").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("a")
+    at = materialize(far.join(mixed, "a", "left_semi").select("b", "n", "root").distinct(), "open-members")
+    some = F.broadcast(at) if at.count() <= BROADCAST_IDS else at
+    entries = materialize(grams.withColumnRenamed("id", "b").join(some, "b").select("b", "n", "root", F.explode("grams").alias("gram")), "differences")
+    seen = _meeting(entries, F.count("*").alias("seen")).select("gram", "seen")
+    mine = Window.partitionBy("b")
+    pos = F.col("n") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("seen", "gram")) - 1  # n-grams that only one component has come first
+    heads = entries.join(seen, "gram").withColumn("pos", pos).filter(F.col("pos") * 100 <= F.col("n") * (100 - percent))
+    heads = materialize(heads.select("gram", "b", "n", "root", "pos"), "heads")
+    met = _meeting(heads, F.max(F.col("pos") * (100 + percent) <= F.col("n") * (100 - percent)).alias("early")).filter("early").select("gram")
+    heads = materialize(heads.join(met, "gram", "left_semi").select("gram", "b", "n", "pos"), "meeting-heads")
+    discard(far, at, entries)
     return heads
 
 
+def _meeting(rows: DataFrame, *more: Column) -> DataFrame:
+    """The n-grams that rows of different components have, with ``more`` about these rows."""
+    return rows.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), *more).filter("lo <> hi")
+
+
 def _named(rows: DataFrame, roots: DataFrame) -> DataFrame:
     """``rows`` with the ``root`` of their column b."""
     return rows.join(roots.withColumnRenamed("node", "b"), "b", "left").withColumn("root", F.coalesce("root", "b"))
@@ -386,30 +374,29 @@ def _sizes_fit(percent: int) -> Column:
 
 
 def _may_link(percent: int) -> Column:
-    """Whether two heads of one (a, gram), the second's columns with a ``_``, lie in different components and may link."""
+    """Whether two heads of one n-gram, the second's columns with a ``_``, lie in different components and may link."""
     bound = F.floor((F.col("n") + F.col("_n")) * (100 - percent) / (100 + percent))
-    left_over = F.least(F.col("d") - F.col("pos"), F.col("_d") - F.col("_pos"))
-    return (F.col("root") != F.col("_root")) & _sizes_fit(percent) & (2 * left_over >= F.col("d") + F.col("_d") - bound)
+    left_over = F.least(F.col("n") - F.col("pos"), F.col("_n") - F.col("_pos"))
+    return (F.col("root") != F.col("_root")) & _sizes_fit(percent) & (2 * left_over >= F.col("n") + F.col("_n") - bound)
 
 
 def _star_pairs(heads: DataFrame, roots: DataFrame, percent: int, turn: int) -> DataFrame:
-    """(a, b): the heads of each (a, gram) beside ``PARTNERS`` of them: at first the nearest to the centre, then any."""
+    """(a, b): the heads of each n-gram beside ``PARTNERS`` of them: at first those it stands earliest in, then any."""
     named = _named(heads, roots)
-    order = [F.xxhash64("gram", "b", F.lit(turn))] if turn else ["d", "b"]
-    some = named.withColumn("rank", F.row_number().over(Window.partitionBy("a", "gram").orderBy(*order))).filter(F.col("rank") <= PARTNERS)
-    some = some.select("a", "gram", *(F.col(c).alias(f"_{c}") for c in ("b", "n", "d", "root", "pos")))
-    return named.join(some, ["a", "gram"]).filter(_may_link(percent)).select(F.least("b", "_b").alias("a"), F.greatest("b", "_b").alias("b")).distinct()
+    order = [F.xxhash64("gram", "b", F.lit(turn))] if turn else ["pos", "b"]
+    some = named.withColumn("rank", F.row_number().over(Window.partitionBy("gram").orderBy(*order))).filter(F.col("rank") <= PARTNERS)
+    some = some.select("gram", *(F.col(c).alias(f"_{c}") for c in ("b", "n", "root", "pos")))
+    return named.join(some, "gram").filter(_may_link(percent)).select(F.least("b", "_b").alias("a"), F.greatest("b", "_b").alias("b")).distinct()
 
 
 def _open_pairs(heads: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """(a, b): all pairs of heads that lie in different components and may link."""
     named = _named(heads, roots)
-    mixed = named.groupBy("a", "gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("a", "gram")
-    named = materialize(named.join(mixed, ["a", "gram"], "left_semi"), "open-heads")
-    left = named.filter(F.col("pos") <= F.floor(F.col("most") / 2))
-    right = named.select("a", "gram", *(F.col(c).alias(f"_{c}") for c in ("b", "n", "d", "root", "pos")))
-    smaller = (F.col("d") < F.col("_d")) | ((F.col("d") == F.col("_d")) & (F.col("b") < F.col("_b")))
-    return left.join(right, ["a", "gram"]).filter(smaller & _may_link(percent)).select(F.col("b").alias("a"), F.col("_b").alias("b")).distinct()
+    named = materialize(named.join(_meeting(named).select("gram"), "gram", "left_semi"), "open-heads")
+    left = named.filter(F.col("pos") * (100 + percent) <= F.col("n") * (100 - percent))
+    right = named.select("gram", *(F.col(c).alias(f"_{c}") for c in ("b", "n", "root", "pos")))
+    smaller = (F.col("n") < F.col("_n")) | ((F.col("n") == F.col("_n")) & (F.col("b") < F.col("_b")))
+    return left.join(right, "gram").filter(smaller & _may_link(percent)).select(F.col("b").alias("a"), F.col("_b").alias("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -490,21 +477,20 @@ def _roots(texts: DataFrame, width: int, percent: int) -> DataFrame:
     member = materialize(_sized(_first_buckets(_sized(member))), "members")
     weight = member.groupBy("id").agg(F.sum("size").alias("weight"))
     centre = member.join(weight, "id").groupBy("sig").agg(F.max(F.struct("weight", (-F.col("id")).alias("back"))).alias("top")).select("sig", (-F.col("top.back")).alias("a"))
-    member = materialize(member.join(centre, "sig").filter("id <> a").select("sig", "a", F.col("id").alias("b"), "n"), "around")
+    member = materialize(member.join(centre, "sig").filter("id <> a").select("sig", "a", F.col("id").alias("b"), "n", "size"), "around")
     star = materialize(member.select("a", "b").distinct(), "pairs")
     grams = _rows_of(known, star, width)
     linked = "a long, b long"
     links = materialize(_beside(star, grams).mapInArrow(lean(_product(percent)), linked), "links")
     roots = components(links)
-    members = _open_members(member, roots)
 
     def joined(pairs: DataFrame) -> DataFrame:
         """The components when the links among ``pairs`` are added."""
         more = materialize(_beside(pairs, grams).mapInArrow(lean(_product(percent)), linked), "links")
         return roots if more.isEmpty() else components(roots.toDF("a", "b").union(more))
 
-    roots = joined(materialize(_small_pairs(members, percent), "small-pairs"))
-    heads = _heads(members, grams, percent)
+    roots = joined(materialize(_small_pairs(member, roots, percent), "small-pairs"))
+    heads = _heads(member, roots, grams, percent)
     # members that meet on a gram are first tied through a few of them; all pairs are left only between components
     for turn in range(TURNS):
         pairs = materialize(_star_pairs(heads, roots, percent, turn), "star-pairs")

@@ -248,6 +248,29 @@ def test_texts_that_share_a_passage_only_are_not_compared(spark, monkeypatch):
     assert rows["pairs"] == 2 and rows["differences"] == 0
 
 
+def test_members_are_taken_apart_once_whatever_their_centres(spark, monkeypatch):
+    rng = random.Random(37)
+    made = []
+    long = [f"p{j}" for j in range(240)]
+    for k in range(80):  # four stretches of one passage that overlap, so the buckets of a text have several centres; only the first texts link
+        at = 30 * (k % 4)
+        made.append(" ".join([*long[at : at + 150], *(f"own{k % 4 if k < 8 else k}_{j}" for j in range(50 + k // 4 % 2))]))
+    rng.shuffle(made)
+    rows, real = {}, J.materialize
+
+    def watched(df, name):
+        out = real(df, name)
+        rows[name] = rows.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(J, "materialize", watched)
+    monkeypatch.setattr(J, "LOOK_TEXTS", 10**6)
+    df = spark.createDataFrame([*enumerate(made)], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.near_duplicates(df).collect()}
+    assert got == brute(dict(enumerate(made)), 5, 80)
+    assert 0 < rows["differences"] <= sum(n for n, _ in got.values())
+
+
 def test_shuffle_files_go_with_the_write_that_made_them(spark):
     import time
 
