@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..sources.scratch import discard, stored
 from .neighbours import interleaved, squared_distance
 from .normalize import HI, LO, cdf_normalize, minmax_normalize
 from .order import in_order
@@ -250,40 +251,42 @@ def maximin(x: DataFrame, axes: Sequence[str], n: int, seed: int = 0, top: int =
 
     A row's distance to the chosen ones only falls, so an old distance bounds the present one. A pass over the pool brings all distances up to date and sends the ``top`` rows with
     the largest to the driver, which picks among them as long as its best one is ahead of the last row sent: no other row can be. ``info`` has the number of passes.
+    Each pass is written and read back, so no plan holds those before it. Of equal points the lowest row is measured alone; the others come last, in order of their rows.
     """
     _check(x, n)
     base = x.select("row_ix", *axes)
     mean = base.agg(*(F.avg(a).alias(a) for a in axes)).first()
-    far, chosen, points, new, passes = base.withColumn("near", F.lit(float("inf"))), [], [], [tuple(mean)], 0
+    d2 = lambda p: reduce(lambda u, v: u + v, [(F.col(a) - p[k]) * (F.col(a) - p[k]) for k, a in enumerate(axes)])
+
+    def measured(far: DataFrame, points: Sequence[Sequence[float]]) -> DataFrame:
+        picks = x.sparkSession.createDataFrame([([[float(v) for v in p] for p in points],)], "picks array<array<double>>")
+        return far.crossJoin(F.broadcast(picks)).select("row_ix", *axes, F.least("near", F.array_min(F.transform("picks", d2))).alias("near"))  # one row of at most n picks
+
+    far = stored(base.groupBy(*axes).agg(F.min("row_ix").alias("row_ix")).select("row_ix", *axes, F.lit(float("inf")).alias("near")), "maximin")
+    # the first pass measures from the mean, which is no pick
+    start = measured(far, [tuple(mean)]).orderBy(F.desc("near"), "row_ix").first() if n > 0 else None
+    chosen, new, passes = [start.row_ix] if start else [], [tuple(start[a] for a in axes)] if start else [], 1
     while len(chosen) < n:
-        # the first pass measures from the mean, which is no pick
-        picks = x.sparkSession.createDataFrame([([[float(v) for v in p] for p in new],)], "picks array<array<double>>")
-        d2 = lambda p: reduce(lambda u, v: u + v, [(F.col(a) - p[k]) * (F.col(a) - p[k]) for k, a in enumerate(axes)])
-        old, far = far, far.crossJoin(F.broadcast(picks)).select("row_ix", *axes, F.least("near", F.array_min(F.transform("picks", d2))).alias("near")).persist()  # one row of at most n picks
-        sent = far.orderBy(F.desc("near"), "row_ix").limit(top + len(chosen)).collect()
-        old.unpersist()
+        old, far = far, stored(measured(far, new), "maximin")
+        discard(old)
+        sent = far.filter("near > 0").orderBy(F.desc("near"), "row_ix").limit(top).collect()
         passes, new = passes + 1, []
-        if not chosen:
-            far.unpersist()
-            far = base.withColumn("near", F.lit(float("inf")))
-            chosen, points = [sent[0].row_ix], [tuple(sent[0][a] for a in axes)]
-            new = points[:]
-            continue
-        taken = set(chosen)
-        rows = [r for r in sent if r.row_ix not in taken]
-        ids, at, near = np.array([r.row_ix for r in rows]), np.array([[r[a] for a in axes] for r in rows]), np.array([r.near for r in rows])
-        last = (-sent[-1].near, sent[-1].row_ix)
-        while len(chosen) < n and len(ids):
-            k = int(np.lexsort((ids, -near))[0])
-            if (-near[k], ids[k]) > last and len(sent) == top + len(taken):
+        if not sent:  # the rest stands where chosen rows do
+            taken = set(chosen)
+            chosen += [r.row_ix for r in base.select("row_ix").orderBy("row_ix").limit(n).collect() if r.row_ix not in taken][: n - len(chosen)]
+            break
+        last = (-sent[-1].near, sent[-1].row_ix) if len(sent) == top else (0.0, -1)
+        sent.sort(key=lambda r: r.row_ix)
+        at, near = np.array([[r[a] for a in axes] for r in sent]), np.array([r.near for r in sent])
+        while len(chosen) < n:
+            k = int(near.argmax())  # of equal ones the lowest row
+            if near[k] <= 0 or (-near[k], sent[k].row_ix) > last:
                 break
-            chosen.append(int(ids[k]))
+            chosen.append(sent[k].row_ix)
             new.append(tuple(at[k]))
             near = np.minimum(near, _squared(at, at[k]))
             near[k] = -np.inf
-            if len(chosen) - len(taken) == len(ids):
-                break
-    far.unpersist()
+    discard(far)
     return Selection(sorted(chosen), info={"passes": passes})
 
 

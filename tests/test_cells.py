@@ -75,6 +75,20 @@ def test_farthest_first_reads_the_pool_a_few_times(spark):
         assert select.maximin(df, axes, n, top=top).rows == slow_maximin(tied, n)
 
 
+def test_farthest_first_plans_do_not_grow(spark, monkeypatch):
+    """However many passes a shuffled pool takes, no plan holds those before it; copies of a point take no pass of their own."""
+    rng = np.random.default_rng(7)
+    x = np.tile(rng.random((40, 3)), (30, 1))
+    axes, df = frame(spark, x)
+    pool = df.join(df.groupBy("row_ix").count(), "row_ix").select("row_ix", *axes).persist()
+    sizes, plain = [], type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: (sizes.append(len(self._jdf.queryExecution().toString())), plain(self))[1])
+    got = select.maximin(pool, axes, 70, top=4)
+    assert got.rows == slow_maximin(x, 70) and 10 < got.info["passes"] < 42
+    assert max(sizes) < 40_000
+    assert select.maximin(pool, axes, 70, top=100).info["passes"] == 3
+
+
 def test_uniform_points_depend_on_their_place_only(spark):
     got = {(r.draw, r.point): (r.u0, r.u1) for r in coverage.uniform_points(spark, 3, 50, 2, 9).repartition(7).collect()}
     u = lambda *at: int(hashlib.md5(",".join(map(str, at)).encode()).hexdigest()[:13], 16) / 2**52
