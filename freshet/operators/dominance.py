@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..sources.scratch import stored
 from .order import unique_ranks
 
 #: log2 of the ranks of a smallest node, and of the most rows that are put in order in one task.
@@ -44,7 +45,7 @@ def sum_of_pair_products(points: DataFrame, axes: Sequence[str], n: int) -> Data
     """
     d = len(axes)
     height = max(1, n - 1).bit_length()
-    whole = _ranked(points, axes)
+    whole = stored(_ranked(points, axes), "ranks")  # read by every sum
     x = [F.col(f"x{k}") for k in range(d)]
     sums = [whole.agg(F.sum(product([1 - c for c in x])).alias("s"))]
     at, keys = whole.withColumn("w", F.lit(1.0)), []

@@ -6,11 +6,12 @@ and again only while a pick is open or the potentials show a cheaper row in the
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -24,6 +25,8 @@ from .order import in_order
 GRID_CAP, AHEAD, TOP = 4096, 3, 1000
 #: Rows that a target asks for at once, the most when few ask (Spark's window group limit), and the gain below which a row is not cheaper.
 ASK, MOST, LEAST_GAIN = 8, 1000, 1e-9
+#: Distances that a task holds at once.
+HELD = 1_000_000
 
 
 def latin_hypercube(n: int, d: int, seed: int = 42, lo: Sequence[float] | None = None, hi: Sequence[float] | None = None) -> np.ndarray:
@@ -77,6 +80,44 @@ def _nearest(near: DataFrame, k: int) -> DataFrame:
     return near.select("target", "row_ix", "d2").withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def _first(k: int, at: list[np.ndarray]) -> list[np.ndarray]:
+    """Of the rows (target, score, row_ix, ...) the ``k`` of each target with the least score, ties to the lower row."""
+    order = np.lexsort((at[2], at[1], at[0]))
+    at = [a[order] for a in at]
+    starts = np.flatnonzero(np.r_[True, at[0][1:] != at[0][:-1]]) if len(order) else np.zeros(0, int)
+    rank = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
+    return [a[rank < k] for a in at]
+
+
+def _least(x: DataFrame, axes: Sequence[str], targets: np.ndarray, which: Sequence[int], k: int, score: Callable = lambda d2, at, cols: d2, more: Sequence[str] = ()) -> DataFrame:
+    """(target, score, row_ix, d2): for each of the targets ``which`` the ``k`` rows with the least score, ties to the lower row.
+
+    ``score`` is given squared distances (targets by rows), which of ``which`` they belong to and the columns ``more`` of the rows (NaN for null); a row whose score is infinite is left out. Tasks form distances in blocks of ``HELD``
+    and keep ``k`` rows a target, so neither all distances nor an order of them exist anywhere. The targets go with the tasks.
+    """
+    which, points = np.asarray(which, np.int32), np.asarray(targets, float)[list(which)]
+
+    def keep(batches):
+        best = [np.zeros(0, np.int32), np.zeros(0), np.zeros(0, np.int64), np.zeros(0)]
+        for batch in batches:
+            cols = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ["row_ix", *axes, *more]}
+            for lo in range(0, len(cols["row_ix"]), HELD):
+                part = {c: v[lo : lo + HELD] for c, v in cols.items()}
+                for at in np.array_split(np.arange(len(which)), max(1, -(-len(which) * len(part["row_ix"]) // HELD))):
+                    d2 = reduce(lambda u, v: u + v, [(part[a] - points[at, j][:, None]) ** 2 for j, a in enumerate(axes)])
+                    s = score(d2, at, part)
+                    cut = np.partition(s, k - 1, axis=1)[:, k - 1 : k] if k < s.shape[1] else np.inf
+                    i, j = np.nonzero((s <= cut) & (s < np.inf))
+                    new = _first(k, [which[at][i], s[i, j], part["row_ix"][j], d2[i, j]])
+                    best = [np.concatenate(b) for b in zip(best, new, strict=True)]
+            best = _first(k, best)
+        yield pa.RecordBatch.from_arrays([pa.array(b) for b in best], ["target", "score", "row_ix", "d2"])
+
+    kept = x.select("row_ix", *axes, *more).mapInArrow(keep, "target int, score double, row_ix long, d2 double")
+    rank = F.row_number().over(Window.partitionBy("target").orderBy("score", "row_ix"))
+    return kept.withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank")
+
+
 @dataclass
 class Picks:
     """(d2, row) that each target takes, the rows it was offered, and which targets took a row of their first offer."""
@@ -105,12 +146,11 @@ def _take_in_order(x: DataFrame, axes: Sequence[str], targets: np.ndarray, ask:
         if again:
             held = x.sparkSession.createDataFrame(list(holder.items()), "row_ix long, holder int")
             free = free.join(F.broadcast(held), "row_ix", "left")  # at most n rows
-        near = _with_targets(free, axes, targets, asking)
-        if again:
-            near = near.filter(F.col("holder").isNull() | (F.col("holder") > F.col("target")))
+        askers = np.array(asking)
+        near = _least(free, axes, targets, asking, k, lambda d2, i, cols: np.where(cols["holder"] <= askers[i][:, None], np.inf, d2), ["holder"]) if again else _least(free, axes, targets, asking, k)  # noqa: B023
         for i in asking:
             offer[i], at[i], asks[i] = [], 0, asks[i] + 1
-        for r in _nearest(near, k).collect():
+        for r in near.collect():
             offer[r.target].append((r.d2, r.row_ix))
             offered[r.target][r.row_ix] = r.d2
         for i in asking:
@@ -202,21 +242,19 @@ def _cheapest(x: DataFrame, axes: Sequence[str], targets: np.ndarray, ask: int,
     """
     got = _take_in_order(x, axes, targets, ask)
     cost = [{row: d2**power for row, d2 in c.items()} for c in got.offered]
-    base = F.sqrt("d2") if power == 0.5 else F.col("d2")
+    base = np.sqrt if power == 0.5 else np.asarray
     log: list[dict] = []
     while True:
         rows, u, v = assign(cost)
         far = [c[r] for c, r in zip(cost, rows, strict=True)]
         priced = x.sparkSession.createDataFrame([(int(r), float(p)) for r, p in v.items() if p], "row_ix long, price double")
         pool = x.select("row_ix", *axes).join(F.broadcast(priced), "row_ix", "left")  # at most n rows have a price
-        edges = _with_targets(pool, axes, targets, range(len(targets)), ", u double", [(float(p),) for p in u])
-        gain = edges.select("target", "row_ix", "d2", (F.col("u") + F.coalesce("price", F.lit(0.0)) - base).alias("gain"))
-        rank = F.row_number().over(Window.partitionBy("target").orderBy(F.desc("gain"), "row_ix"))
-        best = gain.withColumn("rank", rank).filter(F.col("rank") <= min(ask, MOST)).collect()
-        slack, dual = max(r.gain for r in best), sum(u) + sum(v.values())
+        ceiling = np.array(u, float)
+        best = _least(pool, axes, targets, range(len(targets)), min(ask, MOST), lambda d2, i, cols: base(d2) - (ceiling[i][:, None] + np.nan_to_num(cols["price"])), ["price"]).collect()  # noqa: B023
+        slack, dual = -min(r.score for r in best), sum(u) + sum(v.values())
         sure = slack <= LEAST_GAIN and abs(dual - sum(far)) <= 1e-7 * max(1.0, sum(far))
         log.append({"k": max(map(len, cost)), "feasible": True, "total": sum(far), "lp_total": dual, "slack": slack, "certified": sure})
-        new = [r for r in best if r.gain > LEAST_GAIN and r.row_ix not in cost[r.target]]
+        new = [r for r in best if -r.score > LEAST_GAIN and r.row_ix not in cost[r.target]]
         if sure or not new:
             return rows, far, log
         for r in new:

@@ -13,6 +13,7 @@ from ..operators import coverage as C
 from ..operators import normalize as N
 from ..operators import select as S
 from ..operators.screen import Screen, screen_axes
+from ..sources.scratch import discard, stored
 
 NULL_DRAWS = 100
 
@@ -91,11 +92,13 @@ def select_from_image(image: DataFrame, axes: Sequence[str], n: int, seed: int,
     return Design(screen, kept, chosen, qc, clip, N.face_share(image, kept, rows_frame(image, chosen.rows), lo, hi))
 
 
-def selection_metrics(image: DataFrame, axes: Sequence[str], rows: Sequence[int], lo: float = N.LO, hi: float = N.HI) -> dict[str, float]:
-    """Coverage, tail, distortion and zero-event figures of one selection."""
+def selection_metrics(image: DataFrame, axes: Sequence[str], rows: Sequence[int], lo: float = N.LO, hi: float = N.HI, spaces: tuple[DataFrame, DataFrame] | None = None) -> dict[str, float]:
+    """Coverage, tail, distortion and zero-event figures of one selection; ``spaces`` are the image's two geometries (abs, cdf) where they are at hand.
+
+    The selection's rows are written and read back, so the plans of the figures do not hold those of the pool.
+    """
     mine = F.broadcast(rows_frame(image, rows))  # the selection
-    xa = geometry(image, axes, "abs", lo, hi).join(mine, "row_ix", "left_semi").persist()
-    xc = geometry(image, axes, "cdf").join(mine, "row_ix", "left_semi")
+    xa, xc = (stored(x.join(mine, "row_ix", "left_semi"), "selected") for x in spaces or (geometry(image, axes, k, lo, hi) for k in ("abs", "cdf")))
     near = C.nearest_summary(xa, axes).first()
     mean = lambda df, c: df.agg(F.avg(c)).first()[0]
     out = {
@@ -107,6 +110,7 @@ def selection_metrics(image: DataFrame, axes: Sequence[str], rows: Sequence[int]
         zero = F.avg(F.forall(F.array(*dry), lambda v: v == 0.0).cast("double"))
         out["zero_event_share_selected"] = image.join(mine, "row_ix", "left_semi").agg(zero).first()[0]
         out["zero_event_share_pool"] = image.agg(zero).first()[0]
+    discard(xa, xc)
     return out
 
 
@@ -118,12 +122,13 @@ def per_axis_metrics(image: DataFrame, axes: Sequence[str], rows: Sequence[int],
 
 def compare_selectors(image: DataFrame, axes: Sequence[str], n: int, seeds: Sequence[int], selectors: Mapping | None = None, lo: float = N.LO, hi: float = N.HI) -> DataFrame:
     """One row a selector and seed with its metrics, and the mean pairwise Jaccard of a selector's rows over the seeds."""
-    x = geometry(image, axes, "abs", lo, hi).persist()
+    image = stored(image.select("row_ix", *axes), "pool")
+    spaces = tuple(stored(geometry(image, axes, kind, lo, hi), "pool") for kind in ("abs", "cdf"))
     records = []
     for name, rule in (selectors or S.SELECTORS).items():
-        picks = [rule(x, axes, n, s) for s in seeds]
+        picks = [rule(spaces[0], axes, n, s) for s in seeds]
         stable = S.pairwise_jaccard([p.rows for p in picks])
-        records += [{"selector": name, "seed": s, "seed_jaccard": float(stable), **{k: float(v) for k, v in selection_metrics(image, axes, p.rows, lo, hi).items()}} for s, p in zip(seeds, picks, strict=True)]
-    x.unpersist()
+        records += [{"selector": name, "seed": s, "seed_jaccard": float(stable), **{k: float(v) for k, v in selection_metrics(image, axes, p.rows, lo, hi, spaces).items()}} for s, p in zip(seeds, picks, strict=True)]
+    discard(image, *spaces)
     names = list(records[0])
     return image.sparkSession.createDataFrame([tuple(r[k] for k in names) for r in records], ", ".join(f"{k} {'string' if k == 'selector' else 'int' if k == 'seed' else 'double'}" for k in names))

@@ -166,6 +166,38 @@ def test_selection_beats_random_and_compares(spark, pool):
     assert select.jaccard([1, 2], [2, 3]) == pytest.approx(1 / 3) and math.isnan(select.jaccard([], [])) and math.isnan(select.pairwise_jaccard([[1]]))
 
 
+def test_comparison_plans_do_not_hold_the_pool(spark, pool, monkeypatch):
+    """The figures of a selection are planned over its written rows; before, each held the pool's plan many times over (1 GB of plan texts at 3,000 rows)."""
+    df, x, names, xs = pool
+    made, sizes, plain = df.join(df.groupBy("row_ix").count(), "row_ix").select("row_ix", *names).persist(), [], coverage.star_discrepancy
+
+    def planned(points, axes):
+        out = plain(points, axes)
+        sizes.append(len(out._jdf.queryExecution().toString()))
+        return out
+
+    monkeypatch.setattr(coverage, "star_discrepancy", planned)
+    got = design.compare_selectors(made, names, 24, (1,), {"random": select.random_rows}).first()
+    rows = select.random_rows(x, names, 24, 1).rows
+    assert got.L2_star_abs == pytest.approx(l2(xs[rows])) and len(sizes) == 2 and max(sizes) < 40_000
+
+
+def test_anchored_rules_with_equal_points(spark, monkeypatch):
+    """Copies of points, taken apart in blocks of a few distances, are taken lowest row first."""
+    monkeypatch.setattr(select, "HELD", 100)
+    xs = np.tile(np.random.default_rng(8).random((30, 3)), (6, 1))
+    x, names = frame(spark, xs)
+    d2 = ((select.latin_hypercube(70, 3, 2)[:, None, :] - xs[None, :, :]) ** 2).sum(axis=2)
+    used, want = set(), []
+    for row in d2:
+        want.append(next(int(j) for j in np.argsort(row, kind="stable") if int(j) not in used))
+        used.add(want[-1])
+    assert select.lhs_nearest(x, names, 70, 2).paired == want
+    cost = [dict(enumerate(map(float, row))) for row in d2]
+    got = select.lhs_assigned(x, names, 70, 2)
+    assert len(set(got.rows)) == 70 and got.info["total"] == pytest.approx(sum(c[r] for c, r in zip(cost, select.assign(cost)[0], strict=True)), rel=1e-9)
+
+
 def test_screening_drops_degenerate_and_duplicate_axes(spark):
     rng = np.random.default_rng(2)
     h = rng.gamma(2, 1, (500, 5))
